@@ -6,16 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lagoon.llm.chat import OP1_SQL, op1_chat_format
+from lagoon.llm.licenses import op6_license_scan
 from lagoon.llm.packing import op8_packing
+from lagoon.llm.quality import op5_quality_rules
+from lagoon.llm.sharding import op7_sharding
 from lagoon.llm.token_counts import op3_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_chat_format": op1_chat_format,
         "op3_token_counts": op3_token_counts,
+        "op5_quality_rules": op5_quality_rules,
+        "op6_license_scan": op6_license_scan,
+        "op7_sharding": op7_sharding,
         "op8_packing": op8_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_chat_format": OP1_SQL}
