@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lagoon.llm.chat import OP1_SQL, op1_chat_format
 from lagoon.llm.licenses import op6_license_scan
+from lagoon.llm.minhash import op2_near_duplicates
 from lagoon.llm.packing import op8_packing
 from lagoon.llm.quality import op5_quality_rules
 from lagoon.llm.sharding import op7_sharding
@@ -17,6 +18,7 @@ from lagoon.llm.token_counts import op3_token_counts
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": op1_chat_format,
+        "op2_near_duplicates": op2_near_duplicates,
         "op3_token_counts": op3_token_counts,
         "op5_quality_rules": op5_quality_rules,
         "op6_license_scan": op6_license_scan,
