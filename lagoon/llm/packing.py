@@ -7,8 +7,8 @@ crosses documents and none is padded.
 
 Encoding is done once per distinct white-space chunk and worker. A chunk is
 encoded by the library itself; neither its normaliser, its splitting pattern
-nor its special strings reach across ASCII white space. The table of a worker is
-bounded by `MAX_CHUNKS` and starts anew beyond it.
+nor its special strings reach across ASCII white space. The tables of a worker are
+bounded by `MAX_CHUNKS` and `MAX_PARTS` and start anew beyond them.
 
 Defined cases: a null or empty text is the end token alone, one piece of length
 1; a null id is kept; repeated rows are packed each for itself; an empty table
@@ -17,10 +17,12 @@ gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,12 +30,21 @@ from pyspark.sql import functions as F
 from lagoon.llm.shared import arrow_batches
 
 MAX_CHUNKS = 600_000
+MAX_PARTS = 1_200_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _workers: dict[str, "ChunkEncoder"] = {}
 
 
 class ChunkEncoder:
-    """Token ids of whole texts as little-endian unsigned 32-bit bytes."""
+    """Token ids of whole texts as little-endian unsigned 32-bit bytes.
+
+    A chunk of letters followed by ASCII punctuation is two pre-tokens, of which
+    only the letters are many; they are kept apart. Letters here are a-z and those
+    of Latin-1, none of which the normaliser joins with a neighbour.
+    """
+
+    _LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+    _LETTERS_TAIL = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]+)")
 
     def __init__(self, file: str) -> None:
         import os
@@ -44,7 +55,29 @@ class ChunkEncoder:
         self._model = Tokenizer.from_file(file)
         self._model.no_truncation()
         self._model.no_padding()
+        vocabulary = self._model.get_vocab()
+        self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self._ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self._known: dict[bytes, bytes] = {}
+        self._parts: dict[bytes, bytes] = {}
+
+    def _learn(self, parts: list[bytes]) -> None:
+        words = [p for p in parts if self._LETTERS.fullmatch(p)]
+        for i in range(0, len(words), 8192):
+            some = words[i : i + 8192]
+            ids = np.array(self._model.encode(b" ".join(some).decode(), add_special_tokens=False).ids, np.uint32)
+            ends = np.flatnonzero(self._ends[ids]) + 1
+            if len(ends) != len(some):
+                raise ValueError("a word isn't one pre-token")
+            raw, at = ids.tobytes(), 0
+            for w, e in zip(some, (4 * ends).tolist(), strict=True):
+                self._parts[w] = raw[at:e]
+                at = e
+        rest = [p for p in parts if p not in self._parts]
+        for i in range(0, len(rest), 4096):
+            some = rest[i : i + 4096]
+            for p, e in zip(some, self._model.encode_batch([p.decode() for p in some], add_special_tokens=False), strict=True):
+                self._parts[p] = array("I", e.ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The normaliser lower-cases; doing that to ASCII letters before makes fewer distinct chunks. Special strings are case-sensitive, so a text that may hold one is left as it is."""
@@ -52,14 +85,16 @@ class ChunkEncoder:
         for t in texts:
             raw = t.encode()
             split.append((raw if b"<|" in raw else raw.translate(_LOWER)).split())
-        known = self._known
+        known, parts = self._known, self._parts
         if len(known) > MAX_CHUNKS:
             known.clear()
-        fresh = list({c for s in split for c in s if c not in known})
-        for i in range(0, len(fresh), 4096):
-            part = fresh[i : i + 4096]
-            for c, e in zip(part, self._model.encode_batch([c.decode() for c in part], add_special_tokens=False), strict=True):
-                known[c] = array("I", e.ids).tobytes()
+        if len(parts) > MAX_PARTS:
+            parts.clear()
+        fresh = {c for s in split for c in s}.difference(known)
+        cut = {c: m.groups() if (m := self._LETTERS_TAIL.fullmatch(c)) and b"<|" not in c else (c,) for c in fresh}
+        self._learn(list({p for ps in cut.values() for p in ps}.difference(parts)))
+        for c, ps in cut.items():
+            known[c] = parts[ps[0]] + parts[ps[1]] if len(ps) > 1 else parts[c]
         return [b"".join(map(known.__getitem__, s)) for s in split]
 
 
