@@ -11,6 +11,7 @@ from lagoon.llm.licenses import op6_license_scan
 from lagoon.llm.minhash import op2_near_duplicates
 from lagoon.llm.packing import op8_packing
 from lagoon.llm.quality import op5_quality_rules
+from lagoon.llm.repeats import op4_repeated_strings
 from lagoon.llm.sharding import op7_sharding
 from lagoon.llm.token_counts import op3_token_counts
 
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_chat_format": op1_chat_format,
         "op2_near_duplicates": op2_near_duplicates,
         "op3_token_counts": op3_token_counts,
+        "op4_repeated_strings": op4_repeated_strings,
         "op5_quality_rules": op5_quality_rules,
         "op6_license_scan": op6_license_scan,
         "op7_sharding": op7_sharding,
