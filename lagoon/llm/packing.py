@@ -5,10 +5,10 @@ in n (and as many whole sequences as fit before), largest first. Pieces of equal
 length form a bucket, and each piece is a sequence of its own: no sequence
 crosses documents and none is padded.
 
-Encoding is done once per distinct white-space chunk and worker. A chunk is
-encoded by the library itself; neither its normaliser, its splitting pattern
-nor its special strings reach across ASCII white space. The tables of a worker are
-bounded by `MAX_CHUNKS` and `MAX_PARTS` and start anew beyond them.
+Encoding is done once per distinct unit of text and worker, by the library
+itself: neither its normaliser, its splitting pattern nor its special strings
+reach across the borders of a unit (see `units`). A worker's table starts anew at
+`MAX_UNITS`. Units are told apart by 64-bit hashes.
 
 Defined cases: a null or empty text is the end token alone, one piece of length
 1; a null id is kept; repeated rows are packed each for itself; an empty table
@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,24 +26,61 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lagoon.llm import scan
 from lagoon.llm.shared import arrow_batches
 
-MAX_CHUNKS = 600_000
-MAX_PARTS = 1_200_000
-_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-_workers: dict[str, "ChunkEncoder"] = {}
+MAX_UNITS = 1_500_000
+_workers: dict[str, "UnitEncoder"] = {}
 
 
-class ChunkEncoder:
-    """Token ids of whole texts as little-endian unsigned 32-bit bytes.
+_LETTER, _PUNCTUATION, _OTHER = 1, 2, 3
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[[0x20, 9, 10, 11, 12, 13]] = 0
+_KIND[0x41:0x5B] = _KIND[0x61:0x7B] = _KIND[0xC3] = _LETTER
+_KIND[[*range(0x21, 0x27), *range(0x28, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = _PUNCTUATION
+_LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\xbf])+")
 
-    A chunk of letters followed by ASCII punctuation is two pre-tokens, of which
-    only the letters are many; they are kept apart. Letters here are a-z and those
-    of Latin-1, none of which the normaliser joins with a neighbour.
-    """
 
-    _LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
-    _LETTERS_TAIL = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]+)")
+def units(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes to encode, and the starts, ends and per-document counts of units that are encoded independently.
+
+    White-space chunks of ASCII and Latin-1 letters and ASCII punctuation (without
+    the apostrophe, which starts contractions) are cut between letters and
+    punctuation; no other chunk is cut. The normaliser lower-cases; doing that to
+    ASCII letters before makes fewer distinct units, but special strings are
+    case-sensitive, so a text that may hold one is left as it is.
+    """
+    low = scan.LOWER[raw]
+    kind = _KIND[raw]
+    n = len(raw)
+    if n > 1:
+        special = np.flatnonzero((raw[:-1] == 0x3C) & (raw[1:] == 0x7C))
+        kind[special] = _OTHER
+        for d in np.unique(np.searchsorted(off, special, "right") - 1):
+            low[off[d] : off[d + 1]] = raw[off[d] : off[d + 1]]
+        lead = np.flatnonzero(raw[:-1] == 0xC3)
+        letter = (raw[lead + 1] != 0x97) & (raw[lead + 1] != 0xB7)
+        kind[lead[~letter]] = _OTHER
+        kind[lead[letter] + 1] = _LETTER
+    starts, ends, _ = scan.words(raw, off, scan.NOT_SPACE)
+    other = np.zeros(n + 1, np.int64)
+    np.cumsum(kind == _OTHER, out=other[1:])
+    whole = other[ends] > other[starts]
+    edges = np.zeros(n + 1, np.int32)
+    edges[starts[whole]] += 1
+    np.subtract.at(edges, ends[whole], 1)
+    cut = np.zeros(n, bool)
+    cut[1:] = (kind[1:] != kind[:-1]) & (kind[1:] != 0)
+    cut &= np.cumsum(edges[:-1]) == 0
+    cut[starts] = True
+    first = np.flatnonzero(cut)
+    chunk = np.searchsorted(starts, first, "right") - 1
+    last = np.minimum(np.append(first[1:], n), ends[chunk]) if len(first) else first
+    return low, first, last, np.diff(np.searchsorted(first, off))
+
+
+class UnitEncoder:
+    """Token ids of whole texts. Each distinct unit is encoded once, until there are `MAX_UNITS` of them."""
 
     def __init__(self, file: str) -> None:
         import os
@@ -58,44 +94,60 @@ class ChunkEncoder:
         vocabulary = self._model.get_vocab()
         self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self._ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self._known: dict[bytes, bytes] = {}
-        self._parts: dict[bytes, bytes] = {}
-
-    def _learn(self, parts: list[bytes]) -> None:
-        words = [p for p in parts if self._LETTERS.fullmatch(p)]
+        self._clear()
+
+    def _clear(self) -> None:
+        self._number: dict[int, int] = {}
+        self._ids = np.zeros(1 << 16, np.uint32)
+        self._starts = np.zeros((1 << 14) + 1, np.int64)
+
+    def _put(self, ids: np.ndarray, ends: np.ndarray) -> None:
+        n, at = len(self._number), int(self._starts[len(self._number)])
+        if at + len(ids) > len(self._ids):
+            self._ids = np.resize(self._ids, 2 * (at + len(ids)))
+        self._ids[at : at + len(ids)] = ids
+        if n + len(ends) + 1 > len(self._starts):
+            self._starts = np.resize(self._starts, 2 * (n + len(ends) + 1))
+        self._starts[n + 1 : n + 1 + len(ends)] = at + ends
+
+    def _learn(self, keys: list[int], parts: list[bytes]) -> None:
+        words, rest = [], []
+        for k, p in zip(keys, parts, strict=True):
+            (words if _LETTERS.fullmatch(p) else rest).append((k, p))
         for i in range(0, len(words), 8192):
             some = words[i : i + 8192]
-            ids = np.array(self._model.encode(b" ".join(some).decode(), add_special_tokens=False).ids, np.uint32)
+            ids = np.array(self._model.encode(b" ".join([p for _, p in some]).decode(), add_special_tokens=False).ids, np.uint32)
             ends = np.flatnonzero(self._ends[ids]) + 1
             if len(ends) != len(some):
                 raise ValueError("a word isn't one pre-token")
-            raw, at = ids.tobytes(), 0
-            for w, e in zip(some, (4 * ends).tolist(), strict=True):
-                self._parts[w] = raw[at:e]
-                at = e
-        rest = [p for p in parts if p not in self._parts]
+            self._put(ids, ends)
+            self._number.update(zip([k for k, _ in some], range(len(self._number), len(self._number) + len(some)), strict=True))
         for i in range(0, len(rest), 4096):
             some = rest[i : i + 4096]
-            for p, e in zip(some, self._model.encode_batch([p.decode() for p in some], add_special_tokens=False), strict=True):
-                self._parts[p] = array("I", e.ids).tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The normaliser lower-cases; doing that to ASCII letters before makes fewer distinct chunks. Special strings are case-sensitive, so a text that may hold one is left as it is."""
-        split = []
-        for t in texts:
-            raw = t.encode()
-            split.append((raw if b"<|" in raw else raw.translate(_LOWER)).split())
-        known, parts = self._known, self._parts
-        if len(known) > MAX_CHUNKS:
-            known.clear()
-        if len(parts) > MAX_PARTS:
-            parts.clear()
-        fresh = {c for s in split for c in s}.difference(known)
-        cut = {c: m.groups() if (m := self._LETTERS_TAIL.fullmatch(c)) and b"<|" not in c else (c,) for c in fresh}
-        self._learn(list({p for ps in cut.values() for p in ps}.difference(parts)))
-        for c, ps in cut.items():
-            known[c] = parts[ps[0]] + parts[ps[1]] if len(ps) > 1 else parts[c]
-        return [b"".join(map(known.__getitem__, s)) for s in split]
+            ids = [e.ids for e in self._model.encode_batch([p.decode() for _, p in some], add_special_tokens=False)]
+            self._put(np.array([x for e in ids for x in e], np.uint32), np.cumsum([len(e) for e in ids]))
+            self._number.update(zip([k for k, _ in some], range(len(self._number), len(self._number) + len(some)), strict=True))
+
+    def encode(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in turn, and where each text's start and end."""
+        low, starts, ends, counts = units(raw, off)
+        keys, at, which = np.unique(scan.Prefix(low).of(starts, ends), return_index=True, return_inverse=True)
+        if len(self._number) > MAX_UNITS:
+            self._clear()
+        asked = keys.tolist()
+        fresh = [i for i, k in enumerate(asked) if k not in self._number]
+        if fresh:
+            whole = low.tobytes()
+            s, e = starts[at[fresh]].tolist(), ends[at[fresh]].tolist()
+            self._learn([asked[i] for i in fresh], [whole[a:b] for a, b in zip(s, e, strict=True)])
+        number = np.fromiter(map(self._number.__getitem__, asked), np.int64, len(asked))[which]
+        begin, size = self._starts[number], self._starts[number + 1] - self._starts[number]
+        sums = np.zeros(len(size) + 1, np.int64)
+        np.cumsum(size, out=sums[1:])
+        ids = self._ids[np.arange(sums[-1]) + np.repeat(begin - sums[:-1], size)]
+        per_text = np.zeros(len(counts) + 1, np.int64)
+        np.cumsum(counts, out=per_text[1:])
+        return ids, sums[per_text]
 
 
 def power_of_two_cuts(n: int, most: int) -> list[tuple[int, int]]:
@@ -120,34 +172,37 @@ def pack(docs: DataFrame, tokenizer_file: str, end_id: int, most: int = 4096, id
     """
     if most & (most - 1) or most < 1:
         raise ValueError("the length of a sequence must be a power of two")
-    arrow_batches(docs.sparkSession)
+    arrow_batches(docs.sparkSession, 600)
     id_type = docs.schema[id_col].dataType.simpleString()
-    end = array("I", [end_id]).tobytes()
+    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer_file not in _workers:
-            _workers[tokenizer_file] = ChunkEncoder(tokenizer_file)
+            _workers[tokenizer_file] = UnitEncoder(tokenizer_file)
         for b in batches:
-            row, start, length, crc, total, ids = [], [], [], [], [], []
-            for i, body in enumerate(_workers[tokenizer_file].encode([t or "" for t in b.column("text").to_pylist()])):
-                body += end
-                n = len(body) // 4
-                for s, k in power_of_two_cuts(n, most):
-                    piece = body[4 * s : 4 * (s + k)]
-                    row.append(i)
-                    start.append(s)
-                    length.append(k)
-                    crc.append(zlib.crc32(piece))
-                    total.append(n)
-                    if with_ids:
-                        ids.append(array("I", piece).tolist())
-            long = lambda x: pa.array(x, pa.int64())
-            cols = [b.column("id").take(long(row)), long(start), long(length), long(crc), long(total)]
-            names = ["id", "start", "length", "ids_crc32", "doc_tokens"]
-            if with_ids:
-                cols.append(pa.array(ids, pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+            raw, off = scan.flatten(b.column("text"))
+            for i, j in scan.chunks(off):
+                row, start, length, crc, total, ids = [], [], [], [], [], []
+                tokens, at = _workers[tokenizer_file].encode(raw[off[i] : off[j]], off[i : j + 1] - off[i])
+                for k in range(j - i):
+                    body = tokens[at[k] : at[k + 1]].astype("<u4").tobytes() + end
+                    n = len(body) // 4
+                    for s, size in power_of_two_cuts(n, most):
+                        piece = body[4 * s : 4 * (s + size)]
+                        row.append(i + k)
+                        start.append(s)
+                        length.append(size)
+                        crc.append(zlib.crc32(piece))
+                        total.append(n)
+                        if with_ids:
+                            ids.append(np.frombuffer(piece, "<u4").tolist())
+                long = lambda x: pa.array(x, pa.int64())
+                cols = [b.column("id").take(long(row)), long(start), long(length), long(crc), long(total)]
+                names = ["id", "start", "length", "ids_crc32", "doc_tokens"]
+                if with_ids:
+                    cols.append(pa.array(ids, pa.list_(pa.int32())))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(cols, names=names)
 
     schema = f"id {id_type}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
     pieces = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
