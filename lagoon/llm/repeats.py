@@ -41,7 +41,7 @@ from lagoon.llm import scan
 from lagoon.llm.shared import Table, arrow_batches, write
 
 SEED = 50
-GROUP = 500
+GROUP = 4000
 _PLACE_BITS = 24
 _PLACE = np.uint64((1 << _PLACE_BITS) - 1)
 
@@ -219,17 +219,18 @@ def repeated_spans(docs: DataFrame, length: int, id_col: str = "doc_id", text_co
         raise ValueError(f"length must be over {SEED} and under 256")
     source = docs.select(F.col(id_col).alias("id"), _text_hash(text_col).alias("th"), F.col(text_col).alias("text"))
     found = write(_anchor_rows(source.where(F.octet_length("text") >= length), length), "anchors")
-    again = found.df.groupBy("d1").agg(F.count("*").alias("n")).where("n > 1").select("d1")
-    together = write(found.df.join(again, "d1"), "together")
+    # written, so that the join's sides are plain exchanges, whose hot partitions Spark can split
+    again = write(found.df.groupBy("d1").agg(F.count("*").alias("n")).where("n > 1").select("d1"), "again")
+    together = write(found.df.join(again.df, "d1"), "together")
     found.drop()
     digits = write(together.df.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "at")).alias("rep")), "digits")
     resolved = together.df.join(digits.df.where("n > 1").select("d1", "d2"), ["d1", "d2"]).select("id", "th", F.expr(_LO).alias("start"), F.expr(f"{_HI} + {length}").alias("end"))
-    of_first = digits.df.groupBy("d1").agg(F.count("*").alias("m"), F.count_if(F.col("n") == 1).alias("alone")).where("alone > 0").drop("alone")
-    contexts = write(_contexts(digits.df.join(of_first, "d1"), source, length), "contexts")
+    of_first = write(digits.df.groupBy("d1").agg(F.count("*").alias("m"), F.count_if(F.col("n") == 1).alias("alone")).where("alone > 0").drop("alone"), "contested")
+    contexts = write(_contexts(digits.df.join(of_first.df, "d1"), source, length), "contexts")
     small = _small_groups(contexts.df.where(F.col("m") <= GROUP), length)
     large = _large_groups(contexts.df.where(F.col("m") > GROUP), length)
     pieces = write(resolved.unionByName(small).unionByName(large).distinct(), "pieces")
-    for t in (together, digits, contexts):
+    for t in (again, together, digits, of_first, contexts):
         t.drop()
     spans = write(pieces.df.groupBy("id", "th").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
     pieces.drop()
