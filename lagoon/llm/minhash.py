@@ -10,11 +10,12 @@ separate tables would. A pair of similarity s shares a table with probability
 2. Classes that share a left half-key with another one are keyed by their tables.
 3. Candidates are confirmed on the full shingle sets of both texts, in three
    passes: each class with its best-connected hub (the least class of a table);
-   then with the hubs of all its tables; then, in tables whose classes still
-   belong to several components, the classes outside of the largest one with all
-   others. A pair whose ends are already connected isn't tested, for its link
-   can't change a component; so the components are those of all candidate pairs,
-   without all pairs of a group ever being made.
+   then with the hubs of all its tables; then, in left half-keys whose classes
+   still belong to several components, the classes outside of the largest one
+   with all others. The last pass compares parities of the sets in blocks before
+   it makes a pair: their differing bits never exceed the differing shingles, so
+   no similar pair is lost. A pair whose ends are already connected isn't tested,
+   for its link can't change a component.
 
 Words are maximal runs other than white space, A-Z lower-cased. A document's set
 has its distinct `width`-word shingles; with fewer words, the whole sequence as
@@ -86,8 +87,26 @@ class HalfKeys:
         return key.view(np.int64)
 
 
+def parity(shingles: np.ndarray) -> bytes:
+    """Whether each of 2 or more buckets for a shingle holds an odd number of them. Two sets differ in at least as many shingles as their parities in bits."""
+    bits = max(64, 2 << int(max(1, len(shingles)) - 1).bit_length())
+    counts = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(bool)).tobytes()
+
+
+def differing_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of every row of a with every row of b, at the width of the narrower: buckets of the wider are the narrower's, split by upper bits of the hash."""
+    width = min(a.shape[1], b.shape[1])
+    narrow = [np.bitwise_xor.reduce(x.reshape(len(x), -1, width), axis=1) if x.shape[1] > width else x for x in (a, b)]
+    a, b = (np.ascontiguousarray(x).view(np.uint64) for x in narrow)
+    out = np.zeros((len(a), len(b)), np.int64)
+    for k in range(a.shape[1]):
+        out += np.bitwise_count(a[:, k, None] ^ b[None, :, k])
+    return out
+
+
 def signatures(docs: DataFrame, width: int, half: int, rows: int) -> DataFrame:
-    """(id, text_hash, n_shingles, set_key, lefts, rights); set_key is a 128-bit digest of the shingle set, null if it is empty."""
+    """(id, text_hash, n_shingles, set_key, parity, lefts, rights); set_key is a 128-bit digest of the shingle set, null if it is empty."""
     arrow_batches(docs.sparkSession)
     id_type = docs.schema["id"].dataType.simpleString()
 
@@ -97,23 +116,25 @@ def signatures(docs: DataFrame, width: int, half: int, rows: int) -> DataFrame:
             buf, off = scan.flatten(b.column("text"))
             for i, j in scan.chunks(off):
                 sets = shingle_sets(buf[off[i] : off[j]], off[i : j + 1] - off[i], width)
-                digest, left, right = [], [], []
+                digest, odd, left, right = [], [], [], []
                 for s in sets:
                     if len(s):
                         digest.append(scan.mix(s).sum().tobytes() + scan.mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum().tobytes())
+                        odd.append(parity(s))
                         k = keys.of(s)
                         left.append(k[:half])
                         right.append(k[half:])
                     else:
                         digest.append(None)
+                        odd.append(None)
                         left.append(None)
                         right.append(None)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("id").slice(i, j - i), b.column("text_hash").slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(left, pa.list_(pa.int64())), pa.array(right, pa.list_(pa.int64()))],
-                    names=["id", "text_hash", "n_shingles", "set_key", "lefts", "rights"],
+                    [b.column("id").slice(i, j - i), b.column("text_hash").slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(odd, pa.binary()), pa.array(left, pa.list_(pa.int64())), pa.array(right, pa.list_(pa.int64()))],
+                    names=["id", "text_hash", "n_shingles", "set_key", "parity", "lefts", "rights"],
                 )
 
-    return docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, f"id {id_type}, text_hash long, n_shingles long, set_key binary, lefts array<long>, rights array<long>")
+    return docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, f"id {id_type}, text_hash long, n_shingles long, set_key binary, parity binary, lefts array<long>, rights array<long>")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -151,18 +172,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, half: in
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     marked = write(signatures(source, width, half, rows), "signatures")
     classes = write(
-        marked.df.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min(F.struct("id", "text_hash")).alias("rep"), F.first("lefts").alias("lefts"), F.first("rights").alias("rights")),
+        marked.df.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min(F.struct("id", "text_hash")).alias("rep"), F.first("n_shingles").alias("n"), F.first("parity").alias("parity"), F.first("lefts").alias("lefts"), F.first("rights").alias("rights")),
         "classes",
     )
 
     # tables, only for classes that share a left half-key
     left = classes.df.select("set_key", F.posexplode("lefts").alias("i", "left"))
-    met = left.groupBy("i", "left").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    lefts = left.join(met, ["i", "left"]).groupBy("set_key").agg(F.collect_list(F.struct("i", "left")).alias("met"))  # `half` entries at most
+    # written, so that the joins' sides are plain exchanges, whose hot partitions Spark can split
+    met = write(left.groupBy("i", "left").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "met")
+    lefts = left.join(met.df, ["i", "left"]).groupBy("set_key").agg(F.collect_list(F.struct("i", "left")).alias("met"))  # `half` entries at most
     crossed = lefts.join(classes.df.select("set_key", "rights"), "set_key").select("set_key", "rights", F.explode("met").alias("l"))
     keyed = write(crossed.select("set_key", "l", F.posexplode("rights").alias("j", "right")).select(F.xxhash64("l.i", "l.left", "j", "right").alias("t"), "set_key"), "tables")
-    hubs = keyed.df.groupBy("t").agg(F.min("set_key").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    to_hub = write(keyed.df.join(hubs, "t").where("set_key > hub").groupBy("set_key", "hub").agg(F.count("*").alias("shared")), "hubs")
+    hubs = write(keyed.df.groupBy("t").agg(F.min("set_key").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n"), "hubs")
+    to_hub = write(keyed.df.join(hubs.df, "t").where("set_key > hub").groupBy("set_key", "hub").agg(F.count("*").alias("shared")), "to_hub")
     hub_pairs = to_hub.df.select(F.col("set_key").alias("a"), F.col("hub").alias("b"))
 
     # whole texts of the classes that have a candidate
@@ -171,7 +193,6 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, half: in
     hashed = source.withColumn("text_hash", F.xxhash64("text"))
     found = hashed.join(reps, F.col("id").eqNullSafe(F.col("rep_id")) & (F.col("text_hash") == F.col("rep_hash")))
     texts = write(found.select("set_key", "text").dropDuplicates(["set_key"]), "texts")
-    classes.drop()
 
     best = write(to_hub.df.groupBy("set_key").agg(F.max_by("hub", F.struct("shared", "hub")).alias("hub")).select(F.col("set_key").alias("a"), F.col("hub").alias("b")), "best")
     links = write(_confirmed(best.df, texts.df, width, percent), "links")
@@ -179,8 +200,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, half: in
     links.drop()
     roots = _joined(roots, write(_confirmed(_apart(hub_pairs, roots).join(best.df, ["a", "b"], "left_anti"), texts.df, width, percent), "links"))
     tested = hub_pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))  # those that are still apart have been tested
-    roots = _joined(roots, write(_confirmed(_left_over(keyed, roots).join(tested, ["a", "b"], "left_anti"), texts.df, width, percent), "links"))
-    for t in (keyed, to_hub, texts, best):
+    groups = lefts.select("set_key", F.explode("met").alias("l")).select("set_key", F.xxhash64("l.i", "l.left").alias("g"))
+    roots = _joined(roots, write(_confirmed(_left_over(groups, classes.df, roots, percent).join(tested, ["a", "b"], "left_anti"), texts.df, width, percent), "links"))
+    for t in (classes, met, keyed, hubs, to_hub, texts, best):
         t.drop()
 
     joined = marked.df.join(roots.df.select(F.col("a").alias("set_key"), F.col("b").alias("root")), "set_key", "left")
@@ -210,16 +232,61 @@ def _apart(pairs: DataFrame, roots: Table) -> DataFrame:
     return _rooted(_rooted(pairs, "a", roots), "b", roots).where("root_a != root_b").select("a", "b")
 
 
-def _left_over(keyed: Table, roots: Table) -> DataFrame:
-    """Unconnected pairs in tables of several components: each class outside of a table's largest component with every class of another one."""
-    of_table = _rooted(keyed.df.withColumnRenamed("set_key", "a"), "a", roots)
-    sizes = of_table.groupBy("t", "root_a").agg(F.count("*").alias("n"))
-    split = sizes.groupBy("t").agg(F.count("*").alias("parts"), F.max_by("root_a", F.struct("n", "root_a")).alias("main")).where("parts > 1").drop("parts")
-    rows = of_table.join(split, "t")
-    outside = rows.where("root_a != main").select("t", "a", "root_a")
-    others = rows.select("t", F.col("a").alias("b"), F.col("root_a").alias("root_b"), "main")
-    met = outside.join(others, (outside["t"] == others["t"]) & (outside["root_a"] != others["root_b"]) & ((others["root_b"] == others["main"]) | (outside["a"] < others["b"])))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+BLOCK = 512
+
+
+def _left_over(groups: DataFrame, classes: DataFrame, roots: Table, percent: int) -> DataFrame:
+    """Unconnected pairs (a, b) that share a left half-key and may be similar enough.
+
+    In each left half-key of several components, the classes outside of its
+    largest one meet all others, in blocks of about `BLOCK` by `BLOCK` classes. A
+    pair comes out only if its parities allow it to be similar enough: of sets of
+    n and m shingles, at most (n + m) * (100 - percent) / (100 + percent) may be in
+    one only.
+    """
+    rooted = _rooted(groups.withColumnRenamed("set_key", "a"), "a", roots).withColumnRenamed("root_a", "root")
+    parts = rooted.groupBy("g", "root").agg(F.count("*").alias("n"))
+    of_group = parts.groupBy("g").agg(F.count("*").alias("parts"), F.sum("n").alias("all"), F.max(F.struct("n", "root")).alias("most")).where("parts > 1")
+    split = of_group.select("g", F.col("most.root").alias("main"), F.ceil((F.col("all") - F.col("most.n")) / BLOCK).alias("n_out"), F.ceil(F.col("all") / BLOCK).alias("n_in"))
+    sets = classes.select(F.col("set_key").alias("a"), F.col("n").alias("size"), "parity")
+    rows = rooted.join(split, "g").join(sets, "a")
+    place = lambda n, salt: F.pmod(F.xxhash64("a", F.lit(salt)), F.col(n))
+    steps = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    cols = ["a", "root", "size", "parity"]
+    outside = rows.where("root != main").withColumn("x", place("n_out", 1)).select("g", "x", steps("n_in").alias("y"), F.lit(0).alias("side"), F.lit(True).alias("out"), *cols)
+    others = rows.withColumn("y", place("n_in", 2)).select("g", steps("n_out").alias("x"), "y", F.lit(1).alias("side"), (F.col("root") != F.col("main")).alias("out"), *cols)
+    cells = outside.unionByName(others).select(F.xxhash64("g", "x", "y").alias("cell"), "g", "x", "y", "side", "out", *cols)
+
+    def meet(rows: list[dict]) -> Iterator[tuple[bytes, bytes]]:
+        near: dict[tuple[int, int], list[dict]] = {}
+        for r in rows:
+            near.setdefault((r["side"], len(r["parity"])), []).append(r)
+        for (side, wide), a in near.items():
+            for (other, width), b in near.items():
+                if side or not other or max(wide, width) > 2 * min(wide, width):
+                    continue
+                bits = differing_bits(*(np.frombuffer(b"".join(r["parity"] for r in x), np.uint8).reshape(len(x), -1) for x in (a, b)))
+                n, m = (np.array([r["size"] for r in x]) for x in (a, b))
+                for i, j in zip(*(x.tolist() for x in np.nonzero(bits * (100 + percent) <= (n[:, None] + m[None, :]) * (100 - percent))), strict=True):
+                    p, q = a[i], b[j]
+                    if p["root"] != q["root"] and (not q["out"] or p["a"] < q["a"]):
+                        yield (p["a"], q["a"]) if p["a"] < q["a"] else (q["a"], p["a"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        for b in batches:
+            for r in b.to_pylist():
+                if held and (held[0]["g"], held[0]["x"], held[0]["y"]) != (r["g"], r["x"], r["y"]):
+                    yield _pairs(set(meet(held)))
+                    held = []
+                held.append(r)
+        yield _pairs(set(meet(held)))
+
+    return cells.repartition("cell").sortWithinPartitions("cell", "g", "x", "y").mapInArrow(run, "a binary, b binary").distinct()
+
+
+def _pairs(found: set[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
