@@ -14,6 +14,7 @@ from lagoon.llm.quality import op5_quality_rules
 from lagoon.llm.repeats import op4_repeated_strings
 from lagoon.llm.sharding import op7_sharding
 from lagoon.llm.token_counts import op3_token_counts
+from lagoon.llm.toxicity import op9_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -26,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_license_scan": op6_license_scan,
         "op7_sharding": op7_sharding,
         "op8_packing": op8_packing,
+        "op9_toxicity": op9_toxicity,
     }
 
 
