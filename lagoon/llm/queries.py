@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lagoon.llm.chat import OP1_SQL, op1_chat_format
+from lagoon.llm.decontaminate import op10_decontamination
 from lagoon.llm.licenses import op6_license_scan
 from lagoon.llm.minhash import op2_near_duplicates
 from lagoon.llm.packing import op8_packing
@@ -28,6 +29,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_sharding": op7_sharding,
         "op8_packing": op8_packing,
         "op9_toxicity": op9_toxicity,
+        "op10_decontamination": op10_decontamination,
     }
 
 
