@@ -8,14 +8,14 @@ separate tables would. A pair of similarity s shares a table with probability
 
 1. Documents with the same shingle set form one class; only classes go on.
 2. Classes that share a left half-key with another one are keyed by their tables.
-3. Candidates are confirmed on the full shingle sets of both texts, in three
-   passes: each class with its best-connected hub (the least class of a table);
-   then with the hubs of all its tables; then, in left half-keys whose classes
-   still belong to several components, the classes outside of the largest one
-   with all others. The last pass compares parities of the sets in blocks before
-   it makes a pair: their differing bits never exceed the differing shingles, so
-   no similar pair is lost. A pair whose ends are already connected isn't tested,
-   for its link can't change a component.
+3. Candidates are confirmed on the full shingle sets of both texts, in two passes:
+   each class with the hub of one of its tables, the class that shares most left
+   half-keys with others; then, in left half-keys whose classes still belong to
+   several components, the classes outside of the largest one with all others.
+   The last pass compares parities of the sets in blocks before it makes a pair:
+   their differing bits never exceed the differing shingles, so no similar pair is
+   lost. A pair whose ends are already connected isn't tested, for its link can't
+   change a component.
 
 Words are maximal runs other than white space, A-Z lower-cased. A document's set
 has its distinct `width`-word shingles; with fewer words, the whole sequence as
@@ -55,10 +55,10 @@ def shingle_sets(buf: np.ndarray, off: np.ndarray, width: int) -> list[np.ndarra
         if n >= width:
             out.append(np.unique(grams[at : at + n - width + 1]))
         elif n:
-            whole = np.uint64(n)
+            whole = np.array([n], np.uint64)
             for h in hashes[at : at + n]:
-                whole = scan.mix(np.array([whole + h], np.uint64))[0]
-            out.append(np.array([whole], np.uint64))
+                whole = scan.mix(whole + h)
+            out.append(whole)
         else:
             out.append(np.zeros(0, np.uint64))
         at += n
@@ -179,45 +179,70 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, half: in
     # tables, only for classes that share a left half-key
     left = classes.df.select("set_key", F.posexplode("lefts").alias("i", "left"))
     # written, so that the joins' sides are plain exchanges, whose hot partitions Spark can split
-    met = write(left.groupBy("i", "left").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "met")
-    lefts = left.join(met.df, ["i", "left"]).groupBy("set_key").agg(F.collect_list(F.struct("i", "left")).alias("met"))  # `half` entries at most
-    crossed = lefts.join(classes.df.select("set_key", "rights"), "set_key").select("set_key", "rights", F.explode("met").alias("l"))
-    keyed = write(crossed.select("set_key", "l", F.posexplode("rights").alias("j", "right")).select(F.xxhash64("l.i", "l.left", "j", "right").alias("t"), "set_key"), "tables")
-    hubs = write(keyed.df.groupBy("t").agg(F.min("set_key").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n"), "hubs")
-    to_hub = write(keyed.df.join(hubs.df, "t").where("set_key > hub").groupBy("set_key", "hub").agg(F.count("*").alias("shared")), "to_hub")
-    hub_pairs = to_hub.df.select(F.col("set_key").alias("a"), F.col("hub").alias("b"))
+    met = write(left.groupBy("i", "left").agg(F.count("*").alias("n")).where("n > 1"), "met")
+    lefts = write(left.join(met.df, ["i", "left"]).groupBy("set_key").agg(F.collect_list(F.struct("i", "left")).alias("met"), F.sum("n").alias("degree")), "lefts")  # `half` entries at most
+    crossed = lefts.df.join(classes.df.select("set_key", "rights"), "set_key").select("set_key", "degree", "rights", F.explode("met").alias("l"))
+    keyed = write(crossed.select("set_key", "degree", "l", F.posexplode("rights").alias("j", "right")).select(F.xxhash64("l.i", "l.left", "j", "right").alias("t"), "set_key", "degree"), "tables")
+    hubs = write(keyed.df.groupBy("t").agg(F.max(F.struct("degree", "set_key")).alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n"), "hubs")
+    best = write(
+        keyed.df.join(hubs.df, "t").groupBy("set_key").agg(F.max("hub").alias("hub")).select(F.col("set_key").alias("a"), F.col("hub.set_key").alias("b")),
+        "best",
+    )
 
     # whole texts of the classes that have a candidate
-    involved = hub_pairs.select(F.col("a").alias("set_key")).unionByName(hub_pairs.select(F.col("b").alias("set_key"))).distinct()
-    reps = classes.df.join(involved, "set_key").select("set_key", F.col("rep.id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash"))
+    reps = classes.df.join(best.df.select(F.col("a").alias("set_key")), "set_key").select("set_key", F.col("rep.id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash"))
     hashed = source.withColumn("text_hash", F.xxhash64("text"))
     found = hashed.join(reps, F.col("id").eqNullSafe(F.col("rep_id")) & (F.col("text_hash") == F.col("rep_hash")))
     texts = write(found.select("set_key", "text").dropDuplicates(["set_key"]), "texts")
 
-    best = write(to_hub.df.groupBy("set_key").agg(F.max_by("hub", F.struct("shared", "hub")).alias("hub")).select(F.col("set_key").alias("a"), F.col("hub").alias("b")), "best")
-    links = write(_confirmed(best.df, texts.df, width, percent), "links")
-    roots = components(links.df)
-    links.drop()
-    roots = _joined(roots, write(_confirmed(_apart(hub_pairs, roots).join(best.df, ["a", "b"], "left_anti"), texts.df, width, percent), "links"))
-    tested = hub_pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))  # those that are still apart have been tested
-    groups = lefts.select("set_key", F.explode("met").alias("l")).select("set_key", F.xxhash64("l.i", "l.left").alias("g"))
-    roots = _joined(roots, write(_confirmed(_left_over(groups, classes.df, roots, percent).join(tested, ["a", "b"], "left_anti"), texts.df, width, percent), "links"))
-    for t in (classes, met, keyed, hubs, to_hub, texts, best):
+    roots = _roots(write(_confirmed(best.df.where("a != b"), texts.df, width, percent), "links"))
+    groups = lefts.df.select("set_key", F.explode("met").alias("l")).select("set_key", F.xxhash64("l.i", "l.left").alias("g"))
+    tested = best.df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = write(_left_over(groups, classes.df, roots, percent).join(tested, ["a", "b"], "left_anti"), "rest")
+    roots = _joined(roots, write(_confirmed(rest.df, texts.df, width, percent), "links"))
+    for t in (classes, met, lefts, keyed, hubs, texts, best, rest):
         t.drop()
 
     joined = marked.df.join(roots.df.select(F.col("a").alias("set_key"), F.col("b").alias("root")), "set_key", "left")
-    rooted = joined.select("id", "n_shingles", F.coalesce("root", "set_key").alias("root"))
+    rooted = joined.select("id", "text_hash", "n_shingles", F.coalesce("root", "set_key").alias("root"))
     least = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("least"))
     out = rooted.join(least, "root", "left").withColumn("component_id", F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("least")))
-    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), "text_hash", "root")
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents without near duplicates: of each component the document with the least id, of rows that repeat it the one with the least hash of its text."""
+    kept = near_duplicates(docs, width, percent, id_col=id_col, text_col=text_col).where("kept")
+    rows = F.struct(F.col(id_col).alias("_rid"), F.col("text_hash").alias("_rh"))
+    stay = kept.where("root IS NOT NULL").groupBy("root").agg(F.min(rows).alias("r")).select("r.*").unionByName(kept.where("root IS NULL").select(rows.alias("r")).select("r.*").distinct())
+    hashed = docs.withColumn("_hash", F.xxhash64(text_col))
+    found = hashed.join(stay, hashed[id_col].eqNullSafe(stay["_rid"]) & (hashed["_hash"] == stay["_rh"]), "left_semi")
+    return found.dropDuplicates([id_col, "_hash"]).drop("_hash")
+
+
+def _roots(links: Table) -> Table:
+    """(a, b): each class with a link (a, b) and the root of its tree. A link leads to a class of greater degree, so there are no cycles; each step doubles the length of a jump."""
+    now = links
+    while True:
+        further = now.df.select(F.col("a").alias("b"), F.col("b").alias("c"))
+        jumped = write(now.df.join(further, "b", "left").select("a", F.coalesce("c", "b").alias("b"), F.col("c").isNotNull().alias("moved")), "roots")
+        now.drop()
+        now = Table(jumped.spark, jumped.path, jumped.df.select("a", "b").schema)
+        if jumped.df.where("moved").isEmpty():
+            return now
 
 
 def _joined(roots: Table, links: Table) -> Table:
-    """The components after further links."""
+    """The roots after further links, which join whole components."""
     out = roots
     if not links.df.isEmpty():
-        out = components(links.df.unionByName(roots.df.select("a", "b")))
-        roots.drop()
+        between = write(_rooted(_rooted(links.df, "a", roots), "b", roots).select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct(), "between")
+        merged = components(between.df)
+        tops = merged.df.select(F.col("a").alias("b"), F.col("b").alias("top"))
+        moved = roots.df.join(tops, "b", "left").select("a", F.coalesce("top", "b").alias("b"))
+        out = write(moved.unionByName(merged.df.join(roots.df.select("a"), "a", "left_anti")), "roots")
+        for t in (between, merged, roots):
+            t.drop()
     links.drop()
     return out
 
@@ -227,11 +252,6 @@ def _rooted(df: DataFrame, key: str, roots: Table) -> DataFrame:
     return found.withColumn(f"root_{key}", F.coalesce(f"root_{key}", key))
 
 
-def _apart(pairs: DataFrame, roots: Table) -> DataFrame:
-    """The pairs whose ends aren't connected yet."""
-    return _rooted(_rooted(pairs, "a", roots), "b", roots).where("root_a != root_b").select("a", "b")
-
-
 BLOCK = 512
 
 
