@@ -182,11 +182,13 @@ def pack(docs: DataFrame, tokenizer_file: str, end_id: int, most: int = 4096, id
         for b in batches:
             raw, off = scan.flatten(b.column("text"))
             for i, j in scan.chunks(off):
-                row, start, length, crc, total, ids = [], [], [], [], [], []
+                row, start, length, crc, total, bodies = [], [], [], [], [], []
                 tokens, at = _workers[tokenizer_file].encode(raw[off[i] : off[j]], off[i : j + 1] - off[i])
                 for k in range(j - i):
                     body = tokens[at[k] : at[k + 1]].astype("<u4").tobytes() + end
                     n = len(body) // 4
+                    if with_ids:
+                        bodies.append(body)
                     for s, size in power_of_two_cuts(n, most):
                         piece = body[4 * s : 4 * (s + size)]
                         row.append(i + k)
@@ -194,13 +196,12 @@ def pack(docs: DataFrame, tokenizer_file: str, end_id: int, most: int = 4096, id
                         length.append(size)
                         crc.append(zlib.crc32(piece))
                         total.append(n)
-                        if with_ids:
-                            ids.append(np.frombuffer(piece, "<u4").tolist())
                 long = lambda x: pa.array(x, pa.int64())
                 cols = [b.column("id").take(long(row)), long(start), long(length), long(crc), long(total)]
                 names = ["id", "start", "length", "ids_crc32", "doc_tokens"]
                 if with_ids:
-                    cols.append(pa.array(ids, pa.list_(pa.int32())))
+                    limits = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
+                    cols.append(pa.ListArray.from_arrays(pa.array(limits), pa.array(np.frombuffer(b"".join(bodies), "<i4"))))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 

@@ -103,27 +103,31 @@ def measure(buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def measurements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def measurements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """id and `MEASURES` of each row, behind the columns to carry along."""
     arrow_batches(docs.sparkSession)
-    id_type = docs.schema[id_col].dataType.simpleString()
+    names = list(dict.fromkeys([*carry, id_col]))
+    if clash := {*names} & {*MEASURES}:
+        raise ValueError(f"columns with the names of measures: {sorted(clash)}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            buf, off = scan.flatten(b.column("text"))
+            buf, off = scan.flatten(b.column(text_col))
             for i, j in scan.chunks(off):
                 part = measure(buf[off[i] : off[j]], off[i : j + 1] - off[i])
-                yield pa.RecordBatch.from_arrays([b.column("id").slice(i, j - i), *(pa.array(part[m].astype(np.int64)) for m in MEASURES)], names=["id", *MEASURES])
+                yield pa.RecordBatch.from_arrays([*(b.column(n).slice(i, j - i) for n in names), *(pa.array(part[m].astype(np.int64)) for m in MEASURES)], names=[*names, *MEASURES])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {id_type}, " + ", ".join(f"{m} long" for m in MEASURES)).withColumnRenamed("id", id_col)
+    kept = docs.select(*names)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), *(f"{m} long" for m in MEASURES)])
+    return docs.select(*dict.fromkeys([*names, text_col])).mapInArrow(run, schema)
 
 
-def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Measurements and `failed`, a bit for each rule that a document fails."""
     bits: Column = F.lit(0).cast("long")
     for k, condition in enumerate(RULES.values()):
         bits = bits.bitwiseOR(F.when(F.expr(condition), F.lit(1 << k)).otherwise(F.lit(0)).cast("long"))
-    return measurements(docs, id_col, text_col).withColumn("failed", bits)
+    return measurements(docs, id_col, text_col, carry).withColumn("failed", bits)
 
 
 def apply_policy(marked: DataFrame, policy: str, into: str = "kept") -> DataFrame:
