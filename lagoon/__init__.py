@@ -1,0 +1 @@
+"""Analytics over operational and latency data as Spark DataFrame operators."""

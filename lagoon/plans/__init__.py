@@ -1 +1 @@
-
+"""The named queries over the test tables and their DuckDB SQL."""
