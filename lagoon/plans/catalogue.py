@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lagoon.plans import stats_queries
+from lagoon.plans import record_queries, stats_queries, value_queries
 
-_PARTS = (stats_queries,)
+_PARTS = (stats_queries, record_queries, value_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
