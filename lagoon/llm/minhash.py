@@ -196,7 +196,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, half: in
     texts = write(found.select("set_key", "text").dropDuplicates(["set_key"]), "texts")
 
     roots = _roots(write(_confirmed(best.df.where("a != b"), texts.df, width, percent), "links"))
-    groups = lefts.df.select("set_key", F.explode("met").alias("l")).select("set_key", F.xxhash64("l.i", "l.left").alias("g"))
+    groups = lefts.df.select("set_key", F.explode("met").alias("l")).select("set_key", F.xxhash64("l.i", "l.left").alias("g"), F.col("l.i").alias("i"))
     tested = best.df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = write(_left_over(groups, classes.df, roots, percent).join(tested, ["a", "b"], "left_anti"), "rest")
     roots = _joined(roots, write(_confirmed(rest.df, texts.df, width, percent), "links"))
@@ -268,11 +268,11 @@ def _left_over(groups: DataFrame, classes: DataFrame, roots: Table, percent: int
     parts = rooted.groupBy("g", "root").agg(F.count("*").alias("n"))
     of_group = parts.groupBy("g").agg(F.count("*").alias("parts"), F.sum("n").alias("all"), F.max(F.struct("n", "root")).alias("most")).where("parts > 1")
     split = of_group.select("g", F.col("most.root").alias("main"), F.ceil((F.col("all") - F.col("most.n")) / BLOCK).alias("n_out"), F.ceil(F.col("all") / BLOCK).alias("n_in"))
-    sets = classes.select(F.col("set_key").alias("a"), F.col("n").alias("size"), "parity")
+    sets = classes.select(F.col("set_key").alias("a"), F.col("n").alias("size"), "parity", "lefts")
     rows = rooted.join(split, "g").join(sets, "a")
     place = lambda n, salt: F.pmod(F.xxhash64("a", F.lit(salt)), F.col(n))
     steps = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    cols = ["a", "root", "size", "parity"]
+    cols = ["i", "a", "root", "size", "parity", "lefts"]
     outside = rows.where("root != main").withColumn("x", place("n_out", 1)).select("g", "x", steps("n_in").alias("y"), F.lit(0).alias("side"), F.lit(True).alias("out"), *cols)
     others = rows.withColumn("y", place("n_in", 2)).select("g", steps("n_out").alias("x"), "y", F.lit(1).alias("side"), (F.col("root") != F.col("main")).alias("out"), *cols)
     cells = outside.unionByName(others).select(F.xxhash64("g", "x", "y").alias("cell"), "g", "x", "y", "side", "out", *cols)
@@ -289,7 +289,8 @@ def _left_over(groups: DataFrame, classes: DataFrame, roots: Table, percent: int
                 n, m = (np.array([r["size"] for r in x]) for x in (a, b))
                 for i, j in zip(*(x.tolist() for x in np.nonzero(bits * (100 + percent) <= (n[:, None] + m[None, :]) * (100 - percent))), strict=True):
                     p, q = a[i], b[j]
-                    if p["root"] != q["root"] and (not q["out"] or p["a"] < q["a"]):
+                    # of the left half-keys that a pair shares, the first one makes it
+                    if p["root"] != q["root"] and (not q["out"] or p["a"] < q["a"]) and next(k for k, (x, y) in enumerate(zip(p["lefts"], q["lefts"], strict=True)) if x == y) == p["i"]:
                         yield (p["a"], q["a"]) if p["a"] < q["a"] else (q["a"], p["a"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
