@@ -215,9 +215,9 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     kept = near_duplicates(docs, width, percent, id_col=id_col, text_col=text_col).where("kept")
     rows = F.struct(F.col(id_col).alias("_rid"), F.col("text_hash").alias("_rh"))
     stay = kept.where("root IS NOT NULL").groupBy("root").agg(F.min(rows).alias("r")).select("r.*").unionByName(kept.where("root IS NULL").select(rows.alias("r")).select("r.*").distinct())
-    hashed = docs.withColumn("_hash", F.xxhash64(text_col))
-    found = hashed.join(stay, hashed[id_col].eqNullSafe(stay["_rid"]) & (hashed["_hash"] == stay["_rh"]), "left_semi")
-    return found.dropDuplicates([id_col, "_hash"]).drop("_hash")
+    hashed = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"))
+    found = hashed.join(stay, F.col("id").eqNullSafe(F.col("_rid")) & (F.col("h") == F.col("_rh")), "left_semi")
+    return found.dropDuplicates(["id", "h"]).select("row.*")
 
 
 def _roots(links: Table) -> Table:

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from lagoon.llm import scan
 from lagoon.llm.shared import arrow_batches
@@ -103,26 +104,29 @@ def measure(buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def measurements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """id and `MEASURES` of each row, behind the columns to carry along."""
+def measurements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """The id (or, to carry, a struct `row` of all columns) and `MEASURES` of each row."""
     arrow_batches(docs.sparkSession)
-    names = list(dict.fromkeys([*carry, id_col]))
-    if clash := {*names} & {*MEASURES}:
-        raise ValueError(f"columns with the names of measures: {sorted(clash)}")
+    columns = docs.columns if carry else list(dict.fromkeys([id_col, text_col]))
+    place = columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            buf, off = scan.flatten(b.column(text_col))
+            row = b.column("row")
+            buf, off = scan.flatten(row.field(place))
+            told = row if carry else row.field(columns.index(id_col))
             for i, j in scan.chunks(off):
                 part = measure(buf[off[i] : off[j]], off[i : j + 1] - off[i])
-                yield pa.RecordBatch.from_arrays([*(b.column(n).slice(i, j - i) for n in names), *(pa.array(part[m].astype(np.int64)) for m in MEASURES)], names=[*names, *MEASURES])
+                yield pa.RecordBatch.from_arrays([told.slice(i, j - i), *(pa.array(part[m].astype(np.int64)) for m in MEASURES)], names=["row", *MEASURES])
 
-    kept = docs.select(*names)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), *(f"{m} long" for m in MEASURES)])
-    return docs.select(*dict.fromkeys([*names, text_col])).mapInArrow(run, schema)
+    rows = docs.select(F.struct(*columns).alias("row"))
+    first = rows.schema["row"] if carry else StructField("row", docs.schema[id_col].dataType)
+    schema = StructType([first, *(StructField(m, LongType()) for m in MEASURES)])
+    measured = rows.mapInArrow(run, schema)
+    return measured if carry else measured.withColumnRenamed("row", id_col)
 
 
-def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """Measurements and `failed`, a bit for each rule that a document fails."""
     bits: Column = F.lit(0).cast("long")
     for k, condition in enumerate(RULES.values()):

@@ -248,25 +248,28 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _each(docs: DataFrame, spans: Table, id_col: str, text_col: str, extra: dict[str, pa.DataType], make: Callable[[bytes, list[tuple[int, int]]], tuple]) -> DataFrame:
-    """All columns of the documents, and what `make` gives for a text and its merged spans."""
-    found = spans.df.select(F.col("id").alias("_rid"), F.col("th").alias("_rth"), F.col("spans").alias("_spans"))
-    joined = docs.join(found, F.col(id_col).eqNullSafe(F.col("_rid")) & (_text_hash(text_col) == F.col("_rth")), "left").drop("_rid", "_rth")
-    names = docs.columns
-    simple = {pa.int64(): "long", pa.string(): "string"}
+    """A struct `row` of all columns of each document, and what `make` gives for its text and its merged spans."""
+    found = spans.df.select(F.col("id").alias("rid"), F.col("th").alias("rth"), "spans")
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), _text_hash(text_col).alias("th"))
+    place = docs.columns.index(text_col)
+    joined = whole.join(found, F.col("id").eqNullSafe(F.col("rid")) & (F.col("th") == F.col("rth")), "left").select("row", "spans")
+    kinds = {pa.int64(): "long", pa.string(): "string"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols: list[list] = [[] for _ in extra]
-            lists = b.column("_spans")
-            for i, text in enumerate(b.column(text_col).to_pylist()):
+            lists = b.column("spans")
+            for i, text in enumerate(b.column("row").field(place).to_pylist()):
                 own = lists[i]
                 runs = merged(own.values.field("start").to_numpy(), own.values.field("end").to_numpy()) if own.is_valid else []
                 for c, v in zip(cols, make((text or "").encode(), runs), strict=True):
                     c.append(v)
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), *(pa.array(c, t) for c, t in zip(cols, extra.values(), strict=True))], names=[*names, *extra])
+            yield pa.RecordBatch.from_arrays([b.column("row"), *(pa.array(c, t) for c, t in zip(cols, extra.values(), strict=True))], names=["row", *extra])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + "".join(f", {n} {simple[t]}" for n, t in extra.items())
-    return joined.mapInArrow(run, schema)
+    out = whole.select("row").schema
+    for n, t in extra.items():
+        out = out.add(n, kinds[t])
+    return joined.mapInArrow(run, out)
 
 
 def kept_bytes(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
@@ -279,7 +282,7 @@ def kept_bytes(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
 
 
 def without_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with `kept_text`: their texts without the repeated strings, a character that is cut in two goes as a whole; and `n_removed` bytes."""
+    """(row, kept_text, n_removed): a struct of all columns, the text without the repeated strings (a character that is cut in two goes as a whole), and the bytes that went."""
     spans = repeated_spans(docs, length, id_col, text_col)
     return _each(docs, spans, id_col, text_col, {"kept_text": pa.string(), "n_removed": pa.int64()}, lambda raw, runs: (kept_bytes(raw, runs).decode(errors="ignore") if runs else raw.decode(), sum(e - s for s, e in runs)))
 
@@ -288,4 +291,4 @@ def op4_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     kinds = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string()}
     done = _each(docs, repeated_spans(docs, 200), "doc_id", "text", kinds, lambda raw, runs: (len(raw), sum(e - s for s, e in runs), len(runs), hashlib.sha256(kept_bytes(raw, runs)).hexdigest()))
-    return done.drop("text")
+    return done.select("row.doc_id", *kinds)

@@ -42,18 +42,20 @@ def ordered(df: DataFrame, *keys: str) -> tuple[Table, DataFrame, int]:
 
 
 def interleave(df: DataFrame, n_shards: int, seed: int, source_col: str = "source", key_cols: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The rows with `shard` and `slot` (gapless from 0 in each shard); shard sizes differ by one at most."""
-    work = df.withColumn("_shuffle", F.xxhash64(F.lit(seed), *key_cols)).withColumn("_source", F.col(source_col))
-    by_source, ranked, total = ordered(work, "_source", "_shuffle", *key_cols)
-    sizes = ranked.groupBy("_source").agg(F.min("place").alias("_first"), F.count("*").alias("_size")).withColumnRenamed("_source", "_of")
-    joined = ranked.join(sizes, F.col("_source").eqNullSafe(F.col("_of")))
-    # shuffled positions first: equal fractions of different sources fall in seeded order
-    frac = (F.col("place") - F.col("_first") + 0.5) / F.col("_size")
-    mixed, placed, _ = ordered(joined.withColumn("_frac", frac).drop("place", "_first", "_size", "_of"), "_frac", "_shuffle", *key_cols)
+    """The rows with `shard` and `slot` (gapless from 0 in each shard), in place of columns of these names; shard sizes differ by one at most."""
+    key = F.struct(*key_cols).alias("key")
+    work = df.select(F.struct(*df.columns).alias("row"), key, F.xxhash64(F.lit(seed), *key_cols).alias("shuffled"), F.col(source_col).alias("stratum"))
+    by_source, ranked, total = ordered(work, "stratum", "shuffled", "key")
+    sizes = ranked.groupBy("stratum").agg(F.min("place").alias("first"), F.count("*").alias("size")).withColumnRenamed("stratum", "of")
+    joined = ranked.join(sizes, F.col("stratum").eqNullSafe(F.col("of")))
+    frac = ((F.col("place") - F.col("first") + 0.5) / F.col("size")).alias("frac")
+    # equal fractions of different sources fall in seeded order
+    mixed, placed, _ = ordered(joined.select("row", "key", "shuffled", frac), "frac", "shuffled", "key")
     by_source.drop()
     shard = F.expr(f"place * {n_shards} div {max(total, 1)}")
     start = F.expr(f"(shard * {total} + {n_shards - 1}) div {n_shards}")
-    return placed.withColumn("shard", shard.cast("int")).withColumn("slot", F.col("place") - start).drop("_shuffle", "_source", "_frac", "place")
+    kept = [F.col("row")[c].alias(c) for c in df.columns if c not in ("shard", "slot")]
+    return placed.withColumn("shard", shard.cast("int")).withColumn("slot", F.col("place") - start).select(*kept, "shard", "slot")
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
