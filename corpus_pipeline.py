@@ -26,8 +26,7 @@ ORACLE_SQL = None
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    marked = quality.ledger(docs, carry=tuple(docs.columns))
-    return quality.apply_policy(marked, "v1", into="_kept").where("_kept").select(*docs.columns)
+    return quality.apply_policy(quality.ledger(docs, carry=True), "v1").where("kept").select("row.*")
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,12 +36,12 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     cut = repeats.without_repeats(docs, 200)
     new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
-    return cut.select(*(new.get(c, F.col(c)).alias(c) for c in docs.columns))
+    return cut.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found, _ = decontaminate.marked(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where(F.size("matches") == 0).select(*docs.columns)
+    return found.where(F.size("matches") == 0).select("row.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
