@@ -311,4 +311,4 @@ def _pairs(found: set[tuple[bytes, bytes]]) -> pa.RecordBatch:
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=4)
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=4).select("doc_id", "n_shingles", "component_id", "kept")

@@ -10,6 +10,7 @@ from lagoon.llm.chat import OP1_SQL, op1_chat_format
 from lagoon.llm.decontaminate import op10_decontamination
 from lagoon.llm.licenses import op6_license_scan
 from lagoon.llm.minhash import op2_near_duplicates
+from lagoon.llm.oracles import NEAR_DUPLICATES, QUALITY
 from lagoon.llm.packing import op8_packing
 from lagoon.llm.quality import op5_quality_rules
 from lagoon.llm.repeats import op4_repeated_strings
@@ -34,4 +35,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1_SQL}
+    return {"op1_chat_format": OP1_SQL, "op2_near_duplicates": NEAR_DUPLICATES, "op5_quality_rules": QUALITY}
