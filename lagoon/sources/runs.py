@@ -18,7 +18,7 @@ def write_run(df: DataFrame, key: str, path: str, bloom: bool = True, codec: str
     """(O010, O046)"""
     if codec not in CODECS:
         raise ValueError(f"no codec {codec!r}")
-    writer = df.repartitionByRange(F.col(key)).sortWithinPartitions(key).write.option("compression", "lz4raw" if codec == "lz4" else codec)
+    writer = df.repartitionByRange(F.col(key)).sortWithinPartitions(key).write.option("compression", "lz4_raw" if codec == "lz4" else codec)
     if bloom:
         writer = writer.option(f"parquet.bloom.filter.enabled#{key}", "true")
     writer.parquet(path)
