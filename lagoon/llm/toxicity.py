@@ -3,7 +3,7 @@
 Each word of a text is inside (T) or outside (O) of a toxic span. A word's score
 for T comes from its identity and its first letters, and neighbouring states from
 four transition weights. Words of labelled toxic documents are labelled T where
-the log odds of a toxic document are above 1 with 99 % confidence; on these labelled
+the log odds of a toxic document are 1 or more and hardly due to chance; on these labelled
 tokens the weights are learnt by maximum likelihood. Forward-backward marginals
 give the words of toxic spans and, summed and at their greatest, the score of a
 document through a logistic function learnt on the documents' labels.
@@ -44,6 +44,10 @@ MAX_TOXIC, MAX_CLEAN, MAX_TRAIN_CHARS = 1200, 2400, 20_000
 LANE = 64
 PREFIX_BYTES = 5
 STEPS = 60
+#: Nats of evidence that make a word of toxic documents a labelled token; e**-10 of all other words would reach it by chance.
+EVIDENCE = 10.0
+#: Words below this probability don't add to a document's score, however many there are.
+FAINT = 0.2
 
 
 @dataclass
@@ -140,7 +144,7 @@ def _greatest(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def _evidence(p: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    return np.stack([np.ones(len(counts)), np.log1p(_sums(p, counts)), _greatest(p, counts)], axis=1)
+    return np.stack([np.ones(len(counts)), np.log1p(_sums(np.where(p >= FAINT, p, 0.0), counts)), _greatest(p, counts)], axis=1)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -182,8 +186,11 @@ def train(texts: list[str], toxic: list[int]) -> Model | None:
     in_toxic = np.minimum(np.bincount(word[y_doc[doc]][toxic_at], minlength=len(names)), np.bincount(pairs // len(counts), minlength=len(names)))
     in_clean = np.bincount(word[~y_doc[doc]][clean_at], minlength=len(names))
     odds = np.log((in_toxic + 0.5) / (len(toxic_at) + 1)) - np.log((in_clean + 0.5) / (len(clean_at) + 1))
-    error = np.sqrt(1 / (in_toxic + 0.5) + 1 / (in_clean + 0.5))
-    y = (odds - 2.33 * error >= 1)[word] & y_doc[doc]
+    # evidence in nats that a word isn't dealt to toxic and other places like all words
+    share, both = len(toxic_at) / (len(toxic_at) + len(clean_at)), in_toxic + in_clean
+    seen = np.clip(in_toxic / np.maximum(both, 1), 1e-9, 1 - 1e-9)
+    evidence = both * (seen * np.log(seen / share) + (1 - seen) * np.log((1 - seen) / (1 - share)))
+    y = ((odds >= 1) & (evidence >= EVIDENCE))[word] & y_doc[doc]
 
     head_names, head = np.unique(heads, return_inverse=True)
     n_word, n_head = len(names), len(head_names)
