@@ -243,7 +243,7 @@ def test_exposition(spark):
 
 def test_text(spark):
     assert tx.fnv1a64(b"foobar") == 0x85944171F73967E8
-    df = spark.createDataFrame([("KICKSTART_TOKEN", "abc"), ("card", "12345678"), ("x", None)], "k string, v string")
+    df = spark.createDataFrame([("APP_TOKEN", "abc"), ("card", "12345678"), ("x", None)], "k string, v string")
     got = [r["v"] for r in df.select(tx.redact(F.col("k"), F.col("v"), {"card": "last4"}, {"token": "mask"}).alias("v")).collect()]
     assert got == ["***", "***5678", None]
 
