@@ -64,8 +64,8 @@ class FuzzyNotices:
             k = edits_allowed(text)
             self._rules.append((text, label, k, seeds(text, k), regex.compile(f"(?:{regex.escape(text)}){{e<={k}}}", regex.BESTMATCH)))
 
-    def find(self, low: str) -> list[tuple[str, int, int, int]]:
-        """(label, start, end, edits) of the places where a notice stands with few enough edits; neighbouring candidates are verified together."""
+    def find(self, low: str) -> list[tuple[str, int, int, int, float]]:
+        """(label, start, end, edits, share of the notice that isn't edited) of the places where a notice stands with few enough edits; neighbouring candidates are verified together."""
         out = []
         for text, label, k, parts, pattern in self._rules:
             near = []
@@ -81,7 +81,8 @@ class FuzzyNotices:
                     near[i + 1] = (a, max(b, near[i + 1][1]))
                     continue
                 for m in pattern.finditer(low, max(a, last), b):
-                    out.append((label, m.start(), m.end(), sum(m.fuzzy_counts)))
+                    edits = sum(m.fuzzy_counts)
+                    out.append((label, m.start(), m.end(), edits, max(0.0, 1 - edits / len(text))))
                     last = m.end()
         return out
 
@@ -121,9 +122,6 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fuzzy = FuzzyNotices()
-        length = {}
-        for text, label in NOTICES:
-            length[label] = max(length.get(label, 0), len(text))
         for b in batches:
             raw, off = scan.flatten(b.column("text"))
             for i, j in scan.chunks(off):
@@ -142,9 +140,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     cols["first_word"].append(min((p for p, _ in base[d]), default=None))
                     cols["last_word"].append(max((p for p, _ in base[d]), default=None))
                     cols["base_labels"].append(",".join(sorted(exact)))
-                    cols["labels"].append(",".join(sorted(exact | {s[0] for s in spans})))
-                    cols["score"].append(1.0 if exact else max((max(0.0, 1 - s[3] / length[s[0]]) for s in spans), default=0.0))
-                    cols["fuzzy_spans"].append([dict(zip(("label", "start", "end", "edits"), s, strict=True)) for s in spans])
+                    cols["labels"].append(",".join(sorted(exact | {x[0] for x in spans})))
+                    cols["score"].append(1.0 if exact else max((x[4] for x in spans), default=0.0))
+                    cols["fuzzy_spans"].append([dict(zip(("label", "start", "end", "edits"), x, strict=False)) for x in spans])
                 long, text = pa.int64(), pa.string()
                 kinds = {"n_base": long, "first_word": long, "last_word": long, "base_labels": text, "labels": text, "score": pa.float64(), "fuzzy_spans": pa.list_(pa.struct([("label", text), ("start", long), ("end", long), ("edits", long)]))}
                 yield pa.RecordBatch.from_arrays([b.column("id").slice(i, j - i), pa.array(counts.astype(np.int64)), *(pa.array(v, kinds[k]) for k, v in cols.items())], names=["id", "n_words", *cols])
