@@ -28,10 +28,10 @@ def picks(df: DataFrame, groups: list[str], x: str, quantiles: dict[str, float],
     """One row for each group: the value at each named quantile, and the number of values. Nulls don't count. (O050, O051)"""
     targets = _targets(df, groups, x, quantiles)
     wanted = targets.select(*groups, "_b").distinct()
-    values = df.select(*groups, x).where(F.col(x).isNotNull()).withColumn("_b", ordered_bucket(x)).join(F.broadcast(wanted), [*groups, "_b"], "left_semi")
+    values = df.select(*groups, x).where(F.col(x).isNotNull()).withColumn("_b", ordered_bucket(x)).join(wanted, [*groups, "_b"], "left_semi")
     fine = values.groupBy(*groups, "_b", x).agg(F.count("*").alias("_c"))
     running = fine.withColumn("_cum", F.sum("_c").over(Window.partitionBy(*groups, "_b").orderBy(x).rowsBetween(Window.unboundedPreceding, 0)))
-    found = running.join(F.broadcast(targets), [*groups, "_b"]).where("_rank <= _cum AND _rank > _cum - _c")
+    found = running.join(targets, [*groups, "_b"]).where("_rank <= _cum AND _rank > _cum - _c")
     return found.groupBy(*groups).agg(*(F.max(F.when(F.col("_name") == k, F.col(x))).alias(k) for k in quantiles), F.max("_n").alias(count))
 
 

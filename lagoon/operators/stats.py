@@ -39,7 +39,7 @@ def moments(df: DataFrame, groups: list[str], x: str) -> DataFrame:
     """Spread and shape around the whole mean: stddev (0 below 2 values), cov (0 where the mean is 0), skewness (0 below 3), kurtosis in excess (0 below 4). (O054, O057-O059)"""
     centre = means(df, groups, x)
     d = (F.col(x) - F.col("mean")).cast("double")
-    rows = df.join(F.broadcast(centre), groups) if groups else df.crossJoin(F.broadcast(centre))
+    rows = df.join(centre, groups) if groups else df.crossJoin(F.broadcast(centre))
     sums = rows.groupBy(*groups).agg(F.max("mean").alias("mean"), F.max("n").alias("n"), *(F.sum(F.pow(d, F.lit(k))).alias(f"s{k}") for k in (2, 3, 4)))
     n = F.col("n")
     m2, m3, m4 = (F.col(f"s{k}") / n for k in (2, 3, 4))
@@ -60,14 +60,14 @@ def iqr(df: DataFrame, groups: list[str], x: str) -> DataFrame:
 def mad(df: DataFrame, groups: list[str], x: str) -> DataFrame:
     """Median distance to the median, both by floor rank. (O056)"""
     middle = picks(df, groups, x, {"_median": 0.5}).drop("n")
-    rows = df.join(F.broadcast(middle), groups).withColumn("_d", F.abs(F.col(x) - F.col("_median")))
+    rows = df.join(middle, groups).withColumn("_d", F.abs(F.col(x) - F.col("_median")))
     return picks(rows, groups, "_d", {"mad": 0.5}).drop("n")
 
 
 def tail_expectation(df: DataFrame, groups: list[str], x: str, q: float) -> DataFrame:
     """Whole mean of what is above the q-th value; without anything above, that value. (O060, O193)"""
     cut = picks(df, groups, x, {"cutoff": q}).drop("n")
-    rows = df.join(F.broadcast(cut), groups)
+    rows = df.join(cut, groups)
     above = F.col(x) > F.col("cutoff")
     tail = rows.groupBy(*groups, "cutoff").agg(F.sum(F.when(above, F.col(x))).alias("s"), F.count_if(above).alias("k"))
     return tail.select(*groups, "cutoff", F.expr("CASE WHEN k = 0 THEN cutoff ELSE s div k END").alias("cte"))

@@ -48,7 +48,7 @@ def as_of(df: DataFrame, keys: list[str], seq: str, tombstone: str, version: int
 def merge_level(df: DataFrame, keys: list[str], level: str, seq: str, at_least: int) -> DataFrame:
     """Tiered compaction: where a level has so many runs (column run), they become one run of the next level, tombstones kept. (O161)"""
     full = df.groupBy(level).agg(F.countDistinct("run").alias("_runs")).where(F.col("_runs") >= at_least).select(level)
-    picked = df.join(F.broadcast(full), level, "left_semi")
+    picked = df.join(full, level, "left_semi")
     return latest(picked.drop("run"), [level, *keys], seq).withColumn(level, F.col(level) + 1)
 
 
