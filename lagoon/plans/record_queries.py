@@ -107,7 +107,7 @@ QUERIES = {
     "range_incl_excl": lambda s, d: lookup.between(table(s, d, "orders").select("o_orderkey"), "o_orderkey", 100, 2000, low_open=True),
     "byte_range": lambda s, d: lookup.between(table(s, d, "part").select("p_partkey", "p_name"), "p_name", "blue", "red", high_open=True),
     "kway_merge": lambda s, d: lookup.merge_sorted(*(table(s, d, "orders").where(F.col("o_orderkey") % 3 == i).select("o_orderkey", F.lit(i).alias("source")) for i in range(3)), by=["o_orderkey"]),
-    "reverse_merge": lambda s, d: lookup.merge_sorted(*(lookup.between(table(s, d, "orders").where(F.col("o_orderkey") % 2 == i).select("o_orderkey"), "o_orderkey", None, 3000) for i in range(2)), by=["o_orderkey"], descending=True).limit(500),
+    "reverse_merge": lambda s, d: lookup.merge_sorted(table(s, d, "customer").select(F.col("c_custkey").alias("k")), table(s, d, "part").select(F.col("p_partkey").alias("k")), by=["k"], descending=True),
     "first_last": lambda s, d: lookup.ends(table(s, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey"),
     "topk_counts": lambda s, d: lookup.top_counts(table(s, d, "lineitem"), "l_partkey", 20),
     "split_pivot": lambda s, d: (lambda a, b: a.withColumn("side", F.lit("low")).unionByName(b.withColumn("side", F.lit("high"))))(*lookup.split_at(table(s, d, "part").select("p_partkey"), "p_partkey", 700)),
@@ -134,10 +134,10 @@ QUERIES = {
     "hist_quantile": lambda s, d: metrics.histogram_quantile(metrics.bounded_histogram(_values(s, d), ["event_type"], "value", BOUNDS), ["event_type"], 0.9),
     "exemplars_topk": lambda s, d: metrics.exemplars(_values(s, d), ["event_type"], "value", "event_id", 5),
     "slow_topk": lambda s, d: metrics.slowest(samples(s, d).withColumn("day", F.to_date("ts")), ["g", "day"], "x", 20),
-    "divergence": lambda s, d: metrics.divergence(table(s, d, "orders").where("o_orderkey % 10 != 0").select("o_orderkey", "o_orderstatus"), table(s, d, "orders").where("o_orderkey % 11 != 0").select("o_orderkey", F.when(F.col("o_orderkey") % 13 == 0, "X").otherwise(F.col("o_orderstatus")).alias("o_orderstatus")), ["o_orderkey"], "o_orderstatus"),
+    "divergence": lambda s, d: metrics.divergence(table(s, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("n")), table(s, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("n")), ["k"], "n"),
     "prom_lines": lambda s, d: table(s, d, "events").groupBy("event_type").agg(F.count("*").alias("n")).select(metrics.exposition(F.lit("app.events-total"), F.create_map(F.lit("type"), F.col("event_type"), F.lit("site"), F.lit('a"b')), F.col("n")).alias("line")),
     "summary_rows": lambda s, d: metrics.summary_rows(samples(s, d).groupBy("g").agg(F.min("x").alias("low"), F.max("x").alias("high")), "g", ["low", "high"]),
-    "timer_spans": lambda s, d: metrics.spans(table(s, d, "events").where("user_id < 10").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("mark")), "user_id", "mark", "event_id").select("event_id", "start", "end"),
+    "timer_spans": lambda s, d: metrics.spans(table(s, d, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("mark")), "user_id", "mark", "event_id").select("event_id", "start", "end"),
 }
 ROWS_ONLY = ("gcra", "token_bucket", "hier_bucket")
 
@@ -173,7 +173,7 @@ SQL = {
     "range_incl_excl": "SELECT o_orderkey FROM orders WHERE o_orderkey > 100 AND o_orderkey <= 2000",
     "byte_range": "SELECT p_partkey, p_name FROM part WHERE p_name >= 'blue' AND p_name < 'red'",
     "kway_merge": "SELECT o_orderkey, CAST(o_orderkey % 3 AS INT) AS source FROM orders ORDER BY o_orderkey",
-    "reverse_merge": "SELECT o_orderkey FROM orders WHERE o_orderkey <= 3000 ORDER BY o_orderkey DESC LIMIT 500",
+    "reverse_merge": "SELECT c_custkey AS k FROM customer UNION ALL SELECT p_partkey FROM part ORDER BY k DESC",
     "first_last": "(SELECT 'first' AS side, o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 1) UNION ALL (SELECT 'last', o_orderkey, o_custkey FROM orders ORDER BY o_orderkey DESC LIMIT 1)",
     "topk_counts": "SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY l_partkey ORDER BY n DESC, l_partkey LIMIT 20",
     "split_pivot": "SELECT p_partkey, CASE WHEN p_partkey < 700 THEN 'low' ELSE 'high' END AS side FROM part",
@@ -197,8 +197,8 @@ SQL = {
     "hist_quantile": f"WITH {_H}, k AS (SELECT *, coalesce(lag(n) OVER w, 0) AS n0, coalesce(lag(le) OVER w, 0.0) AS lo, max(n) OVER (PARTITION BY event_type) AS t FROM h WINDOW w AS (PARTITION BY event_type ORDER BY le)) SELECT event_type, round(min(CASE WHEN isinf(le) THEN lo ELSE lo + (le - lo) * (0.9::DOUBLE * t - n0) / (n - n0) END), 6) AS value FROM k WHERE n >= 0.9::DOUBLE * t AND n0 < 0.9::DOUBLE * t GROUP BY event_type",
     "exemplars_topk": "SELECT event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS i FROM events) WHERE i <= 5",
     "slow_topk": f"WITH {SAMPLES_SQL} SELECT g, CAST(ts AS DATE) AS day, max(x) AS max FROM s GROUP BY 1, 2 ORDER BY max DESC, g, day LIMIT 20",
-    "divergence": "WITH a AS (SELECT o_orderkey, o_orderstatus AS expected FROM orders WHERE o_orderkey % 10 <> 0), b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 13 = 0 THEN 'X' ELSE o_orderstatus END AS observed FROM orders WHERE o_orderkey % 11 <> 0) SELECT o_orderkey, expected, observed FROM a FULL OUTER JOIN b USING (o_orderkey) WHERE expected IS DISTINCT FROM observed",
+    "divergence": "SELECT coalesce(c_custkey, s_suppkey) AS k, c_nationkey AS expected, s_nationkey AS observed FROM customer FULL OUTER JOIN supplier ON c_custkey = s_suppkey WHERE c_nationkey IS DISTINCT FROM s_nationkey",
     "prom_lines": "SELECT 'app_events_total{site=\"a\\\"b\",type=\"' || event_type || '\"} ' || count(*) AS line FROM events GROUP BY event_type",
     "summary_rows": f"WITH {SAMPLES_SQL}, a AS (SELECT g, min(x) AS lo, max(x) AS hi FROM s GROUP BY g) SELECT g, 'low' AS percentile, lo AS value FROM a UNION ALL SELECT g, 'high', hi FROM a",
-    "timer_spans": 'WITH m AS (SELECT user_id, event_id, CAST(epoch_us(ts) AS BIGINT) AS mark FROM events WHERE user_id < 10) SELECT event_id, coalesce(lag(mark) OVER (PARTITION BY user_id ORDER BY mark, event_id), 0) AS start, mark AS "end" FROM m',
+    "timer_spans": 'WITH m AS (SELECT user_id, event_id, CAST(epoch_us(ts) AS BIGINT) AS mark FROM events) SELECT event_id, coalesce(lag(mark) OVER (PARTITION BY user_id ORDER BY mark, event_id), 0) AS start, mark AS "end" FROM m',
 }

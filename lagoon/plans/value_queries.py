@@ -62,7 +62,7 @@ _CRON = "*/20 6,18 1-20 * 1-5"
 
 
 def _dates(s, d):
-    return table(s, d, "orders").where("o_orderkey < 3000").select("o_orderkey", (F.unix_seconds(F.col("o_orderdate").cast("timestamp")) + F.col("o_orderkey") * 37).alias("asked"))
+    return table(s, d, "orders").select("o_orderkey", (F.unix_seconds(F.col("o_orderdate").cast("timestamp")) + F.col("o_orderkey") % 2000 * 37).alias("asked"))
 
 
 def _mode_rows(df, keys, value):
@@ -114,8 +114,8 @@ def _heavy(s, d):
 
 
 QUERIES = {
-    "fx_mul_modes": lambda s, d: _mode_rows(_lines(s, d).where("l_orderkey < 800"), ["l_orderkey", "l_linenumber"], lambda m: nx.fx_mul(F.col("price") * F.col("sign"), F.col("discount") + 123_456_789, m)),
-    "fx_div_modes": lambda s, d: _mode_rows(_lines(s, d).where("l_orderkey < 800"), ["l_orderkey", "l_linenumber"], lambda m: nx.fx_div(F.col("price") * F.col("sign"), F.col("quantity") + 7, m)),
+    "fx_mul_modes": lambda s, d: _mode_rows(_lines(s, d), ["l_orderkey", "l_linenumber"], lambda m: nx.fx_mul(F.col("price") * F.col("sign"), F.col("discount") + 123_456_789, m)),
+    "fx_div_modes": lambda s, d: _mode_rows(_lines(s, d), ["l_orderkey", "l_linenumber"], lambda m: nx.fx_div(F.col("price") * F.col("sign"), F.col("quantity") + 7, m)),
     "rounding_table": lambda s, d: _mode_rows(s.sql("SELECT * FROM VALUES (25L, 10L), (-25L, 10L), (35L, 10L), (-35L, 10L), (27L, -10L) AS t(n, d)"), ["n", "d"], lambda m: nx.div_round("n", "d", m).cast("long")),
     "tick_grid": lambda s, d: _lines(s, d).select("l_orderkey", "l_linenumber", nx.to_tick("price", 250_000_000, "HALF_EVEN").alias("on_tick"), (F.col("price") % 250_000_000 == 0).alias("is_on")),
     "fx_round": lambda s, d: _accounts(s, d).select("c_custkey", nx.fx_round("raw", 1, "HALF_EVEN").alias("one"), nx.fx_round(-F.col("raw"), 0, "FLOOR").alias("whole")),
@@ -151,7 +151,7 @@ QUERIES = {
     "set_operations": lambda s, d: table(s, d, "customer").select(F.col("c_nationkey").alias("k")).intersect(table(s, d, "supplier").select(F.col("s_nationkey").alias("k"))).withColumn("op", F.lit("both")).unionByName(table(s, d, "nation").select(F.col("n_nationkey").alias("k")).subtract(table(s, d, "supplier").select(F.col("s_nationkey").alias("k"))).withColumn("op", F.lit("no supplier"))),
 }
 
-_MODE = lambda n, d, extra="": " UNION ALL ".join(f"SELECT l_orderkey, l_linenumber, '{m}' AS mode, {_round_sql(n, d, m)} AS value FROM l WHERE l_orderkey < 800" for m in nx.MODES)
+_MODE = lambda n, d, extra="": " UNION ALL ".join(f"SELECT l_orderkey, l_linenumber, '{m}' AS mode, {_round_sql(n, d, m)} AS value FROM l" for m in nx.MODES)
 SQL = {
     "fx_mul_modes": f"WITH {_L} " + _MODE("CAST(price * sign AS HUGEINT) * (discount + 123456789)", "1000000000"),
     "fx_div_modes": f"WITH {_L} " + _MODE("CAST(price * sign AS HUGEINT) * 1000000000", "(quantity + 7)"),
@@ -166,7 +166,7 @@ SQL = {
     "exact_average": f"WITH {_L}, t AS (SELECT l_orderkey % 10 AS g, sum(price) AS t, count(*) AS n FROM l GROUP BY 1) SELECT g, {_round_sql('t', 'n', 'HALF_EVEN')} AS average FROM t",
     "dec_parse": f"WITH {_T} SELECT p_partkey, CASE WHEN regexp_full_match(s, '[+-]?([0-9]+([.][0-9]{{0,9}})?|[.][0-9]{{1,9}})') THEN CAST(CAST(s AS DECIMAL(28, 9)) * 1000000000 AS BIGINT) END AS raw FROM t",
     "dec_format": f"WITH {_A}, f AS (SELECT c_custkey, raw, -raw AS m FROM a), g AS (SELECT *, regexp_replace(lpad(CAST(abs(m) % 1000000000 AS VARCHAR), 9, '0'), '0+$', '') AS part FROM f) SELECT c_custkey, CASE WHEN m < 0 THEN '-' ELSE '' END || CAST(abs(m) // 1000000000 AS VARCHAR) || CASE WHEN part = '' THEN '' ELSE '.' || part END AS short, CASE WHEN raw < 0 THEN '-' ELSE '' END || CAST(abs(raw) // 1000000000 AS VARCHAR) || '.' || substr(lpad(CAST(abs(raw) % 1000000000 AS VARCHAR), 9, '0'), 1, 2) AS two FROM g",
-    "cron_next": "WITH o AS (SELECT o_orderkey, CAST(epoch(o_orderdate) AS BIGINT) + o_orderkey * 37 AS asked FROM orders WHERE o_orderkey < 3000), days AS (SELECT CAST(x AS TIMESTAMP) AS day FROM generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '2002-12-31', INTERVAL 1 DAY) t(x) WHERE dayofweek(x) BETWEEN 1 AND 5 AND day(x) BETWEEN 1 AND 20), fires AS (SELECT CAST(epoch(day) AS BIGINT) + h * 3600 + m * 60 AS f FROM days, (VALUES (6), (18)) a(h), (VALUES (0), (20), (40)) b(m)) SELECT o_orderkey, asked, f AS next_fire FROM o ASOF JOIN fires ON o.asked <= fires.f",
+    "cron_next": "WITH o AS (SELECT o_orderkey, CAST(epoch(o_orderdate) AS BIGINT) + o_orderkey % 2000 * 37 AS asked FROM orders), days AS (SELECT CAST(x AS TIMESTAMP) AS day FROM generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '2002-12-31', INTERVAL 1 DAY) t(x) WHERE dayofweek(x) BETWEEN 1 AND 5 AND day(x) BETWEEN 1 AND 20), fires AS (SELECT CAST(epoch(day) AS BIGINT) + h * 3600 + m * 60 AS f FROM days, (VALUES (6), (18)) a(h), (VALUES (0), (20), (40)) b(m)) SELECT o_orderkey, asked, f AS next_fire FROM o ASOF JOIN fires ON o.asked <= fires.f",
     "timer_fires": "WITH n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS i FROM events) SELECT user_id, event_id * 10 + greatest(event_id % 7, 1) AS fire_tick FROM n WHERE i = 1 AND event_type <> 'error'",
     "redact": "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN '***' WHEN 1 THEN '***' || right(c_name, 4) WHEN 2 THEN c_name ELSE sha256(c_name) END AS shown FROM customer",
     "glob_select": "SELECT c_custkey, c_name FROM customer WHERE c_name LIKE 'Customer#%7%3'",
