@@ -114,9 +114,11 @@ class UnitEncoder:
         words, rest = [], []
         for k, p in zip(keys, parts, strict=True):
             (words if _LETTERS.fullmatch(p) else rest).append((k, p))
-        for i in range(0, len(words), 8192):
-            some = words[i : i + 8192]
-            ids = np.array(self._model.encode(b" ".join([p for _, p in some]).decode(), add_special_tokens=False).ids, np.uint32)
+        lines = [words[i : i + 1024] for i in range(0, len(words), 1024)]
+        for i in range(0, len(lines), 16):
+            texts = [b" ".join([p for _, p in line]).decode() for line in lines[i : i + 16]]
+            ids = np.concatenate([np.array(e.ids, np.uint32) for e in self._model.encode_batch_fast(texts, add_special_tokens=False)])
+            some = [w for line in lines[i : i + 16] for w in line]
             ends = np.flatnonzero(self._ends[ids]) + 1
             if len(ends) != len(some):
                 raise ValueError("a word isn't one pre-token")
@@ -135,12 +137,15 @@ class UnitEncoder:
         if len(self._number) > MAX_UNITS:
             self._clear()
         asked = keys.tolist()
-        fresh = [i for i, k in enumerate(asked) if k not in self._number]
+        found = list(map(self._number.get, asked))
+        fresh = [i for i, n in enumerate(found) if n is None]
         if fresh:
             whole = low.tobytes()
             s, e = starts[at[fresh]].tolist(), ends[at[fresh]].tolist()
             self._learn([asked[i] for i in fresh], [whole[a:b] for a, b in zip(s, e, strict=True)])
-        number = np.fromiter(map(self._number.__getitem__, asked), np.int64, len(asked))[which]
+            for i in fresh:
+                found[i] = self._number[asked[i]]
+        number = np.array(found, np.int64)[which]
         begin, size = self._starts[number], self._starts[number + 1] - self._starts[number]
         sums = np.zeros(len(size) + 1, np.int64)
         np.cumsum(size, out=sums[1:])
