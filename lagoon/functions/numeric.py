@@ -42,8 +42,9 @@ def hdr_lower(bucket: Column | str, bits: int) -> Column:
 
 def ordered_bucket(x: Column | str, bits: int = 6) -> Column:
     """A coarse bucket of any integer that keeps its order."""
-    v = _c(x).cast("long")
-    return F.when(v >= 0, hdr_bucket(F.greatest(v, F.lit(0)), bits)).otherwise(-hdr_bucket(F.greatest(-v, F.lit(0)), bits) - 1)
+    v = F.greatest(_c(x).cast("long"), F.lit(-RAW_MAX))  # the least integer has no opposite
+    below = F.when(v < 0, 1).otherwise(0)
+    return (1 - 2 * below) * hdr_bucket(F.abs(v), bits) - below
 
 
 def div_round(n: Column | str, d: Column | str | int, mode: str) -> Column:
@@ -126,9 +127,10 @@ def currency_code(s: Column | str) -> Column:
 
 
 def settle(raw: Column | str, currency: Column | str, mode: str) -> Column:
-    """A raw amount rounded to its currency's minor unit. (O177)"""
+    """A raw amount rounded to its currency's minor unit. Give an amount that is itself computed as a column of its own: the rule names it many times. (O177)"""
     d = minor_decimals(currency)
-    return F.when(d == 0, fx_round(raw, 0, mode)).when(d == 3, fx_round(raw, 3, mode)).otherwise(fx_round(raw, 2, mode))
+    step = F.when(d == 0, 10**9).when(d == 3, 10**6).otherwise(10**7).cast(WIDE)
+    return in_range(div_round(raw, step, mode) * step)
 
 
 DECIMAL_TEXT = r"^[+-]?([0-9]+(\.[0-9]{0,9})?|\.[0-9]{1,9})$"

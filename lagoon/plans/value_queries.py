@@ -121,7 +121,7 @@ QUERIES = {
     "fx_round": lambda s, d: _accounts(s, d).select("c_custkey", nx.fx_round("raw", 1, "HALF_EVEN").alias("one"), nx.fx_round(-F.col("raw"), 0, "FLOOR").alias("whole")),
     "fx_checked": lambda s, d: _accounts(s, d).select("c_custkey", nx.checked_add("raw", F.lit(nx.RAW_MAX - 5_000_000_000_000)).alias("checked"), nx.saturating_add("raw", F.lit(nx.RAW_MAX - 5_000_000_000_000)).alias("saturated")),
     "money_sum": lambda s, d: _accounts(s, d).groupBy("currency").agg(F.sum(nx.settle("raw", "currency", "HALF_EVEN")).alias("total"), F.count("*").alias("n")),
-    "fx_convert": lambda s, d: _accounts(s, d).select("c_custkey", F.lit("JPY").alias("to"), nx.settle(nx.fx_mul("raw", F.lit(151_234_500_000), "HALF_EVEN"), F.lit("JPY"), "HALF_UP").alias("settled")),
+    "fx_convert": lambda s, d: _accounts(s, d).select("c_custkey", nx.fx_mul("raw", F.lit(151_234_500_000), "HALF_EVEN").alias("yen")).select("c_custkey", F.lit("JPY").alias("to"), nx.settle("yen", F.lit("JPY"), "HALF_UP").alias("settled")),
     "currency_codes": lambda s, d: _accounts(s, d).select("c_custkey", nx.currency_code(F.concat(F.lower("currency"), F.when(F.col("c_custkey") % 7 == 0, "x").otherwise(""))).alias("code"), nx.minor_decimals("currency").alias("decimals")),
     "exact_dot": lambda s, d: _lines(s, d).groupBy((F.col("l_orderkey") % 10).alias("g")).agg(F.sum(F.col("price").cast("decimal(19,0)") * F.col("discount").cast("decimal(19,0)")).cast("string").alias("dot")),
     "exact_average": lambda s, d: _lines(s, d).groupBy((F.col("l_orderkey") % 10).alias("g")).agg(F.sum(F.col("price").cast("decimal(38,0)")).alias("t"), F.count("*").alias("n")).select("g", nx.div_round("t", "n", "HALF_EVEN").cast("long").alias("average")),
