@@ -13,7 +13,12 @@
    apart, is projected by prefix sums over its words and compared with the items
    of that length by cosine; `COSINE` is the least that goes on. Words of features
    that more than `COMMON` of all passages have tell nothing and are left out, of
-   windows, items and the decomposition.
+   windows, items and the decomposition. That loses items of common words (a copied
+   item makes its own words common) and part of the paraphrases, so every stretch of
+   text that the verification can accept is a candidate too: it misses no more words
+   of an item than the verification allows, so of that many and `ANCHORS` of the
+   item's rarest words it holds `ANCHORS` at least. Those are looked up, and the
+   words that such stretches share with the whole item are counted.
 4. Verification on the words themselves: an upper bound from the words in common,
    then the longest common subsequence with the whole item, and with the item's
    answer, which is its last `ANSWER` words (all of a shorter item).
@@ -25,7 +30,7 @@ Words are the maximal runs of ASCII digits and letters (lower-cased) and of
 non-ASCII characters, told apart by 64-bit hashes.
 
 Defined cases: null or empty texts, or ones without words, match nothing, and so do
-such items and ones without an informative word; null ids are kept; repeated rows repeat; repeated item ids are items of
+such items; null ids are kept; repeated rows repeat; repeated item ids are items of
 their own; an empty table of documents or items gives no matches; further columns
 are ignored; texts of any length are searched whole. The items are sent to every
 task: a benchmark's size doesn't follow the corpus, and over `MAX_ITEMS` items are
@@ -53,6 +58,8 @@ COMMON, FEW = 0.02, 20
 COSINE, COSINE_SHORT = 0.7, 0.55
 #: Sizes of the windows that are compared, in informative words.
 WINDOWS = (5, 8, 13, 20, 32)
+#: Rare words of an item that a stretch of text must hold to be looked at.
+ANCHORS = 3
 ANSWER = 8
 SHARED, ANSWERED = 0.6, 0.5
 MAX_ITEMS = 200_000
@@ -144,10 +151,11 @@ def _range_product(texts: DataFrame, weights: np.ndarray, random: np.ndarray) ->
 
 @dataclass
 class Latent:
-    """Which features tell passages apart, and what a word of each adds to a passage's place in the latent space."""
+    """Which features tell passages apart, what a word of each adds to a passage's place in the latent space, and how many passages have it."""
 
     informative: np.ndarray
     projection: np.ndarray
+    seen: np.ndarray
 
     @staticmethod
     def fit(texts: DataFrame, seed: int = 11) -> Latent:
@@ -155,19 +163,19 @@ class Latent:
         informative = seen <= max(COMMON * total, FEW)
         weights = np.where(informative, np.log((total + 1) / (seen + 1)), 0.0)
         random = np.random.default_rng(seed).normal(size=(BUCKETS, RANK))
-        return Latent.of(informative, weights, random, _range_product(texts, weights, random), total)
+        return Latent.of(informative, weights, random, _range_product(texts, weights, random), seen, total)
 
     @staticmethod
-    def of(informative: np.ndarray, weights: np.ndarray, random: np.ndarray, product: np.ndarray, total: int) -> Latent:
+    def of(informative: np.ndarray, weights: np.ndarray, random: np.ndarray, product: np.ndarray, seen: np.ndarray, total: int) -> Latent:
         core = random.T @ product
         values, vectors = np.linalg.eigh((core + core.T) / 2)
         good = values > max(values.max(), 0) * 1e-9
         if not good.any():
-            return Latent(informative, np.zeros((BUCKETS, 1), np.float32))
+            return Latent(informative, np.zeros((BUCKETS, 1), np.float32), seen)
         # A'A is about F F', F = product core^(-1/2); its singular vectors and values
         left, singular, _ = np.linalg.svd(product @ (vectors[:, good] / np.sqrt(values[good])), full_matrices=False)
         keep = singular > singular[0] * 1e-6
-        return Latent(informative, (weights[:, None] * left[:, keep] / singular[keep] * np.sqrt(max(total, 1))).astype(np.float32))
+        return Latent(informative, (weights[:, None] * left[:, keep] / singular[keep] * np.sqrt(max(total, 1))).astype(np.float32), seen)
 
 
 @dataclass
@@ -198,6 +206,56 @@ class Searcher:
                 size = min(WINDOWS, key=lambda s: abs(np.log(s / len(part))))
                 probes.setdefault(size, []).append((k, place / (np.linalg.norm(place) or 1), at))
         self._probes = {s: (np.array([p[0] for p in ps]), np.stack([p[1] for p in ps]).astype(np.float32).T.copy(), np.array([p[2] for p in ps])) for s, ps in probes.items()}
+        self._index()
+
+    def _index(self) -> None:
+        """The items of each anchor, and of each item the words it must share, the anchors to find and the length of a stretch."""
+        sizes = np.array([len(x.words) for x in self.items], np.int64)
+        self._least = np.maximum(1, np.ceil(self._shared * sizes - 1e-9).astype(np.int64))
+        self._anchors = np.minimum(ANCHORS, self._least)
+        self._span = sizes // 4 + 2 + sizes + sizes // 2 + 2
+        words, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for k, item in enumerate(self.items):
+            rarest = np.argsort(self._latent.seen[(item.words >> _SHIFT).astype(np.int64)], kind="stable")
+            mine = np.unique(item.words[rarest[: len(item.words) - self._least[k] + self._anchors[k]]])
+            words.append(mine)
+            owners.append(np.full(len(mine), k))
+        every, owner = np.concatenate(words), np.concatenate(owners)
+        self._owner = owner[np.argsort(every, kind="stable")]
+        self._anchor, n = np.unique(every, return_counts=True)
+        self._first = np.concatenate([[0], np.cumsum(n)])
+        self._maybe = np.zeros(1 << 20, bool)
+        self._maybe[self._anchor >> np.uint64(44)] = True
+
+    def stretches(self, hashes: np.ndarray, limits: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Items, and the documents and first words of all stretches that share enough words with each; of those that share the same words, or fewer of them, the first."""
+        at = np.flatnonzero(self._maybe[hashes >> np.uint64(44)])
+        if not len(at):
+            return
+        entry = np.minimum(np.searchsorted(self._anchor, hashes[at]), len(self._anchor) - 1)
+        real = self._anchor[entry] == hashes[at]
+        at, entry = at[real], entry[real]
+        n = self._first[entry + 1] - self._first[entry]
+        item = self._owner[np.repeat(self._first[entry] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+        keys = np.sort(item * len(hashes) + np.repeat(at, n))
+        item, at = keys // max(len(hashes), 1), keys % max(len(hashes), 1)
+        doc = np.searchsorted(limits, at, "right") - 1
+        last = np.arange(len(at)) + self._anchors[item] - 1
+        to = np.minimum(last, len(at) - 1)
+        near = np.flatnonzero((last < len(at)) & (item[to] == item) & (doc[to] == doc) & (at[to] - at < self._span[item]))
+        for k, rows in zip(*_runs(item[near]), strict=True):
+            hit, d, span = at[near[rows]], doc[near[rows]], int(self._span[k])
+            a, z = np.maximum(limits[d], hit - span + 1), np.minimum(limits[d + 1], hit + span)
+            a[1:] = np.maximum(a[1:], z[:-1])  # each word once
+            n = np.maximum(z - a, 0)
+            place = np.repeat(a - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+            known = self.items[k].sorted
+            common = known[np.minimum(np.searchsorted(known, hashes[place]), len(known) - 1)] == hashes[place]
+            place, d = place[common], np.repeat(d, n)[common]
+            end = np.searchsorted(place, np.minimum(place + span, limits[d + 1]))
+            kept = np.flatnonzero((end - np.arange(len(place)) >= self._least[k]) & np.concatenate([[True], end[1:] != end[:-1]])[: len(place)])
+            if len(kept):
+                yield k, d[kept], place[kept]
 
     def candidates(self, feature: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Documents, items, and the places where the items may start, of texts of informative words only."""
@@ -276,6 +334,15 @@ class Searcher:
                     best = self.verify(hashes[start : int(limits[d + 1])], item, int(told[max(place, int(cuts[d]))]) - start)
                     if best and best > out[d].get(k, (0.0,)):
                         out[d][k] = best
+        for k, at, places in self.stretches(hashes, limits):
+            item = self.items[k]
+            for d, place in zip(at.tolist(), places.tolist(), strict=True):
+                if out[d].get(k, (0, 0))[:2] == (1, 1):
+                    continue
+                start = int(limits[d])
+                best = self.verify(hashes[start : int(limits[d + 1])], item, place - start + len(item.words) // 4 + 2)
+                if best and best > out[d].get(k, (0.0,)):
+                    out[d][k] = best
         return out
 
 

@@ -108,3 +108,12 @@ def test_empty_benchmarks_and_clashes(spark):
     found, ids = decontaminate.marked(docs, none)
     assert ids == [] and found.where("size(matches) > 0").count() == 0
     assert decontaminate.contaminated(empty_docs(spark), none).count() == 0
+
+
+def test_an_item_in_a_third_of_all_rows(spark):
+    hot, common = prose(700, 29), "of the and to in is that of it the"
+    rows = [(k, f"{prose(800 + k, 30)} {hot if k % 3 == 0 else prose(5000 + k, 29)} {prose(9000 + k, 10)} {common.upper() if k % 2 == 0 else 'in the'}") for k in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    asked = spark.createDataFrame([(1, hot), (2, common)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, asked).where("shared = 1").collect()}
+    assert got == {(k, 1) for k in range(0, 1500, 3)} | {(k, 2) for k in range(0, 1500, 2)}
