@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lagoon.llm import decontaminate, toxicity
@@ -117,3 +118,32 @@ def test_an_item_in_a_third_of_all_rows(spark):
     asked = spark.createDataFrame([(1, hot), (2, common)], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, asked).where("shared = 1").collect()}
     assert got == {(k, 1) for k in range(0, 1500, 3)} | {(k, 2) for k in range(0, 1500, 2)}
+
+
+def _accepted(text: str, item: str) -> bool:
+    """Whether any stretch of the text passes the verification, with every start tried."""
+    from lagoon.llm import scan
+
+    words, asked = (decontaminate.word_hashes(*scan.flatten(pa.array([t])))[0].tolist() for t in (text, item))
+    n, lcs = len(asked), decontaminate.common_subsequence
+    regions = (words[max(0, at - n // 4 - 2) : at + n + n // 2 + 2] for at in range(len(words)))
+    last = asked[-decontaminate.ANSWER :]
+    return any(lcs(asked, r) / n >= decontaminate.SHARED and lcs(last, r) / len(last) >= decontaminate.ANSWERED for r in regions)
+
+
+def test_recall_of_edited_copies_against_brute_force(spark):
+    sf = "/root/testdata/sf0.01"
+    hosts = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()]
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").collect()]
+    rates, planted = (0.0, 0.1, 0.2, 0.3, 0.35), {}
+    for k, (rate, (item, text)) in enumerate((rate, x) for rate in rates for x in items):
+        host = hosts[k][1].split(" ")
+        place = (k * 37) % len(host)
+        hosts[k] = (10**6 + k, " ".join([*host[:place], edited(text, k, rate), *host[place:]]))
+        planted[10**6 + k, item] = (rate, hosts[k][1], text)
+    docs = spark.createDataFrame(hosts, "doc_id long, text string").repartition(3)
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, spark.read.parquet(f"{sf}/benchmark.parquet")).collect()}
+    want = {pair: rate for pair, (rate, text, item) in planted.items() if _accepted(text, item)}
+    found = {rate: (sum(r == rate for pair, r in want.items() if pair in got), sum(r == rate for r in want.values())) for rate in rates}
+    print(found)
+    assert all(n and hit == n for hit, n in found.values()), found
