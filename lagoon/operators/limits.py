@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lagoon.operators.ranks import in_order
+
 
 def fixed_window(df: DataFrame, key: str, ts: str, tie: str, seconds: int, limit: int) -> DataFrame:
     """Refused calls count too, so a call is granted by its number in the window. (O133, O216)"""
@@ -88,23 +91,26 @@ def hierarchical(df: DataFrame, parent: str, child: str, now: str, tie: str, par
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
     whole = 1_000_000_000
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([now, tie], kind="stable").reset_index(drop=True)
-        top, children, granted = [parent_bucket[0] * whole, None], {}, []
-        for t, c in zip(pdf[now], pdf[child], strict=True):
-            own = children.setdefault(c, [child_bucket[0] * whole, None])
-            for state, (capacity, rate) in ((top, parent_bucket), (own, child_bucket)):
-                if state[1] is not None:
-                    state[0] = min(capacity * whole, state[0] + max(0, int(t) - state[1]) * rate)
-                state[1] = int(t)
-            ok = top[0] >= whole and own[0] >= whole
-            if ok:
-                top[0] -= whole
-                own[0] -= whole
-            granted.append(ok)
-        return pdf.assign(granted=granted)
-
-    return df.groupBy(parent).applyInPandas(run, f"{fields}, granted boolean")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, top, children = object(), [], {}  # buckets of one parent at a time
+        for b in batches:
+            granted = []
+            for p, t, c in zip(*(b.column(n).to_pylist() for n in (parent, now, child)), strict=True):
+                if p != of and (p == p or of == of):
+                    of, top, children = p, [parent_bucket[0] * whole, None], {}
+                own = children.setdefault(c, [child_bucket[0] * whole, None])
+                for state, (capacity, rate) in ((top, parent_bucket), (own, child_bucket)):
+                    if state[1] is not None:
+                        state[0] = min(capacity * whole, state[0] + max(0, int(t) - state[1]) * rate)
+                    state[1] = int(t)
+                ok = top[0] >= whole and own[0] >= whole
+                if ok:
+                    top[0] -= whole
+                    own[0] -= whole
+                granted.append(ok)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(granted, pa.bool_())], names=[*b.schema.names, "granted"])
+
+    return in_order(df, [parent], [now, tie]).mapInArrow(run, f"{fields}, granted boolean")
 
 
 def bounded_queue(df: DataFrame, keys: list[str], order: str, capacity: Column | int, policy: str) -> DataFrame:

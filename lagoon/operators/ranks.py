@@ -35,6 +35,24 @@ def picks(df: DataFrame, groups: list[str], x: str, quantiles: dict[str, float],
     return found.groupBy(*groups).agg(*(F.max(F.when(F.col("_name") == k, F.col(x))).alias(k) for k in quantiles), F.max("_n").alias(count))
 
 
+def at_ranks(df: DataFrame, groups: list[str], x: str, wanted: DataFrame, rank: str) -> DataFrame:
+    """The rows of `wanted` (groups, any others, 0-based rank) with the value of that rank in its group as `x`. Nulls don't count."""
+    rows = df.select(*groups, x).where(F.col(x).isNotNull()).withColumn("_b", ordered_bucket(x))
+    running = Window.partitionBy(*groups).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    counts = rows.groupBy(*groups, "_b").agg(F.count("*").alias("_c")).withColumn("_cum", F.sum("_c").over(running))
+    here = (F.col(rank) < F.col("_cum")) & (F.col(rank) >= F.col("_cum") - F.col("_c"))
+    targets = wanted.join(counts, groups).where(here).withColumn("_within", F.col(rank) - F.col("_cum") + F.col("_c")).drop("_c", "_cum")
+    fine = rows.join(targets.select(*groups, "_b").distinct(), [*groups, "_b"], "left_semi").groupBy(*groups, "_b", x).agg(F.count("*").alias("_c"))
+    placed = fine.withColumn("_cum", F.sum("_c").over(Window.partitionBy(*groups, "_b").orderBy(x).rowsBetween(Window.unboundedPreceding, 0)))
+    return targets.join(placed, [*groups, "_b"]).where("_within < _cum AND _within >= _cum - _c").drop("_b", "_within", "_c", "_cum")
+
+
+def in_order(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Rows for an ordered fold by an iterator: each key's stand together in one partition, in order, and are sorted outside Python's memory."""
+    dealt = df.repartition(*keys) if keys else df.repartition(1)
+    return dealt.sortWithinPartitions(*keys, *order)
+
+
 def offsets(df: DataFrame, order: list[str], bucket, groups: list[str] | None = None, into: str = "offset") -> DataFrame:
     """Gapless 0-based positions in an order, overall or in each group. `bucket` is an expression that keeps the order; only a bucket's rows are sorted together, and buckets are offset by their counts. (O013)"""
     groups = groups or []

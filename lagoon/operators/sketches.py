@@ -8,11 +8,15 @@ the state, removal, windows and error bounds.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lagoon.operators.ranks import in_order
+
 
 # --- distinct counts -------------------------------------------------------
 
@@ -96,19 +100,32 @@ def cms_window(df: DataFrame, ts: str, key: str, slide: str, size: str) -> DataF
 
 def cms_conservative(df: DataFrame, groups: list[str], key: str, order: str, depth: int, width: int) -> DataFrame:
     """Cells under conservative update, which depends on the order of arrival and so is a fold over a group. (O093)"""
-    schema = ", ".join([*(f"`{df.schema[g].name}` {df.schema[g].dataType.simpleString()}" for g in groups), "row int, idx int, c long"])
-    rows = df.select(*groups, order, *(F.pmod(F.xxhash64(F.lit(d), key), F.lit(width)).cast("int").alias(f"_c{d}") for d in range(depth)))
-
-    def run(key_, pdf: pd.DataFrame) -> pd.DataFrame:
-        cells: dict[tuple[int, int], int] = {}
-        for at in pdf.sort_values(order)[[f"_c{d}" for d in range(depth)]].itertuples(index=False):
-            own = list(enumerate(at))
-            least = min(cells.get(c, 0) for c in own) + 1
-            for c in own:
-                cells[c] = max(cells.get(c, 0), least)
-        return pd.DataFrame([[*key_, r, i, c] for (r, i), c in cells.items()], columns=[*groups, "row", "idx", "c"])
-
-    return rows.groupBy(*groups).applyInPandas(run, schema)
+    kind = f"struct<{', '.join(f'`{df.schema[g].name}`:{df.schema[g].dataType.simpleString()}' for g in groups)}>"
+    rows = df.select(F.struct(*groups).alias("_g"), F.col(order).alias("_o"), *(F.pmod(F.xxhash64(F.lit(d), key), F.lit(width)).cast("int").alias(f"_c{d}") for d in range(depth)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, cells = None, {}  # cells of one group at a time
+
+        def made() -> pa.RecordBatch:
+            own = of.take(pa.array([0] * len(cells), pa.int32()))
+            parts = [pa.array(v, t) for v, t in (([r for r, _ in cells], pa.int32()), ([i for _, i in cells], pa.int32()), (list(cells.values()), pa.int64()))]
+            return pa.RecordBatch.from_arrays([own, *parts], names=["_g", "row", "idx", "c"])
+
+        for b in batches:
+            for n, (g, *at) in enumerate(zip(b.column("_g").to_pylist(), *(b.column(f"_c{d}").to_pylist() for d in range(depth)), strict=True)):
+                if of is None or repr(g) != last:
+                    if cells:
+                        yield made()
+                    of, last, cells = b.column("_g").slice(n, 1), repr(g), {}
+                own = list(enumerate(at))
+                least = min(cells.get(c, 0) for c in own) + 1
+                for c in own:
+                    cells[c] = max(cells.get(c, 0), least)
+        if cells:
+            yield made()
+
+    done = in_order(rows, ["_g"], ["_o"]).mapInArrow(run, f"_g {kind}, row int, idx int, c long")
+    return done.select(*(F.col("_g")[g].alias(g) for g in groups), "row", "idx", "c")
 
 
 # --- membership ------------------------------------------------------------

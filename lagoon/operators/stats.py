@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lagoon.functions.numeric import log2_bucket, ordered_bucket
-from lagoon.operators.ranks import offsets, picks
+from lagoon.operators.ranks import at_ranks, offsets, picks
 
 
 def _ratio(a: Column, b: Column, digits: int = 6) -> Column:
@@ -75,7 +78,11 @@ def tail_expectation(df: DataFrame, groups: list[str], x: str, q: float) -> Data
 
 def hill(df: DataFrame, groups: list[str], x: str, k: int) -> DataFrame:
     """Tail index of the k largest: mean of ln(x / x_(k+1)); null where k < 2, not more than k values, or the pivot is 0. (O061)"""
-    counted = df.groupBy(*groups, x).agg(F.count("*").alias("c"))
+    # coarse buckets first, so that only values of those that the k + 1 largest are in get sorted
+    rows = df.select(*groups, x).where(F.col(x).isNotNull()).withColumn("_b", ordered_bucket(x))
+    down = Window.partitionBy(*groups).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, 0)
+    upper = rows.groupBy(*groups, "_b").agg(F.count("*").alias("c")).withColumn("cum", F.sum("c").over(down)).where(f"cum - c <= {k}").select(*groups, "_b")
+    counted = rows.join(upper, [*groups, "_b"], "left_semi").groupBy(*groups, x).agg(F.count("*").alias("c"))
     w = Window.partitionBy(*groups).orderBy(F.desc(x)).rowsBetween(Window.unboundedPreceding, 0)
     above = counted.withColumn("cum", F.sum("c").over(w)).where(f"cum - c <= {k}")
     pivot = above.groupBy(*groups).agg(F.max(F.when((F.col("cum") > k) & (F.col("cum") - F.col("c") <= k), F.col(x))).alias("pivot"))
@@ -134,29 +141,60 @@ def cohens_d(df: DataFrame, side: str, x: str) -> DataFrame:
     return s.select(F.round(F.when(n <= 2, None).when(pooled <= 0, 0.0).otherwise((F.col("mb") - F.col("ma")) / F.sqrt(pooled)), 6).alias("d"))
 
 
-def bootstrap_ci(df: DataFrame, groups: list[str], x: str, q: float, rounds: int, confidence: float, seed: int) -> DataFrame:
-    """Percentile interval of a quantile from resamples drawn by a fixed 64-bit generator; one group is one ordered draw, so it runs on that group's sorted values. (O067, O199)"""
-    import pandas as pd
+_STEP, _ADD, _MASK, _BLOCK, _CELLS = 6364136223846793005, 1442695040888963407, 2**64 - 1, 1 << 16, 4096
+
+
+def _after(state: int, steps: int) -> int:
+    """The generator's state some steps on, by squaring its step."""
+    a, c = _STEP, _ADD
+    while steps:
+        if steps & 1:
+            state = (state * a + c) & _MASK
+        a, c = a * a & _MASK, (a + 1) * c & _MASK
+        steps >>= 1
+    return state
 
-    group_fields = [df.schema[g] for g in groups]
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+def _draws(blocks: DataFrame, rounds: int, seed: int) -> DataFrame:
+    """(_g, _round, _at, _c) of blocks of a group's one sequence of draws: how many of a round's draws are in each of _CELLS equal parts of the places or, where a block has the part `_only` of each round, at each place of that part."""
+    kind = blocks.schema["_g"].dataType.simpleString()
+    single = "_only" in blocks.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        values = np.sort(pdf[x].to_numpy())
-        n, state, mask = len(values), seed & (2**64 - 1), 2**64 - 1
-        found = []
-        for _ in range(rounds):
-            at = []
-            for _ in range(n):
-                state = (state * 6364136223846793005 + 1442695040888963407) & mask
-                at.append(state % n)
-            at.sort()
-            found.append(int(values[at[min(n - 1, int(q * n))]]))
-        found.sort()
-        side = (1 - confidence) / 2
-        pick = lambda p: found[min(len(found) - 1, int(p * len(found)))]
-        return pd.DataFrame([[*key, pick(side), pick(1 - side)]], columns=[*groups, "low", "high"])
-
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in group_fields), "low long, high long"])
-    return df.select(*groups, x).groupBy(*groups).applyInPandas(run, schema)
+        power = np.multiply.accumulate(np.full(_BLOCK, _STEP, np.uint64))
+        add = np.cumsum(np.concatenate([np.ones(1, np.uint64), power[:-1]])) * np.uint64(_ADD)
+        for b in batches:
+            for i, (n, start) in enumerate(zip(b.column("_n").to_pylist(), b.column("_start").to_pylist(), strict=True)):
+                m = min(_BLOCK, rounds * n - start)
+                at = ((power[:m] * np.uint64(_after(seed & _MASK, start)) + add[:m]) % np.uint64(n)).astype(np.int64)
+                turn = (start + np.arange(m)) // n
+                cell, width = at * _CELLS // n, n if single else _CELLS
+                if single:
+                    mine = cell == np.array(b.column("_only")[i].as_py())[turn]
+                    turn, cell = turn[mine], at[mine]
+                found, c = np.unique(turn * width + cell, return_counts=True)
+                own = b.column("_g").take(pa.array(np.full(len(found), i)))
+                yield pa.RecordBatch.from_arrays([own, pa.array(found // width), pa.array(found % width), pa.array(c)], names=["_g", "_round", "_at", "_c"])
+
+    spread = blocks.repartition(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_g", "_start")
+    made = spread.mapInArrow(run, f"_g {kind}, _round long, _at long, _c long").groupBy("_g", "_round", "_at").agg(F.sum("_c").alias("_c"))
+    w = Window.partitionBy("_g", "_round").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    return made.withColumn("_cum", F.sum("_c").over(w))
+
+
+def bootstrap_ci(df: DataFrame, groups: list[str], x: str, q: float, rounds: int, confidence: float, seed: int) -> DataFrame:
+    """Percentile interval of a quantile from resamples drawn by a fixed 64-bit generator. One group is one ordered draw, whose blocks are drawn apart; no task holds a group. (O067, O199)"""
+    rows = df.where(F.col(x).isNotNull()).select(F.struct(*groups).alias("_g"), F.col(x).cast("long").alias("_x"))  # nulls in a struct are equal
+    sizes = rows.groupBy("_g").agg(F.count("*").alias("_n"))
+    blocks = sizes.select("_g", "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") * rounds - 1, F.lit(_BLOCK).cast("long"))).alias("_start"))
+    rank = F.least(F.col("_n") - 1, F.floor(F.lit(float(q)) * F.col("_n").cast("double")))
+    parts = _draws(blocks, rounds, seed).join(sizes, "_g").withColumn("_rank", rank).where("_rank < _cum AND _rank >= _cum - _c")
+    parts = parts.select("_g", "_round", F.col("_at").alias("_part"), (F.col("_rank") - F.col("_cum") + F.col("_c")).alias("_within"))
+    only = parts.groupBy("_g").agg(F.sort_array(F.collect_list(F.struct("_round", "_part")))["_part"].alias("_only"))  # one for each round
+    places = _draws(blocks.join(only, "_g"), rounds, seed).join(parts, ["_g", "_round"]).where("_within < _cum AND _within >= _cum - _c")
+    places = places.select("_g", "_round", F.col("_at").alias("_rank"))
+    found = at_ranks(rows, ["_g"], "_x", places, "_rank")
+    side = (1 - confidence) / 2
+    return picks(found, ["_g"], "_x", {"low": side, "high": 1 - side}).select("_g.*", "low", "high")

@@ -325,3 +325,63 @@ def test_empty_tables(spark):
     none = ints(spark, []).where("x > 0")
     assert not rows(stats.facade(none, ["g"], "x")) and not rows(stats.moments(none, ["g"], "x")) and not rows(hdr.record(none, ["g"], "x", 5))
     assert not rows(ranks.offsets(none, ["x"], F.col("x")))
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().toString()
+
+
+def test_bootstrap_draws_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(stats, "_BLOCK", 100)
+    monkeypatch.setattr(stats, "_CELLS", 16)
+    r, groups = random.Random(8), {"a": 700, None: 33, "b": 1}
+    values = {g: sorted(r.randint(-300, 9000) for _ in range(n)) for g, n in groups.items()}
+    df = spark.createDataFrame([(g, v) for g, vs in values.items() for v in vs], "g string, x long").repartition(3)
+    want = {}
+    for g, vs in values.items():
+        state, found, n = 42, [], len(vs)
+        for _ in range(20):
+            at = []
+            for _ in range(n):
+                state = (state * 6364136223846793005 + 1442695040888963407) % 2**64
+                at.append(state % n)
+            found.append(vs[sorted(at)[min(n - 1, int(0.9 * n))]])
+        found.sort()
+        side = (1 - 0.9) / 2
+        want[g] = tuple(found[min(19, int(p * 20))] for p in (side, 1 - side))
+    got = stats.bootstrap_ci(df, ["g"], "x", 0.9, 20, 0.9, 42)
+    assert {r["g"]: (r["low"], r["high"]) for r in got.collect()} == want and "FlatMapGroups" not in _plan(got)
+
+
+def test_hill_sorts_only_the_top(spark):
+    r = random.Random(9)
+    values = [r.randint(1, 10**6) for _ in range(3000)]
+    df = spark.createDataFrame([(x,) for x in values], "x long").selectExpr("'a' AS g", "x")
+    top = sorted(values)[-51:]
+    got = stats.hill(df, ["g"], "x", 50)
+    assert math.isclose(one(got)["hill"], sum(math.log(x / top[0]) for x in top) / 50, abs_tol=1e-6) and "LeftSemi" in _plan(got)
+
+
+def test_ordered_folds_hold_only_state(spark):
+    r, key = random.Random(10), lambda i: ("a", None, "b")[i % 3]
+    calls = [(key(i), f"u{r.randrange(9)}", r.randrange(4) * 10**9 + i * 10**7, i) for i in range(900)]
+    df = spark.createDataFrame(calls, "g string, k string, now long, o long").repartition(5)
+    tops, own, want = {}, {}, {}
+    for g, k, now, o in sorted(calls, key=lambda c: (c[2], c[3])):
+        both = [(tops.setdefault(g, [2.0e9, now]), 2, 1), (own.setdefault((g, k), [1.0e9, now]), 1, 1)]
+        for s, size, rate in both:
+            s[0], s[1] = min(size * 1.0e9, s[0] + (now - s[1]) * rate), now
+        want[o] = all(s[0] >= 1.0e9 for s, _, _ in both)
+        for s, _, _ in both:
+            s[0] -= 1.0e9 * want[o]
+    got = limits.hierarchical(df, "g", "k", "now", "o", (2, 1), (1, 1))
+    assert {x["o"]: x["granted"] for x in got.collect()} == want and "FlatMapGroups" not in _plan(got)
+
+    cell = {(x["k"], d): x[f"c{d}"] for x in df.select("k", *(F.pmod(F.xxhash64(F.lit(d), "k"), F.lit(4)).alias(f"c{d}") for d in range(2))).distinct().collect() for d in range(2)}
+    cells = {}
+    for g, k, _, _ in calls:
+        mine = [(g, d, cell[k, d]) for d in range(2)]
+        least = min(cells.get(c, 0) for c in mine) + 1
+        cells |= {c: max(cells.get(c, 0), least) for c in mine}
+    sketch = sketches.cms_conservative(df, ["g"], "k", "o", 2, 4)
+    assert {(x["g"], x["row"], x["idx"]): x["c"] for x in sketch.collect()} == cells and "FlatMapGroups" not in _plan(sketch)
