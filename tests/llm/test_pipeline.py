@@ -37,3 +37,12 @@ def test_stages_take_effect(spark, tmp_path):
     whole = corpus_pipeline.run(spark, str(tmp_path))
     assert {r["doc_id"] for r in whole.collect()} == {1, 5, 6, 8}
     assert sorted((r["doc_id"], r["start"], r["ids_crc32"]) for r in whole.collect()) == sorted((r["doc_id"], r["start"], r["ids_crc32"]) for r in docs.collect())
+
+
+def test_bench_leaves_no_operator_out():
+    import __spark_entry__
+    import bench
+    from lagoon.llm import queries
+
+    asked = {*queries.queries(), "pipeline"}
+    assert asked <= set(bench.HEADLINE) and asked <= set(__spark_entry__.queries())
