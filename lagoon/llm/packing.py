@@ -38,7 +38,8 @@ _KIND = np.full(256, _OTHER, np.uint8)
 _KIND[[0x20, 9, 10, 11, 12, 13]] = 0
 _KIND[0x41:0x5B] = _KIND[0x61:0x7B] = _KIND[0xC3] = _LETTER
 _KIND[[*range(0x21, 0x27), *range(0x28, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = _PUNCTUATION
-_LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\xbf])+")
+#: The same letters as in _KIND: U+00D7 and U+00F7 are signs.
+_LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 
 
 def units(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -46,9 +47,11 @@ def units(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
     White-space chunks of ASCII and Latin-1 letters and ASCII punctuation (without
     the apostrophe, which starts contractions) are cut between letters and
-    punctuation; no other chunk is cut. The normaliser lower-cases; doing that to
-    ASCII letters before makes fewer distinct units, but special strings are
-    case-sensitive, so a text that may hold one is left as it is.
+    punctuation; no other chunk is cut. The normaliser composes characters, then
+    lower-cases; lower-casing ASCII letters before makes fewer distinct units, and
+    is done only in the first kind of chunks, for a capital letter may compose
+    otherwise with a mark that follows it. Special strings are case-sensitive, so a
+    text that may hold one is left as it is.
     """
     low = scan.LOWER[raw]
     kind = _KIND[raw]
@@ -69,9 +72,11 @@ def units(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     edges = np.zeros(n + 1, np.int32)
     edges[starts[whole]] += 1
     np.subtract.at(edges, ends[whole], 1)
+    plain = np.cumsum(edges[:-1]) == 0
+    low = np.where(plain, low, raw)
     cut = np.zeros(n, bool)
     cut[1:] = (kind[1:] != kind[:-1]) & (kind[1:] != 0)
-    cut &= np.cumsum(edges[:-1]) == 0
+    cut &= plain
     cut[starts] = True
     first = np.flatnonzero(cut)
     chunk = np.searchsorted(starts, first, "right") - 1
@@ -120,8 +125,9 @@ class UnitEncoder:
             ids = np.concatenate([np.array(e.ids, np.uint32) for e in self._model.encode_batch_fast(texts, add_special_tokens=False)])
             some = [w for line in lines[i : i + 16] for w in line]
             ends = np.flatnonzero(self._ends[ids]) + 1
-            if len(ends) != len(some):
-                raise ValueError("a word isn't one pre-token")
+            if len(ends) != len(some):  # a word that isn't one pre-token: each by itself
+                rest.extend(some)
+                continue
             self._put(ids, ends)
             self._number.update(zip([k for k, _ in some], range(len(self._number), len(self._number) + len(some)), strict=True))
         for i in range(0, len(rest), 4096):

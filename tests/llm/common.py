@@ -33,6 +33,7 @@ def odd_rows() -> list[tuple]:
         (13, prose(13, 200) + "\n" + shared + "\n" + prose(14, 50)), (14, prose(15, 20) + " " + shared), (15, prose(16, 6000)),
         (16, "same line\n" * 40), (17, "é" * 250), (18, "###$$$ %%% ||| &&&\n" * 5), (None, prose(18, 40)), (None, prose(18, 40)), (None, None),
         (20, prose(20, 30)), (20, prose(20, 30)), (20, prose(21, 30)), (21, "</s><s>[INST] <|endoftext|> <|ENDOFTEXT|> it's 3.14 don't İß"), (22, "x\x00y \x85 z　w\r\n▁▁ end  "), (23, "word " * 300),
+        (24, "a×b n×m matrix, x÷y ab× ÷2 É×é"),
     ]
     return [(i, t, "en", "src0" if k % 3 else None, None if t is None else len(t)) for k, (i, t) in enumerate(texts)]
 

@@ -81,6 +81,25 @@ def test_packing_when_the_table_starts_anew(monkeypatch):
         assert [*ids[at[0] : at[1]].tolist(), 2] == plain_ids([text])[0] and np.array_equal(ids[: at[1]], ids[at[1] :])
 
 
+def test_packing_of_random_strings():
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from lagoon.llm import scan
+
+    r = random.Random(31)
+    pool = [*map(chr, range(0x20, 0x7F)), *map(chr, range(0xA0, 0x100)), *"aeiouAEIOUßÿ×÷×÷×÷ \n\t  .,;'-<|>", "\u0301", "\u0308", "漢", "字", "ひ", "한", "😀", "👩\u200d💻", "<|endoftext|>", "</s>", "'s", "don't", "\x00", "\x7f", "\u3000", "▁", "ﬁ", "İ", "ẞ"]
+    texts = ["".join(r.choice(pool) for _ in range(r.randint(1, 14))) for _ in range(100_000)]
+    encoder, step = packing.UnitEncoder(FILE), 2000
+    for i in range(0, len(texts), step):
+        ids, at = encoder.encode(*scan.flatten(pa.array(texts[i : i + step])))
+        want = plain_ids(texts[i : i + step])
+        got = [[*x.tolist(), 2] for x in np.split(ids, at[1:-1])]
+        assert got == want, next((t, g, w) for t, g, w in zip(texts[i:], got, want, strict=False) if g != w)
+
+
 # --- quality and licences --------------------------------------------------
 
 
