@@ -4,6 +4,8 @@ Exact phrases are found as consecutive words. Short notices are found with up to
 k edits: a notice is split into k + 1 seeds, one of which must stand unchanged in
 any text within k edits of it (pigeonhole); where a seed occurs, the regex
 library's bounded-error matching verifies the surroundings and reports the span.
+The best match of a stretch of neighbouring candidates is taken first, then the
+best of what stands before and after it, so no place is lost to a better one.
 
 Texts are lower-cased (A-Z only); words are the maximal runs of ASCII digits and
 letters and of non-ASCII characters.
@@ -65,7 +67,10 @@ class FuzzyNotices:
             self._rules.append((text, label, k, seeds(text, k), regex.compile(f"(?:{regex.escape(text)}){{e<={k}}}", regex.BESTMATCH)))
 
     def find(self, low: str) -> list[tuple[str, int, int, int, float]]:
-        """(label, start, end, edits, share of the notice that isn't edited) of the places where a notice stands with few enough edits; neighbouring candidates are verified together."""
+        """(label, start, end, edits, share of the notice that isn't edited), by notice and place, of the places where a notice stands with few enough edits.
+
+        Of overlapping places of one notice the best is reported, the first of equals; what is before and after it is searched in turn.
+        """
         out = []
         for text, label, k, parts, pattern in self._rules:
             near = []
@@ -75,17 +80,24 @@ class FuzzyNotices:
                     near.append((max(0, p - at - k), min(len(low), p - at + len(text) + k)))
                     p = low.find(seed, p + 1)
             near.sort()
-            last = -1
             for i, (a, b) in enumerate(near):
                 if i + 1 < len(near) and near[i + 1][0] <= b:
                     near[i + 1] = (a, max(b, near[i + 1][1]))
                     continue
-                for m in pattern.finditer(low, max(a, last), b):
-                    edits = sum(m.fuzzy_counts)
-                    out.append((label, m.start(), m.end(), edits, max(0.0, 1 - edits / len(text))))
-                    last = m.end()
+                for start, end, edits in sorted(self._matches(pattern, low, a, b, len(text) - k)):
+                    out.append((label, start, end, edits, max(0.0, 1 - edits / len(text))))
         return out
 
+    @staticmethod
+    def _matches(pattern, low: str, a: int, b: int, least: int) -> Iterator[tuple[int, int, int]]:
+        todo = [(a, b)]
+        while todo:
+            a, b = todo.pop()
+            m = pattern.search(low, a, b) if b - a >= least else None
+            if m:
+                yield m.start(), m.end(), sum(m.fuzzy_counts)
+                todo += [(a, m.start()), (m.end(), b)]
+
 
 def phrase_places(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
     """Word counts, and for each phrase the documents and word places where it stands."""
@@ -154,4 +166,4 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", F.size("fuzzy_spans").cast("long").alias("n_fuzzy"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", F.size("fuzzy_spans").cast("long").alias("n_fuzzy"), "fuzzy_spans")

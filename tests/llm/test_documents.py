@@ -178,6 +178,44 @@ def test_fuzzy_search_misses_nothing_within_its_edits():
             assert there and label in {x[0] for x in finder.find(text)}
 
 
+def plain_spans(text):
+    """All of the text searched for each notice, without seeds."""
+    import regex
+
+    def best(pattern, a, b):
+        m = pattern.search(text, a, b)
+        return [] if not m else [*best(pattern, a, m.start()), (m.start(), m.end(), sum(m.fuzzy_counts)), *best(pattern, m.end(), b)]
+
+    out = []
+    for notice, label in licenses.NOTICES:
+        pattern = regex.compile(f"(?:{regex.escape(notice)}){{e<={licenses.edits_allowed(notice)}}}", regex.BESTMATCH)
+        out += [(label, *x) for x in best(pattern, 0, len(text))]
+    return out
+
+
+def test_fuzzy_spans_of_neighbours():
+    import random
+
+    r, finder = random.Random(12), licenses.FuzzyNotices()
+    assert [x[1:4] for x in finder.find("the mozila publik license, mozilla public license, end")] == [(4, 25, 2), (27, 49, 0)]
+    for order in (("licenze", "license"), ("license", "licenze")):
+        assert len(finder.find(" ".join(f"released under the mit {w}" for w in order))) == 2
+    seen = 0
+    for _ in range(150):
+        parts = []
+        for _ in range(r.randint(1, 4)):
+            notice = list(r.choice(licenses.NOTICES)[0])
+            for _ in range(r.randint(0, licenses.edits_allowed("".join(notice)))):
+                at = r.randrange(len(notice))
+                notice[at] = r.choice(["", "x", notice[at] + "q", "z "])
+            parts += ["".join(notice), r.choice(["", " ", ", ", " é and so on ", prose(r.randint(0, 9), 3)])]
+        text = "".join(parts)
+        got = [x[:4] for x in finder.find(text)]
+        seen += len(got)
+        assert got == plain_spans(text), text
+    assert seen > 300
+
+
 # --- sharding --------------------------------------------------------------
 
 
