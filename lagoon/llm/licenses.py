@@ -4,8 +4,8 @@ Exact phrases are found as consecutive words. Short notices are found with up to
 k edits: a notice is split into k + 1 seeds, one of which must stand unchanged in
 any text within k edits of it (pigeonhole); where a seed occurs, the regex
 library's bounded-error matching verifies the surroundings and reports the span.
-The best match of a stretch of neighbouring candidates is taken first, then the
-best of what stands before and after it, so no place is lost to a better one.
+Of neighbouring candidates those of fewest edits are taken first, then those of
+more in the gaps that are left, so no place is lost to a better one beside it.
 
 Texts are lower-cased (A-Z only); words are the maximal runs of ASCII digits and
 letters and of non-ASCII characters.
@@ -64,7 +64,7 @@ class FuzzyNotices:
         self._rules = []
         for text, label in notices:
             k = edits_allowed(text)
-            self._rules.append((text, label, k, seeds(text, k), regex.compile(f"(?:{regex.escape(text)}){{e<={k}}}", regex.BESTMATCH)))
+            self._rules.append((text, label, k, seeds(text, k), [regex.compile(f"(?:{regex.escape(text)}){{e<={e}}}") for e in range(k + 1)]))
 
     def find(self, low: str) -> list[tuple[str, int, int, int, float]]:
         """(label, start, end, edits, share of the notice that isn't edited), by notice and place, of the places where a notice stands with few enough edits.
@@ -72,7 +72,7 @@ class FuzzyNotices:
         Of overlapping places of one notice the best is reported, the first of equals; what is before and after it is searched in turn.
         """
         out = []
-        for text, label, k, parts, pattern in self._rules:
+        for text, label, k, parts, patterns in self._rules:
             near = []
             for at, seed in parts:
                 p = low.find(seed)
@@ -84,19 +84,24 @@ class FuzzyNotices:
                 if i + 1 < len(near) and near[i + 1][0] <= b:
                     near[i + 1] = (a, max(b, near[i + 1][1]))
                     continue
-                for start, end, edits in sorted(self._matches(pattern, low, a, b, len(text) - k)):
+                for start, end, edits in sorted(self._matches(patterns, low, a, b, len(text) - k)):
                     out.append((label, start, end, edits, max(0.0, 1 - edits / len(text))))
         return out
 
     @staticmethod
-    def _matches(pattern, low: str, a: int, b: int, least: int) -> Iterator[tuple[int, int, int]]:
-        todo = [(a, b)]
-        while todo:
-            a, b = todo.pop()
-            m = pattern.search(low, a, b) if b - a >= least else None
-            if m:
-                yield m.start(), m.end(), sum(m.fuzzy_counts)
-                todo += [(a, m.start()), (m.end(), b)]
+    def _matches(patterns: list, low: str, a: int, b: int, least: int) -> list[tuple[int, int, int]]:
+        """Fewest edits first, and of those from left to right, always in the gaps that are left."""
+        out, gaps = [], [(a, b)]
+        for edits, pattern in enumerate(patterns):
+            rest = []
+            for a, b in gaps:
+                for m in pattern.finditer(low, a, b):
+                    out.append((m.start(), m.end(), edits))
+                    rest.append((a, m.start()))
+                    a = m.end()
+                rest.append((a, b))
+            gaps = [(a, b) for a, b in rest if b - a >= least]
+        return out
 
 
 def phrase_places(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
