@@ -13,10 +13,13 @@ byte needs a row of its own.
 2. Second digit: the hash of all bytes of all windows that an anchor stands for.
    In a group of two or more, every window is repeated. A group of one among
    others of the same first digit goes on, with one member of each other group.
-3. Last digits: every window of those, to its full depth. A first digit with up
-   to `GROUP` second ones is sorted in one task; windows of larger ones are
-   grouped by a shuffle of their hashes, pre-aggregated, so that no task meets an
-   unbounded group.
+3. Last digits: the windows of those. A first digit with up to `GROUP` second ones
+   is sorted in one task, every window to its full depth. Larger ones are refined by
+   shuffles in passes over ever smaller ranges of windows (`RANGES`), one row a
+   range: if all bytes of a range stand elsewhere at the same distance, all its
+   windows are repeated; if the bytes that its windows have in common stand nowhere
+   else, none is; only what is left, and one of each set of equal ranges, is split
+   further. Counts are pre-aggregated, so no task meets an unbounded group.
 
 Strings are equal when their 64-bit hashes over random byte codes are, within a
 group that agrees in the digits before.
@@ -41,7 +44,9 @@ from lagoon.llm import scan
 from lagoon.llm.shared import Table, arrow_batches, write
 
 SEED = 50
-GROUP = 4000
+GROUP = 500
+#: Windows in a range, pass by pass, down to single ones; each is a multiple of the next.
+RANGES = (30, 5, 1)
 _PLACE_BITS = 24
 _PLACE = np.uint64((1 << _PLACE_BITS) - 1)
 
@@ -94,7 +99,7 @@ def _blocks(off: np.ndarray, length: int, limit: int = scan.CHUNK_BYTES) -> Iter
 
 def _text_hash(text_col: str):
     """Tells apart texts that share an id."""
-    return F.hash(text_col)
+    return F.xxhash64(text_col)
 
 
 # at: place << 16 | (place - first window) << 8 | (place - last window)
@@ -116,7 +121,7 @@ def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
                 at = ((place + shift) << 16) | ((place - lo) << 8) | (place - hi)
                 yield pa.RecordBatch.from_arrays([b.column("id").take(take), b.column("th").take(take), pa.array(d1), pa.array(d2), pa.array(at)], names=["id", "th", "d1", "d2", "at"])
 
-    return docs.mapInArrow(run, f"id {id_type}, th int, d1 long, d2 long, at long")
+    return docs.mapInArrow(run, f"id {id_type}, th long, d1 long, d2 long, at long")
 
 
 def _contexts(contested: DataFrame, docs: DataFrame, length: int) -> DataFrame:
@@ -139,7 +144,7 @@ def _contexts(contested: DataFrame, docs: DataFrame, length: int) -> DataFrame:
             parts = pa.array([buf[s:e].tobytes() for s, e in zip(start.tolist(), end.tolist(), strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("id").take(take), b.column("th").take(take), flat.field("d1"), flat.field("n"), flat.field("m"), flat.field("at"), parts], names=["id", "th", "d1", "n", "m", "at", "bytes"])
 
-    return joined.mapInArrow(run, f"id {id_type}, th int, d1 long, n long, m long, at long, bytes binary")
+    return joined.mapInArrow(run, f"id {id_type}, th long, d1 long, n long, m long, at long, bytes binary")
 
 
 def _window_keys(b: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -159,7 +164,7 @@ def _window_keys(b: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray
 def _small_groups(rows: DataFrame, length: int) -> DataFrame:
     """Spans of repeated windows of the anchors that are alone in their second digit; rows come sorted by first digit."""
     id_type = rows.schema["id"].dataType.simpleString()
-    out = f"id {id_type}, th int, start long, end long"
+    out = f"id {id_type}, th long, start long, end long"
 
     def solve(table: pa.Table) -> pa.RecordBatch:
         b = table.combine_chunks().to_batches()[0]
@@ -196,24 +201,59 @@ def _small_groups(rows: DataFrame, length: int) -> DataFrame:
     return rows.repartition("d1").sortWithinPartitions("d1").mapInArrow(run, out)
 
 
-def _large_groups(rows: DataFrame, length: int) -> DataFrame:
+def _ranges(rows: DataFrame, length: int, width: int) -> DataFrame:
+    """Each row's windows (by distance to the anchor, near to far) cut into ranges of `width`, with keys of the bytes that all windows of a whole range have (core) and of the bytes of the row's own windows in it (whole)."""
     id_type = rows.schema["id"].dataType.simpleString()
+    names = ("id", "th", "d1", "anchor", "alone", "near", "far", "core", "whole", "bytes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            row, place, key = _window_keys(b, length)
-            for i in range(0, len(row), 50_000):
-                part = slice(i, i + 50_000)
-                take = pa.array(row[part])
-                yield pa.RecordBatch.from_arrays([b.column("id").take(take), b.column("th").take(take), pa.array(place[part]), pa.array(key[part].view(np.int64)), pa.array((b.column("n").to_numpy() == 1)[row[part]])], names=["id", "th", "start", "key", "alone"])
-
-    windows = rows.mapInArrow(run, f"id {id_type}, th int, start long, key long, alone boolean")
-    again = windows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    return windows.where("alone").join(again, "key").select("id", "th", "start", (F.col("start") + length).alias("end"))
+            buf, off = scan.flatten(b.column("bytes"))
+            near, far = b.column("near").to_numpy(), b.column("far").to_numpy()
+            first = near // width
+            n = far // width - first + 1
+            row = np.repeat(np.arange(len(n)), n)
+            part = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            lo, hi = np.maximum(near[row], part * width), np.minimum(far[row], part * width + width - 1)
+            place = off[row] + far[row]  # of the anchor; a row's bytes start with its farthest window
+            prefix = scan.Prefix(buf)
+            salt = scan.mix(scan.mix(b.column("d1").to_numpy().view(np.uint64))[row] + part.astype(np.uint64))
+            core = scan.mix(prefix.of(place - part * width, place - part * width - width + 1 + length) + salt)
+            own = scan.mix(core + (lo * 256 + hi).astype(np.uint64))
+            whole = scan.mix(prefix.of(place - hi, place - lo + length) + own)
+            parts = pa.array([buf[s:e].tobytes() for s, e in zip((place - hi).tolist(), (place - lo + length).tolist(), strict=True)], pa.binary())
+            same = [b.column(c).take(pa.array(row)) for c in names[:5]]
+            yield pa.RecordBatch.from_arrays([*same, pa.array(lo), pa.array(hi), pa.array(core.view(np.int64)), pa.array(whole.view(np.int64)), parts], names=list(names))
+
+    return rows.select("id", "th", "d1", "anchor", "alone", "near", "far", "bytes").mapInArrow(run, f"id {id_type}, th long, d1 long, anchor long, alone boolean, near long, far long, core long, whole long, bytes binary")
+
+
+def _large_groups(rows: DataFrame, length: int) -> Table:
+    """A written table of the spans of repeated windows of the anchors that are alone in their second digit."""
+    start = rows.select("id", "th", "d1", F.expr("shiftright(at, 16)").alias("anchor"), (F.col("n") == 1).alias("alone"), F.expr("at & 255").alias("near"), F.expr("shiftright(at, 8) & 255").alias("far"), "bytes")
+    now, spans = write(start, "ranges"), None
+    for width in RANGES:
+        if now.df.isEmpty():
+            break
+        cut = write(_ranges(now.df, length, width), "ranges")
+        now.drop()
+        one = F.min(F.struct("id", "th", "d1", "anchor", "near", "far", "bytes")).alias("rep")
+        classes = write(cut.df.groupBy("core", "whole").agg(F.count("*").alias("n"), F.max("alone").alias("alone"), one), "classes")
+        repeated = cut.df.where("alone").join(classes.df.where("n > 1").select("core", "whole"), ["core", "whole"])
+        found = repeated.select("id", "th", (F.col("anchor") - F.col("far")).alias("start"), (F.col("anchor") - F.col("near") + length).alias("end"))
+        before, spans = spans, write(found if spans is None else found.unionByName(spans.df), "large")
+        still = F.col("alone") & (F.col("n") == 1)
+        open_ = write(classes.df.groupBy("core").agg(F.count("*").alias("m"), F.max(still).alias("open")).where("m > 1 AND open").select("core"), "open")
+        now = write(classes.df.join(open_.df, "core").select("rep.*", still.alias("alone")), "ranges")
+        for t in (cut, classes, open_, *([before] if before else [])):
+            t.drop()
+    now.drop()
+    none = rows.select("id", "th", F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end")).where("false")
+    return spans or write(none, "large")
 
 
 def repeated_spans(docs: DataFrame, length: int, id_col: str = "doc_id", text_col: str = "text") -> Table:
-    """A written table (id, th, spans): of each document with repeated strings, the byte ranges that they cover; th is `hash(text)`."""
+    """A written table (id, th, spans): of each document with repeated strings, the byte ranges that they cover; th is `xxhash64(text)`."""
     arrow_batches(docs.sparkSession)
     if length > 255 or length <= SEED:
         raise ValueError(f"length must be over {SEED} and under 256")
@@ -229,8 +269,8 @@ def repeated_spans(docs: DataFrame, length: int, id_col: str = "doc_id", text_co
     contexts = write(_contexts(digits.df.join(of_first.df, "d1"), source, length), "contexts")
     small = _small_groups(contexts.df.where(F.col("m") <= GROUP), length)
     large = _large_groups(contexts.df.where(F.col("m") > GROUP), length)
-    pieces = write(resolved.unionByName(small).unionByName(large).distinct(), "pieces")
-    for t in (again, together, digits, of_first, contexts):
+    pieces = write(resolved.unionByName(small).unionByName(large.df).distinct(), "pieces")
+    for t in (again, together, digits, of_first, contexts, large):
         t.drop()
     spans = write(pieces.df.groupBy("id", "th").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
     pieces.drop()

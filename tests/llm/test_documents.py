@@ -319,7 +319,7 @@ def plain_repeats(rows, length=200):
     return Counter(out)
 
 
-@pytest.mark.parametrize("group", [2, 4000])
+@pytest.mark.parametrize("group", [2, 500])
 def test_repeated_strings(spark, docs, group, monkeypatch, tmp_path):
     monkeypatch.setattr(repeats, "GROUP", group)
     docs.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
@@ -327,6 +327,31 @@ def test_repeated_strings(spark, docs, group, monkeypatch, tmp_path):
     assert Counter(map(tuple, got)) == plain_repeats(texts_of(docs))
 
 
+@pytest.mark.parametrize("group", [5, 500])
+def test_large_groups_of_near_copies(spark, group, monkeypatch, tmp_path):
+    """One passage in many settings, near copies of one text, and texts without an id."""
+    monkeypatch.setattr(repeats, "GROUP", group)
+    base, seed = prose(81, 60), prose(82, 20)
+    rows = [(i, edited(base, i, 0.03)) for i in range(60)] + [(100 + i, prose(900 + i, 12) + seed + prose(1900 + i, 12)) for i in range(60)]
+    rows += [(None, prose(3000 + i, 10) + (seed + base)[i : i + 190 + i] + prose(4000 + i, 10)) for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = repeats.op4_repeated_strings(spark, str(tmp_path)).collect()
+    assert Counter(map(tuple, got)) == plain_repeats(rows)
+
+
+def test_rows_without_id_are_told_apart(spark):
+    """Texts whose 32-bit hashes are equal keep their own spans."""
+    from pyspark.sql import functions as F
+
+    found = spark.range(400_000).select(F.concat(F.lit("t"), F.col("id")).alias("t")).groupBy(F.hash("t").alias("h")).agg(F.min("t").alias("x"), F.max("t").alias("y")).where("x < y").limit(3).collect()
+    passage = prose(83, 60)
+    rows = [(None, r[k]) for r in found for k in "xy"]
+    docs = spark.createDataFrame([*rows, *[(None, passage)] * 2], "doc_id long, text string")
+    assert docs.select(repeats._text_hash("text").alias("h")).distinct().count() == len(rows) + 1 and found
+    got = Counter((r["row"]["text"], r["n_removed"]) for r in repeats.without_repeats(docs, 200).collect())
+    assert got == Counter([*((t, 0) for _, t in rows), *[(passage, len(passage.encode()))] * 2])
+
+
 def test_long_texts_are_scanned_in_blocks(spark, monkeypatch):
     import numpy as np
     import pyarrow as pa
