@@ -4,18 +4,18 @@
 (i, j) keys a document by left half-key i and right half-key j. So half * half
 tables cost 2 * half * rows minhashes, about the square root of what as many
 separate tables would. A pair of similarity s shares a table with probability
-(1 - (1 - s**rows)**half)**2: 0.9993 at 0.8 with the defaults, more above.
+(1 - (1 - s**rows)**half)**2: 0.9996 at 0.8 with the defaults, more above.
 
 1. Documents with the same shingle set form one class; only classes go on.
 2. Classes that share a left half-key with another one are keyed by their tables.
-3. Candidates are confirmed on the full shingle sets of both texts, in two passes:
-   each class with the hub of one of its tables, the class that shares most left
-   half-keys with others; then, in left half-keys whose classes still belong to
-   several components, the classes outside of the largest one with all others.
-   The last pass compares parities of the sets in blocks before it makes a pair:
-   their differing bits never exceed the differing shingles, so no similar pair is
-   lost. A pair whose ends are already connected isn't tested, for its link can't
-   change a component.
+3. Candidates are pairs that share a table, confirmed on the full shingle sets of
+   both texts in two passes: each class with the hub of one of its tables, the class
+   that shares most left half-keys with others; then, in tables whose classes still
+   belong to several components, the classes outside of the largest one with all
+   others. The last pass compares parities of the sets in blocks before it makes a
+   pair: their differing bits never exceed the differing shingles, so no similar
+   pair is lost. A pair is made in the first of the tables that it shares, and not
+   if its ends are already connected, for its link can't change a component.
 
 Words are maximal runs other than white space, A-Z lower-cased. A document's set
 has its distinct `width`-word shingles; with fewer words, the whole sequence as
@@ -182,12 +182,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, half: in
     met = write(left.groupBy("i", "left").agg(F.count("*").alias("n")).where("n > 1"), "met")
     lefts = write(left.join(met.df, ["i", "left"]).groupBy("set_key").agg(F.collect_list(F.struct("i", "left")).alias("met"), F.sum("n").alias("degree")), "lefts")  # `half` entries at most
     crossed = lefts.df.join(classes.df.select("set_key", "rights"), "set_key").select("set_key", "degree", "rights", F.explode("met").alias("l"))
-    keyed = write(crossed.select("set_key", "degree", "l", F.posexplode("rights").alias("j", "right")).select(F.xxhash64("l.i", "l.left", "j", "right").alias("t"), "set_key", "degree"), "tables")
+    keyed = write(crossed.select("set_key", "degree", "l", F.posexplode("rights").alias("j", "right")).select(F.xxhash64("l.i", "l.left", "j", "right").alias("t"), "set_key", "degree", (F.col("l.i") * half + F.col("j")).cast("int").alias("ij")), "tables")
     hubs = write(keyed.df.groupBy("t").agg(F.max(F.struct("degree", "set_key")).alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n"), "hubs")
-    best = write(
-        keyed.df.join(hubs.df, "t").groupBy("set_key").agg(F.max("hub").alias("hub")).select(F.col("set_key").alias("a"), F.col("hub.set_key").alias("b")),
-        "best",
-    )
+    shared = write(keyed.df.join(hubs.df, "t").select("t", "ij", "set_key", F.col("hub.set_key").alias("hub"), F.col("hub.degree").alias("of")), "shared")
+    best = write(shared.df.groupBy("set_key").agg(F.max(F.struct("of", "hub")).alias("h")).select(F.col("set_key").alias("a"), F.col("h.hub").alias("b")), "best")
 
     # whole texts of the classes that have a candidate
     reps = classes.df.join(best.df.select(F.col("a").alias("set_key")), "set_key").select("set_key", F.col("rep.id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash"))
@@ -196,11 +194,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, half: in
     texts = write(found.select("set_key", "text").dropDuplicates(["set_key"]), "texts")
 
     roots = _roots(write(_confirmed(best.df.where("a != b"), texts.df, width, percent), "links"))
-    groups = lefts.df.select("set_key", F.explode("met").alias("l")).select("set_key", F.xxhash64("l.i", "l.left").alias("g"), F.col("l.i").alias("i"))
+    groups = shared.df.select(F.col("set_key").alias("a"), F.col("t").alias("g"), "ij")
     tested = best.df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = write(_left_over(groups, classes.df, roots, percent).join(tested, ["a", "b"], "left_anti"), "rest")
+    rest = write(_left_over(groups, classes.df, roots, percent, half).join(tested, ["a", "b"], "left_anti"), "rest")
     roots = _joined(roots, write(_confirmed(rest.df, texts.df, width, percent), "links"))
-    for t in (classes, met, lefts, keyed, hubs, texts, best, rest):
+    for t in (classes, met, lefts, keyed, hubs, shared, texts, best, rest):
         t.drop()
 
     joined = marked.df.join(roots.df.select(F.col("a").alias("set_key"), F.col("b").alias("root")), "set_key", "left")
@@ -255,24 +253,23 @@ def _rooted(df: DataFrame, key: str, roots: Table) -> DataFrame:
 BLOCK = 512
 
 
-def _left_over(groups: DataFrame, classes: DataFrame, roots: Table, percent: int) -> DataFrame:
-    """Unconnected pairs (a, b) that share a left half-key and may be similar enough.
+def _left_over(groups: DataFrame, classes: DataFrame, roots: Table, percent: int, half: int) -> DataFrame:
+    """Unconnected pairs (a, b) that share a table and may be similar enough.
 
-    In each left half-key of several components, the classes outside of its
-    largest one meet all others, in blocks of about `BLOCK` by `BLOCK` classes. A
-    pair comes out only if its parities allow it to be similar enough: of sets of
-    n and m shingles, at most (n + m) * (100 - percent) / (100 + percent) may be in
-    one only.
+    In each table of several components, the classes outside of its largest one
+    meet all others, in blocks of about `BLOCK` by `BLOCK` classes. A pair comes out
+    only if its parities allow it to be similar enough: of sets of n and m shingles,
+    at most (n + m) * (100 - percent) / (100 + percent) may be in one only.
     """
-    rooted = _rooted(groups.withColumnRenamed("set_key", "a"), "a", roots).withColumnRenamed("root_a", "root")
+    rooted = _rooted(groups, "a", roots).withColumnRenamed("root_a", "root")
     parts = rooted.groupBy("g", "root").agg(F.count("*").alias("n"))
     of_group = parts.groupBy("g").agg(F.count("*").alias("parts"), F.sum("n").alias("all"), F.max(F.struct("n", "root")).alias("most")).where("parts > 1")
     split = of_group.select("g", F.col("most.root").alias("main"), F.ceil((F.col("all") - F.col("most.n")) / BLOCK).alias("n_out"), F.ceil(F.col("all") / BLOCK).alias("n_in"))
-    sets = classes.select(F.col("set_key").alias("a"), F.col("n").alias("size"), "parity", "lefts")
+    sets = classes.select(F.col("set_key").alias("a"), F.col("n").alias("size"), "parity", "lefts", "rights")
     rows = rooted.join(split, "g").join(sets, "a")
     place = lambda n, salt: F.pmod(F.xxhash64("a", F.lit(salt)), F.col(n))
     steps = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    cols = ["i", "a", "root", "size", "parity", "lefts"]
+    cols = ["ij", "a", "root", "size", "parity", "lefts", "rights"]
     outside = rows.where("root != main").withColumn("x", place("n_out", 1)).select("g", "x", steps("n_in").alias("y"), F.lit(0).alias("side"), F.lit(True).alias("out"), *cols)
     others = rows.withColumn("y", place("n_in", 2)).select("g", steps("n_out").alias("x"), "y", F.lit(1).alias("side"), (F.col("root") != F.col("main")).alias("out"), *cols)
     cells = outside.unionByName(others).select(F.xxhash64("g", "x", "y").alias("cell"), "g", "x", "y", "side", "out", *cols)
@@ -287,10 +284,14 @@ def _left_over(groups: DataFrame, classes: DataFrame, roots: Table, percent: int
                     continue
                 bits = differing_bits(*(np.frombuffer(b"".join(r["parity"] for r in x), np.uint8).reshape(len(x), -1) for x in (a, b)))
                 n, m = (np.array([r["size"] for r in x]) for x in (a, b))
-                for i, j in zip(*(x.tolist() for x in np.nonzero(bits * (100 + percent) <= (n[:, None] + m[None, :]) * (100 - percent))), strict=True):
-                    p, q = a[i], b[j]
-                    # of the left half-keys that a pair shares, the first one makes it
-                    if p["root"] != q["root"] and (not q["out"] or p["a"] < q["a"]) and next(k for k, (x, y) in enumerate(zip(p["lefts"], q["lefts"], strict=True)) if x == y) == p["i"]:
+                i, j = np.nonzero(bits * (100 + percent) <= (n[:, None] + m[None, :]) * (100 - percent))
+                if not len(i):
+                    continue
+                # of the tables that a pair shares, the first one makes it
+                left, right = ((np.array([r[k] for r in a])[i] == np.array([r[k] for r in b])[j]).argmax(axis=1) for k in ("lefts", "rights"))
+                mine = np.flatnonzero(left * half + right == a[0]["ij"])
+                for p, q in ((a[x], b[y]) for x, y in zip(i[mine].tolist(), j[mine].tolist(), strict=True)):
+                    if p["root"] != q["root"] and (not q["out"] or p["a"] < q["a"]):
                         yield (p["a"], q["a"]) if p["a"] < q["a"] else (q["a"], p["a"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -293,6 +293,25 @@ def test_parities_never_exceed_differences():
             assert minhash.differing_bits(a, b)[0, 0] <= len(np.setxor1d(x, y))
 
 
+def test_short_documents_with_three_words_in_common(spark):
+    """The common shingles fill left half-keys of many documents; the blocks that compare them stay in proportion to the rows."""
+    from pyspark.sql import functions as F
+
+    from lagoon.llm.shared import write
+
+    n = 100_000
+    word = lambda k: F.concat(F.lit("w"), F.xxhash64("id", F.lit(k)))
+    rows = spark.range(n).repartition(8).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("all rights are reserved by us"), *(word(k) for k in range(7))).alias("text"))
+    rows = rows.unionByName(spark.range(n, n + 50).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *(F.concat(F.lit("v"), F.when((F.col("id") % 2 == 0) & (F.lit(k) == 0), F.lit("x")).otherwise(""), F.lit(str(k)), (F.col("id") - F.col("id") % 2).cast("string")) for k in range(20))).alias("text")))
+    got = minhash.near_duplicates(rows, 4).select("doc_id", "component_id").where("doc_id != component_id")
+    assert {tuple(r) for r in got.collect()} == {(k + 1, k) for k in range(n, n + 50, 2)}
+    marked = minhash.signatures(rows.select(F.col("doc_id").alias("id"), "text"), 4, minhash.HALF, minhash.ROWS)
+    left = write(marked.select(F.posexplode("lefts").alias("i", "l"), "rights"), "lefts").df
+    most_left = left.groupBy("i", "l").count().agg(F.max("count")).first()[0]
+    most = left.select("i", "l", F.posexplode("rights").alias("j", "r")).groupBy("i", "l", "j", "r").count().agg(F.max("count")).first()[0]
+    assert most_left > minhash.BLOCK >= most
+
+
 def test_one_of_each(spark):
     got = minhash.one_of_each(odd_docs(spark, clashes=True))
     rows = got.collect()
