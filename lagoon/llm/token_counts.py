@@ -3,14 +3,13 @@
 The vocabulary has no piece in which a space follows another character, so no
 merge crosses the start of a run of spaces: a text falls into pre-tokens (a
 run of spaces and the characters after it) that are encoded independently.
-Pieces are counted once per distinct pre-token, joined to each document's
-pre-token frequencies, and summed.
 
-The join is made inside a task, over the distinct pre-tokens that its worker
-has met: joining (document, pre-token, frequency) rows through a shuffle moves
-more bytes than the texts have. The table of a worker is bounded by
-`MAX_PRETOKENS` and starts anew beyond it, which costs time but never changes a
-count.
+1. Frequencies of all pre-tokens of the corpus, pre-aggregated in each task.
+2. Pieces of each distinct pre-token, counted once, as a table.
+3. Pieces joined to each document's pre-token frequencies, and summed. The `HOT`
+   most frequent pre-tokens of at most `HOT_BYTES` bytes, whatever the corpus, are
+   sent to all tasks and joined there; (document, pre-token, frequency) rows of the
+   others are joined by a shuffle. So none of its keys is hot, and few rows move.
 
 Defined cases: a null or empty text has 0 bytes and 0 tokens; a null id is
 kept; rows are independent, so repeated rows repeat their counts; an empty
@@ -28,15 +27,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagoon.llm.shared import arrow_batches
+from lagoon.llm.shared import Table, arrow_batches, write
 
-MAX_PRETOKENS = 1_000_000
+HOT, HOT_BYTES = 1 << 16, 64
+#: Pre-tokens that a task counts together before it hands them on.
+MAX_PRETOKENS = 500_000
 _SPLIT = re.compile(" *[^ ]+| +")
 _workers: dict[str, "PieceCounter"] = {}
 
 
+def pretokens(text: str | None) -> list[str]:
+    """The space before the text is the one that the library itself puts there."""
+    return _SPLIT.findall(" " + text.replace("▁", " ")) if text else []
+
+
 class PieceCounter:
-    """Counts sentencepiece BPE pieces of whole texts."""
+    """Counts sentencepiece BPE pieces of pre-tokens."""
 
     def __init__(self, model_file: str) -> None:
         import sentencepiece
@@ -45,34 +51,81 @@ class PieceCounter:
         crossing = [p for p in map(self._model.id_to_piece, range(self._model.get_piece_size())) if re.search("[^▁]▁", p)]
         if crossing:
             raise ValueError(f"pieces with inner spaces, so pre-tokens are not independent: {crossing[:5]}")
-        self._pieces: dict[str, int] = {}
 
-    def count(self, texts: list[str]) -> list[int]:
-        """The space before the text is the one that the library itself puts there."""
-        frequencies = [Counter(_SPLIT.findall(" " + t.replace("▁", " "))) if t else Counter() for t in texts]
-        known = self._pieces
-        if len(known) > MAX_PRETOKENS:
-            known.clear()
-        fresh = list({p for f in frequencies for p in f if p not in known})
-        known.update(zip(fresh, map(len, self._model.encode([p[1:] for p in fresh], num_threads=1)), strict=True))
-        if " " in known:
-            known[" "] = 1  # a lone space at the end; encoded by itself it would be the empty text
-        return [sum(known[p] * n for p, n in f.items()) for f in frequencies]
+    def count(self, parts: list[str]) -> list[int]:
+        """A lone space, at the end of a text, is one piece; encoded by itself it would be the empty text."""
+        return [1 if p == " " else len(ids) for p, ids in zip(parts, self._model.encode([p[1:] for p in parts], num_threads=1), strict=True)]
+
+
+def _frequencies(texts: DataFrame) -> DataFrame:
+    """(p, n)"""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        for b in batches:
+            for t in b.column("text").to_pylist():
+                seen.update(pretokens(t))
+                if len(seen) > MAX_PRETOKENS:
+                    yield made(seen)
+                    seen = Counter()
+        yield made(seen)
+
+    def made(seen: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["p", "n"])
+
+    return texts.mapInArrow(run, "p string, n long").groupBy("p").agg(F.sum("n").alias("n"))
+
+
+def _counted(frequencies: DataFrame, model_file: str) -> DataFrame:
+    """(p, n, pieces)"""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if model_file not in _workers:
+            _workers[model_file] = PieceCounter(model_file)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_workers[model_file].count(b.column("p").to_pylist()), pa.int32())], names=["p", "n", "pieces"])
+
+    return frequencies.mapInArrow(run, "p string, n long, pieces int")
+
+
+def _hottest(counted: Table) -> dict[str, int]:
+    """Pieces of the most frequent pre-tokens; of the last power of two that is among them, any."""
+    short = counted.df.where(F.octet_length("p") <= HOT_BYTES).select("p", "pieces", F.length(F.bin("n")).alias("size"))
+    room, last = HOT, 0
+    for size, n in sorted(map(tuple, short.groupBy("size").count().collect()), reverse=True):  # 63 rows
+        if n > room:
+            last = size
+            break
+        room -= n
+    picked = short.where(F.col("size") > last).collect() + (short.where(F.col("size") == last).limit(room).collect() if last and room else [])  # `HOT` rows at most
+    return {r["p"]: r["pieces"] for r in picked}
 
 
 def piece_counts(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_tokens) for each row."""
     arrow_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
+    counted = write(_counted(_frequencies(docs.select(F.col(text_col).alias("text"))), model_file), "pieces")
+    hot = _hottest(counted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _workers.setdefault(model_file, PieceCounter(model_file)) if model_file not in _workers else _workers[model_file]
+        kind = pa.list_(pa.struct([("p", pa.string()), ("n", pa.int64())]))
         for b in batches:
-            texts = [t or "" for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("n_bytes"), pa.array(counter.count(texts), pa.int64())], names=["id", "n_bytes", "n_tokens"])
-
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"))
-    return rows.mapInArrow(run, f"id {id_type}, n_bytes long, n_tokens long").withColumnRenamed("id", id_col)
+            known, rest = [], []
+            for t in b.column("text").to_pylist():
+                f = Counter(pretokens(t))
+                pieces = list(map(hot.get, f))
+                known.append(sum(k * n for k, n in zip(pieces, f.values(), strict=True) if k is not None))
+                rest.append([{"p": p, "n": n} for k, (p, n) in zip(pieces, f.items(), strict=True) if k is None] if None in pieces else [])
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("id"), b.column("n_bytes"), pa.array(known, pa.int64()), pa.array(rest, kind)], names=["row", "id", "n_bytes", "known", "rest"])
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"))
+    mine = write(rows.mapInArrow(run, f"row long, id {id_type}, n_bytes long, known long, rest array<struct<p:string,n:long>>"), "frequencies").df
+    cells = mine.where(F.size("rest") > 0).select("row", "id", "n_bytes", "known", F.posexplode("rest").alias("at", "e")).select("row", F.struct("id", "n_bytes", "known").alias("doc"), "at", "e.*")
+    joined = cells.join(counted.df.select("p", "pieces"), "p").groupBy("row").agg(F.sum(F.col("n") * F.col("pieces")).alias("more"), F.first(F.when(F.col("at") == 0, F.col("doc")), ignorenulls=True).alias("doc"))
+    whole = joined.select("doc.id", "doc.n_bytes", (F.col("doc.known") + F.col("more")).alias("n_tokens"))
+    out = whole.unionByName(mine.where(F.size("rest") == 0).select("id", "n_bytes", F.col("known").alias("n_tokens")))
+    return out.withColumnRenamed("id", id_col)
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,19 +29,19 @@ def texts_of(df):
 # --- token counts and packing ----------------------------------------------
 
 
-def test_token_counts(spark, docs):
+def plain_token_counts(df):
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
-    want = Counter((i, len((t or "").encode()), len(sp.encode(t or ""))) for i, t in texts_of(docs))
-    assert Counter(map(tuple, token_counts.piece_counts(docs, MODEL).collect())) == want
+    return Counter((i, len((t or "").encode()), len(sp.encode(t or ""))) for i, t in texts_of(df))
 
 
-def test_token_counts_when_the_table_starts_anew(monkeypatch):
-    monkeypatch.setattr(token_counts, "MAX_PRETOKENS", 3)
-    counter = token_counts.PieceCounter(MODEL)
-    text = prose(3, 50)
-    assert [counter.count([text, ""]) for _ in range(3)] == [counter.count([text, ""])] * 3
+@pytest.mark.parametrize(("hot", "most"), [(1 << 16, 500_000), (7, 30), (0, 3)])
+def test_token_counts(spark, docs, hot, most, monkeypatch):
+    """With all pre-tokens sent to the tasks, few of them, and none; and with small and large counts before the shuffle."""
+    monkeypatch.setattr(token_counts, "HOT", hot)
+    monkeypatch.setattr(token_counts, "MAX_PRETOKENS", most)
+    assert Counter(map(tuple, token_counts.piece_counts(docs, MODEL).collect())) == plain_token_counts(docs)
 
 
 def plain_ids(texts):
