@@ -374,7 +374,7 @@ MATCHES = "matches array<struct<item:int,shared:double,answered:double,first_wor
 def marked(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> tuple[DataFrame, list]:
     """A struct `row` of all columns of each document, and its `matches` (of the items by number, the numbers' ids come beside); without any it is clean."""
     spark = docs.sparkSession
-    arrow_batches(spark, 512)
+    arrow_batches(spark)
     rows = items.select(F.col(item_id_col).alias("id"), F.col(item_text_col).alias("text")).orderBy("id", "text").limit(MAX_ITEMS + 1).collect()
     if len(rows) > MAX_ITEMS:
         raise ValueError(f"more than {MAX_ITEMS} items")

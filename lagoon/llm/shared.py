@@ -15,10 +15,12 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
+    """The cluster's ``spark.checkpoint.dir``; a folder of our own only where that is unset and everything runs on this machine."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="lagoon-shared-")
@@ -57,6 +59,9 @@ def write(df: DataFrame, name: str) -> Table:
     return Table(spark, path, df.schema)
 
 
-def arrow_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Small Arrow batches, so that a worker holds a few hundred texts at once and not ten thousand."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+BATCH_ROWS = 512
+
+
+def arrow_batches(spark: SparkSession) -> None:
+    """Small Arrow batches, so that a worker holds a few hundred texts at once and not ten thousand. Frames are planned when they run, so the setting is the session's, the same for all operators, and stays."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

@@ -4,12 +4,16 @@ The vocabulary has no piece in which a space follows another character, so no
 merge crosses the start of a run of spaces: a text falls into pre-tokens (a
 run of spaces and the characters after it) that are encoded independently.
 
-1. Frequencies of all pre-tokens of the corpus, pre-aggregated in each task.
-2. Pieces of each distinct pre-token, counted once, as a table.
-3. Pieces joined to each document's pre-token frequencies, and summed. The `HOT`
-   most frequent pre-tokens of at most `HOT_BYTES` bytes, whatever the corpus, are
-   sent to all tasks and joined there; (document, pre-token, frequency) rows of the
-   others are joined by a shuffle. So none of its keys is hot, and few rows move.
+1. Frequent pre-tokens: each task counts the pre-tokens of all its texts and hands
+   on the `HOT` most frequent ones; the `HOT` most frequent of all, of at most
+   `HOT_BYTES` bytes, go to every task with their piece counts, whatever the corpus.
+2. Each document's pre-token frequencies: the frequent ones are joined and summed at
+   once; (document, pre-token, frequency) rows of the others are dealt by pre-token.
+3. There each distinct pre-token's pieces are counted once for all of its rows, which
+   stand together, and the products are summed by document.
+
+What is frequent only decides the way of a row, never a count; no key of the shuffle
+is hot, and few rows move.
 
 Defined cases: a null or empty text has 0 bytes and 0 tokens; a null id is
 kept; rows are independent, so repeated rows repeat their counts; an empty
@@ -22,14 +26,17 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from operator import mul
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lagoon.llm.shared import Table, arrow_batches, write
 
-HOT, HOT_BYTES = 1 << 16, 64
+HOT, HOT_BYTES = 1 << 19, 48
 #: Pre-tokens that a task counts together before it hands them on.
 MAX_PRETOKENS = 500_000
 _SPLIT = re.compile(" *[^ ]+| +")
@@ -57,8 +64,8 @@ class PieceCounter:
         return [1 if p == " " else len(ids) for p, ids in zip(parts, self._model.encode([p[1:] for p in parts], num_threads=1), strict=True)]
 
 
-def _frequencies(texts: DataFrame) -> DataFrame:
-    """(p, n)"""
+def _frequent(texts: DataFrame) -> DataFrame:
+    """(p, n) of the pre-tokens that are frequent in some task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -71,42 +78,61 @@ def _frequencies(texts: DataFrame) -> DataFrame:
         yield made(seen)
 
     def made(seen: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["p", "n"])
+        top = seen.most_common(HOT // 4)
+        return pa.RecordBatch.from_arrays([pa.array([p for p, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["p", "n"])
 
-    return texts.mapInArrow(run, "p string, n long").groupBy("p").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(run, "p string, n long").where(F.octet_length("p") <= HOT_BYTES).groupBy("p").agg(F.sum("n").alias("n"))
 
 
-def _counted(frequencies: DataFrame, model_file: str) -> DataFrame:
-    """(p, n, pieces)"""
+def _hottest(frequent: Table, model_file: str) -> dict[str, int]:
+    """Pieces of the most frequent pre-tokens; of the last power of two that is among them, any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if model_file not in _workers:
-            _workers[model_file] = PieceCounter(model_file)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_workers[model_file].count(b.column("p").to_pylist()), pa.int32())], names=["p", "n", "pieces"])
-
-    return frequencies.mapInArrow(run, "p string, n long, pieces int")
-
+            yield pa.RecordBatch.from_arrays([b.column("p"), pa.array(_counter(model_file).count(b.column("p").to_pylist()), pa.int32())], names=["p", "pieces"])
 
-def _hottest(counted: Table) -> dict[str, int]:
-    """Pieces of the most frequent pre-tokens; of the last power of two that is among them, any."""
-    short = counted.df.where(F.octet_length("p") <= HOT_BYTES).select("p", "pieces", F.length(F.bin("n")).alias("size"))
+    sized = frequent.df.select("p", F.length(F.bin("n")).alias("size"))
     room, last = HOT, 0
-    for size, n in sorted(map(tuple, short.groupBy("size").count().collect()), reverse=True):  # 63 rows
+    for size, n in sorted(map(tuple, sized.groupBy("size").count().collect()), reverse=True):  # 63 rows
         if n > room:
             last = size
             break
         room -= n
-    picked = short.where(F.col("size") > last).collect() + (short.where(F.col("size") == last).limit(room).collect() if last and room else [])  # `HOT` rows at most
-    return {r["p"]: r["pieces"] for r in picked}
+    picked = sized.where(F.col("size") > last).unionByName(sized.where(F.col("size") == last).limit(room)).select("p")
+    return dict(map(tuple, picked.mapInArrow(run, "p string, pieces int").collect()))  # `HOT` rows at most
+
+
+def _counter(model_file: str) -> PieceCounter:
+    if model_file not in _workers:
+        _workers[model_file] = PieceCounter(model_file)
+    return _workers[model_file]
+
+
+def _products(cells: DataFrame, model_file: str) -> DataFrame:
+    """(row, n) of cells (row, p, n): the tokens of each; equal pre-tokens stand together and are counted once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[str, int] | None = None
+        for b in batches:
+            runs = pc.run_end_encode(b.column("p"))
+            parts, ends = runs.values.to_pylist(), runs.run_ends.to_numpy()
+            again = bool(parts) and last is not None and parts[0] == last[0]
+            pieces = ([last[1]] if again else []) + _counter(model_file).count(parts[again:])
+            if parts:
+                last = parts[-1], pieces[-1]
+            n = b.column("n").to_numpy() * np.repeat(np.array(pieces, np.int64), np.diff(ends, prepend=0))
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(n)], names=["row", "n"])
+
+    return cells.repartition("p").sortWithinPartitions("p").mapInArrow(run, "row long, n long")
 
 
 def piece_counts(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_tokens) for each row."""
     arrow_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
-    counted = write(_counted(_frequencies(docs.select(F.col(text_col).alias("text"))), model_file), "pieces")
-    hot = _hottest(counted)
+    frequent = write(_frequent(docs.select(F.col(text_col).alias("text"))), "frequent")
+    hot = _hottest(frequent, model_file)
+    frequent.drop()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("p", pa.string()), ("n", pa.int64())]))
@@ -115,17 +141,20 @@ def piece_counts(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_
             for t in b.column("text").to_pylist():
                 f = Counter(pretokens(t))
                 pieces = list(map(hot.get, f))
-                known.append(sum(k * n for k, n in zip(pieces, f.values(), strict=True) if k is not None))
-                rest.append([{"p": p, "n": n} for k, (p, n) in zip(pieces, f.items(), strict=True) if k is None] if None in pieces else [])
+                if None in pieces:
+                    known.append(sum(k * n for k, n in zip(pieces, f.values(), strict=True) if k is not None))
+                    rest.append([{"p": p, "n": n} for k, (p, n) in zip(pieces, f.items(), strict=True) if k is None])
+                else:
+                    known.append(sum(map(mul, pieces, f.values())))
+                    rest.append([])
             yield pa.RecordBatch.from_arrays([b.column("row"), b.column("id"), b.column("n_bytes"), pa.array(known, pa.int64()), pa.array(rest, kind)], names=["row", "id", "n_bytes", "known", "rest"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"))
     mine = write(rows.mapInArrow(run, f"row long, id {id_type}, n_bytes long, known long, rest array<struct<p:string,n:long>>"), "frequencies").df
-    cells = mine.where(F.size("rest") > 0).select("row", "id", "n_bytes", "known", F.posexplode("rest").alias("at", "e")).select("row", F.struct("id", "n_bytes", "known").alias("doc"), "at", "e.*")
-    joined = cells.join(counted.df.select("p", "pieces"), "p").groupBy("row").agg(F.sum(F.col("n") * F.col("pieces")).alias("more"), F.first(F.when(F.col("at") == 0, F.col("doc")), ignorenulls=True).alias("doc"))
-    whole = joined.select("doc.id", "doc.n_bytes", (F.col("doc.known") + F.col("more")).alias("n_tokens"))
-    out = whole.unionByName(mine.where(F.size("rest") == 0).select("id", "n_bytes", F.col("known").alias("n_tokens")))
-    return out.withColumnRenamed("id", id_col)
+    cells = mine.select("row", F.explode("rest").alias("e")).select("row", "e.*")
+    more = _products(cells, model_file).groupBy("row").agg(F.sum("n").alias("more"))
+    out = mine.select("row", "id", "n_bytes", "known").join(more, "row", "left")
+    return out.select(F.col("id").alias(id_col), "n_bytes", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_tokens"))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
