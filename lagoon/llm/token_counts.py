@@ -99,7 +99,8 @@ def _hottest(frequent: Table, model_file: str) -> dict[str, int]:
             break
         room -= n
     picked = sized.where(F.col("size") > last).unionByName(sized.where(F.col("size") == last).limit(room)).select("p")
-    return dict(map(tuple, picked.mapInArrow(run, "p string, pieces int").collect()))  # `HOT` rows at most
+    found = picked.mapInArrow(run, "p string, pieces int").toArrow()  # `HOT` rows at most
+    return dict(zip(found.column("p").to_pylist(), found.column("pieces").to_pylist(), strict=True))
 
 
 def _counter(model_file: str) -> PieceCounter:

@@ -162,6 +162,44 @@ def _adam(x: np.ndarray, gradient, steps: int, rate: float) -> np.ndarray:
     return x
 
 
+@dataclass
+class Chain:
+    """Labelled tokens: of each its word, its first letters and whether it starts a text and is T; and how many texts, words and first letters there are."""
+
+    word: np.ndarray
+    head: np.ndarray
+    counts: np.ndarray
+    first: np.ndarray
+    y: np.ndarray
+    n_word: int
+    n_head: int
+
+    def parts(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Weights of words, of first letters, (bias, start) and transitions."""
+        return x[: self.n_word], x[self.n_word : self.n_word + self.n_head], x[-6:-4], x[-4:].reshape(2, 2)
+
+    def gradient(self, x: np.ndarray) -> np.ndarray:
+        """Of the negative log likelihood of the labels."""
+        w, h, (bias, start), transition = self.parts(x)
+        p, forward, _ = marginals(w[self.word] + h[self.head] + bias, self.counts, start, transition)
+        inner = np.flatnonzero(~self.first)
+        before, now = self.y[inner - 1], self.y[inner]
+        seen = np.array([[np.sum(~before & ~now), np.sum(~before & now)], [np.sum(before & ~now), np.sum(before & now)]], float)
+        g = np.zeros_like(x)
+        wrong = p - self.y
+        g[: self.n_word] = np.bincount(self.word, weights=wrong, minlength=self.n_word)
+        g[self.n_word : self.n_word + self.n_head] = np.bincount(self.head, weights=wrong, minlength=self.n_head)
+        g[-6] = wrong.sum()
+        g[-5] = wrong[self.first].sum()
+        # of the pair (T, T): P(T at t) * P(T before | T at t), which needs only the forward ratio
+        a, ratio = np.exp(transition), forward[inner - 1]
+        tt = p[inner] * ratio * a[1, 1] / (a[0, 1] + ratio * a[1, 1])
+        ot, to = p[inner] - tt, p[inner - 1] - tt
+        expected = np.array([[len(inner) - tt.sum() - ot.sum() - to.sum(), ot.sum()], [to.sum(), tt.sum()]])
+        g[-4:] = (expected - seen).ravel()
+        return g
+
+
 def train(texts: list[str], toxic: list[int]) -> Model | None:
     """None without documents of both kinds."""
     y_doc = np.array(toxic, bool)
@@ -194,34 +232,18 @@ def train(texts: list[str], toxic: list[int]) -> Model | None:
 
     head_names, head = np.unique(heads, return_inverse=True)
     n_word, n_head = len(names), len(head_names)
-    inner = np.flatnonzero(~first)
-    seen_pairs = np.array([[np.sum(~y[inner - 1] & ~y[inner]), np.sum(~y[inner - 1] & y[inner])], [np.sum(y[inner - 1] & ~y[inner]), np.sum(y[inner - 1] & y[inner])]], float)
+    chain = Chain(word, head, counts, first, y, n_word, n_head)
     n = max(1, len(words))
 
     def gradient(x: np.ndarray) -> np.ndarray:
-        w, h, (bias, start), transition = x[:n_word], x[n_word : n_word + n_head], x[-6:-4], x[-4:].reshape(2, 2)
-        scores = w[word] + h[head] + bias
-        p, forward, _ = marginals(scores, counts, start, transition)
-        g = np.zeros_like(x)
-        wrong = p - y
-        g[:n_word] = np.bincount(word, weights=wrong, minlength=n_word)
-        g[n_word : n_word + n_head] = np.bincount(head, weights=wrong, minlength=n_head)
-        g[-6] = wrong.sum()
-        g[-5] = wrong[first].sum()
-        # of the pair (T, T): P(T at t) * P(T before | T at t), which needs only the forward ratio
-        a, before = np.exp(transition), forward[inner - 1]
-        tt = p[inner] * before * a[1, 1] / (a[0, 1] + before * a[1, 1])
-        ot, to = p[inner] - tt, p[inner - 1] - tt
-        expected = np.array([[len(inner) - tt.sum() - ot.sum() - to.sum(), ot.sum()], [to.sum(), tt.sum()]])
-        g[-4:] = (expected - seen_pairs).ravel()
-        return g / n * 1000 + decay * x
+        return chain.gradient(x) / n * 1000 + decay * x
 
     x = np.zeros(n_word + n_head + 6)
     decay = np.full(len(x), 1e-3)
     decay[n_word : n_word + n_head] = 0.05  # first letters are shared by many words and are trusted less
     x[-6] = -3.0
     x = _adam(x, gradient, STEPS, 0.25)
-    w, h, (bias, start), transition = x[:n_word], x[n_word : n_word + n_head], x[-6:-4], x[-4:].reshape(2, 2)
+    w, h, (bias, start), transition = chain.parts(x)
     p, _, _ = marginals(w[word] + h[head] + bias, counts, start, transition)
     z = _evidence(p, counts)
     document = _adam(np.array([-2.0, 1.0, 1.0]), lambda c: z.T @ (_sigmoid(z @ c) - y_doc) / len(y_doc) + 1e-4 * c, 600, 0.05)
@@ -291,4 +313,4 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = lambda c: F.crc32(F.col(c).cast("string").cast("binary")) % 5
     model = train(*bounded_sample(docs, labels, fold("id") != 0))
     held_out = F.coalesce(fold("doc_id") == 0, F.lit(False))
-    return toxic_scores(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").cast("long").alias("n_spans"))
+    return toxic_scores(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").cast("long").alias("n_spans"), "spans")

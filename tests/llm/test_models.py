@@ -31,6 +31,56 @@ def test_marginals_match_a_plain_chain():
     assert np.abs(p - want).max() < 1e-12
 
 
+def _plain_loss(chain, x):
+    """Negative log likelihood of the labels, path by path scores summed with a plain forward pass."""
+    w, h, (bias, start), transition = chain.parts(x)
+    scores, at, loss = w[chain.word] + h[chain.head] + bias, 0, 0.0
+    for n in chain.counts:
+        u, y = scores[at : at + n], chain.y[at : at + n].astype(int)
+        at += n
+        if not n:
+            continue
+        path = (start + u[0]) * y[0] + sum(u[t] * y[t] + transition[y[t - 1], y[t]] for t in range(1, n))
+        f = np.array([0.0, start + u[0]])
+        for t in range(1, n):
+            f = np.array([np.logaddexp(f[0] + transition[0, k], f[1] + transition[1, k]) + u[t] * k for k in (0, 1)])
+        loss += np.logaddexp(*f) - path
+    return loss
+
+
+def test_gradient_against_differences():
+    r = np.random.default_rng(7)
+    counts = np.array([4, 0, 1, 70, 12])
+    n = int(counts.sum())
+    first = np.zeros(n, bool)
+    first[(np.cumsum(counts) - counts)[counts > 0]] = True
+    chain = toxicity.Chain(r.integers(0, 6, n), r.integers(0, 3, n), counts, first, r.random(n) < 0.3, 6, 3)
+    x, step = r.normal(0, 1, 6 + 3 + 6), 1e-5
+    want = [(_plain_loss(chain, x + step * e) - _plain_loss(chain, x - step * e)) / (2 * step) for e in np.eye(len(x))]
+    assert np.abs(chain.gradient(x) - want).max() < 1e-6
+
+
+def test_document_scores_against_a_plain_chain():
+    """A document's score from word by word marginals, of the whole text."""
+    texts, labels = _labelled(200)
+    model = toxicity.train(texts, labels)
+    for t in (texts[0], texts[1], "rotten " * 300, ""):
+        buf, off = toxicity.scan.flatten(pa.array([t]))
+        _, _, counts, words, heads = toxicity.word_features(buf, off)
+        known = dict(zip(model.features.tolist(), model.weights.tolist(), strict=True))
+        u = [known.get(a, 0.0) + known.get(b, 0.0) + model.bias for a, b in zip(words.tolist(), heads.tolist(), strict=True)]
+        a, f, b = np.exp(model.transition), [], [np.ones(2)]
+        for t_, s in enumerate(u):
+            now = (np.array([1, np.exp(model.start)]) if t_ == 0 else f[-1] @ a) * [1, np.exp(s)]
+            f.append(now / now.sum())
+        for s in u[:0:-1]:
+            back = a @ ([1, np.exp(s)] * b[-1])
+            b.append(back / back.sum())
+        p = [x[1] / x.sum() for x in (x * y for x, y in zip(f, reversed(b), strict=False))] if u else []
+        z = [1.0, np.log1p(sum(x for x in p if x >= toxicity.FAINT)), max(p, default=0.0)]
+        assert abs(toxicity.score_texts(model, buf, off)[0][0] - 1 / (1 + np.exp(-np.dot(z, model.document)))) < 1e-9
+
+
 def _labelled(n):
     r = random.Random(6)
     texts, labels = [], []
