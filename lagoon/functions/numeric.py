@@ -111,6 +111,25 @@ def saturating_add(a: Column | str, b: Column | str) -> Column:
     return F.coalesce(F.try_add(_c(a), _c(b)), F.when(_c(a) > 0, F.lit(RAW_MAX)).otherwise(F.lit(RAW_MIN)))
 
 
+def parts(raw: Column | str) -> tuple[Column, Column, Column]:
+    """Whole part and decimals without a sign, and the sign. (O168)"""
+    a = F.abs(_c(raw)).cast(WIDE)
+    whole = _quotient(a, F.lit(ONE).cast(WIDE))
+    return whole.cast("long"), (a - whole * ONE).cast("long"), F.signum(_c(raw)).cast("int")
+
+
+def to_scaled(raw: Column | str, decimals: int, mode: str) -> Column:
+    """A raw value as a whole number at so many decimals; null beyond 64 bits. (O167)"""
+    if decimals >= 9:
+        return in_range(_c(raw).cast("decimal(19,0)") * F.lit(10 ** (decimals - 9)).cast("decimal(18,0)"))
+    return in_range(div_round(raw, 10 ** (9 - decimals), mode))
+
+
+def money_add(a: Column | str, a_currency: Column | str, b: Column | str, b_currency: Column | str, sign: int = 1) -> Column:
+    """Sum (or difference, with sign -1) of two amounts; null where the currencies differ or 64 bits don't hold it. (O176)"""
+    return F.when(_c(a_currency) == _c(b_currency), F.try_add(_c(a), _c(b)) if sign > 0 else F.try_subtract(_c(a), _c(b)))
+
+
 #: Decimals of the minor unit where it isn't 2. (O178)
 NO_MINOR_UNIT = ("JPY", "KRW", "VND", "CLP", "ISK")
 THREE_DECIMALS = ("BHD", "KWD", "OMR", "TND", "JOD")

@@ -74,6 +74,15 @@ def next_fire(df: DataFrame, epoch: str, cron: Cron, first: date, last: date, in
     return found.withColumn(into, within).drop("_at", "_day", "_fits", "_after")
 
 
+def next_fires(df: DataFrame, epoch: str, cron: Cron, first: date, last: date, times: int) -> DataFrame:
+    """The rows with `fires`: as many fires as asked for, each armed by the one before. (O187)"""
+    now, names = df, [f"_fire{i}" for i in range(times)]
+    for i, name in enumerate(names):
+        asked = now.withColumn("_asked", F.col(epoch) if i == 0 else F.col(names[i - 1]) + 60)
+        now = next_fire(asked, "_asked", cron, first, last, name).drop("_asked")
+    return now.withColumn("fires", F.array_compact(F.array(*names))).drop(*names)
+
+
 def fire_ticks(commands: DataFrame, timer: str, order: str, action: str, now_tick: str, delay: str) -> DataFrame:
     """Timers that are left after schedule, reschedule and cancel commands, by the tick at which they fire; a delay of 0 fires with the next tick. (O141, O204, O217)"""
     newest = commands.groupBy(timer).agg(F.max_by(F.struct(action, now_tick, delay), order).alias("c"))

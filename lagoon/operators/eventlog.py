@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from lagoon.operators.ranks import offsets
 
 
-def append_offsets(df: DataFrame, ts: str, tie: str, every: str = "day") -> DataFrame:
-    """0-based gapless offsets in order of time. (O013)"""
+def append_offsets(df: DataFrame, ts: str, tie: str, every: str = "minute") -> DataFrame:
+    """0-based gapless offsets in order of time; only the rows of one minute, or other unit, are sorted together. (O013)"""
     return offsets(df, [ts, tie], F.date_trunc(every, F.col(ts)))
 
 
@@ -27,9 +27,9 @@ def event_json(topic: Column, level: Column, at: Column, message: Column, attrib
     return F.to_json(F.struct(topic.alias("topic"), level.alias("level"), at.alias("at"), message.alias("message"), F.when(F.size(attributes) > 0, sorted_).alias("attributes")))
 
 
-def transitions(df: DataFrame, scope: str, ts: str, status: str) -> DataFrame:
-    """Changes of a status; the first one of a scope is its baseline. (O132)"""
-    w = Window.partitionBy(scope).orderBy(ts)
+def transitions(df: DataFrame, scope: str, ts: str, status: str, tie: str | None = None) -> DataFrame:
+    """Changes of a status, of equal times in order of `tie` (else of the status itself); the first one of a scope is its baseline. (O132)"""
+    w = Window.partitionBy(scope).orderBy(ts, tie or status)
     rows = df.withColumn("before", F.lag(status).over(w))
     return rows.where(F.col("before").isNotNull() & (F.col("before") != F.col(status)))
 
@@ -39,6 +39,11 @@ def transition_counts(changes: DataFrame, scope: str, status: str) -> DataFrame:
     return changes.groupBy(scope, F.col("before").alias("from"), F.col(status).alias("to")).agg(F.count("*").alias("n"))
 
 
+def event_counts(df: DataFrame, topic: str, level: str) -> DataFrame:
+    """(O119)"""
+    return df.groupBy(topic, level).agg(F.count("*").alias("n"))
+
+
 #: Statuses from best to worst. (O113)
 STATUSES = ("UP", "UNKNOWN", "WARN", "DEGRADED", "DOWN")
 
@@ -64,6 +69,25 @@ def health_view(df: DataFrame, groups: list[str], status: str, critical: str) ->
     return df.groupBy(*groups).agg(status_name(F.max(shown)).alias("status"))
 
 
+def effective(nodes: DataFrame, node: str, parent: str, status: str, depth: int) -> DataFrame:
+    """(node, status) of a tree of components: the worst of a node's own status and all below it; a null parent is the top. At most `depth` levels. (O114)"""
+    rank = nodes.select(F.col(node).alias("node"), F.col(parent).alias("parent"), status_rank(F.col(status)).alias("r"))
+    now = rank.select("node", "r", "parent")
+    every = now.select("node", "r")
+    for _ in range(depth - 1):
+        up = now.where("parent IS NOT NULL").groupBy("parent").agg(F.max("r").alias("r")).withColumnRenamed("parent", "node")
+        now = up.join(rank.select("node", "parent"), "node")
+        every = every.unionByName(now.select("node", "r"))
+    return every.groupBy("node").agg(status_name(F.max("r")).alias("status"))
+
+
+def health_json(entries: DataFrame, groups: list[str], name: str, status: str, age_ms: str, stale_: str, refreshed_at: Column) -> DataFrame:
+    """(groups, json): the worst status, and every component by name in order. (O183)"""
+    entry = F.struct(F.col(name).alias("k"), F.struct(F.col(status).alias("status"), F.col(age_ms).alias("age_ms"), F.col(stale_).alias("stale")).alias("v"))
+    rows = entries.groupBy(*groups).agg(status_name(F.max(status_rank(F.col(status)))).alias("status"), F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("components"))
+    return rows.select(*groups, F.to_json(F.struct("status", refreshed_at.alias("refreshed_at"), "components")).alias("json"))
+
+
 def http_code(status: Column) -> Column:
     """(O116)"""
     return F.when(status == "DOWN", 503).otherwise(200)

@@ -1,7 +1,8 @@
 """Ordered lookups over numeric keys.
 
 Keys and probes are cut into ranges of `width`; a range is sorted by itself, and
-what the ranges before it end with comes from one row for each range.
+what the ranges before it end with comes from one row for each range, carried over
+`SPAN` ranges in a task and then over the spans.
 """
 
 from __future__ import annotations
@@ -26,12 +27,38 @@ def nearest(probes: DataFrame, keys: DataFrame, on: str, mode: str, width: int,
     near = Window.partitionBy("_b").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
     within = rows.withColumn("_in", F.last("_key", ignorenulls=True).over(near))
     ends = rows.groupBy("_b").agg(F.max(F.struct(F.when(F.col("_key").isNotNull(), F.col("_at")).alias("o"), F.col("_key").alias("k"))).alias("_e"))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select("_b", F.last(F.col("_e.k"), ignorenulls=True).over(before).alias("_before"))
+    carried = _carried(ends.select("_b", F.col("_e.k").alias("_k")))
     found = within.where("_probe").join(carried, "_b")
     return found.select(on, *rest, F.coalesce("_in", "_before").alias(into))
 
 
+SPAN = 1 << 12
+
+
+def _carried(ends: DataFrame) -> DataFrame:
+    """(_b, _before): of each range, the last key that the ranges before it end with."""
+    rows = ends.withColumn("_s", F.floor(F.col("_b") / SPAN))
+    last = lambda c, w: F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    within = rows.withColumn("_in", last("_k", Window.partitionBy("_s").orderBy("_b")))
+    spans = rows.where("_k IS NOT NULL").groupBy("_s").agg(F.max_by("_k", "_b").alias("_k"))
+    spans = rows.select("_s").distinct().join(spans, "_s", "left").withColumn("_out", last("_k", Window.orderBy("_s")))
+    return within.join(spans.select("_s", "_out"), "_s").select("_b", F.coalesce("_in", "_out").alias("_before"))
+
+
+def disjoint_union(low: DataFrame, high: DataFrame, key: str) -> DataFrame:
+    """All rows of two ranges of keys; fails unless every key of the first is below every key of the second. (O048, O159)"""
+    ends = low.agg(F.max(key).alias("a")).crossJoin(high.agg(F.min(key).alias("b")))
+    checked = ends.select(F.when(F.col("a") >= F.col("b"), F.raise_error(F.lit("the ranges of keys overlap")).cast("boolean")).alias("_bad"))
+    return low.unionByName(high).crossJoin(F.broadcast(checked)).where("_bad IS NULL").drop("_bad")
+
+
+def sorted_build(df: DataFrame, key: str) -> DataFrame:
+    """The rows in order of their keys; fails where a key is there twice. (O148)"""
+    n = F.count("*").over(Window.partitionBy(key))
+    once = df.withColumn("_bad", F.when(n > 1, F.raise_error(F.concat(F.lit("repeated key "), F.col(key).cast("string"))).cast("boolean")))
+    return once.where("_bad IS NULL").drop("_bad").orderBy(key)
+
+
 def lookup(df: DataFrame, probes: DataFrame, keys: list[str]) -> DataFrame:
     """All probes, with what is stored under their keys. (O044)"""
     return probes.join(df, keys, "left")

@@ -74,3 +74,19 @@ def spans(df: DataFrame, timer: str, since_start: str, order: str) -> DataFrame:
     """Marks of a timer as spans, each from the mark before. (O030)"""
     w = Window.partitionBy(timer).orderBy(since_start, order)
     return df.withColumn("start", F.coalesce(F.lag(since_start).over(w), F.lit(0))).withColumn("end", F.col(since_start))
+
+
+def stage_counters(df: DataFrame, stage: str, dropped: str) -> DataFrame:
+    """Operations of each stage and how many of them were dropped. (O120)"""
+    return df.groupBy(stage).agg(F.count("*").alias("ops_total"), F.count_if(F.col(dropped)).alias("dropped_total"))
+
+
+def timer_totals(spans_: DataFrame, timer: str) -> DataFrame:
+    """Spans of each timer, their total and their greatest length. (O123)"""
+    length = F.col("end") - F.col("start")
+    return spans_.groupBy(timer).agg(F.count("*").alias("spans"), F.sum(length).alias("total"), F.max(length).alias("longest"))
+
+
+def due(df: DataFrame, now: Column, refreshed: str, interval: Column) -> DataFrame:
+    """What was refreshed an interval ago or longer. (O221)"""
+    return df.where(now - F.col(refreshed) >= interval)

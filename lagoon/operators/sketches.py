@@ -15,7 +15,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lagoon.operators.ranks import in_order
+from lagoon.operators.ranks import in_order, offsets
+
+
+#: Bits of a key's hash in each form.
+HASH_BITS = {"xxhash64": 64, "md5": 60}
+
+
+def key_hash(salt: int, key: str, form: str = "xxhash64") -> Column:
+    """A salted hash of a key as a long: Spark's own, or the first 60 bits of an MD5 digest, which other engines can repeat."""
+    if form not in HASH_BITS:
+        raise ValueError(f"no hash {form!r}")
+    if form == "xxhash64":
+        return F.xxhash64(F.lit(salt), key)
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{salt}:"), F.col(key).cast("string")).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 # --- distinct counts -------------------------------------------------------
@@ -26,12 +39,12 @@ def precision_for(error: float) -> int:
     return min(18, max(4, math.ceil(math.log2((1.04 / error) ** 2))))
 
 
-def hll_registers(df: DataFrame, groups: list[str], key: str, p: int) -> DataFrame:
+def hll_registers(df: DataFrame, groups: list[str], key: str, p: int, form: str = "xxhash64") -> DataFrame:
     """(groups, register, rho): upper bits pick the register, rho is the place of the first set bit of the rest. (O087, O091)"""
-    h = F.xxhash64(F.lit(1), key)
-    register = F.call_function("shiftrightunsigned", h, F.lit(64 - p)).cast("int")
-    rest = F.call_function("shiftleft", h, F.lit(p))
-    rho = F.when(rest == 0, 64 - p + 1).otherwise(65 - F.length(F.bin(rest)))
+    h, bits = key_hash(1, key, form), HASH_BITS[form]
+    register = F.call_function("shiftrightunsigned", h, F.lit(bits - p)).cast("int")
+    rest = F.call_function("shiftleft", h, F.lit(64 - bits + p))
+    rho = F.when(rest == 0, bits - p + 1).otherwise(65 - F.length(F.bin(rest)))
     return df.where(F.col(key).isNotNull()).groupBy(*groups, register.alias("register")).agg(F.max(rho).alias("rho"))
 
 
@@ -66,20 +79,24 @@ def cms_shape(error: float, confidence: float) -> tuple[int, int]:
     return max(1, math.ceil(math.log(1 / (1 - confidence)))), 1 << math.ceil(math.log2(math.e / error))
 
 
-def _cells(key: str, depth: int, width: int) -> Column:
-    return F.array(*(F.struct(F.lit(d).alias("row"), F.pmod(F.xxhash64(F.lit(d), key), F.lit(width)).cast("int").alias("idx")) for d in range(depth)))
+def _cell(d: int, key: str, width: int, form: str) -> Column:
+    return F.pmod(key_hash(d, key, form), F.lit(width)).cast("int")
+
 
+def _cells(key: str, depth: int, width: int, form: str = "xxhash64") -> Column:
+    return F.array(*(F.struct(F.lit(d).alias("row"), _cell(d, key, width, form).alias("idx")) for d in range(depth)))
 
-def cms(df: DataFrame, groups: list[str], key: str, depth: int, width: int, n: Column | None = None) -> DataFrame:
+
+def cms(df: DataFrame, groups: list[str], key: str, depth: int, width: int, n: Column | None = None, form: str = "xxhash64") -> DataFrame:
     """(groups, row, idx, c). Keys are counted before their cells are made. (O093)"""
     counted = df.groupBy(*groups, key).agg((F.count("*") if n is None else F.sum(n)).alias("_n"))
-    cells = counted.select(*groups, "_n", F.explode(_cells(key, depth, width)).alias("e"))
+    cells = counted.select(*groups, "_n", F.explode(_cells(key, depth, width, form)).alias("e"))
     return cells.groupBy(*groups, "e.row", "e.idx").agg(F.sum("_n").alias("c"))
 
 
-def cms_estimate(sketch: DataFrame, keys: DataFrame, key: str, depth: int, width: int) -> DataFrame:
+def cms_estimate(sketch: DataFrame, keys: DataFrame, key: str, depth: int, width: int, form: str = "xxhash64") -> DataFrame:
     """(O094)"""
-    asked = keys.select(key).distinct().select(key, F.explode(_cells(key, depth, width)).alias("e")).select(key, "e.row", "e.idx")
+    asked = keys.select(key).distinct().select(key, F.explode(_cells(key, depth, width, form)).alias("e")).select(key, "e.row", "e.idx")
     return asked.join(sketch, ["row", "idx"], "left").groupBy(key).agg(F.min(F.coalesce("c", F.lit(0))).alias("estimate"))
 
 
@@ -94,14 +111,28 @@ def cms_occupancy(sketch: DataFrame, depth: int, width: int) -> DataFrame:
 
 
 def cms_window(df: DataFrame, ts: str, key: str, slide: str, size: str) -> DataFrame:
-    """Counts by sliding window: every slice is counted once and belongs to the windows over it. (O100, O214)"""
+    """Exact counts by sliding window: every slice is counted once and belongs to the windows over it. (O100, O214)"""
     return df.groupBy(F.window(ts, size, slide)["end"].alias("at"), key).agg(F.count("*").alias("n"))
 
 
-def cms_conservative(df: DataFrame, groups: list[str], key: str, order: str, depth: int, width: int) -> DataFrame:
+def cms_windows(df: DataFrame, ts: str, key: str, slide: str, slices: int, depth: int, width: int, form: str = "xxhash64") -> DataFrame:
+    """(at, row, idx, c): a sketch of each slice of time is made once; a window's cells are the sums of its last slices'. (O100)"""
+    sliced = cms(df.withColumn("_s", F.window(ts, slide)["end"]), ["_s"], key, depth, width, form=form)
+    ends = F.explode(F.transform(F.sequence(F.lit(0), F.lit(slices - 1)), lambda k: F.col("_s") + F.expr(f"INTERVAL {slide}") * k))
+    return sliced.select(ends.alias("at"), "row", "idx", "c").groupBy("at", "row", "idx").agg(F.sum("c").alias("c"))
+
+
+def cms_merge(a: DataFrame, b: DataFrame, a_shape: tuple, b_shape: tuple, how: str = "sum") -> DataFrame:
+    """Two sketches (row, idx, c) of one shape (depth, width, hash) as one: sums, or the greater cells where no key is in both. Other shapes don't merge. (O098)"""
+    if a_shape != b_shape:
+        raise ValueError(f"sketches of shapes {a_shape} and {b_shape} don't merge")
+    return a.unionByName(b).groupBy("row", "idx").agg({"sum": F.sum, "max": F.max}[how]("c").alias("c"))
+
+
+def cms_conservative(df: DataFrame, groups: list[str], key: str, order: str, depth: int, width: int, form: str = "xxhash64") -> DataFrame:
     """Cells under conservative update, which depends on the order of arrival and so is a fold over a group. (O093)"""
     kind = f"struct<{', '.join(f'`{df.schema[g].name}`:{df.schema[g].dataType.simpleString()}' for g in groups)}>"
-    rows = df.select(F.struct(*groups).alias("_g"), F.col(order).alias("_o"), *(F.pmod(F.xxhash64(F.lit(d), key), F.lit(width)).cast("int").alias(f"_c{d}") for d in range(depth)))
+    rows = df.select(F.struct(*groups).alias("_g"), F.col(order).alias("_o"), *(_cell(d, key, width, form).alias(f"_c{d}") for d in range(depth)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, cells = None, {}  # cells of one group at a time
@@ -136,20 +167,20 @@ def bloom_shape(n: int, bits_per_key: int = 10) -> tuple[int, int]:
     return max(64, n * bits_per_key), max(1, round(bits_per_key * math.log(2)))
 
 
-def _bits(key: str, bits: int, k: int) -> Column:
-    a, b = F.xxhash64(F.lit(11), key), F.xxhash64(F.lit(13), key)
+def _bits(key: str, bits: int, k: int, form: str = "xxhash64") -> Column:
+    a, b = key_hash(11, key, form), key_hash(13, key, form)
     wide = lambda x: F.pmod(x, F.lit(bits))
     return F.array(*(F.pmod(wide(a) + wide(b) * i + i * i, F.lit(bits)) for i in range(k)))
 
 
-def bloom(df: DataFrame, groups: list[str], key: str, bits: int, k: int) -> DataFrame:
+def bloom(df: DataFrame, groups: list[str], key: str, bits: int, k: int, form: str = "xxhash64") -> DataFrame:
     """(groups, bit) of the bits that are set; a union is a distinct union of rows. (O101, O102)"""
-    return df.where(F.col(key).isNotNull()).select(*groups, F.explode(_bits(key, bits, k)).alias("bit")).distinct()
+    return df.where(F.col(key).isNotNull()).select(*groups, F.explode(_bits(key, bits, k, form)).alias("bit")).distinct()
 
 
-def bloom_contains(filter_: DataFrame, probes: DataFrame, key: str, bits: int, k: int) -> DataFrame:
+def bloom_contains(filter_: DataFrame, probes: DataFrame, key: str, bits: int, k: int, form: str = "xxhash64") -> DataFrame:
     """The probes with `maybe`: false is certain. (O038)"""
-    asked = probes.select(key, F.explode(F.array_distinct(_bits(key, bits, k))).alias("bit"))
+    asked = probes.select(key, F.explode(F.array_distinct(_bits(key, bits, k, form))).alias("bit"))
     hit = asked.join(filter_.select("bit").withColumn("_set", F.lit(1)), "bit", "left")
     return hit.groupBy(key).agg((F.count("_set") == F.count("*")).alias("maybe"))
 
@@ -160,10 +191,33 @@ def bloom_estimates(filter_: DataFrame, groups: list[str], bits: int, k: int) ->
     return filter_.groupBy(*groups).agg(F.count("*").alias("set_bits"), (-F.lit(bits / k) * F.ln(1 - full)).alias("keys"), F.pow(full, F.lit(k)).alias("fpp"))
 
 
-def counting_bloom(df: DataFrame, key: str, change: Column, bits: int, k: int, most: int = 15) -> DataFrame:
+def bloom_union(a: DataFrame, b: DataFrame, a_shape: tuple, b_shape: tuple) -> DataFrame:
+    """The bits of both filters, which must have one shape (bits, hashes, hash). (O102)"""
+    if a_shape != b_shape:
+        raise ValueError(f"filters of shapes {a_shape} and {b_shape} don't merge")
+    return a.unionByName(b).distinct()
+
+
+def _slices(key: str, bits: int, k: int, form: str) -> Column:
+    return F.array(*(F.struct(F.lit(i).alias("slice"), F.pmod(key_hash(100 + i, key, form), F.lit(bits)).alias("bit")) for i in range(k)))
+
+
+def partitioned_bloom(df: DataFrame, key: str, bits: int, k: int, form: str = "xxhash64") -> DataFrame:
+    """(slice, bit): each hash has a slice of `bits` bits of its own. (O105)"""
+    return df.where(F.col(key).isNotNull()).select(F.explode(_slices(key, bits, k, form)).alias("e")).select("e.*").distinct()
+
+
+def partitioned_contains(filter_: DataFrame, probes: DataFrame, key: str, bits: int, k: int, form: str = "xxhash64") -> DataFrame:
+    """The probes with `maybe`: false is certain. (O105)"""
+    asked = probes.select(key).distinct().select(key, F.explode(_slices(key, bits, k, form)).alias("e")).select(key, "e.*")
+    hit = asked.join(filter_.withColumn("_set", F.lit(1)), ["slice", "bit"], "left")
+    return hit.groupBy(key).agg((F.count("_set") == k).alias("maybe"))
+
+
+def counting_bloom(df: DataFrame, key: str, change: Column, bits: int, k: int, most: int = 15, form: str = "xxhash64") -> DataFrame:
     """Cells of a counting filter after additions and removals, at most `most` each. (O104, O205)"""
     counted = df.groupBy(key).agg(F.sum(change).alias("_n"))
-    cells = counted.select("_n", F.explode(_bits(key, bits, k)).alias("cell"))
+    cells = counted.select("_n", F.explode(_bits(key, bits, k, form)).alias("cell"))
     return cells.groupBy("cell").agg(F.least(F.sum("_n"), F.lit(most)).alias("c")).where("c > 0")
 
 
@@ -172,40 +226,88 @@ def scalable_layer(number: Column, first: int) -> Column:
     return F.floor(F.log2(number / F.lit(float(first)) + 1)).cast("int")
 
 
-def cuckoo(df: DataFrame, groups: list[str], key: str, buckets: int, fingerprint_bits: int = 12, slots: int = 4, kicks: int = 500) -> DataFrame:
-    """(groups, bucket, fingerprint, n) of a cuckoo filter of each group, and rows with bucket -1 for keys that found no place. Kicks depend on the order of insertion, so a group is a fold over its distinct keys. (O107-O110)"""
-    schema = ", ".join([*(f"`{g}` {df.schema[g].dataType.simpleString()}" for g in groups), "bucket int, fingerprint int, n long"])
-    rows = df.select(*groups, F.xxhash64(F.lit(5), key).alias("_h")).distinct()
-    mask = buckets - 1
-    if buckets & mask:
+def _homes(key: str, buckets: int, bits: int) -> list[Column]:
+    """A key's fingerprint, its first bucket, and the step between its two buckets, which the fingerprint alone gives."""
+    h = F.xxhash64(F.lit(5), key)
+    print_ = (F.pmod(F.shiftright(h, 32), F.lit((1 << bits) - 1)) + 1).cast("int")
+    step = (F.pmod(F.xxhash64(F.lit(17), print_), F.lit(buckets - 1)) + 1).cast("int")
+    return [print_.alias("fingerprint"), F.pmod(h, F.lit(buckets)).cast("int").alias("_at"), step.alias("_step"), F.xxhash64(F.lit(19), key).alias("_deal")]
+
+
+LOAD = 0.9
+
+
+def cuckoo(df: DataFrame, groups: list[str], key: str, buckets: int = 1024, fingerprint_bits: int = 12, slots: int = 4, kicks: int = 500) -> DataFrame:
+    """(groups, parts, part, bucket, fingerprint, n) of a cuckoo filter of each group, and rows with bucket -1 for keys that found no place. (O107, O109, O110)
+
+    A group's distinct keys are counted and dealt by hash to as many filters of
+    `buckets` as hold them at `LOAD`; kicks depend on the order of insertion, so each
+    of these, of a bounded size, is a fold.
+    """
+    if buckets & (buckets - 1):
         raise ValueError("the number of buckets must be a power of two")
+    kinds = ", ".join(f"`{g}` {df.schema[g].dataType.simpleString()}" for g in groups)
+    names = [*groups, "parts", "part", "bucket", "fingerprint", "n"]
+    keys = df.where(F.col(key).isNotNull()).select(*groups, key).distinct()
+    sizes = keys.groupBy(*groups).agg(F.ceil(F.count("*") / (LOAD * buckets * slots)).alias("parts"))
+    dealt = (keys.join(sizes, groups) if groups else keys.crossJoin(sizes)).select(*groups, "parts", *_homes(key, buckets, fingerprint_bits))
+    dealt = dealt.withColumn("part", F.pmod("_deal", "parts"))
 
     def run(key_, pdf: pd.DataFrame) -> pd.DataFrame:
-        table: list[list[int]] = [[] for _ in range(buckets)]
+        table: list[list[tuple[int, int]]] = [[] for _ in range(buckets)]
         lost, turn = [], 0
-        for h in sorted(int(x) & 0xFFFFFFFFFFFFFFFF for x in pdf["_h"]):
-            print_ = (h >> 32) % ((1 << fingerprint_bits) - 1) + 1
-            at = h & mask
-            other = at ^ (print_ * 0x5BD1E995 & mask)
-            home = next((b for b in (at, other) if len(table[b]) < slots), None)
-            for _ in range(kicks):
-                if home is not None:
-                    break
+        for print_, at, step in pdf.sort_values(["_deal", "fingerprint"])[["fingerprint", "_at", "_step"]].itertuples(index=False):
+            home = next((b for b in (at, at ^ step) if len(table[b]) < slots), None)
+            for _ in range(kicks if home is None else 0):
                 turn += 1
-                table[at][turn % slots], print_ = print_, table[at][turn % slots]
-                at ^= print_ * 0x5BD1E995 & mask
-                home = at if len(table[at]) < slots else None
-            if home is None:
-                lost.append(print_)
-            else:
-                table[home].append(print_)
+                table[at][turn % slots], (print_, step) = (print_, step), table[at][turn % slots]
+                at ^= step
+                if len(table[at]) < slots:
+                    home = at
+                    break
+            (lost if home is None else table[home]).append((print_, step))
         cells: dict[tuple[int, int], int] = {}
-        for b, prints in [*enumerate(table), (-1, lost)]:
-            for f in prints:
+        for b, entries in [*enumerate(table), (-1, lost)]:
+            for f, _ in entries:
                 cells[b, f] = cells.get((b, f), 0) + 1
-        return pd.DataFrame([[*key_, b, f, n] for (b, f), n in cells.items()], columns=[*groups, "bucket", "fingerprint", "n"])
+        return pd.DataFrame([[*key_, b, f, n] for (b, f), n in cells.items()], columns=names)
+
+    prefix = f"{kinds}, " if kinds else ""
+    return dealt.groupBy(*groups, "parts", "part").applyInPandas(run, f"{prefix}parts long, part long, bucket int, fingerprint int, n long")
+
+
+def _pairs_of(filter_: DataFrame, asked: DataFrame, groups: list[str], key: str, buckets: int, bits: int) -> DataFrame:
+    """The asked keys with their filter part, fingerprint and both buckets."""
+    parts = filter_.groupBy(*groups).agg(F.max("parts").alias("_parts"))
+    rows = asked.join(parts, groups) if groups else asked.crossJoin(parts)
+    return rows.select(*groups, key, "_parts", *_homes(key, buckets, bits)).withColumn("part", F.pmod("_deal", "_parts")).withColumn("_other", F.col("_at").bitwiseXOR(F.col("_step")))
+
+
+def cuckoo_contains(filter_: DataFrame, probes: DataFrame, groups: list[str], key: str, buckets: int = 1024, fingerprint_bits: int = 12) -> DataFrame:
+    """(groups, key, maybe): false is certain; keys without a place count as members by fingerprint. (O039)"""
+    asked = _pairs_of(filter_, probes.select(*groups, key).distinct(), groups, key, buckets, fingerprint_bits)
+    asked = asked.select(*groups, key, "part", "fingerprint", F.explode(F.array("_at", "_other", F.lit(-1))).alias("bucket"))
+    hit = asked.join(filter_.select(*groups, "part", "fingerprint", "bucket", F.lit(1).alias("_set")), [*groups, "part", "fingerprint", "bucket"], "left")
+    return hit.groupBy(*groups, key).agg((F.count("_set") > 0).alias("maybe"))
+
+
+def cuckoo_delete(filter_: DataFrame, gone: DataFrame, groups: list[str], key: str, buckets: int = 1024, fingerprint_bits: int = 12) -> DataFrame:
+    """The filter without one fingerprint for each distinct key of `gone` that was inserted before. (O107, O157)"""
+    asked = _pairs_of(filter_, gone.select(*groups, key).distinct(), groups, key, buckets, fingerprint_bits)
+    pair = [*groups, "part", "fingerprint", "_low"]
+    demand = asked.withColumn("_low", F.least("_at", "_other")).groupBy(*pair).agg(F.count("*").alias("_gone"))
+    step = (F.pmod(F.xxhash64(F.lit(17), "fingerprint"), F.lit(buckets - 1)) + 1).cast("int")
+    cells = filter_.withColumn("_low", F.when(F.col("bucket") >= 0, F.least("bucket", F.col("bucket").bitwiseXOR(step))).otherwise(-1))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*pair).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    taken = F.least(F.col("n"), F.greatest(F.lit(0), F.coalesce("_gone", F.lit(0)) - before))
+    return cells.join(demand, pair, "left").withColumn("n", F.col("n") - taken).where("n > 0").select(*filter_.columns)
+
 
-    return rows.groupBy(*groups).applyInPandas(run, schema)
+def cuckoo_rates(filter_: DataFrame, groups: list[str], buckets: int = 1024, fingerprint_bits: int = 12, slots: int = 4) -> DataFrame:
+    """Share of slots in use, and the most that a lookup of an absent key is wrong: both buckets' fingerprints by chance. (O108)"""
+    used = filter_.where("bucket >= 0").groupBy(*groups).agg(F.sum("n").alias("keys"), (F.max("parts") * F.lit(buckets * slots)).alias("_slots"))
+    load = F.col("keys") / F.col("_slots")
+    return used.select(*groups, "keys", F.round(load, 6).alias("load"), F.round(2 * slots * load / F.lit(float((1 << fingerprint_bits) - 1)), 9).alias("fpp"))
 
 
 def heavy_hitters(df: DataFrame, key: str, k: int, depth: int, width: int) -> DataFrame:
@@ -214,8 +316,29 @@ def heavy_hitters(df: DataFrame, key: str, k: int, depth: int, width: int) -> Da
     return est.orderBy(F.desc("estimate"), key).limit(k)
 
 
-def dense_rank_layers(df: DataFrame, key: str, first: int) -> DataFrame:
-    """Keys in order of first appearance with their layer of a scalable filter."""
+def dense_rank_layers(df: DataFrame, key: str, first: int, every: int = 1 << 16) -> DataFrame:
+    """Keys in order of first appearance with their layer of a scalable filter. (O106)"""
     firsts = df.groupBy(key).agg(F.min("seq").alias("seen"))
-    number = F.row_number().over(Window.orderBy("seen", key)) - 1
-    return firsts.select(key, scalable_layer(number.cast("double"), first).alias("layer"))
+    numbered = offsets(firsts, ["seen", key], F.floor(F.col("seen") / every), into="_number")
+    return numbered.select(key, scalable_layer(F.col("_number").cast("double"), first).alias("layer"))
+
+
+def scalable_bloom(df: DataFrame, key: str, first: int, bits: int, k: int, form: str = "xxhash64") -> DataFrame:
+    """(layer, bit): layer i holds `first * 2**i` keys in `bits * 2**i` bits. (O106, O195)"""
+    layered = dense_rank_layers(df, key, first)
+    wide = F.lit(bits) * F.call_function("shiftleft", F.lit(1).cast("long"), F.col("layer"))
+    a, b = key_hash(11, key, form), key_hash(13, key, form)
+    at = F.array(*(F.pmod(F.pmod(a, wide) + F.pmod(b, wide) * i + i * i, wide) for i in range(k)))
+    return layered.select("layer", F.explode(at).alias("bit")).distinct()
+
+
+def scalable_contains(filter_: DataFrame, probes: DataFrame, key: str, bits: int, k: int, form: str = "xxhash64") -> DataFrame:
+    """The probes with `maybe`: whether all bits are set in some layer. (O106)"""
+    layers = filter_.groupBy("layer").agg(F.lit(1).alias("_l")).select("layer")
+    asked = probes.select(key).distinct().join(F.broadcast(layers))  # as many rows as the keys' count has bits
+    wide = F.lit(bits) * F.call_function("shiftleft", F.lit(1).cast("long"), F.col("layer"))
+    a, b = key_hash(11, key, form), key_hash(13, key, form)
+    at = F.array_distinct(F.array(*(F.pmod(F.pmod(a, wide) + F.pmod(b, wide) * i + i * i, wide) for i in range(k))))
+    cells = asked.select(key, "layer", F.size(at).alias("_k"), F.explode(at).alias("bit"))
+    hit = cells.join(filter_.withColumn("_set", F.lit(1)), ["layer", "bit"], "left")
+    return hit.groupBy(key, "layer").agg((F.count("_set") == F.max("_k")).alias("_m")).groupBy(key).agg(F.max("_m").alias("maybe"))

@@ -2,30 +2,35 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lagoon.functions import numeric as nx
-from lagoon.operators import eventlog, ranks, sketches
+from lagoon.operators import eventlog, metrics, ranks, sketches
+from lagoon.plans.value_queries import _md5
 from lagoon.sources import runs, segments
+from lagoon.sources.scratch import scratch
 from lagoon.sources.tables import samples, table
 from lagoon.streaming import streams
 
 
+def _framed(s, d, check):
+    """Event ids written as segment files with checksums, and read back."""
+    path = scratch(s, "segments")
+    segments.write(table(s, d, "events").select("event_id", F.col("event_id").cast("string").alias("p")), "p", ["event_id"], path, check)
+    return segments.read(s, path, check)
+
+
 def _segment_scan(s, d):
-    """Event ids as frames with checksums, read back."""
-    made = segments.segments(table(s, d, "events").select("event_id", F.col("event_id").cast("string").alias("p")), "p", ["p"], "crc32")
+    return _framed(s, d, "crc32").select(F.col("payload").cast("string").cast("long").alias("event_id"), "error")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for raw in b.column("content").to_pylist():
-                rows = list(segments.decode(raw, "crc32"))
-                yield pa.RecordBatch.from_arrays([pa.array([int(r[2]) for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.string())], names=["event_id", "error"])
 
-    return made.mapInArrow(run, "event_id long, error string")
+def _segment_seek(s, d):
+    """Frames from the 10th block of each file on, up to what is committed."""
+    frames = _framed(s, d, "xxh3")
+    marks = frames.groupBy("segment").agg(F.max("end").alias("committed"))
+    kept = segments.committed(segments.seek(frames, 10), marks)
+    first = frames.groupBy("segment").agg(F.least(F.count("*"), F.lit(10)).alias("n"))
+    return kept.groupBy("segment").agg(F.count("*").alias("n")).unionByName(first).agg(F.sum("n").alias("n"))
 
 
 def _wal(s, d):
@@ -34,25 +39,21 @@ def _wal(s, d):
 
 
 def _partitioned_bloom(s, d):
-    """A slice for each hash: the same keys are found again in every slice."""
+    """Customers of even number in the filter, all of them asked for."""
     c = table(s, d, "customer").select(F.col("c_custkey").alias("k"))
-    bits, k = 1 << 15, 5
-    cells = [F.struct(F.lit(i).alias("slice"), F.pmod(F.xxhash64(F.lit(100 + i), "k"), F.lit(bits)).alias("bit")) for i in range(k)]
-    rows = c.select("k", F.explode(F.array(*cells)).alias("e")).select("k", "e.*")
-    bloom = rows.select("slice", "bit").distinct()
-    found = rows.join(bloom, ["slice", "bit"]).groupBy("k").agg((F.countDistinct("slice") == k).alias("found"))
-    return found.agg(F.min("found").alias("all_found"), F.count("*").alias("keys"))
+    made = sketches.partitioned_bloom(c.where("k % 2 = 0"), "k", 1 << 10, 3, "md5")
+    return sketches.partitioned_contains(made, c, "k", 1 << 10, 3, "md5")
 
 
 def _catch_up(s, d):
     stream = s.readStream.schema(table(s, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    return streams.catch_up(stream, ["event_type"], [F.count("*").alias("n"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("total")], f"catch_up_{uuid.uuid4().hex[:8]}")
+    return streams.catch_up(stream, ["event_type"], [F.count("*").alias("n"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("total")], scratch(s, "catch_up"))
 
 
 def _stream_windows(s, d):
     stream = s.readStream.schema(table(s, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
     day = F.window(F.col("ts").cast("timestamp"), "1 day")["start"].cast("date").alias("day")
-    return streams.catch_up(stream.withColumn("day", day), ["day", "event_type"], [F.count("*").alias("n")], f"windows_{uuid.uuid4().hex[:8]}")
+    return streams.catch_up(stream.withColumn("day", day), ["day", "event_type"], [F.count("*").alias("n")], scratch(s, "windows"))
 
 
 QUERIES = {
@@ -60,22 +61,27 @@ QUERIES = {
     "wal_replay": _wal,
     "partitioned_bloom": _partitioned_bloom,
     "bulk_build_check": lambda s, d: table(s, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n")).agg(F.count("*").alias("keys"), F.count_if(F.col("n") > 1).alias("repeated")),
-    "fx_parts": lambda s, d: table(s, d, "customer").select("c_custkey", (F.round(F.col("c_acctbal") * 100).cast("long") * -10_000_000).alias("raw")).select("c_custkey", nx._quotient(F.abs(F.col("raw")).cast(nx.WIDE), F.lit(nx.ONE).cast(nx.WIDE)).cast("long").alias("whole"), (F.col("raw") % nx.ONE).alias("part"), F.signum("raw").cast("int").alias("sign")),
-    "refresh_due": lambda s, d: table(s, d, "events").groupBy("user_id").agg(F.max(F.unix_seconds(F.col("ts").cast("timestamp"))).alias("at")).where(F.lit(1706659200) - F.col("at") >= 7200).select("user_id"),
+    "fx_parts": lambda s, d: table(s, d, "customer").select("c_custkey", (F.round(F.col("c_acctbal") * 100).cast("long") * -10_000_000).alias("raw")).select("c_custkey", *(p.alias(k) for p, k in zip(nx.parts("raw"), ("whole", "part", "sign"), strict=True))),
+    "refresh_due": lambda s, d: metrics.due(table(s, d, "events").groupBy("user_id").agg(F.max(F.unix_seconds(F.col("ts").cast("timestamp"))).alias("at")), F.lit(1706659200), "at", F.lit(7200)).select("user_id"),
     "probe_views": lambda s, d: table(s, d, "events").select(F.explode(F.when(F.col("user_id") % 2 == 0, F.array(F.lit("live"), F.lit("ready"))).otherwise(F.array(F.lit("ready")))).alias("kind"), F.when(F.col("event_type") == "error", "DEGRADED").otherwise("UP").alias("status"), F.col("user_id")).groupBy("kind").agg(eventlog.status_name(F.max(eventlog.status_rank(F.col("status")))).alias("status")),
     "conformance_gate": lambda s, d: ranks.picks(samples(s, d), ["g"], "x", {"p99": 0.99}).select("g", "p99", (F.col("p99") < 20_000).alias("passes")),
     "hll_builtin": lambda s, d: table(s, d, "lineitem").agg(F.hll_sketch_estimate(F.hll_sketch_agg("l_partkey", 14)).alias("e"), F.countDistinct("l_partkey").alias("n")).select((F.abs(F.col("e") - F.col("n")) <= 0.05 * F.col("n")).alias("ok")),
     "hll_intersection": lambda s, d: table(s, d, "lineitem").agg(F.hll_sketch_agg(F.when(F.col("l_partkey") % 3 != 0, F.col("l_partkey")), 14).alias("a"), F.hll_sketch_agg(F.when(F.col("l_partkey") % 3 != 1, F.col("l_partkey")), 14).alias("b"), F.countDistinct(F.when(F.col("l_partkey") % 3 == 2, F.col("l_partkey"))).alias("n")).select(sketches.hll_intersection(F.hll_sketch_estimate("a").cast("double"), F.hll_sketch_estimate("b").cast("double"), F.hll_sketch_estimate(F.hll_union("a", "b")).cast("double")).alias("e"), "n").select((F.abs(F.col("e") - F.col("n")) <= 0.15 * F.col("n")).alias("ok")),
+    "segment_seek": _segment_seek,
     "stream_catch_up": _catch_up,
     "stream_windows": _stream_windows,
 }
 
+_PARTITIONED = f"""WITH p AS (SELECT c_custkey AS k, i, {_md5("(100 + i)", "c_custkey")} % 1024 AS bit FROM customer, range(3) t(i)),
+f AS (SELECT DISTINCT i, bit FROM p WHERE k % 2 = 0)
+SELECT p.k, count(f.bit) = 3 AS maybe FROM p LEFT JOIN f ON f.i = p.i AND f.bit = p.bit GROUP BY p.k"""
 SQL = {
     "segment_scan": "SELECT event_id, CAST(NULL AS VARCHAR) AS error FROM events",
     "wal_replay": "WITH b AS (SELECT o_orderkey % 4 AS log, min(o_orderkey) FILTER (WHERE o_orderkey % 1501 = 1500) AS bad FROM orders GROUP BY 1) SELECT log, count(*) AS n, max(o_orderkey) AS last FROM orders JOIN b ON log = o_orderkey % 4 WHERE bad IS NULL OR o_orderkey < bad GROUP BY log",
-    "partitioned_bloom": "SELECT true AS all_found, count(*) AS keys FROM customer",
+    "segment_seek": "SELECT count(*) AS n FROM events",
+    "partitioned_bloom": _PARTITIONED,
     "bulk_build_check": "SELECT count(*) AS keys, count(*) FILTER (WHERE n > 1) AS repeated FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey)",
-    "fx_parts": "WITH a AS (SELECT c_custkey, CAST(round(c_acctbal * 100) AS BIGINT) * -10000000 AS raw FROM customer) SELECT c_custkey, abs(raw) // 1000000000 AS whole, raw % 1000000000 AS part, CAST(sign(raw) AS INT) AS sign FROM a",
+    "fx_parts": "WITH a AS (SELECT c_custkey, CAST(round(c_acctbal * 100) AS BIGINT) * -10000000 AS raw FROM customer) SELECT c_custkey, abs(raw) // 1000000000 AS whole, abs(raw) % 1000000000 AS part, CAST(sign(raw) AS INT) AS sign FROM a",
     "refresh_due": "SELECT user_id FROM events GROUP BY user_id HAVING 1706659200 - max(CAST(floor(epoch(ts)) AS BIGINT)) >= 7200",
     "probe_views": "WITH k AS (SELECT 'ready' AS kind, event_type FROM events UNION ALL SELECT 'live', event_type FROM events WHERE user_id % 2 = 0) SELECT kind, CASE WHEN bool_or(event_type = 'error') THEN 'DEGRADED' ELSE 'UP' END AS status FROM k GROUP BY kind",
     "conformance_gate": "WITH s AS (SELECT event_type AS g, CAST(round(value * 100) AS BIGINT) AS x FROM events), r AS (SELECT g, x, row_number() OVER (PARTITION BY g ORDER BY x) AS rk, count(*) OVER (PARTITION BY g) AS n FROM s), p AS (SELECT g, max(x) FILTER (WHERE rk = least(n, CAST(floor(0.99::DOUBLE * n) AS BIGINT) + 1)) AS p99 FROM r GROUP BY g) SELECT g, p99, p99 < 20000 AS passes FROM p",

@@ -119,8 +119,8 @@ QUERIES = {
     "event_json": lambda s, d: table(s, d, "events").select("event_id", eventlog.event_json(F.col("event_type"), F.lit("INFO"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(None).cast("string"), F.create_map(F.lit("user"), F.col("user_id").cast("string"), F.lit("k"), F.get_json_object("props", "$.k"))).alias("json")),
     "status_worst": lambda s, d: eventlog.worst(_statuses(s, d), ["user_id"], "status"),
     "status_views": lambda s, d: eventlog.health_view(_statuses(s, d), ["event_type"], "status", "critical").withColumnRenamed("event_type", "view").unionByName(eventlog.health_view(_statuses(s, d).withColumn("view", F.lit("all")), ["view"], "status", "critical")).withColumn("code", eventlog.http_code(F.col("status"))),
-    "status_transitions": lambda s, d: eventlog.transitions(_statuses(s, d), "user_id", "ts", "status").select("user_id", "event_id", "before", "status"),
-    "transition_counter": lambda s, d: eventlog.transition_counts(eventlog.transitions(_statuses(s, d), "user_id", "ts", "status"), "user_id", "status"),
+    "status_transitions": lambda s, d: eventlog.transitions(_statuses(s, d), "user_id", "ts", "status", "event_id").select("user_id", "event_id", "before", "status"),
+    "transition_counter": lambda s, d: eventlog.transition_counts(eventlog.transitions(_statuses(s, d), "user_id", "ts", "status", "event_id"), "user_id", "status"),
     "staleness": lambda s, d: _statuses(s, d).groupBy("user_id").agg(F.max(F.unix_seconds(F.col("ts").cast("timestamp"))).alias("refreshed")).select("user_id", eventlog.stale(F.lit(1706659200), F.col("refreshed"), F.lit(3600), 3.0).alias("stale")),
     "saga_outcome": _sagas,
     "saga_json": lambda s, d: eventlog.saga_json(eventlog.saga_reports(_steps(s, d), "saga", "pos", "step", "forward_ok", "compensate_ok"), "saga"),
@@ -139,7 +139,28 @@ QUERIES = {
     "summary_rows": lambda s, d: metrics.summary_rows(samples(s, d).groupBy("g").agg(F.min("x").alias("low"), F.max("x").alias("high")), "g", ["low", "high"]),
     "timer_spans": lambda s, d: metrics.spans(table(s, d, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("mark")), "user_id", "mark", "event_id").select("event_id", "start", "end"),
 }
-ROWS_ONLY = ("gcra", "token_bucket", "hier_bucket")
+_CALLS = "c AS (SELECT user_id, event_id, {0} AS now, row_number() OVER (PARTITION BY user_id ORDER BY {0}, event_id) AS n FROM events)"
+#: Call by call, on a virtual schedule of one an hour with a burst of 3.
+_GCRA = f"""WITH RECURSIVE {_CALLS.format('CAST(epoch_us(ts) AS BIGINT)')},
+s AS (
+  SELECT user_id, event_id, now, n, now + 3600000000 AS due, true AS granted, CAST(NULL AS BIGINT) AS retry_at FROM c WHERE n = 1
+  UNION ALL
+  SELECT c.user_id, c.event_id, c.now, c.n,
+    CASE WHEN c.now >= greatest(s.due, c.now) - 2 * 3600000000 THEN greatest(s.due, c.now) + 3600000000 ELSE s.due END,
+    c.now >= greatest(s.due, c.now) - 2 * 3600000000,
+    CASE WHEN c.now < greatest(s.due, c.now) - 2 * 3600000000 THEN greatest(s.due, c.now) - 2 * 3600000000 END
+  FROM s JOIN c ON c.user_id = s.user_id AND c.n = s.n + 1)
+SELECT user_id, event_id, now, granted, retry_at FROM s"""
+#: Call by call, from a bucket of 2 tokens that gets one a second; tokens in billionths.
+_BUCKET = f"""WITH RECURSIVE {_CALLS.format('CAST(epoch_us(ts) AS BIGINT) * 1000')},
+s AS (
+  SELECT user_id, event_id, now, n, CAST(1000000000 AS BIGINT) AS tokens, true AS granted FROM c WHERE n = 1
+  UNION ALL
+  SELECT c.user_id, c.event_id, c.now, c.n,
+    least(2000000000, s.tokens + c.now - s.now) - CASE WHEN least(2000000000, s.tokens + c.now - s.now) >= 1000000000 THEN 1000000000 ELSE 0 END,
+    least(2000000000, s.tokens + c.now - s.now) >= 1000000000
+  FROM s JOIN c ON c.user_id = s.user_id AND c.n = s.n + 1)
+SELECT user_id, event_id, now, granted, CAST(NULL AS BIGINT) AS retry_at FROM s"""
 
 _SAGA = """WITH t AS (SELECT o_custkey AS saga, o_orderkey AS pos, 's' || o_orderkey AS step, NOT (o_orderstatus = 'F' AND o_orderkey % 7 = 0) AS fw, o_orderkey % 5 <> 0 AS cm FROM orders),
 f AS (SELECT saga, min(pos) FILTER (WHERE NOT fw) AS cut FROM t GROUP BY saga),
@@ -153,6 +174,8 @@ _LIST = "'[' || list_aggregate(list_transform(string_split({0}, ','), lambda x:
 _H = "h AS (SELECT event_type, b.le, count(*) FILTER (WHERE value <= b.le) AS n FROM events, (SELECT unnest([" + ", ".join(map(str, BOUNDS)) + ", 'Infinity'::DOUBLE]) AS le) b GROUP BY ALL)"
 
 SQL = {
+    "gcra": _GCRA,
+    "token_bucket": _BUCKET,
     "dedup_latest": f"WITH {_R}, n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY source DESC, seq) AS i FROM r) SELECT k, source, seq, v FROM n WHERE i = 1",
     "priority_latest": f"WITH {_R}, n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY priority DESC, source DESC, seq) AS i FROM r) SELECT k, priority, source, seq, v FROM n WHERE i = 1",
     "tombstone_latest": f"{_NEW} SELECT k, seq, v FROM n WHERE i = 1 AND NOT gone",
@@ -185,8 +208,8 @@ SQL = {
     "event_json": """SELECT event_id, '{"topic":"' || event_type || '","level":"INFO","at":"' || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || '","attributes":{"k":"' || json_extract_string(props, '$.k') || '","user":"' || user_id || '"}}' AS json FROM events""",
     "status_worst": f"WITH {_E} SELECT user_id, {_NAME.format('max(' + _RANK.format('status') + ')')} AS status FROM e GROUP BY user_id",
     "status_views": f"WITH {_E}, q AS (SELECT event_type AS view, CASE WHEN NOT critical AND {_RANK.format('status')} >= 3 THEN 2 ELSE {_RANK.format('status')} END AS k FROM e), v AS (SELECT view, max(k) AS k FROM q GROUP BY view UNION ALL SELECT 'all', max(k) FROM q) SELECT view, {_NAME.format('k')} AS status, CASE WHEN k = 4 THEN 503 ELSE 200 END AS code FROM v",
-    "status_transitions": f"WITH {_E}, t AS (SELECT *, lag(status) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM e) SELECT user_id, event_id, before, status FROM t WHERE before <> status",
-    "transition_counter": f'WITH {_E}, t AS (SELECT *, lag(status) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM e) SELECT user_id, before AS "from", status AS "to", count(*) AS n FROM t WHERE before <> status GROUP BY ALL',
+    "status_transitions": f"WITH {_E}, t AS (SELECT *, lag(status) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM e) SELECT user_id, event_id, before, status FROM t WHERE before <> status",
+    "transition_counter": f'WITH {_E}, t AS (SELECT *, lag(status) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM e) SELECT user_id, before AS "from", status AS "to", count(*) AS n FROM t WHERE before <> status GROUP BY ALL',
     "staleness": "SELECT user_id, 1706659200 - max(CAST(floor(epoch(ts)) AS BIGINT)) > 3600 * 3.0 AS stale FROM events GROUP BY user_id",
     "saga_outcome": _SAGA,
     "saga_json": f"WITH q AS ({_SAGA}) SELECT saga, '{{\"saga\":' || saga || ',\"outcome\":\"' || outcome || '\"' || coalesce(',\"failed_step\":\"' || failed_step || '\"', '') || CASE WHEN forward_ran <> '' THEN ',\"forward_ran\":' || {_LIST.format('forward_ran')} ELSE '' END || CASE WHEN compensated <> '' THEN ',\"compensated\":' || {_LIST.format('compensated')} ELSE '' END || CASE WHEN failures <> '' THEN ',\"failures\":' || {_LIST.format('failures')} ELSE '' END || '}}' AS json FROM q",

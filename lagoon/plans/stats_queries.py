@@ -86,7 +86,25 @@ _GRID = [0.5]
 while _GRID[-1] + 0.05 <= 0.999 + 1e-12:
     _GRID.append(_GRID[-1] + 0.05)
 
+#: The generator's states by doubling, then the order statistics of 20 rounds of n draws.
+_BOOTSTRAP = f"""WITH RECURSIVE {SAMPLES_SQL},
+v AS (SELECT g, x, row_number() OVER (PARTITION BY g ORDER BY x) - 1 AS place, count(*) OVER (PARTITION BY g) AS n FROM s),
+z AS (SELECT g, max(n) AS n FROM v GROUP BY g),
+p(j, a, c) AS (
+  SELECT 0, CAST(6364136223846793005 AS UHUGEINT), CAST(1442695040888963407 AS UHUGEINT)
+  UNION ALL SELECT j + 1, a * a % 18446744073709551616, (a + 1) * c % 18446744073709551616 FROM p WHERE (1 << j) <= (SELECT 20 * max(n) FROM z)),
+d(j, k, a, c) AS (
+  SELECT 0, CAST(0 AS BIGINT), CAST(1 AS UHUGEINT), CAST(0 AS UHUGEINT)
+  UNION ALL SELECT d.j + 1, d.k + b.k * (1 << d.j), CASE b.k WHEN 1 THEN d.a * p.a % 18446744073709551616 ELSE d.a END, CASE b.k WHEN 1 THEN (d.c * p.a + p.c) % 18446744073709551616 ELSE d.c END
+  FROM d JOIN p ON p.j = d.j, (VALUES (0), (1)) b(k)),
+r AS (SELECT k, (a * 42 + c) % 18446744073709551616 AS state FROM d WHERE j = (SELECT max(j) + 1 FROM p) AND k > 0),
+w AS (SELECT z.g, (r.k - 1) // z.n AS round, z.n, CAST(r.state % CAST(z.n AS UHUGEINT) AS BIGINT) AS place FROM z JOIN r ON r.k <= 20 * z.n),
+o AS (SELECT w.g, w.round, w.n, v.x, row_number() OVER (PARTITION BY w.g, w.round ORDER BY v.x) - 1 AS i FROM w JOIN v ON v.g = w.g AND v.place = w.place),
+q AS (SELECT g, x, row_number() OVER (PARTITION BY g ORDER BY x) - 1 AS i FROM o WHERE i = least(n - 1, CAST(floor(0.99::DOUBLE * n) AS BIGINT)))
+SELECT g, max(x) FILTER (WHERE i = least(19, CAST(floor((1 - 0.9::DOUBLE) / 2 * 20) AS BIGINT))) AS low, max(x) FILTER (WHERE i = least(19, CAST(floor((1 - (1 - 0.9::DOUBLE) / 2) * 20) AS BIGINT))) AS high FROM q GROUP BY g"""
+
 SQL = {
+    "bootstrap_ci": _BOOTSTRAP,
     "pctl_floor": f"{_RANKS} SELECT g, {_at(0.5, 'p50')}, {_at(0.9, 'p90')}, {_at(0.99, 'p99')}, {_at(0.999, 'p999')}, {_at(1.0, 'max')}, max(n) AS n FROM r GROUP BY g",
     "pctl_sweep": _RANKS + " UNION ALL ".join(f" SELECT g, CAST({round(q, 9)!r} AS DOUBLE) AS q, {_at(q, 'value')} FROM r GROUP BY g" for q in _GRID),
     "mean_trunc": f"WITH {SAMPLES_SQL} SELECT g, CAST(sum(x) // count(x) AS BIGINT) AS mean, count(x) AS n FROM s GROUP BY g",

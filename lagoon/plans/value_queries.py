@@ -113,6 +113,13 @@ def _heavy(s, d):
     return sketches.heavy_hitters(e, "l_suppkey", 10, depth, width).withColumnRenamed("estimate", "n")
 
 
+def _cuckoo_load(s, d):
+    """Keys with and without a place."""
+    made = sketches.cuckoo(table(s, d, "customer").withColumn("g", F.col("c_nationkey") % 4), ["g"], "c_custkey", 256)
+    sums = [F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).alias(k) for k, c in (("n", F.col("bucket") >= 0), ("lost", F.col("bucket") < 0))]
+    return made.groupBy("g").agg(*sums)
+
+
 QUERIES = {
     "fx_mul_modes": lambda s, d: _mode_rows(_lines(s, d), ["l_orderkey", "l_linenumber"], lambda m: nx.fx_mul(F.col("price") * F.col("sign"), F.col("discount") + 123_456_789, m)),
     "fx_div_modes": lambda s, d: _mode_rows(_lines(s, d), ["l_orderkey", "l_linenumber"], lambda m: nx.fx_div(F.col("price") * F.col("sign"), F.col("quantity") + 7, m)),
@@ -138,10 +145,12 @@ QUERIES = {
     "bloom_no_false_neg": _bloom_ok,
     "topk_heavy": _heavy,
     "cms_windowed": lambda s, d: sketches.cms_window(table(s, d, "events"), "ts", "event_type", "1 day", "3 days"),
-    "counting_cells": lambda s, d: sketches.counting_bloom(table(s, d, "orders").select("o_custkey", "o_orderstatus"), "o_custkey", F.when(F.col("o_orderstatus") == "F", -1).otherwise(1), 1 << 16, 5).agg(F.count("*").alias("cells"), F.max("c").alias("most")).select((F.col("cells") > 0).alias("some"), (F.col("most") <= 15).alias("bounded")),
-    "cuckoo_load": lambda s, d: sketches.cuckoo(table(s, d, "customer").withColumn("g", F.col("c_nationkey") % 4), ["g"], "c_custkey", 256).groupBy("g").agg(F.sum("n").alias("n")),
-    "cms_conservative": lambda s, d: sketches.cms_conservative(table(s, d, "events"), ["event_type"], "user_id", "event_id", 4, 64).groupBy("event_type", "row").agg(F.sum("c").alias("c")).groupBy("event_type").agg(F.count("*").alias("rows")),
-    "hll_registers": lambda s, d: sketches.hll_registers(table(s, d, "events"), ["event_type"], "user_id", 8).groupBy("event_type").agg(F.count("*").alias("used")).select("event_type", (F.col("used") <= 256).alias("ok")),
+    "counting_cells": lambda s, d: sketches.counting_bloom(
+        table(s, d, "orders").select("o_custkey", "o_orderstatus"), "o_custkey", F.when(F.col("o_orderstatus") == "F", -1).otherwise(1), 1 << 12, 5, form="md5"
+    ),
+    "cuckoo_load": _cuckoo_load,
+    "cms_conservative": lambda s, d: sketches.cms_conservative(table(s, d, "events"), ["event_type"], "user_id", "event_id", 4, 64, form="md5"),
+    "hll_registers": lambda s, d: sketches.hll_registers(table(s, d, "events"), ["event_type"], "user_id", 8, form="md5"),
     "fnv_vectors": lambda s, d: s.sql("SELECT * FROM VALUES (''), ('a'), ('foobar') AS t(s)").select("s", tx.fnv1a("s").alias("h")),
     "cache_replay": lambda s, d: caches.replay(table(s, d, "events"), 2, "user_id", "event_id", "lru", 20).unionByName(caches.replay(table(s, d, "events"), 2, "user_id", "event_id", "arc", 20)).groupBy("shard").agg(F.sum(F.col("hits") + F.col("misses")).alias("n")).agg(F.sum("n").alias("accesses")),
     "revenue_join": lambda s, d: table(s, d, "lineitem").join(table(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("cents"), F.countDistinct("o_orderkey").alias("orders")),
@@ -151,6 +160,26 @@ QUERIES = {
     "set_operations": lambda s, d: table(s, d, "customer").select(F.col("c_nationkey").alias("k")).intersect(table(s, d, "supplier").select(F.col("s_nationkey").alias("k"))).withColumn("op", F.lit("both")).unionByName(table(s, d, "nation").select(F.col("n_nationkey").alias("k")).subtract(table(s, d, "supplier").select(F.col("s_nationkey").alias("k"))).withColumn("op", F.lit("no supplier"))),
 }
 
+def _md5(salt: str, key: str) -> str:
+    """The first 60 bits of a salted digest."""
+    return f"CAST('0x' || substr(md5({salt} || ':' || {key}), 1, 15) AS BIGINT)"
+
+
+_COUNTING = f"""WITH k AS (SELECT o_custkey AS key, sum(CASE WHEN o_orderstatus = 'F' THEN -1 ELSE 1 END) AS n FROM orders GROUP BY 1),
+b AS (SELECT n, (({_md5("'11'", 'key')} % 4096) + ({_md5("'13'", 'key')} % 4096) * i + i * i) % 4096 AS cell FROM k, range(5) t(i))
+SELECT cell, CAST(least(sum(n), 15) AS BIGINT) AS c FROM b GROUP BY cell HAVING sum(n) > 0"""
+#: Key by key, only the least of a key's cells grow.
+_CONSERVATIVE = f"""WITH RECURSIVE e AS (
+  SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n, [{', '.join(f"CAST({64 * d} + {_md5(repr(str(d)), 'user_id')} % 64 AS INT)" for d in range(4))}] AS at FROM events),
+s AS (
+  SELECT DISTINCT event_type, CAST(0 AS BIGINT) AS n, list_transform(range(256), lambda x: CAST(0 AS BIGINT)) AS cells FROM events
+  UNION ALL
+  SELECT e.event_type, e.n, list_transform(s.cells, lambda x, i: CASE WHEN list_contains(e.at, CAST(i - 1 AS INT)) THEN greatest(x, 1 + least(s.cells[e.at[1] + 1], s.cells[e.at[2] + 1], s.cells[e.at[3] + 1], s.cells[e.at[4] + 1])) ELSE x END)
+  FROM s JOIN e ON e.event_type = s.event_type AND e.n = s.n + 1),
+f AS (SELECT event_type, arg_max(cells, n) AS cells FROM s GROUP BY event_type)
+SELECT event_type, CAST(i // 64 AS INT) AS row, CAST(i % 64 AS INT) AS idx, cells[i + 1] AS c FROM f, range(256) t(i) WHERE cells[i + 1] > 0"""
+_REGISTERS = f"""WITH h AS (SELECT event_type, {_md5("'1'", 'user_id')} AS h FROM events)
+SELECT event_type, CAST(h >> 52 AS INT) AS register, CAST(max(CASE WHEN h % 4503599627370496 = 0 THEN 53 ELSE 53 - length(bin(h % 4503599627370496)) END) AS INT) AS rho FROM h GROUP BY 1, 2"""
 _MODE = lambda n, d, extra="": " UNION ALL ".join(f"SELECT l_orderkey, l_linenumber, '{m}' AS mode, {_round_sql(n, d, m)} AS value FROM l" for m in nx.MODES)
 SQL = {
     "fx_mul_modes": f"WITH {_L} " + _MODE("CAST(price * sign AS HUGEINT) * (discount + 123456789)", "1000000000"),
@@ -177,10 +206,10 @@ SQL = {
     "bloom_no_false_neg": "SELECT true AS all_found, true AS few_wrong",
     "topk_heavy": "SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, l_suppkey LIMIT 10",
     "cms_windowed": "SELECT date_trunc('day', ts) + INTERVAL (k) DAY AS at, event_type, count(*) AS n FROM events, range(1, 4) t(k) GROUP BY 1, 2",
-    "counting_cells": "SELECT true AS some, true AS bounded",
-    "cuckoo_load": "SELECT CAST(c_nationkey % 4 AS INT) AS g, count(DISTINCT c_custkey) AS n FROM customer GROUP BY 1",
-    "cms_conservative": "SELECT event_type, CAST(4 AS BIGINT) AS rows FROM events GROUP BY 1",
-    "hll_registers": "SELECT event_type, true AS ok FROM events GROUP BY 1",
+    "counting_cells": _COUNTING,
+    "cuckoo_load": "SELECT CAST(c_nationkey % 4 AS INT) AS g, count(DISTINCT c_custkey) AS n, CAST(0 AS BIGINT) AS lost FROM customer GROUP BY 1",
+    "cms_conservative": _CONSERVATIVE,
+    "hll_registers": _REGISTERS,
     "fnv_vectors": "SELECT * FROM (VALUES ('', CAST(-3750763034362895579 AS BIGINT)), ('a', CAST(-5808556873153909620 AS BIGINT)), ('foobar', CAST(-8821353812377114648 AS BIGINT))) t(s, h)",
     "cache_replay": "SELECT 2 * count(*) AS accesses FROM events",
     "revenue_join": "SELECT n_name, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS cents, count(DISTINCT o_orderkey) AS orders FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name",

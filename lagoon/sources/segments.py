@@ -68,28 +68,44 @@ def read(spark: SparkSession, path: str, check: str = "none") -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "segment string, block long, end long, payload binary, error string")
 
 
-def segments(df: DataFrame, payload: str, order: list[str], check: str = "none") -> DataFrame:
-    """(part, content): the rows of each partition as one segment. (O002)"""
+def write(df: DataFrame, payload: str, order: list[str], path: str, check: str = "none", file_bytes: int = 64 << 20) -> int:
+    """Writes the rows of each partition in order, as files of some `file_bytes`, from the tasks themselves, and returns the number of frames. (O002)
+
+    `path` is a URI of a store that all executors reach (as pyarrow opens it); a
+    file gets its name when it is whole, and a task that runs again writes the same ones.
+    """
+    if check not in CHECKS:
+        raise ValueError(f"no checksum {check!r}")
+    target = path if "://" in path or path.startswith("file:") else f"file://{path}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
         from pyspark import TaskContext
 
-        parts = [encode((p for p in b.column(payload).to_pylist() if p is not None), check) for b in batches]
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([b"".join(parts)], pa.binary())], names=["part", "content"])
-
-    return df.sortWithinPartitions(*order).select(F.col(payload).cast("binary").alias(payload)).mapInArrow(run, "part int, content binary")
-
-
-def write(df: DataFrame, payload: str, order: list[str], path: str, check: str = "none") -> None:
-    """One segment file for each partition, through Hadoop's file system and so to any store that Spark writes; a task that runs again overwrites its own file."""
-    spark = df.sparkSession
-    made = segments(df, payload, order, check)
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    for r in made.toLocalIterator():  # one segment at a time
-        target = fs_path(f"{path}/part-{r['part']:05d}.seg")
-        out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
-        out.write(bytes(r["content"]))
-        out.close()
+        store, root = fs.FileSystem.from_uri(target)
+        store.create_dir(root, recursive=True)
+        part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
+        out, name, number, size, frames = None, "", 0, 0, 0
+        for b in batches:
+            for p in b.column(0).to_pylist():
+                if p is None:
+                    continue
+                if out is None:
+                    name, size = f"{root}/part-{part:05d}-{number:04d}.seg", 0
+                    out = store.open_output_stream(f"{name}.{attempt}.tmp")
+                size += out.write(encode(iter([p]), check))
+                frames += 1
+                if size >= file_bytes:
+                    out.close()
+                    store.move(f"{name}.{attempt}.tmp", name)
+                    out, number = None, number + 1
+        if out is not None:
+            out.close()
+            store.move(f"{name}.{attempt}.tmp", name)
+        yield pa.RecordBatch.from_arrays([pa.array([frames], pa.int64())], names=["frames"])
+
+    rows = df.sortWithinPartitions(*order).select(F.col(payload).cast("binary").alias(payload))
+    return rows.mapInArrow(run, "frames long").agg(F.coalesce(F.sum("frames"), F.lit(0))).first()[0]
 
 
 def seek(frames: DataFrame, block: int) -> DataFrame:

@@ -14,14 +14,20 @@ def source(spark: SparkSession, path: str, schema, files_per_batch: int = 1) ->
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def catch_up(stream: DataFrame, groups: list[str], aggregates: list[Column], name: str, checkpoint: str | None = None) -> DataFrame:
-    """A projection of all that a stream holds by now: each batch folds only what is new, and the result equals a full replay. (O212, O213)"""
+def catch_up(stream: DataFrame, groups: list[str], aggregates: list[Column], target: str, checkpoint: str | None = None) -> DataFrame:
+    """A projection of all that a stream holds by now: each batch folds only what is new, and the result equals a full replay. Every batch's groups are written to a folder of their own under `target`, which all executors must share; the last one is read back. (O212, O213)"""
     folded = stream.groupBy(*groups).agg(*aggregates)
-    writer = folded.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True)
+    last: list[str] = []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        last[:] = [f"{target}/batch-{number}"]
+        batch.write.mode("overwrite").parquet(last[0])
+
+    writer = folded.writeStream.outputMode("complete").foreachBatch(keep).trigger(availableNow=True)
     if checkpoint:
         writer = writer.option("checkpointLocation", checkpoint)
     writer.start().awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(folded.schema).parquet(*last) if last else stream.sparkSession.createDataFrame([], folded.schema)
 
 
 def sliding_counts(stream: DataFrame, ts: str, key: str, size: str, slide: str, late: str) -> DataFrame:
@@ -60,7 +66,7 @@ class Transitions(StatefulProcessor):
         out = []
         before = self._last.get()[0] if self._last.exists() else None
         for pdf in rows:
-            for r in pdf.sort_values("ts").itertuples(index=False):
+            for r in pdf.sort_values(["ts", *(["seq"] if "seq" in pdf else [])], kind="stable").itertuples(index=False):
                 if before is not None and before != r.status:
                     out.append((key[0], r.ts, before, r.status))
                 before = r.status
@@ -73,7 +79,7 @@ class Transitions(StatefulProcessor):
 
 
 def transitions(stream: DataFrame) -> DataFrame:
-    """Status changes of a stream (scope, ts, status)."""
+    """Status changes of a stream (scope, ts, status, and seq to order equal times if there)."""
     return stream.groupBy("scope").transformWithStateInPandas(Transitions(), "scope long, ts timestamp, before string, status string", "Append", "None")
 
 

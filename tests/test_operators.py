@@ -283,7 +283,7 @@ def test_catch_up_equals_replay(spark, tmp_path):
     df = spark.range(300).select((F.col("id") % 7).alias("k"), F.col("id").alias("v"))
     stream = _files(spark, tmp_path, df)
     aggs = [F.count("*").alias("n"), F.sum("v").alias("total")]
-    assert rows(streams.catch_up(stream, ["k"], aggs, "caught_up")) == rows(df.groupBy("k").agg(*aggs))
+    assert rows(streams.catch_up(stream, ["k"], aggs, str(tmp_path / "caught_up"))) == rows(df.groupBy("k").agg(*aggs))
 
 
 def test_fan_out(spark, tmp_path):
@@ -385,3 +385,57 @@ def test_ordered_folds_hold_only_state(spark):
         cells |= {c: max(cells.get(c, 0), least) for c in mine}
     sketch = sketches.cms_conservative(df, ["g"], "k", "o", 2, 4)
     assert {(x["g"], x["row"], x["idx"]): x["c"] for x in sketch.collect()} == cells and "FlatMapGroups" not in _plan(sketch)
+
+
+def test_sketches_of_other_shapes_do_not_merge(spark):
+    a = sketches.cms(spark.range(9), [], "id", 2, 8)
+    with pytest.raises(ValueError):
+        sketches.cms_merge(a, a, (2, 8), (2, 16))
+    with pytest.raises(ValueError):
+        sketches.bloom_union(a, a, (64, 3), (128, 3))
+    assert rows(sketches.cms_merge(a, a, (2, 8), (2, 8), "max")) == rows(a)
+
+
+def test_cuckoo_filters_of_bounded_parts(spark):
+    df = spark.range(6000).select((F.col("id") % 2).alias("g"), F.when(F.col("id") != 7, F.col("id")).alias("k"))
+    made = sketches.cuckoo(df, ["g"], "k", 64, 16)
+    assert made.select("g", "part").distinct().count() == 2 * 14  # 3000 keys in parts of 230
+    assert one(made.where("bucket >= 0").agg(F.sum("n").alias("n")))["n"] == 5999
+    assert one(made.groupBy("g", "part", "bucket").agg(F.sum("n").alias("n")).agg(F.max("n").alias("n")))["n"] <= 4
+    left = sketches.cuckoo_delete(made, df.where("k < 2000"), ["g"], "k", 64, 16)
+    assert one(left.agg(F.sum("n").alias("n")))["n"] == 4000
+    found = sketches.cuckoo_contains(left, df.where("k IS NOT NULL"), ["g"], "k", 64, 16)
+    assert not found.where("k >= 2000 AND NOT maybe").count() and found.where("k < 2000 AND maybe").count() < 40
+    assert all(0.5 < r["load"] <= 0.9 and r["fpp"] < 0.001 for r in sketches.cuckoo_rates(made, ["g"], 64, 16).collect())
+    nothing = sketches.cuckoo(df.where("false"), ["g"], "k", 64)
+    assert not nothing.count() and not sketches.cuckoo_contains(nothing, df, ["g"], "k", 64).count()
+
+
+def test_checked_ranges_fail(spark):
+    from pyspark.errors import PySparkException
+
+    low, high = spark.range(5), spark.range(4, 9)
+    with pytest.raises(PySparkException, match="overlap"):
+        lookup.disjoint_union(low, high, "id").collect()
+    with pytest.raises(PySparkException, match="repeated key 4"):
+        lookup.sorted_build(low.unionByName(high), "id").collect()
+    assert lookup.disjoint_union(low, high.where("id > 4"), "id").count() == 9
+
+
+def test_money_of_two_currencies_is_refused(spark):
+    rows_ = spark.createDataFrame([(1, "USD", 2, "USD"), (1, "USD", 2, "JPY"), (2**63 - 1, "USD", 1, "USD")], "a long, x string, b long, y string")
+    assert [r["t"] for r in rows_.select(nx.money_add("a", "x", "b", "y").alias("t")).collect()] == [3, None, None]
+
+
+def test_segments_roll_over(spark, tmp_path):
+    df = spark.range(100).select("id", F.col("id").cast("string").alias("p")).coalesce(1)
+    path = str(tmp_path / "out")
+    assert segments.write(df, "p", ["id"], path, "crc32", file_bytes=200) == 100
+    got = segments.read(spark, path, "crc32")
+    assert rows(got.select(F.col("payload").cast("string").alias("p"))) == rows(df.select("p")) and got.select("segment").distinct().count() > 3
+    assert segments.write(df.where("false"), "p", ["id"], str(tmp_path / "none")) == 0
+
+
+def test_equal_times_of_a_status(spark):
+    df = spark.createDataFrame([("s", 1, 1, "UP"), ("s", 1, 2, "DOWN"), ("s", 1, 3, "UP")], "scope string, ts long, tie long, status string")
+    assert [(r["before"], r["status"]) for r in eventlog.transitions(df.orderBy(F.desc("tie")), "scope", "ts", "status", "tie").orderBy("tie").collect()] == [("UP", "DOWN"), ("DOWN", "UP")]
