@@ -49,8 +49,8 @@ def units(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     the apostrophe, which starts contractions) are cut between letters and
     punctuation; no other chunk is cut. The normaliser composes characters, then
     lower-cases; lower-casing ASCII letters before makes fewer distinct units, and
-    is done only in the first kind of chunks, for a capital letter may compose
-    otherwise with a mark that follows it. Special strings are case-sensitive, so a
+    isn't done in chunks with further characters beyond ASCII, for a capital letter
+    may compose otherwise with a mark that follows it. Special strings are case-sensitive, so a
     text that may hold one is left as it is.
     """
     low = scan.LOWER[raw]
@@ -73,7 +73,10 @@ def units(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     edges[starts[whole]] += 1
     np.subtract.at(edges, ends[whole], 1)
     plain = np.cumsum(edges[:-1]) == 0
-    low = np.where(plain, low, raw)
+    foreign = np.zeros(n + 1, np.int64)
+    np.cumsum((kind == _OTHER) & (raw >= 0x80), out=foreign[1:])
+    for a, z in zip(starts[own := foreign[ends] > foreign[starts]].tolist(), ends[own].tolist(), strict=True):
+        low[a:z] = raw[a:z]
     cut = np.zeros(n, bool)
     cut[1:] = (kind[1:] != kind[:-1]) & (kind[1:] != 0)
     cut &= plain
