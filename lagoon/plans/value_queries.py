@@ -149,7 +149,7 @@ QUERIES = {
         table(s, d, "orders").select("o_custkey", "o_orderstatus"), "o_custkey", F.when(F.col("o_orderstatus") == "F", -1).otherwise(1), 1 << 12, 5, form="md5"
     ),
     "cuckoo_load": _cuckoo_load,
-    "cms_conservative": lambda s, d: sketches.cms_conservative(table(s, d, "events"), ["event_type"], "user_id", "event_id", 4, 64, form="md5"),
+    "cms_conservative": lambda s, d: sketches.cms_conservative(table(s, d, "events"), ["event_type"], "user_id", "event_id", 4, 16, form="md5"),
     "hll_registers": lambda s, d: sketches.hll_registers(table(s, d, "events"), ["event_type"], "user_id", 8, form="md5"),
     "fnv_vectors": lambda s, d: s.sql("SELECT * FROM VALUES (''), ('a'), ('foobar') AS t(s)").select("s", tx.fnv1a("s").alias("h")),
     "cache_replay": lambda s, d: caches.replay(table(s, d, "events"), 2, "user_id", "event_id", "lru", 20).unionByName(caches.replay(table(s, d, "events"), 2, "user_id", "event_id", "arc", 20)).groupBy("shard").agg(F.sum(F.col("hits") + F.col("misses")).alias("n")).agg(F.sum("n").alias("accesses")),
@@ -169,15 +169,15 @@ _COUNTING = f"""WITH k AS (SELECT o_custkey AS key, sum(CASE WHEN o_orderstatus
 b AS (SELECT n, (({_md5("'11'", 'key')} % 4096) + ({_md5("'13'", 'key')} % 4096) * i + i * i) % 4096 AS cell FROM k, range(5) t(i))
 SELECT cell, CAST(least(sum(n), 15) AS BIGINT) AS c FROM b GROUP BY cell HAVING sum(n) > 0"""
 #: Key by key, only the least of a key's cells grow.
-_CONSERVATIVE = f"""WITH RECURSIVE e AS (
-  SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n, [{', '.join(f"CAST({64 * d} + {_md5(repr(str(d)), 'user_id')} % 64 AS INT)" for d in range(4))}] AS at FROM events),
+_CONSERVATIVE = f"""WITH RECURSIVE e AS MATERIALIZED (
+  SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n, [{', '.join(f"CAST({16 * d} + {_md5(repr(str(d)), 'user_id')} % 16 AS INT)" for d in range(4))}] AS at FROM events),
 s AS (
-  SELECT DISTINCT event_type, CAST(0 AS BIGINT) AS n, list_transform(range(256), lambda x: CAST(0 AS BIGINT)) AS cells FROM events
+  SELECT DISTINCT event_type, CAST(0 AS BIGINT) AS n, list_transform(range(64), lambda x: CAST(0 AS BIGINT)) AS cells FROM events
   UNION ALL
   SELECT e.event_type, e.n, list_transform(s.cells, lambda x, i: CASE WHEN list_contains(e.at, CAST(i - 1 AS INT)) THEN greatest(x, 1 + least(s.cells[e.at[1] + 1], s.cells[e.at[2] + 1], s.cells[e.at[3] + 1], s.cells[e.at[4] + 1])) ELSE x END)
   FROM s JOIN e ON e.event_type = s.event_type AND e.n = s.n + 1),
 f AS (SELECT event_type, arg_max(cells, n) AS cells FROM s GROUP BY event_type)
-SELECT event_type, CAST(i // 64 AS INT) AS row, CAST(i % 64 AS INT) AS idx, cells[i + 1] AS c FROM f, range(256) t(i) WHERE cells[i + 1] > 0"""
+SELECT event_type, CAST(i // 16 AS INT) AS row, CAST(i % 16 AS INT) AS idx, cells[i + 1] AS c FROM f, range(64) t(i) WHERE cells[i + 1] > 0"""
 _REGISTERS = f"""WITH h AS (SELECT event_type, {_md5("'1'", 'user_id')} AS h FROM events)
 SELECT event_type, CAST(h >> 52 AS INT) AS register, CAST(max(CASE WHEN h % 4503599627370496 = 0 THEN 53 ELSE 53 - length(bin(h % 4503599627370496)) END) AS INT) AS rho FROM h GROUP BY 1, 2"""
 _MODE = lambda n, d, extra="": " UNION ALL ".join(f"SELECT l_orderkey, l_linenumber, '{m}' AS mode, {_round_sql(n, d, m)} AS value FROM l" for m in nx.MODES)

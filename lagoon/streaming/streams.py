@@ -84,7 +84,7 @@ def transitions(stream: DataFrame) -> DataFrame:
 
 
 class Gcra(StatefulProcessor):
-    """Streaming admission by a virtual schedule, one state value a key. (O134, O138)"""
+    """Streaming admission by a virtual schedule, one state value a key, which stays. (O134)"""
 
     def __init__(self, interval: int, burst: int) -> None:
         self._interval, self._burst = interval, burst
