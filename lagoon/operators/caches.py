@@ -1,159 +1,109 @@
-"""Replays of access traces through cache policies. A shard's trace is ordered, so each is one fold; shards run side by side. (O233-O238, O122)"""
+"""Hits of caches that keep the keys used last, from reuse distances. (O122, O237, O238)
+
+An access hits a cache of some capacity if that many keys, its own included, were
+used since the key's last use. A trace is cut into blocks of positions; what the
+largest cache holds at the start of a block is the latest keys of all blocks before,
+which are merged in two levels. The blocks are then read side by side.
+
+Policies that aren't a function of the latest keys (clock hands, adaptive borders,
+frequency sketches) have no such form and aren't offered.
+"""
 
 from __future__ import annotations
 
-from collections import OrderedDict
+from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-class Lru:
-    def __init__(self, capacity: int) -> None:
-        self.capacity, self.held = capacity, OrderedDict()
-
-    def touch(self, key, size: int = 1) -> bool:
-        if key in self.held:
-            self.held.move_to_end(key)
-            return True
-        self.held[key] = size
-        while len(self.held) > self.capacity:
-            self.held.popitem(last=False)
-        return False
-
-
-class Weighted(Lru):
-    """Capacity in units of size; what is larger than all of it isn't kept."""
-
-    def __init__(self, capacity: int) -> None:
-        super().__init__(capacity)
-        self.used = 0
-
-    def touch(self, key, size: int = 1) -> bool:
-        if key in self.held:
-            self.held.move_to_end(key)
-            return True
-        if size <= self.capacity:
-            self.held[key] = size
-            self.used += size
-            while self.used > self.capacity:
-                self.used -= self.held.popitem(last=False)[1]
-        return False
-
-
-class Clock:
-    """A hand passes over the slots; it spares what was used since it came by."""
-
-    def __init__(self, capacity: int) -> None:
-        self.slots: list = [None] * capacity
-        self.used = [False] * capacity
-        self.place: dict = {}
-        self.hand = 0
-
-    def touch(self, key, size: int = 1) -> bool:
-        if key in self.place:
-            self.used[self.place[key]] = True
-            return True
-        while self.slots[self.hand] is not None and self.used[self.hand]:
-            self.used[self.hand] = False
-            self.hand = (self.hand + 1) % len(self.slots)
-        self.place.pop(self.slots[self.hand], None)
-        self.slots[self.hand] = key
-        self.place[key] = self.hand
-        self.hand = (self.hand + 1) % len(self.slots)
-        return False
-
-
-class Arc:
-    """Recent and frequent keys share the capacity; hits among keys lately dropped from one side move the border."""
-
-    def __init__(self, capacity: int) -> None:
-        self.c, self.border = capacity, 0
-        self.recent, self.frequent, self.lost_recent, self.lost_frequent = (OrderedDict() for _ in range(4))
-
-    def _make_room(self, from_lost_frequent: bool) -> None:
-        full = len(self.recent) + len(self.frequent) >= self.c
-        if not full:
-            return
-        over = len(self.recent) > self.border or (from_lost_frequent and len(self.recent) == self.border)
-        source, lost = (self.recent, self.lost_recent) if self.recent and (over or not self.frequent) else (self.frequent, self.lost_frequent)
-        lost[source.popitem(last=False)[0]] = True
-
-    def touch(self, key, size: int = 1) -> bool:
-        if key in self.recent or key in self.frequent:
-            self.recent.pop(key, None)
-            self.frequent[key] = True
-            self.frequent.move_to_end(key)
-            return True
-        if key in self.lost_recent:
-            self.border = min(self.c, self.border + max(1, len(self.lost_frequent) // len(self.lost_recent)))
-            self._make_room(False)
-            del self.lost_recent[key]
-            self.frequent[key] = True
-            return False
-        if key in self.lost_frequent:
-            self.border = max(0, self.border - max(1, len(self.lost_recent) // len(self.lost_frequent)))
-            self._make_room(True)
-            del self.lost_frequent[key]
-            self.frequent[key] = True
-            return False
-        if len(self.recent) + len(self.lost_recent) >= self.c:
-            if self.lost_recent:
-                self.lost_recent.popitem(last=False)
-        self._make_room(False)
-        while len(self.lost_recent) + len(self.lost_frequent) > self.c:
-            (self.lost_frequent or self.lost_recent).popitem(last=False)
-        self.recent[key] = True
-        return False
-
-
-class TinyLfu:
-    """A small window before a main part; a key enters the main part only in place of a less frequent one. Frequencies are halved every ten capacities."""
-
-    def __init__(self, capacity: int) -> None:
-        self.window, self.main = Lru(max(1, capacity // 100)), OrderedDict()
-        self.room = max(1, capacity - self.window.capacity)
-        self.often: dict = {}
-        self.seen, self.every = 0, 10 * capacity
-
-    def touch(self, key, size: int = 1) -> bool:
-        self.often[key] = self.often.get(key, 0) + 1
-        self.seen += 1
-        if self.seen >= self.every:
-            self.often = {k: n // 2 for k, n in self.often.items() if n > 1}
-            self.seen = 0
-        if key in self.main:
-            self.main.move_to_end(key)
-            return True
-        if key in self.window.held:
-            self.window.held.move_to_end(key)
-            return True
-        if len(self.window.held) >= self.window.capacity:
-            old = self.window.held.popitem(last=False)[0]
-            if len(self.main) < self.room:
-                self.main[old] = True
-            else:
-                victim = next(iter(self.main))
-                if self.often.get(old, 0) > self.often.get(victim, 0):
-                    del self.main[victim]
-                    self.main[old] = True
-        self.window.held[key] = size
-        return False
-
-
-POLICIES = {"lru": Lru, "clock": Clock, "arc": Arc, "tinylfu": TinyLfu, "weighted": Weighted}
-
-
-def replay(trace: DataFrame, shards: int, key: str, order: str, policy: str, capacity: int, size: str | None = None) -> DataFrame:
-    """(shard, hits, misses, hit_ratio) of a trace dealt to shards by key."""
-    rows = trace.select(F.pmod(F.hash(key), F.lit(shards)).alias("shard"), F.col(key).alias("k"), F.col(order).alias("o"), (F.col(size) if size else F.lit(1)).cast("long").alias("w"))
-
-    def run(shard, pdf: pd.DataFrame) -> pd.DataFrame:
-        cache = POLICIES[policy](capacity)
-        pdf = pdf.sort_values("o", kind="stable")
-        hits = sum(cache.touch(k, int(w)) for k, w in zip(pdf["k"], pdf["w"], strict=True))
-        return pd.DataFrame({"shard": [shard[0]], "hits": [hits], "misses": [len(pdf) - hits]})
-
-    out = rows.groupBy("shard").applyInPandas(run, "shard int, hits long, misses long")
+from lagoon.operators.ranks import in_order, offsets
+
+#: Blocks of one upper block.
+FAN = 64
+
+
+def _latest(df: DataFrame, groups: list[str], most: int) -> DataFrame:
+    """The keys that each group used last, with the positions of those uses."""
+    last = df.groupBy(*groups, "_k").agg(F.max("_p").alias("_p"))
+    return last.withColumn("_n", F.row_number().over(Window.partitionBy(*groups).orderBy(F.desc("_p")))).where(F.col("_n") <= most).drop("_n")
+
+
+def _held_before(latest: DataFrame, groups: list[str], step: str, most: int) -> DataFrame:
+    """What is held when each step begins: the latest keys of all steps before. Rows of (groups, step, key, position) come and go; one group's keys at a time are in memory."""
+    rows = latest.select(*groups, step, "_k", "_p")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, at, held, out = None, None, {}, []
+        for b in batches:
+            kind = b.schema
+            for *g, s, k, p in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if g != of:
+                    of, at, held = g, s, {}
+                elif s != at:
+                    at = s
+                    out += [(*g, s, *kp) for kp in held.items()]
+                held.pop(k, None)
+                held[k] = p
+                if len(held) > most:
+                    del held[next(iter(held))]
+                if len(out) > 10_000:
+                    yield _batch(out, kind)
+                    out = []
+        if out:
+            yield _batch(out, kind)
+
+    return in_order(rows, groups, [step, "_p"]).mapInArrow(run, fields)
+
+
+def _batch(rows: list[tuple], kind: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kind, strict=True)], schema=kind)
+
+
+def reuse_distances(trace: DataFrame, shard: Column, key: str, order: str, most: int, width: int, block: int | None = None) -> DataFrame:
+    """(shard, key, position, distance) of every access: the number of keys used since the key's last use, itself included, or null if there are more than `most` or it wasn't used before.
+
+    `order` is a number that no two accesses of a shard share; some `width` of it are
+    sorted together. Accesses without an order are left out; a null key is a key.
+    Time grows with the distances that are searched, and memory with `most`.
+    """
+    block = block or max(4096, FAN * most)
+    rows = trace.where(F.col(order).isNotNull()).select(shard.alias("shard"), F.col(key).alias("_k"), F.col(order).alias("_o"))
+    rows = offsets(rows, ["_o"], F.floor(F.col("_o") / width), ["shard"], "_p").withColumn("_p", F.col("_p").cast("long")).drop("_o")
+    rows = rows.withColumn("_block", F.floor(F.col("_p") / block)).withColumn("_upper", F.floor(F.col("_block") / FAN))
+    of_block = _latest(rows, ["shard", "_upper", "_block"], most)
+    upper = _held_before(_latest(of_block, ["shard", "_upper"], most), ["shard"], "_upper", most).withColumn("_block", F.lit(-1).cast("long"))
+    held = _held_before(upper.unionByName(of_block), ["shard", "_upper"], "_block", most)
+    all_rows = held.select("shard", "_block", "_k", "_p", F.lit(True).alias("_held")).unionByName(rows.select("shard", "_block", "_k", "_p", F.lit(False).alias("_held")))
+    kinds = all_rows.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, stack = None, []
+        for b in batches:
+            at, distance = [], []
+            for i, (s, n, k, held_before) in enumerate(zip(*(b.column(c).to_pylist() for c in ("shard", "_block", "_k", "_held")), strict=True)):
+                if (s, n) != of:
+                    of, stack = (s, n), []
+                found = stack.index(k) + 1 if k in stack else None
+                if found:
+                    del stack[found - 1]
+                stack.insert(0, k)
+                del stack[most:]
+                if not held_before:
+                    at.append(i)
+                    distance.append(found)
+            mine = b.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(mine.column(c) for c in ("shard", "_k", "_p")), pa.array(distance, pa.int32())], names=["shard", "key", "position", "distance"])
+
+    fields = f"shard {kinds['shard'].dataType.simpleString()}, key {kinds['_k'].dataType.simpleString()}, position long, distance int"
+    return in_order(all_rows, ["shard", "_block"], ["_p"]).mapInArrow(run, fields)
+
+
+def replay(trace: DataFrame, shard: Column, key: str, order: str, capacities: list[int], width: int, block: int | None = None) -> DataFrame:
+    """(shard, capacity, hits, misses, hit_ratio) of caches of several capacities over the same trace."""
+    distances = reuse_distances(trace, shard, key, order, max(capacities), width, block)
+    totals = distances.groupBy("shard").agg(F.count("*").alias("_n"), *(F.count_if(F.col("distance") <= c).alias(f"_{c}") for c in capacities))
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("capacity"), F.col(f"_{c}").alias("hits")) for c in capacities))).alias("e")
+    out = totals.select("shard", each, "_n").select("shard", "e.capacity", "e.hits", (F.col("_n") - F.col("e.hits")).alias("misses"))
     return out.withColumn("hit_ratio", F.round(F.col("hits") / (F.col("hits") + F.col("misses")), 6))

@@ -52,6 +52,10 @@ def _settle_sql(mode: str, raw: str = "raw") -> str:
     return f"CASE currency WHEN 'JPY' THEN {_round_sql(raw, str(step[0]), mode)} * {step[0]} WHEN 'KWD' THEN {_round_sql(raw, str(step[3]), mode)} * {step[3]} ELSE {_round_sql(raw, str(step[2]), mode)} * {step[2]} END"
 
 
+def _replay(s, d):
+    return caches.replay(table(s, d, "events"), F.col("user_id") % 2, "user_id", "event_id", [20, 50], 100_000)
+
+
 def _texts(s, d):
     v = F.concat(F.element_at(F.array(*map(F.lit, ("", "+", "-", "x"))), (F.col("p_partkey") % 4 + 1).cast("int")), F.col("p_size").cast("string"), F.when(F.col("p_partkey") % 3 == 0, "").otherwise(F.concat(F.lit("."), F.col("p_partkey").cast("string"))))
     return table(s, d, "part").select("p_partkey", v.alias("s"))
@@ -152,7 +156,8 @@ QUERIES = {
     "cms_conservative": lambda s, d: sketches.cms_conservative(table(s, d, "events"), ["event_type"], "user_id", "event_id", 4, 16, form="md5"),
     "hll_registers": lambda s, d: sketches.hll_registers(table(s, d, "events"), ["event_type"], "user_id", 8, form="md5"),
     "fnv_vectors": lambda s, d: s.sql("SELECT * FROM VALUES (''), ('a'), ('foobar') AS t(s)").select("s", tx.fnv1a("s").alias("h")),
-    "cache_replay": lambda s, d: caches.replay(table(s, d, "events"), 2, "user_id", "event_id", "lru", 20).unionByName(caches.replay(table(s, d, "events"), 2, "user_id", "event_id", "arc", 20)).groupBy("shard").agg(F.sum(F.col("hits") + F.col("misses")).alias("n")).agg(F.sum("n").alias("accesses")),
+    "cache_replay": lambda s, d: _replay(s, d).agg(F.sum(F.col("hits") + F.col("misses")).alias("accesses")),
+    "lru_hits": lambda s, d: _replay(s, d).drop("hit_ratio"),
     "revenue_join": lambda s, d: table(s, d, "lineitem").join(table(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("cents"), F.countDistinct("o_orderkey").alias("orders")),
     "rollup_cube": lambda s, d: table(s, d, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.sum(F.col("l_quantity").cast("long")).alias("q")),
     "grouping_sets": lambda s, d: table(s, d, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.grouping_id().cast("long").alias("gid"), F.count("*").alias("n")),
@@ -180,6 +185,13 @@ f AS (SELECT event_type, arg_max(cells, n) AS cells FROM s GROUP BY event_type)
 SELECT event_type, CAST(i // 16 AS INT) AS row, CAST(i % 16 AS INT) AS idx, cells[i + 1] AS c FROM f, range(64) t(i) WHERE cells[i + 1] > 0"""
 _REGISTERS = f"""WITH h AS (SELECT event_type, {_md5("'1'", 'user_id')} AS h FROM events)
 SELECT event_type, CAST(h >> 52 AS INT) AS register, CAST(max(CASE WHEN h % 4503599627370496 = 0 THEN 53 ELSE 53 - length(bin(h % 4503599627370496)) END) AS INT) AS rho FROM h GROUP BY 1, 2"""
+#: Keys used since a key's last use are those whose own last use came before it.
+_LRU = """WITH t AS (SELECT user_id % 2 AS shard, user_id, row_number() OVER (PARTITION BY user_id % 2 ORDER BY event_id) AS p FROM events),
+q AS (SELECT *, coalesce(lag(p) OVER (PARTITION BY shard, user_id ORDER BY p), 0) AS last FROM t),
+d AS (SELECT a.shard, a.p, count(b.p) + 1 AS distance FROM q a LEFT JOIN q b ON a.shard = b.shard AND b.p > a.last AND b.p < a.p AND b.last < a.last WHERE a.last > 0 GROUP BY ALL),
+n AS (SELECT shard, count(*) AS n FROM t GROUP BY shard)
+SELECT n.shard, capacity, count(*) FILTER (WHERE distance <= capacity) AS hits, max(n) - count(*) FILTER (WHERE distance <= capacity) AS misses
+FROM n JOIN d ON d.shard = n.shard, (VALUES (20), (50)) c(capacity) GROUP BY n.shard, capacity"""
 _MODE = lambda n, d, extra="": " UNION ALL ".join(f"SELECT l_orderkey, l_linenumber, '{m}' AS mode, {_round_sql(n, d, m)} AS value FROM l" for m in nx.MODES)
 SQL = {
     "fx_mul_modes": f"WITH {_L} " + _MODE("CAST(price * sign AS HUGEINT) * (discount + 123456789)", "1000000000"),
@@ -212,6 +224,7 @@ SQL = {
     "hll_registers": _REGISTERS,
     "fnv_vectors": "SELECT * FROM (VALUES ('', CAST(-3750763034362895579 AS BIGINT)), ('a', CAST(-5808556873153909620 AS BIGINT)), ('foobar', CAST(-8821353812377114648 AS BIGINT))) t(s, h)",
     "cache_replay": "SELECT 2 * count(*) AS accesses FROM events",
+    "lru_hits": _LRU,
     "revenue_join": "SELECT n_name, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS cents, count(DISTINCT o_orderkey) AS orders FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name",
     "rollup_cube": "SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS q FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)",
     "grouping_sets": "SELECT l_returnflag, l_linestatus, CAST(grouping(l_returnflag, l_linestatus) AS BIGINT) AS gid, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)",

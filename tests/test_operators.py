@@ -226,14 +226,25 @@ def test_bloom_and_cuckoo_have_no_false_negatives(spark):
     assert one(kept)["n"] == 2000
 
 
-@pytest.mark.parametrize("policy", sorted(caches.POLICIES))
-def test_caches_keep_their_capacity(policy):
+@pytest.mark.parametrize("block", [7, 1000])
+def test_reuse_distances(spark, block):
+    """As a plain list of the latest keys gives them, over many small blocks and in one."""
     r = random.Random(2)
-    cache = caches.POLICIES[policy](10)
-    hits = sum(cache.touch(min(int(r.expovariate(0.2)), 60)) for _ in range(4000))
-    assert 400 < hits < 4000
-    if policy in ("lru", "weighted"):
-        assert len(cache.held) <= 10
+    trace = [(r.randint(0, 1), r.choice([None, 3, *map(int, (r.expovariate(0.2) for _ in range(4)))]), 3 * i) for i in range(3000)]
+    df = spark.createDataFrame(trace, "s int, k int, o long").repartition(3)
+    want, latest = [], {0: [], 1: []}
+    for s, k, _ in trace:
+        keys = latest[s]
+        found = keys.index(k) + 1 if k in keys[:10] else None
+        if k in keys:
+            keys.remove(k)
+        keys.insert(0, k)
+        want.append((s, k, found))
+    got = caches.reuse_distances(df, F.col("s"), "k", "o", 10, 500, block).orderBy("shard", "position").collect()
+    assert [tuple(x)[:2] + (x["distance"],) for x in got] == sorted(want, key=lambda x: x[0])
+    hits = {(x["shard"], x["capacity"]): x["hits"] for x in caches.replay(df, F.col("s"), "k", "o", [1, 10], 500, block).collect()}
+    assert hits == {(s, c): sum(x == s and (d or 99) <= c for x, _, d in want) for s in (0, 1) for c in (1, 10)}
+    assert not caches.replay(df.where("false"), F.col("s"), "k", "o", [1], 500, block).collect()
 
 
 def test_exposition(spark):
