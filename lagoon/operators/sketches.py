@@ -230,47 +230,59 @@ def _homes(key: str, buckets: int, bits: int) -> list[Column]:
     """A key's fingerprint, its first bucket, and the step between its two buckets, which the fingerprint alone gives."""
     h = F.xxhash64(F.lit(5), key)
     print_ = (F.pmod(F.shiftright(h, 32), F.lit((1 << bits) - 1)) + 1).cast("int")
-    step = (F.pmod(F.xxhash64(F.lit(17), print_), F.lit(buckets - 1)) + 1).cast("int")
-    return [print_.alias("fingerprint"), F.pmod(h, F.lit(buckets)).cast("int").alias("_at"), step.alias("_step"), F.xxhash64(F.lit(19), key).alias("_deal")]
+    return [print_.alias("fingerprint"), F.pmod(h, F.lit(buckets)).cast("int").alias("_at"), _step_of(print_, buckets).alias("_step"), F.xxhash64(F.lit(19), key).alias("_deal")]
 
 
 LOAD = 0.9
 
 
-def cuckoo(df: DataFrame, groups: list[str], key: str, buckets: int = 1024, fingerprint_bits: int = 12, slots: int = 4, kicks: int = 500) -> DataFrame:
+def _settle(entries, buckets: int, slots: int, kicks: int) -> dict[tuple[int, int], int]:
+    """Entries (fingerprint, bucket, step) put one by one into a filter: the number at each (bucket, fingerprint), those without a place at bucket -1."""
+    table: list[list[tuple[int, int]]] = [[] for _ in range(buckets)]
+    lost, turn = [], 0
+    for print_, at, step in entries:
+        home = next((b for b in (at, at ^ step) if len(table[b]) < slots), None)
+        for _ in range(kicks if home is None else 0):
+            turn += 1
+            table[at][turn % slots], (print_, step) = (print_, step), table[at][turn % slots]
+            at ^= step
+            if len(table[at]) < slots:
+                home = at
+                break
+        (lost if home is None else table[home]).append((print_, step))
+    cells: dict[tuple[int, int], int] = {}
+    for b, held in [*enumerate(table), (-1, lost)]:
+        for f, _ in held:
+            cells[b, f] = cells.get((b, f), 0) + 1
+    return cells
+
+
+def _step_of(fingerprint: str | Column, buckets: int) -> Column:
+    return (F.pmod(F.xxhash64(F.lit(17), fingerprint), F.lit(buckets - 1)) + 1).cast("int")
+
+
+def cuckoo(df: DataFrame, groups: list[str], key: str, buckets: int = 1024, fingerprint_bits: int = 12, slots: int = 4, kicks: int = 500, parts: int | None = None) -> DataFrame:
     """(groups, parts, part, bucket, fingerprint, n) of a cuckoo filter of each group, and rows with bucket -1 for keys that found no place. (O107, O109, O110)
 
     A group's distinct keys are counted and dealt by hash to as many filters of
-    `buckets` as hold them at `LOAD`; kicks depend on the order of insertion, so each
-    of these, of a bounded size, is a fold.
+    `buckets` as hold them at `LOAD`, or to `parts` of them; kicks depend on the order
+    of insertion, so each of these, of a bounded size, is a fold.
     """
     if buckets & (buckets - 1):
         raise ValueError("the number of buckets must be a power of two")
     kinds = ", ".join(f"`{g}` {df.schema[g].dataType.simpleString()}" for g in groups)
     names = [*groups, "parts", "part", "bucket", "fingerprint", "n"]
     keys = df.where(F.col(key).isNotNull()).select(*groups, key).distinct()
-    sizes = keys.groupBy(*groups).agg(F.ceil(F.count("*") / (LOAD * buckets * slots)).alias("parts"))
-    dealt = (keys.join(sizes, groups) if groups else keys.crossJoin(sizes)).select(*groups, "parts", *_homes(key, buckets, fingerprint_bits))
-    dealt = dealt.withColumn("part", F.pmod("_deal", "parts"))
+    if parts:
+        sized = keys.withColumn("parts", F.lit(parts).cast("long"))
+    else:
+        sizes = keys.groupBy(*groups).agg(F.ceil(F.count("*") / (LOAD * buckets * slots)).alias("parts"))
+        sized = keys.join(sizes, groups) if groups else keys.crossJoin(sizes)
+    dealt = sized.select(*groups, "parts", *_homes(key, buckets, fingerprint_bits)).withColumn("part", F.pmod("_deal", "parts"))
 
     def run(key_, pdf: pd.DataFrame) -> pd.DataFrame:
-        table: list[list[tuple[int, int]]] = [[] for _ in range(buckets)]
-        lost, turn = [], 0
-        for print_, at, step in pdf.sort_values(["_deal", "fingerprint"])[["fingerprint", "_at", "_step"]].itertuples(index=False):
-            home = next((b for b in (at, at ^ step) if len(table[b]) < slots), None)
-            for _ in range(kicks if home is None else 0):
-                turn += 1
-                table[at][turn % slots], (print_, step) = (print_, step), table[at][turn % slots]
-                at ^= step
-                if len(table[at]) < slots:
-                    home = at
-                    break
-            (lost if home is None else table[home]).append((print_, step))
-        cells: dict[tuple[int, int], int] = {}
-        for b, entries in [*enumerate(table), (-1, lost)]:
-            for f, _ in entries:
-                cells[b, f] = cells.get((b, f), 0) + 1
-        return pd.DataFrame([[*key_, b, f, n] for (b, f), n in cells.items()], columns=names)
+        entries = pdf.sort_values(["_deal", "fingerprint"])[["fingerprint", "_at", "_step"]].itertuples(index=False)
+        return pd.DataFrame([[*key_, b, f, n] for (b, f), n in _settle(entries, buckets, slots, kicks).items()], columns=names)
 
     prefix = f"{kinds}, " if kinds else ""
     return dealt.groupBy(*groups, "parts", "part").applyInPandas(run, f"{prefix}parts long, part long, bucket int, fingerprint int, n long")
@@ -296,13 +308,38 @@ def cuckoo_delete(filter_: DataFrame, gone: DataFrame, groups: list[str], key: s
     asked = _pairs_of(filter_, gone.select(*groups, key).distinct(), groups, key, buckets, fingerprint_bits)
     pair = [*groups, "part", "fingerprint", "_low"]
     demand = asked.withColumn("_low", F.least("_at", "_other")).groupBy(*pair).agg(F.count("*").alias("_gone"))
-    step = (F.pmod(F.xxhash64(F.lit(17), "fingerprint"), F.lit(buckets - 1)) + 1).cast("int")
+    step = _step_of("fingerprint", buckets)
     cells = filter_.withColumn("_low", F.when(F.col("bucket") >= 0, F.least("bucket", F.col("bucket").bitwiseXOR(step))).otherwise(-1))
     before = F.coalesce(F.sum("n").over(Window.partitionBy(*pair).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     taken = F.least(F.col("n"), F.greatest(F.lit(0), F.coalesce("_gone", F.lit(0)) - before))
     return cells.join(demand, pair, "left").withColumn("n", F.col("n") - taken).where("n > 0").select(*filter_.columns)
 
 
+def cuckoo_union(a: DataFrame, b: DataFrame, groups: list[str], buckets: int = 1024, slots: int = 4, kicks: int = 500) -> DataFrame:
+    """A filter of all entries of two, of the same `buckets` and, in each group, the same number of parts (else it fails). (O108, O155)
+
+    The second one's entries are put into the first; a key of both has two entries, and
+    deletion takes one. A group that only one filter has stays as it is; entries
+    without a place stay members by fingerprint.
+    """
+    kinds = ", ".join(f"`{g}` {a.schema[g].dataType.simpleString()}" for g in groups)
+    names = [*groups, "parts", "part", "bucket", "fingerprint", "n"]
+    both = a.select(*names, F.lit(0).alias("_of")).unionByName(b.select(*names, F.lit(1).alias("_of")))
+    differ = F.raise_error(F.lit("filters of different numbers of parts don't unite"))
+    sizes = both.groupBy(*groups).agg(F.when(F.min("parts") != F.max("parts"), differ.cast("long")).otherwise(F.max("parts")).alias("parts"))
+    rows = both.drop("parts").join(sizes, groups) if groups else both.drop("parts").crossJoin(sizes)
+
+    def run(key_, pdf: pd.DataFrame) -> pd.DataFrame:
+        settled = pdf[pdf.bucket >= 0].sort_values(["_of", "bucket", "fingerprint"])[["fingerprint", "bucket", "_step", "n"]]
+        cells = _settle(((f, at, step) for f, at, step, n in settled.itertuples(index=False) for _ in range(n)), buckets, slots, kicks)
+        for f, n in pdf[pdf.bucket < 0][["fingerprint", "n"]].itertuples(index=False):
+            cells[-1, f] = cells.get((-1, f), 0) + n
+        return pd.DataFrame([[*key_, at, f, n] for (at, f), n in cells.items()], columns=names)
+
+    prefix = f"{kinds}, " if kinds else ""
+    return rows.withColumn("_step", _step_of("fingerprint", buckets)).groupBy(*groups, "parts", "part").applyInPandas(run, f"{prefix}parts long, part long, bucket int, fingerprint int, n long")
+
+
 def cuckoo_rates(filter_: DataFrame, groups: list[str], buckets: int = 1024, fingerprint_bits: int = 12, slots: int = 4) -> DataFrame:
     """Share of slots in use, and the most that a lookup of an absent key is wrong: both buckets' fingerprints by chance. (O108)"""
     used = filter_.where("bucket >= 0").groupBy(*groups).agg(F.sum("n").alias("keys"), (F.max("parts") * F.lit(buckets * slots)).alias("_slots"))

@@ -162,6 +162,24 @@ s AS (
   FROM s JOIN c ON c.user_id = s.user_id AND c.n = s.n + 1)
 SELECT user_id, event_id, now, granted, CAST(NULL AS BIGINT) AS retry_at FROM s"""
 
+#: Call by call of an event type: its bucket of 50 tokens, and a list with the bucket of 2 of each user, both getting one a second; tokens in billionths.
+_HIER = """WITH RECURSIVE c AS (
+  SELECT event_id, event_type, user_id, CAST(epoch_us(ts) AS BIGINT) * 1000 AS now,
+    row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n, dense_rank() OVER (PARTITION BY event_type ORDER BY user_id) AS i
+  FROM events),
+s AS (
+  SELECT event_type, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS BIGINT) AS user_id, CAST(NULL AS BIGINT) AS now,
+    50000000000 AS top, CAST(NULL AS BIGINT) AS top_at, list_transform(range(max(i)), lambda x: 2000000000) AS own, list_transform(range(max(i)), lambda x: CAST(NULL AS BIGINT)) AS own_at, false AS granted
+  FROM c GROUP BY event_type
+  UNION ALL
+  SELECT event_type, n, event_id, user_id, now, t - paid, now, own[:i - 1] || [o - paid] || own[i + 1:], own_at[:i - 1] || [now] || own_at[i + 1:], paid > 0
+  FROM (
+    SELECT *, CASE WHEN t >= 1000000000 AND o >= 1000000000 THEN 1000000000 ELSE 0 END AS paid
+    FROM (
+      SELECT c.*, s.own, s.own_at, least(50000000000, s.top + coalesce(c.now - s.top_at, 0)) AS t, least(2000000000, s.own[c.i] + coalesce(c.now - s.own_at[c.i], 0)) AS o
+      FROM s JOIN c ON c.event_type = s.event_type AND c.n = s.n + 1)))
+SELECT event_id, event_type, user_id, now, granted FROM s WHERE n > 0"""
+
 _SAGA = """WITH t AS (SELECT o_custkey AS saga, o_orderkey AS pos, 's' || o_orderkey AS step, NOT (o_orderstatus = 'F' AND o_orderkey % 7 = 0) AS fw, o_orderkey % 5 <> 0 AS cm FROM orders),
 f AS (SELECT saga, min(pos) FILTER (WHERE NOT fw) AS cut FROM t GROUP BY saga),
 j AS (SELECT t.saga, max(step) FILTER (WHERE pos = cut) AS failed_step,
@@ -176,6 +194,7 @@ _H = "h AS (SELECT event_type, b.le, count(*) FILTER (WHERE value <= b.le) AS n
 SQL = {
     "gcra": _GCRA,
     "token_bucket": _BUCKET,
+    "hier_bucket": _HIER,
     "dedup_latest": f"WITH {_R}, n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY source DESC, seq) AS i FROM r) SELECT k, source, seq, v FROM n WHERE i = 1",
     "priority_latest": f"WITH {_R}, n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY priority DESC, source DESC, seq) AS i FROM r) SELECT k, priority, source, seq, v FROM n WHERE i = 1",
     "tombstone_latest": f"{_NEW} SELECT k, seq, v FROM n WHERE i = 1 AND NOT gone",

@@ -84,12 +84,18 @@ def transitions(stream: DataFrame) -> DataFrame:
 
 
 class Gcra(StatefulProcessor):
-    """Streaming admission by a virtual schedule, one state value a key, which stays. (O134)"""
+    """Streaming admission by a virtual schedule, one state value a key. (O134)
 
-    def __init__(self, interval: int, burst: int) -> None:
-        self._interval, self._burst = interval, burst
+    With `evict`, a timer drops a key's state once the watermark has passed its due
+    time: a call after that finds the schedule behind it, as a new key's does, so
+    nothing is lost. (O138)
+    """
+
+    def __init__(self, interval: int, burst: int, evict: bool) -> None:
+        self._interval, self._burst, self._evict = interval, burst, evict
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
         self._due = handle.getValueState("due", "due long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -101,12 +107,27 @@ class Gcra(StatefulProcessor):
             due = after if granted else due
             out.append((key[0], r.call, granted))
         self._due.update((int(due),))
+        if self._evict:
+            for at in list(self._handle.listTimers()):
+                self._handle.deleteTimer(at)
+            self._handle.registerTimer(-(-int(due) // 1000))
         yield pd.DataFrame(out, columns=["key", "call", "granted"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._due.clear()
+        return iter([])
+
     def close(self) -> None:
         pass
 
 
-def admissions(stream: DataFrame, interval: int, burst: int) -> DataFrame:
-    """Calls (key, call, now) with whether they are granted."""
-    return stream.groupBy("key").transformWithStateInPandas(Gcra(interval, burst), "key long, call long, granted boolean", "Append", "None")
+def admissions(stream: DataFrame, interval: int, burst: int, late: str | None = None) -> DataFrame:
+    """Calls (key, call, now) with whether they are granted.
+
+    With `late`, `now` counts microseconds since 1970, calls that are later than that
+    after the latest one, or not after 1970, are dropped, and idle keys keep no state. Without it, every
+    key's state stays.
+    """
+    timed = stream.withColumn("_at", F.timestamp_micros("now")).withWatermark("_at", late) if late else stream
+    made = Gcra(interval, burst, late is not None)
+    return timed.groupBy("key").transformWithStateInPandas(made, "key long, call long, granted boolean", "Append", "EventTime" if late else "None")

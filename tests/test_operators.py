@@ -321,6 +321,21 @@ def test_streaming_transitions_and_admissions(spark, tmp_path):
     assert rows(spark.table("granted")) == rows(want)
 
 
+def test_idle_keys_keep_no_state(spark, tmp_path):
+    calls = [(k, 100 * b + k, (b + 1) * 60_000_000 + k * 1000) for b in range(6) for k in (range(40) if b in (0, 3) else range(2))]
+    calls += [(k, 1000 + n, 240_000_000 + k * 1000 + n) for k in range(40) for n in range(4)]
+    df = spark.createDataFrame(calls, "key long, call long, now long")
+    for b in range(1, 7):
+        part = df.where(F.col("now").between(b * 60_000_000, (b + 1) * 60_000_000 - 1)).coalesce(1)
+        part.write.mode("append").parquet(str(tmp_path / "in"))
+    stream = streams.source(spark, str(tmp_path / "in"), df.schema)
+    q = streams.admissions(stream, 1_000_000, 2, "1 second").writeStream.format("memory").queryName("evicting").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert rows(spark.table("evicting")) == rows(limits.gcra(df, ["key"], "now", "call", 1_000_000, 2).select("key", "call", "granted"))
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    assert max(held) >= 40 and held[-1] < 10
+
+
 def test_sliding_windows_and_sessions(spark, tmp_path):
     df = spark.sql("SELECT timestamp_seconds(id * 60) AS ts, 'k' AS k FROM range(20)")
     stream = _files(spark, tmp_path, df, 1)
@@ -422,6 +437,24 @@ def test_cuckoo_filters_of_bounded_parts(spark):
     assert not nothing.count() and not sketches.cuckoo_contains(nothing, df, ["g"], "k", 64).count()
 
 
+def test_cuckoo_union(spark):
+    from pyspark.errors import PySparkException
+
+    df = spark.range(3000).select((F.col("id") % 2).alias("g"), F.col("id").alias("k"))
+    odd, even = (sketches.cuckoo(df.where(f"k % 4 IN ({i}, {i + 1})"), ["g"], "k", 64, 16, parts=7) for i in (0, 2))
+    both = sketches.cuckoo_union(odd, even, ["g"], 64).cache()
+    assert one(both.agg(F.sum("n").alias("n")))["n"] == 3000
+    assert one(both.where("bucket >= 0").groupBy("g", "part", "bucket").agg(F.sum("n").alias("n")).agg(F.max("n").alias("n")))["n"] <= 4
+    assert not sketches.cuckoo_contains(both, df, ["g"], "k", 64, 16).where("NOT maybe").count()
+    assert sketches.cuckoo_contains(both, df.withColumn("k", F.col("k") + 3000), ["g"], "k", 64, 16).where("maybe").count() < 30
+    left = sketches.cuckoo_delete(both, df.where("k < 1000"), ["g"], "k", 64, 16)
+    assert one(left.agg(F.sum("n").alias("n")))["n"] == 2000 and not sketches.cuckoo_contains(left, df.where("k >= 1000"), ["g"], "k", 64, 16).where("NOT maybe").count()
+    with pytest.raises(PySparkException, match="don't unite"):
+        sketches.cuckoo_union(odd, sketches.cuckoo(df, ["g"], "k", 64, 16, parts=8), ["g"], 64).collect()
+    full = sketches.cuckoo_union(odd, odd, ["g"], 4).where("false")
+    assert not sketches.cuckoo_union(full, full, [], 64).count()
+
+
 def test_checked_ranges_fail(spark):
     from pyspark.errors import PySparkException
 
