@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lagoon.llm.chat import OP1_SQL, op1_chat_format
 from lagoon.llm.decontaminate import op10_decontamination
+from lagoon.llm.infill import OP11_SQL, op11_fill_in_middle
 from lagoon.llm.licenses import op6_license_scan
 from lagoon.llm.minhash import op2_near_duplicates
 from lagoon.llm.oracles import NEAR_DUPLICATES, QUALITY
 from lagoon.llm.packing import op8_packing
+from lagoon.llm.personal import OP13_SQL, op13_personal_data
 from lagoon.llm.quality import op5_quality_rules
 from lagoon.llm.repeats import op4_repeated_strings
 from lagoon.llm.sharding import op7_sharding
@@ -31,8 +33,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": op8_packing,
         "op9_toxicity": op9_toxicity,
         "op10_decontamination": op10_decontamination,
+        "op11_fill_in_middle": op11_fill_in_middle,
+        "op13_personal_data": op13_personal_data,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1_SQL, "op2_near_duplicates": NEAR_DUPLICATES, "op5_quality_rules": QUALITY}
+    return {"op1_chat_format": OP1_SQL, "op2_near_duplicates": NEAR_DUPLICATES, "op5_quality_rules": QUALITY, "op11_fill_in_middle": OP11_SQL, "op13_personal_data": OP13_SQL}
