@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lagoon.llm.alignment import op12_token_alignment
 from lagoon.llm.chat import OP1_SQL, op1_chat_format
 from lagoon.llm.decontaminate import op10_decontamination
 from lagoon.llm.infill import OP11_SQL, op11_fill_in_middle
@@ -34,6 +35,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_toxicity": op9_toxicity,
         "op10_decontamination": op10_decontamination,
         "op11_fill_in_middle": op11_fill_in_middle,
+        "op12_token_alignment": op12_token_alignment,
         "op13_personal_data": op13_personal_data,
     }
 
