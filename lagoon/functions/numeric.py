@@ -47,6 +47,19 @@ def ordered_bucket(x: Column | str, bits: int = 6) -> Column:
     return (1 - 2 * below) * hdr_bucket(F.abs(v), bits) - below
 
 
+def steps_away(mode: str, rest: Column, b: Column, negative: Column, odd: Column) -> Column:
+    """Whether a truncated quotient, with what is left of a divisor, goes a step away from zero. (O172)"""
+    return {
+        "DOWN": F.lit(False),
+        "UP": rest > 0,
+        "FLOOR": negative & (rest > 0),
+        "CEILING": ~negative & (rest > 0),
+        "HALF_UP": 2 * rest >= b,
+        "HALF_DOWN": 2 * rest > b,
+        "HALF_EVEN": (2 * rest > b) | ((2 * rest == b) & odd),
+    }[mode]
+
+
 def div_round(n: Column | str, d: Column | str | int, mode: str) -> Column:
     """n / d as a whole number under a rounding mode; null where d is 0. One rule for all modes: truncate, then step away from zero or not. (O172)"""
     if mode not in MODES:
@@ -57,16 +70,7 @@ def div_round(n: Column | str, d: Column | str | int, mode: str) -> Column:
     q = _quotient(a, b)
     rest = a - q * b
     negative = (n < 0) != (d < 0)
-    odd = q % 2 == 1
-    away = {
-        "DOWN": F.lit(False),
-        "UP": rest > 0,
-        "FLOOR": negative & (rest > 0),
-        "CEILING": ~negative & (rest > 0),
-        "HALF_UP": 2 * rest >= b,
-        "HALF_DOWN": 2 * rest > b,
-        "HALF_EVEN": (2 * rest > b) | ((2 * rest == b) & odd),
-    }[mode]
+    away = steps_away(mode, rest, b, negative, q % 2 == 1)
     size = q + F.when(away, 1).otherwise(0)
     return F.when(negative, -size).otherwise(size).cast(WIDE)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The five fields with their ranges.
@@ -90,6 +90,25 @@ def fire_ticks(commands: DataFrame, timer: str, order: str, action: str, now_tic
     return live.select(timer, (F.col("c")[now_tick] + F.greatest(F.col("c")[delay], F.lit(1))).alias("fire_tick"))
 
 
+def fires(commands: DataFrame, timer: str, seq: str, action: str, tick: str, delay: str) -> DataFrame:
+    """(timer, fire_tick) of every time that a timer fires. A timer has one pending fire at most: schedule and reschedule replace it, the latter only if it hasn't fired yet, cancel takes it away; a command at the tick of a fire or later comes after it. (O141, O217)
+
+    A timer's pending fire before a command depends on the commands since its last
+    schedule or cancel only: every reschedule in between must come before the fire
+    that the command before it left.
+    """
+    due = F.col(tick) + F.greatest(F.col(delay), F.lit(1))
+    rows = commands.where(F.col(timer).isNotNull()).select(timer, F.col(action).alias("_a"), F.col(tick).alias("_t"), F.col(seq).alias("_s"), due.alias("_d"))
+    order = Window.partitionBy(timer).orderBy("_t", "_s")
+    rows = rows.withColumn("_next", F.lead("_t").over(order)).withColumn("_before", F.lag("_d").over(order))
+    # a reschedule is void if the command before it left nothing pending at its tick: it fired by then, was cancelled, or was void itself
+    run = F.sum(F.when(F.col("_a") == "reschedule", F.when(F.col("_before") <= F.col("_t"), 1).otherwise(0)).otherwise(1)).over(order)
+    heads = rows.withColumn("_run", run)
+    first = F.first("_a").over(Window.partitionBy(timer, "_run").orderBy("_t", "_s"))
+    live = heads.withColumn("_live", (first == "schedule") & (F.col("_a") != "cancel"))
+    return live.where(F.col("_live") & (F.col("_next").isNull() | (F.col("_next") >= F.col("_d")))).select(timer, F.col("_d").alias("fire_tick"))
+
+
 def ticks_of(nanos: str, tick_nanos: int):
     """Whole ticks of a delay, rounded up, one at least. (O219)"""
     return F.greatest(F.ceil(F.col(nanos) / tick_nanos), F.lit(1))

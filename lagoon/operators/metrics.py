@@ -81,6 +81,21 @@ def stage_counters(df: DataFrame, stage: str, dropped: str) -> DataFrame:
     return df.groupBy(stage).agg(F.count("*").alias("ops_total"), F.count_if(F.col(dropped)).alias("dropped_total"))
 
 
+def in_flight(df: DataFrame, groups: list[str], start: str, end: str, every: int) -> DataFrame:
+    """(groups, at, most, left) for each stretch of `every` in which something starts or ends: the most operations under way at once, and those under way when it ends. An operation is under way from its start up to, and not at, its end; those without an end stay. (O120)
+
+    Starts and ends of one time are netted; only a stretch's times are sorted together,
+    and the sums of the stretches before are added.
+    """
+    edge = lambda c, n: df.where(F.col(c).isNotNull()).select(*groups, F.col(c).alias("_t"), F.lit(n).alias("_n"))
+    moves = edge(start, 1).unionByName(edge(end, -1)).groupBy(*groups, "_t").agg(F.sum("_n").alias("_n"))
+    moves = moves.withColumn("at", F.floor(F.col("_t") / every) * every)
+    inside = moves.withColumn("_run", F.sum("_n").over(Window.partitionBy(*groups, "at").orderBy("_t").rowsBetween(Window.unboundedPreceding, 0)))
+    stretches = inside.groupBy(*groups, "at").agg(F.max("_run").alias("_most"), F.sum("_n").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*groups).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return stretches.select(*groups, "at", (before + F.greatest("_most", F.lit(0))).alias("most"), (before + F.col("_n")).alias("left"))
+
+
 def timer_totals(spans_: DataFrame, timer: str) -> DataFrame:
     """Spans of each timer, their total and their greatest length. (O123)"""
     length = F.col("end") - F.col("start")

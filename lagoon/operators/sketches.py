@@ -56,6 +56,38 @@ def hll_merge(*registers: DataFrame) -> DataFrame:
     return out.groupBy(*(c for c in out.columns if c != "rho")).agg(F.max("rho").alias("rho"))
 
 
+def hll_fold(registers: DataFrame, finer: int, p: int) -> DataFrame:
+    """Registers of `finer` bits as those of `p`: what counting the same keys with `p` bits gives, so that sketches of different precision merge. (O089, O091)"""
+    d = finer - p
+    if d < 0:
+        raise ValueError("registers can only get coarser")
+    groups = [c for c in registers.columns if c not in ("register", "rho")]
+    low = F.col("register") % (1 << d)
+    first = F.when(low > 0, d + 1 - F.length(F.bin(low))).otherwise(d + F.col("rho")).cast("int")
+    return registers.groupBy(*groups, F.shiftright("register", d).alias("register")).agg(F.max(first).alias("rho"))
+
+
+def hll_sparse(df: DataFrame, groups: list[str], key: str, p: int, finer: int = 20, form: str = "xxhash64") -> DataFrame:
+    """(groups, dense, register, rho): a group's entries at a finer precision while there are at most a quarter as many as registers of `p` bits, then those registers. (O091)"""
+    fine = hll_registers(df, groups, key, finer, form)
+    sizes = fine.groupBy(*groups).agg((F.count("*") > (1 << p) // 4).alias("dense"))
+    rows = fine.join(sizes, groups) if groups else fine.crossJoin(sizes)
+    promoted = hll_fold(rows.where("dense"), finer, p)
+    return rows.where("NOT dense").select(*groups, "dense", "register", "rho").unionByName(promoted.select(*groups, "dense", "register", "rho"))
+
+
+def hll_merge_sparse(a: DataFrame, b: DataFrame, p: int, finer: int = 20) -> DataFrame:
+    """Two tables of `hll_sparse` as one: fine entries merge as such while both sides' are and few enough, else as registers. (O091)"""
+    groups = [c for c in a.columns if c not in ("dense", "register", "rho")]
+    both = a.unionByName(b)
+    merged = both.groupBy(*groups, "dense", "register").agg(F.max("rho").alias("rho"))
+    sizes = merged.groupBy(*groups).agg((F.max("dense") | (F.count_if(~F.col("dense")) > (1 << p) // 4)).alias("_wide"))
+    rows = merged.join(sizes, groups) if groups else merged.crossJoin(sizes)
+    folded = hll_fold(rows.where("_wide AND NOT dense").drop("dense", "_wide"), finer, p)
+    wide = hll_merge(folded, rows.where("dense").drop("dense", "_wide")).withColumn("dense", F.lit(True))
+    return rows.where("NOT _wide").select(*groups, "dense", "register", "rho").unionByName(wide.select(*groups, "dense", "register", "rho"))
+
+
 def hll_estimate(registers: DataFrame, groups: list[str], p: int) -> DataFrame:
     """Harmonic mean estimate; linear counting up to 2.5 times the registers. (O088)"""
     m = float(1 << p)
@@ -221,6 +253,33 @@ def counting_bloom(df: DataFrame, key: str, change: Column, bits: int, k: int, m
     return cells.groupBy("cell").agg(F.least(F.sum("_n"), F.lit(most)).alias("c")).where("c > 0")
 
 
+#: Calls that one fold composes: of a cell's calls in a stretch of the order, then of the maps of so many stretches.
+STRETCH = 1 << 12
+
+
+def counting_calls(df: DataFrame, key: str, order: str, removes: Column, bits: int, k: int, most: int = 15, form: str = "xxhash64") -> DataFrame:
+    """(cell, c) of a counting filter after additions and removals in order: a cell at `most` is full, stays so, and isn't taken from, as what it held beyond is unknown. (O104, O205)
+
+    A call maps each count from 0 to `most` to another, and maps compose in any
+    grouping that keeps the order. So a cell's calls are composed by stretches of the
+    order (a number that no two calls share), stretches by stretches of stretches, and
+    only the last map is applied; no task holds a cell's calls.
+    """
+    rows = df.where(F.col(key).isNotNull()).select(F.col(order).cast("long").alias("_o"), removes.alias("_r"), F.explode(_bits(key, bits, k, form)).alias("cell"))
+    none = F.array(*map(F.lit, range(most + 1)))
+    added = F.array(*(F.lit(min(x + 1, most)) for x in range(most + 1)))
+    removed = F.array(*(F.lit(x - 1 if 0 < x < most else x) for x in range(most + 1)))
+    then = lambda first, second: F.transform(first, lambda x: second[x])
+    folded = lambda items, of: F.aggregate(F.array_sort(items), none, lambda done, x: then(done, of(x)))
+    calls = rows.withColumn("_s", F.floor(F.col("_o") / STRETCH)).groupBy("cell", "_s").agg(F.collect_list(F.struct("_o", "_r")).alias("_c"))
+    maps = calls.select("cell", "_s", folded(F.col("_c"), lambda x: F.when(x["_r"], removed).otherwise(added)).alias("_m"))
+    for _ in range(4):  # 2 ** 60 calls in all
+        up = maps.withColumn("_u", F.floor(F.col("_s") / STRETCH)).groupBy("cell", "_u").agg(F.collect_list(F.struct("_s", "_m")).alias("_c"))
+        maps = up.select("cell", F.col("_u").alias("_s"), folded(F.col("_c"), lambda x: x["_m"]).alias("_m"))
+    last = maps.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("_s", "_m"))).alias("_c"))  # one stretch, or two if there are orders below 0
+    return last.select("cell", folded(F.col("_c"), lambda x: x["_m"])[0].cast("long").alias("c")).where("c > 0")
+
+
 def scalable_layer(number: Column, first: int) -> Column:
     """Layer of the number-th key (from 0) when every layer holds twice as many as the one before. (O106)"""
     return F.floor(F.log2(number / F.lit(float(first)) + 1)).cast("int")
@@ -347,6 +406,44 @@ def cuckoo_rates(filter_: DataFrame, groups: list[str], buckets: int = 1024, fin
     return used.select(*groups, "keys", F.round(load, 6).alias("load"), F.round(2 * slots * load / F.lit(float((1 << fingerprint_bits) - 1)), 9).alias("fpp"))
 
 
+GROW_AT = 0.95
+
+
+def chain_capacities(first: int, layers: int = 40) -> list[int]:
+    """Keys that the layers of a growing filter take: of `first` slots, twice as many, and so on, each until its load is `GROW_AT`. (O110)"""
+    return [math.ceil(GROW_AT * (first << i)) for i in range(layers)]
+
+
+def chain_layers(df: DataFrame, key: str, order: str, first: int, every: int = 1 << 16) -> DataFrame:
+    """(key, layer) of each distinct key, by the number of distinct keys before its first arrival; `order` is a number, `every` of it are sorted together. (O110)"""
+    firsts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(order).alias("_seen"))
+    numbered = offsets(firsts, ["_seen", key], F.floor(F.col("_seen") / every), into="_number")
+    ends = F.array(*(F.lit(sum(chain_capacities(first)[: i + 1])).cast("long") for i in range(40)))
+    return numbered.select(key, F.size(F.filter(ends, lambda e: e <= F.col("_number"))).alias("layer"))
+
+
+def cuckoo_chain(df: DataFrame, key: str, order: str, first: int, buckets: int = 1024, fingerprint_bits: int = 12) -> DataFrame:
+    """(layer, parts, part, bucket, fingerprint, n): a filter that grows by a layer of twice the size whenever the last one's load is 0.95. A layer is dealt to parts of a bounded size as `cuckoo` does. (O110)"""
+    return cuckoo(chain_layers(df, key, order, first), ["layer"], key, buckets, fingerprint_bits)
+
+
+def _asked_of_layers(filter_: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    layers = filter_.groupBy("layer").agg(F.lit(1).alias("_l")).select("layer")
+    return keys.select(key).distinct().join(F.broadcast(layers))  # as many rows as the keys' count has bits
+
+
+def chain_contains(filter_: DataFrame, probes: DataFrame, key: str, buckets: int = 1024, fingerprint_bits: int = 12) -> DataFrame:
+    """(key, maybe, layer): false is certain, else the newest layer that may hold the key. (O110)"""
+    each = cuckoo_contains(filter_, _asked_of_layers(filter_, probes, key), ["layer"], key, buckets, fingerprint_bits)
+    return each.groupBy(key).agg(F.max("maybe").alias("maybe"), F.max(F.when(F.col("maybe"), F.col("layer"))).alias("layer"))
+
+
+def chain_delete(filter_: DataFrame, gone: DataFrame, key: str, buckets: int = 1024, fingerprint_bits: int = 12) -> DataFrame:
+    """The filter without one entry for each distinct key of `gone` that was inserted before: of the newest layer that may hold it. (O110)"""
+    found = chain_contains(filter_, gone, key, buckets, fingerprint_bits).where("maybe").select("layer", key)
+    return cuckoo_delete(filter_, found, ["layer"], key, buckets, fingerprint_bits)
+
+
 def heavy_hitters(df: DataFrame, key: str, k: int, depth: int, width: int) -> DataFrame:
     """The k keys of greatest estimate; ties go to the lesser key. (O099)"""
     est = cms_estimate(cms(df, [], key, depth, width), df, key, depth, width)

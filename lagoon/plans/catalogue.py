@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lagoon.plans import exact_queries, extra_queries, record_queries, stats_queries, value_queries
+from lagoon.plans import exact_queries, extra_queries, growth_queries, record_queries, stats_queries, stream_queries, value_queries
 
-_PARTS = (stats_queries, record_queries, value_queries, extra_queries, exact_queries)
+_PARTS = (stats_queries, record_queries, value_queries, extra_queries, exact_queries, growth_queries, stream_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

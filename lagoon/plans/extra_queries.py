@@ -25,12 +25,14 @@ def _segment_scan(s, d):
 
 
 def _segment_seek(s, d):
-    """Frames from the 10th block of each file on, up to what is committed."""
-    frames = _framed(s, d, "xxh3")
-    marks = frames.groupBy("segment").agg(F.max("end").alias("committed"))
-    kept = segments.committed(segments.seek(frames, 10), marks)
-    first = frames.groupBy("segment").agg(F.least(F.count("*"), F.lit(10)).alias("n"))
-    return kept.groupBy("segment").agg(F.count("*").alias("n")).unionByName(first).agg(F.sum("n").alias("n"))
+    """A log for every 16th of the users: frames from the 100th block on that end within the first three quarters of their log's bytes."""
+    path = scratch(s, "logs")
+    e = table(s, d, "events").select((F.col("user_id") % 16).alias("log"), "event_id", F.col("event_id").cast("string").alias("p"))
+    segments.write(e, "p", ["event_id"], path, "xxh3", file_bytes=1 << 50, segment="log")
+    frames = segments.read(s, path, "xxh3")
+    marks = frames.groupBy("segment").agg(F.floor(F.max("end") * 3 / 4).alias("committed"))
+    kept = segments.committed(segments.seek(frames, 100), marks)
+    return kept.select("segment", "block", "end", F.col("payload").cast("string").cast("long").alias("event_id"))
 
 
 def _wal(s, d):
@@ -75,10 +77,15 @@ QUERIES = {
 _PARTITIONED = f"""WITH p AS (SELECT c_custkey AS k, i, {_md5("(100 + i)", "c_custkey")} % 1024 AS bit FROM customer, range(3) t(i)),
 f AS (SELECT DISTINCT i, bit FROM p WHERE k % 2 = 0)
 SELECT p.k, count(f.bit) = 3 AS maybe FROM p LEFT JOIN f ON f.i = p.i AND f.bit = p.bit GROUP BY p.k"""
+#: A frame has 4 bytes for its length and 8 for its checksum.
+_SEEK = """WITH e AS (
+  SELECT CAST(user_id % 16 AS VARCHAR) AS segment, event_id, row_number() OVER w - 1 AS block, CAST(sum(12 + length(CAST(event_id AS VARCHAR))) OVER w AS BIGINT) AS "end"
+  FROM events WINDOW w AS (PARTITION BY user_id % 16 ORDER BY event_id))
+SELECT segment, block, "end", event_id FROM (SELECT *, max("end") OVER (PARTITION BY segment) * 3 // 4 AS mark FROM e) WHERE block >= 100 AND "end" <= mark"""
 SQL = {
     "segment_scan": "SELECT event_id, CAST(NULL AS VARCHAR) AS error FROM events",
     "wal_replay": "WITH b AS (SELECT o_orderkey % 4 AS log, min(o_orderkey) FILTER (WHERE o_orderkey % 1501 = 1500) AS bad FROM orders GROUP BY 1) SELECT log, count(*) AS n, max(o_orderkey) AS last FROM orders JOIN b ON log = o_orderkey % 4 WHERE bad IS NULL OR o_orderkey < bad GROUP BY log",
-    "segment_seek": "SELECT count(*) AS n FROM events",
+    "segment_seek": _SEEK,
     "partitioned_bloom": _PARTITIONED,
     "bulk_build_check": "SELECT count(*) AS keys, count(*) FILTER (WHERE n > 1) AS repeated FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey)",
     "fx_parts": "WITH a AS (SELECT c_custkey, CAST(round(c_acctbal * 100) AS BIGINT) * -10000000 AS raw FROM customer) SELECT c_custkey, abs(raw) // 1000000000 AS whole, abs(raw) % 1000000000 AS part, CAST(sign(raw) AS INT) AS sign FROM a",

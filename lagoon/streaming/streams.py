@@ -8,26 +8,85 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import LongType, StructField, StructType
+
+from lagoon.operators.versions import latest
 
 
 def source(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
+def _folders(spark: SparkSession, target: str) -> dict[str, int]:
+    """Finished folders of a projection by name, with their versions."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in store.listStatus(path)] if store.exists(path) else []
+    done = [n for n in names if n.startswith(("batch-", "merged-")) and store.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{target}/{n}/_SUCCESS"))]
+    return {n: int(n.partition("-")[2]) for n in done}
+
+
+def _current(spark: SparkSession, target: str) -> tuple[list[str], list[str], int]:
+    """Folders that hold a projection, folders that a later merge has replaced, and the newest version."""
+    found = _folders(spark, target)
+    base = max((v for n, v in found.items() if n.startswith("merged-")), default=-1)
+    own = [n for n, v in found.items() if v > base or n == f"merged-{base}"]
+    return own, [n for n in found if n not in own], max(found.values(), default=-1)
+
+
+def projection(spark: SparkSession, target: str, groups: list[str], schema) -> DataFrame:
+    """What a projection holds by now: the newest row of each group, over the last merge and all batches since. (O213)"""
+    own, _, _ = _current(spark, target)
+    if not own:
+        return spark.createDataFrame([], schema)
+    versioned = StructType([*schema.fields, StructField("_version", LongType())])
+    return latest(spark.read.schema(versioned).parquet(*(f"{target}/{n}" for n in own)), groups, "_version").drop("_version").select(*schema.names)
+
+
 def catch_up(stream: DataFrame, groups: list[str], aggregates: list[Column], target: str, checkpoint: str | None = None) -> DataFrame:
-    """A projection of all that a stream holds by now: each batch folds only what is new, and the result equals a full replay. Every batch's groups are written to a folder of their own under `target`, which all executors must share; the last one is read back. (O212, O213)"""
+    """A projection of all that a stream holds by now. Each batch folds only what is new, and writes only the groups that it changed, with its number, to a folder of its own under `target`, which all executors must share; a batch that runs again writes the same folder. The result equals a full replay; with a checkpoint a later call goes on where this one ended. (O212, O213)"""
     folded = stream.groupBy(*groups).agg(*aggregates)
-    last: list[str] = []
 
     def keep(batch: DataFrame, number: int) -> None:
-        last[:] = [f"{target}/batch-{number}"]
-        batch.write.mode("overwrite").parquet(last[0])
+        batch.withColumn("_version", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{target}/batch-{number}")
 
-    writer = folded.writeStream.outputMode("complete").foreachBatch(keep).trigger(availableNow=True)
+    writer = folded.writeStream.outputMode("update").foreachBatch(keep).trigger(availableNow=True)
     if checkpoint:
         writer = writer.option("checkpointLocation", checkpoint)
     writer.start().awaitTermination()
-    return stream.sparkSession.read.schema(folded.schema).parquet(*last) if last else stream.sparkSession.createDataFrame([], folded.schema)
+    return projection(stream.sparkSession, target, groups, folded.schema)
+
+
+def compact(spark: SparkSession, target: str, groups: list[str], schema) -> None:
+    """Merges a projection's folders into one; those it replaces go once it is whole. Not beside a running `catch_up`. (O213, O160)"""
+    own, _, version = _current(spark, target)
+    if len(own) > 1:
+        merged = projection(spark, target, groups, schema).withColumn("_version", F.lit(version).cast("long"))
+        merged.write.mode("overwrite").parquet(f"{target}/merged-{version}")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    for name in _current(spark, target)[1]:
+        path(target).getFileSystem(spark._jsc.hadoopConfiguration()).delete(path(f"{target}/{name}"), True)
+
+
+def settle(stream: DataFrame, target: str, checkpoint: str | None = None) -> tuple[DataFrame, list[dict]]:
+    """Runs a stream of appended rows over all that its sources hold by now; its rows so far, and what the query says of each batch. Rows go to Parquet under `target`, each once."""
+    writer = stream.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint or f"{target}/_checkpoint")
+    query = writer.outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(target), list(query.recentProgress)
+
+
+def interval_join(left: DataFrame, right: DataFrame, on: str, left_ts: str, right_ts: str, within: str, late: str, how: str = "inner") -> DataFrame:
+    """Pairs of two streams' rows of one key where the right one follows the left one within an interval.
+
+    Both sides keep the rows that can still find a partner, and drop them as the
+    watermark (the lesser of the two sides') passes; with `left_outer` a left row without
+    any comes out, with nulls, as its state goes. (O225)
+    """
+    a = left.withWatermark(left_ts, late).alias("a")
+    b = right.withColumnRenamed(on, "_on").withWatermark(right_ts, late).alias("b")
+    follows = (F.col(right_ts) >= F.col(left_ts)) & (F.col(right_ts) <= F.col(left_ts) + F.expr(f"INTERVAL {within}"))
+    return a.join(b, (F.col(on) == F.col("_on")) & follows, how).drop("_on")
 
 
 def sliding_counts(stream: DataFrame, ts: str, key: str, size: str, slide: str, late: str) -> DataFrame:
@@ -105,13 +164,13 @@ class Gcra(StatefulProcessor):
             after = max(due, r.now) + self._interval
             granted = r.now >= after - self._burst * self._interval
             due = after if granted else due
-            out.append((key[0], r.call, granted))
+            out.append((None if key[1] else key[0], r.call, granted))
         self._due.update((int(due),))
         if self._evict:
             for at in list(self._handle.listTimers()):
                 self._handle.deleteTimer(at)
             self._handle.registerTimer(-(-int(due) // 1000))
-        yield pd.DataFrame(out, columns=["key", "call", "granted"])
+        yield pd.DataFrame(out, columns=["key", "call", "granted"]).astype({"key": "Int64"})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self._due.clear()
@@ -130,4 +189,101 @@ def admissions(stream: DataFrame, interval: int, burst: int, late: str | None =
     """
     timed = stream.withColumn("_at", F.timestamp_micros("now")).withWatermark("_at", late) if late else stream
     made = Gcra(interval, burst, late is not None)
-    return timed.groupBy("key").transformWithStateInPandas(made, "key long, call long, granted boolean", "Append", "EventTime" if late else "None")
+    return _keyed(timed, "key").transformWithStateInPandas(made, "key long, call long, granted boolean", "Append", "EventTime" if late else "None")
+
+
+def _keyed(df: DataFrame, key: str):
+    """Groups by a whole number that may be null; pandas would make numbers beside a null another kind, and so other keys of the state."""
+    return df.withColumn("_none", F.col(key).isNull()).withColumn(key, F.coalesce(F.col(key), F.lit(0).cast("long"))).groupBy(key, "_none")
+
+
+def _states(spark: SparkSession) -> None:
+    """State with timers is kept by RocksDB."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+class Timers(StatefulProcessor):
+    """A key's pending timer as its state, and as a timer of the engine, which fires as the watermark passes."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._due = handle.getValueState("due", "tick long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        due = self._due.get()[0] if self._due.exists() else None
+        fired = []
+        for r in pd.concat(list(rows)).sort_values(["tick", "seq"]).itertuples(index=False):
+            if due is not None and due <= r.tick:  # it fired before this command
+                fired.append((key[0], due))
+                due = None
+            if r.action == "cancel" or key[1]:
+                due = None
+            elif r.action == "schedule" or (r.action == "reschedule" and due is not None):
+                due = int(r.tick) + max(int(r.delay), 1)
+        for at in list(self._handle.listTimers()):
+            self._handle.deleteTimer(at)
+        if due is None:
+            self._due.clear()
+        else:
+            self._due.update((due,))
+            self._handle.registerTimer(due)
+        yield pd.DataFrame(fired, columns=["timer", "fire_tick"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        due = self._due.get()[0]
+        self._due.clear()
+        yield pd.DataFrame([(key[0], due)], columns=["timer", "fire_tick"])
+
+    def close(self) -> None:
+        pass
+
+
+def timers(commands: DataFrame, late_ticks: int = 0) -> DataFrame:
+    """(timer, fire_tick) of commands (timer long, seq, action, tick, delay), ticks from 1 on: what `calendar.fires` gives, in any split into batches whose ticks are at most `late_ticks` behind. (O141, O217)
+
+    A timer is drained as the watermark reaches it; a row of no timer (null) with a later tick moves that on.
+    """
+    _states(commands.sparkSession)
+    timed = commands.withColumn("_at", F.timestamp_millis("tick")).withWatermark("_at", f"{late_ticks} milliseconds")
+    return _keyed(timed, "timer").transformWithStateInPandas(Timers(), "timer long, fire_tick long", "Append", "EventTime")
+
+
+class Windows(StatefulProcessor):
+    """A key's current window and its calls so far; a timer at the window's end drops both."""
+
+    def __init__(self, seconds: int, limit: int) -> None:
+        self._seconds, self._limit = seconds, limit
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._window = handle.getValueState("window", "start long, calls long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        start, calls = self._window.get() if self._window.exists() else (None, 0)
+        out = []
+        for r in pd.concat(list(rows)).sort_values(["second", "call"]).itertuples(index=False):
+            of = r.second - r.second % self._seconds
+            if start is not None and of < start:
+                continue  # its window is over
+            calls = calls + 1 if of == start else 1
+            start = of
+            out.append((r.call, calls <= self._limit))
+        for at in list(self._handle.listTimers()):
+            self._handle.deleteTimer(at)
+        self._window.update((int(start), int(calls)))
+        self._handle.registerTimer(int(start + self._seconds) * 1000)
+        yield pd.DataFrame(out, columns=["call", "granted"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._window.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def window_limits(calls: DataFrame, seconds: int, limit: int, late: str = "0 seconds") -> DataFrame:
+    """(call, granted) of calls (key long, call long, second long): `limits.fixed_window` on a stream. A call of a window that is over gets no answer; a window's state lives until the watermark reaches its end. (O133, O216)"""
+    _states(calls.sparkSession)
+    timed = calls.withColumn("_at", F.timestamp_seconds("second")).withWatermark("_at", late)
+    return _keyed(timed, "key").transformWithStateInPandas(Windows(seconds, limit), "call long, granted boolean", "Append", "EventTime")
