@@ -31,8 +31,8 @@ import os
 import re
 import zlib
 from array import array
-from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import chain, pairwise
 
 import numpy as np
@@ -94,7 +94,7 @@ class Aligner:
         return self._split.findall(f" {text}")[:-1]
 
     def align(self, parts: list[str]) -> list[str]:
-        """The groups of each segment as a1,a2|b1;a3|b2; empty where either one's tokens don't spell the segment."""
+        """The groups of each segment as a1,a2|b1;a3|b2; | alone where either one's tokens don't spell the segment."""
         encoded = self._a.encode_batch_fast(parts, add_special_tokens=False)
         pieces = self._b.encode([p[1:] if p[0] == " " else p for p in parts], num_threads=1)
         out = []
@@ -106,7 +106,7 @@ class Aligner:
                 b = b[1:] if b[:1] == [self._space] else []  # and puts one here, which is a piece of its own
             raw = part.encode()
             spelt = b"".join(map(self._a_bytes.__getitem__, a)) == raw == b"".join(map(self._b_bytes.__getitem__, b))
-            out.append(self._groups(a, b) if spelt else "")
+            out.append(self._groups(a, b) if spelt else "|")
         return out
 
     def _groups(self, a: list[int], b: list[int]) -> str:
@@ -220,23 +220,49 @@ def _answers(asked: DataFrame, files: tuple[str, str]) -> DataFrame:
 # --- 3: documents of a chunk -----------------------------------------------
 
 
-def links(groups: str) -> tuple[int, int, int, int, dict[int, int]]:
-    """(tokens of the first, of the second, groups, links, {pair: links}); a pair is the first one's id in the upper and the second one's in the lower 32 bits."""
-    n_a = n_b = n = total = 0
-    pairs: dict[int, int] = {}
-    for group in groups.split(";") if groups else ():
-        left, right = group.split("|")
-        a, b = list(map(int, left.split(","))), list(map(int, right.split(",")))
-        n_a, n_b, n, total = n_a + len(a), n_b + len(b), n + 1, total + len(a) * len(b)
-        if len(a) == len(b) == 1:
-            p = a[0] << 32 | b[0]
-            pairs[p] = pairs.get(p, 0) + 1
-            continue
-        for x, k in Counter(a).items():
-            for y, m in Counter(b).items():
-                p = x << 32 | y
-                pairs[p] = pairs.get(p, 0) + k * m
-    return n_a, n_b, n, total, pairs
+@dataclass
+class Links:
+    """Of segments by number: tokens of both tokenizers, groups and links; and each segment's pairs, one after another, with the links of each. A pair is the first one's id in the upper and the second one's in the lower 32 bits."""
+
+    counts: np.ndarray
+    start: np.ndarray
+    pairs: np.ndarray
+    times: np.ndarray
+
+    @staticmethod
+    def of(text: bytes) -> "Links":
+        """From the segments' groups, a line each."""
+        buf = np.frombuffer(text + b"\n", np.uint8)
+        ends = np.flatnonzero((buf < 48) | (buf > 57))  # each number ends at a sign
+        sign, length = buf[ends], np.diff(ends, prepend=-1) - 1
+        value = np.zeros(len(ends), np.int64)
+        for k in range(int(length.max(initial=0))):
+            more = length > k
+            value[more] += (buf[ends[more] - 1 - k] - np.int64(48)) * 10**k
+        before = lambda x: np.cumsum(x) - x
+        line, over = sign == 10, (sign == 10) | (sign == 59)
+        group, n_groups = before(over.astype(np.int64)), int(over.sum())
+        right = before((sign == 124).astype(np.int64)) > group
+        part = before(line.astype(np.int64))[over]  # the segment of each group
+        sides = [(group[m], value[m]) for m in ((length > 0) & ~right, (length > 0) & right)]
+        sizes = [np.bincount(g, minlength=n_groups) for g, _ in sides]
+        of_part = lambda x: np.bincount(part, x, int(line.sum())).astype(np.int64)
+        counts = np.stack([of_part(sizes[0]), of_part(sizes[1]), of_part(sizes[0] > 0), of_part(sizes[0] * sizes[1])], axis=1)
+
+        # distinct ids of each group and side, and all pairs of those
+        known = [np.unique(g << 32 | v, return_counts=True) for g, v in sides]
+        (ga, a, ka), (gb, b, kb) = ((x >> 32, x & 0xFFFFFFFF, n) for x, n in known)
+        n_b = np.bincount(gb, minlength=n_groups)
+        reach = n_b[ga]
+        inner = np.arange(int(reach.sum())) - np.repeat(_sums(reach)[:-1], reach)
+        other = np.repeat(_sums(n_b)[:-1][ga], reach) + inner
+        pair, of = np.repeat(a, reach) << 32 | b[other], np.repeat(part[ga], reach)
+        times = np.repeat(ka, reach) * kb[other]
+        order = np.lexsort((pair, of))
+        pair, of, times = pair[order], of[order], times[order]
+        first = np.flatnonzero((np.diff(pair, prepend=-1) != 0) | (np.diff(of, prepend=-1) != 0))
+        start = np.searchsorted(of[first], np.arange(len(counts) + 1))
+        return Links(counts, start, pair[first], np.add.reduceat(times, first) if len(first) else times)
 
 
 _COMPOSED = "chunk long, place long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, groups string, sizes binary, members binary, times binary, pairs array<long>, docs array<long>"
@@ -251,9 +277,10 @@ def _codes(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 def _compose(docs: pa.Table, answers: pa.Table, with_groups: bool) -> pa.Table:
     """Documents of a chunk, and in one row more its segments' pairs and how many of its documents hold each."""
     docs, answers = docs.sort_by("place"), answers.sort_by("place")
-    groups = list(chain.from_iterable(zlib.decompress(f).decode().split("\n") for f in answers.column("found").to_pylist()))
-    read = list(map(links, groups))
-    counts = np.array([r[:4] for r in read], np.int64).reshape(-1, 4)
+    text = b"\n".join(map(zlib.decompress, answers.column("found").to_pylist()))
+    groups = text.decode().split("\n") if text else []
+    read = Links.of(text) if text else Links(np.zeros((0, 4), np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    counts = read.counts
     codes, at = _codes(docs)
     of = np.repeat(np.arange(len(at) - 1), np.diff(at))
     spoilt = np.unique(of[counts[codes, 2] == 0])  # a segment without groups isn't spelt by its tokens
@@ -267,11 +294,9 @@ def _compose(docs: pa.Table, answers: pa.Table, with_groups: bool) -> pa.Table:
         texts.append(";".join([groups[k] for k in flat[i:j]]))
     digests = [hashlib.sha256(t.encode()).hexdigest() if t else "" for t in texts]
 
-    sizes = np.array([len(r[4]) for r in read], np.int64)
-    start = _sums(sizes)
-    each = np.fromiter(chain.from_iterable(r[4] for r in read), np.int64, int(start[-1]))
-    times = np.fromiter(chain.from_iterable(r[4].values() for r in read), np.int64, int(start[-1]))
-    pairs, members = np.unique(each, return_inverse=True)
+    start, times = read.start, read.times
+    sizes = np.diff(start)
+    pairs, members = np.unique(read.pairs, return_inverse=True)
     held = np.unique(of * max(len(groups), 1) + codes)  # documents and their distinct segments
     doc, part = np.divmod(held, max(len(groups), 1))
     reach = sizes[part]

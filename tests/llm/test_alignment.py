@@ -108,6 +108,8 @@ def test_no_rows(spark):
     assert alignment.align(empty_docs(spark), *FILES).count() == 0
 
 
-def test_links_of_a_group():
-    assert alignment.links("1,2|3;4|5,5;4|5") == (4, 4, 3, 5, {1 << 32 | 3: 1, 2 << 32 | 3: 1, 4 << 32 | 5: 3})
-    assert alignment.links("") == (0, 0, 0, 0, {})
+def test_links_of_segments():
+    """Two segments, one that its tokens don't spell, and one with a pair in two groups."""
+    got = alignment.Links.of(b"1,2|3;4|5,5;4|5\n|\n10|20;10|20")
+    assert got.counts.tolist() == [[4, 4, 3, 5], [0, 0, 0, 0], [2, 2, 2, 2]] and got.start.tolist() == [0, 3, 3, 4]
+    assert dict(zip(got.pairs.tolist(), got.times.tolist(), strict=True)) == {1 << 32 | 3: 1, 2 << 32 | 3: 1, 4 << 32 | 5: 3, 10 << 32 | 20: 2}
