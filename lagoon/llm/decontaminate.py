@@ -17,8 +17,10 @@
    item makes its own words common) and part of the paraphrases, so every stretch of
    text that the verification can accept is a candidate too: it misses no more words
    of an item than the verification allows, so of that many and `ANCHORS` of the
-   item's rarest words it holds `ANCHORS` at least. Those are looked up, and the
-   words that such stretches share with the whole item are counted.
+   item's rarest words (by the passages that have the word itself) it holds `ANCHORS`
+   at least. Those are looked up, `ITEM_BLOCK` items at a time, and the words that such
+   stretches share with the whole item are counted. A match says which of the two
+   ways led to it.
 4. Verification on the words themselves: an upper bound from the words in common,
    then the longest common subsequence with the whole item, and with the item's
    answer, which is its last `ANSWER` words (all of a shorter item).
@@ -32,15 +34,15 @@ non-ASCII characters, told apart by 64-bit hashes.
 Defined cases: null or empty texts, or ones without words, match nothing, and so do
 such items; null ids are kept; repeated rows repeat; repeated item ids are items of
 their own; an empty table of documents or items gives no matches; further columns
-are ignored; texts of any length are searched whole. The items are sent to every
-task: a benchmark's size doesn't follow the corpus, and over `MAX_ITEMS` items are
-refused.
+are ignored; texts of any length are searched whole. What is looked up in is made once
+and broadcast: a benchmark's size doesn't follow the corpus, and over `MAX_ITEMS`
+items or `MAX_ITEM_BYTES` bytes of them are refused.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -62,7 +64,9 @@ WINDOWS = (5, 8, 13, 20, 32)
 ANCHORS = 3
 ANSWER = 8
 SHARED, ANSWERED = 0.6, 0.5
-MAX_ITEMS = 200_000
+MAX_ITEMS, MAX_ITEM_BYTES = 200_000, 32 << 20
+#: Items whose words are looked up together; what one look-up holds grows with them.
+ITEM_BLOCK = 2048
 _SLICES = 32
 _SHIFT = np.uint64(64 - BUCKETS.bit_length() + 1)
 
@@ -81,11 +85,29 @@ def _passages(counts: np.ndarray) -> tuple[np.ndarray, int]:
     return np.repeat(first, counts) + within // PASSAGE, int(n.sum())
 
 
-def _frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
-    """Passages that have each feature, and passages."""
+class Places:
+    """Looks words up in a sorted list of them; a bit for each prefix of a hash turns most others away."""
+
+    def __init__(self, words: np.ndarray, bits: int = 20) -> None:
+        self.words, self._shift = words, np.uint64(64 - bits)
+        self._maybe = np.zeros(1 << bits, bool)
+        self._maybe[words >> self._shift] = True
+
+    def of(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the words are listed, and where."""
+        at = np.flatnonzero(self._maybe[hashes >> self._shift])
+        if not len(at):
+            return at, at
+        entry = np.minimum(np.searchsorted(self.words, hashes[at]), len(self.words) - 1)
+        real = self.words[entry] == hashes[at]
+        return at[real], entry[real]
+
+
+def _frequencies(texts: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, int, np.ndarray]:
+    """Passages that have each feature, passages, and passages that have each word of a vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, total = np.zeros(BUCKETS, np.int64), 0
+        seen, total, own, places = np.zeros(BUCKETS, np.int64), 0, np.zeros(len(vocabulary), np.int64), Places(vocabulary)
         for b in batches:
             buf, off = scan.flatten(b.column("text"))
             for i, j in scan.chunks(off):
@@ -95,13 +117,17 @@ def _frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
                 if len(pairs):
                     seen += np.bincount(pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])] % BUCKETS, minlength=BUCKETS)
                 total += n
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, BUCKETS)), pa.array(np.concatenate([[total], seen]))], names=["feature", "n"])
+                at, entry = places.of(hashes)
+                if len(at):
+                    pairs = np.sort(passage[at] * len(vocabulary) + entry)
+                    own += np.bincount(pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])] % len(vocabulary), minlength=len(vocabulary))
+        some = np.flatnonzero(own)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.arange(-1, BUCKETS), some + BUCKETS])), pa.array(np.concatenate([[total], seen, own[some]]))], names=["feature", "n"])
 
-    rows = texts.mapInArrow(run, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()  # BUCKETS + 1 rows
-    out = np.zeros(BUCKETS + 1, np.int64)
-    for r in rows:
-        out[r["feature"] + 1] = r["n"]
-    return out[1:], int(out[0])
+    rows = texts.mapInArrow(run, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()  # BUCKETS + 1 rows, and one for each word of the vocabulary
+    out = np.zeros(1 + BUCKETS + len(vocabulary), np.int64)
+    out[rows.column("feature").to_numpy() + 1] = rows.column("n").to_numpy()
+    return out[1 : BUCKETS + 1], int(out[0]), out[BUCKETS + 1 :]
 
 
 def _range_product(texts: DataFrame, weights: np.ndarray, random: np.ndarray) -> np.ndarray:
@@ -151,31 +177,43 @@ def _range_product(texts: DataFrame, weights: np.ndarray, random: np.ndarray) ->
 
 @dataclass
 class Latent:
-    """Which features tell passages apart, what a word of each adds to a passage's place in the latent space, and how many passages have it."""
+    """Which features tell passages apart, what a word of each adds to a passage's place in the latent space, and how many passages have it; and the passages that have each word of a vocabulary."""
 
     informative: np.ndarray
     projection: np.ndarray
     seen: np.ndarray
+    vocabulary: np.ndarray
+    known: np.ndarray
 
     @staticmethod
-    def fit(texts: DataFrame, seed: int = 11) -> Latent:
-        seen, total = _frequencies(texts)
+    def fit(texts: DataFrame, vocabulary: np.ndarray | None = None, seed: int = 11) -> Latent:
+        vocabulary = np.zeros(0, np.uint64) if vocabulary is None else vocabulary
+        seen, total, known = _frequencies(texts, vocabulary)
         informative = seen <= max(COMMON * total, FEW)
         weights = np.where(informative, np.log((total + 1) / (seen + 1)), 0.0)
         random = np.random.default_rng(seed).normal(size=(BUCKETS, RANK))
-        return Latent.of(informative, weights, random, _range_product(texts, weights, random), seen, total)
+        made = Latent.of(informative, weights, random, _range_product(texts, weights, random), seen, total)
+        return replace(made, vocabulary=vocabulary, known=known)
+
+    def rarity(self, words: np.ndarray) -> np.ndarray:
+        """Passages that have each word, or its feature where it isn't in the vocabulary."""
+        out = self.seen[(words >> _SHIFT).astype(np.int64)]
+        at, entry = Places(self.vocabulary).of(words)
+        out[at] = self.known[entry]
+        return out
 
     @staticmethod
     def of(informative: np.ndarray, weights: np.ndarray, random: np.ndarray, product: np.ndarray, seen: np.ndarray, total: int) -> Latent:
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         core = random.T @ product
         values, vectors = np.linalg.eigh((core + core.T) / 2)
         good = values > max(values.max(), 0) * 1e-9
         if not good.any():
-            return Latent(informative, np.zeros((BUCKETS, 1), np.float32), seen)
+            return Latent(informative, np.zeros((BUCKETS, 1), np.float32), seen, *none)
         # A'A is about F F', F = product core^(-1/2); its singular vectors and values
         left, singular, _ = np.linalg.svd(product @ (vectors[:, good] / np.sqrt(values[good])), full_matrices=False)
         keep = singular > singular[0] * 1e-6
-        return Latent(informative, (weights[:, None] * left[:, keep] / singular[keep] * np.sqrt(max(total, 1))).astype(np.float32), seen)
+        return Latent(informative, (weights[:, None] * left[:, keep] / singular[keep] * np.sqrt(max(total, 1))).astype(np.float32), seen, *none)
 
 
 @dataclass
@@ -188,16 +226,34 @@ class Item:
     answer: np.ndarray
 
 
+class Items:
+    """Items by number, their words in a few long arrays."""
+
+    def __init__(self, texts: list[str], latent: Latent) -> None:
+        self.words, counts = word_hashes(*scan.flatten(pa.array(texts, pa.string())))
+        owner = np.repeat(np.arange(len(counts)), counts)
+        informative = latent.informative[(self.words >> _SHIFT).astype(np.int64)]
+        order = np.lexsort((self.words, owner))
+        self.sorted, self.told = self.words[order], self.words[order][informative[order]]
+        self.at = np.concatenate([[0], np.cumsum(counts)])
+        self.told_at = np.concatenate([[0], np.cumsum(np.bincount(owner[informative], minlength=len(counts)))])
+
+    def __len__(self) -> int:
+        return len(self.at) - 1
+
+    def __getitem__(self, k: int) -> Item:
+        a, z = self.at[k], self.at[k + 1]
+        return Item(self.words[a:z], self.sorted[a:z], self.told[self.told_at[k] : self.told_at[k + 1]], self.words[max(a, z - ANSWER) : z])
+
+
 class Searcher:
     def __init__(self, latent: Latent, texts: list[str], cosine: tuple[float, float] = (COSINE, COSINE_SHORT), shared: float = SHARED, answered: float = ANSWERED) -> None:
         self._latent, self._cosine, self._shared, self._answered = latent, cosine, shared, answered
-        self.items: list[Item] = []
+        self.items = Items(texts, latent)
         probes: dict[int, list[tuple[int, np.ndarray, int]]] = {}
-        for k, t in enumerate(texts):
-            hashes, _ = word_hashes(*scan.flatten(pa.array([t], pa.string())))
-            feature = (hashes >> _SHIFT).astype(np.int64)
+        for k in range(len(self.items)):
+            feature = (self.items[k].words >> _SHIFT).astype(np.int64)
             told = np.flatnonzero(latent.informative[feature])
-            self.items.append(Item(hashes, np.sort(hashes), np.sort(hashes[told]), hashes[-ANSWER:]))
             for at in range(0, len(told), WINDOWS[-1]):
                 part = told[at : at + WINDOWS[-1]]
                 if at and len(part) < WINDOWS[-1] // 2:
@@ -210,33 +266,37 @@ class Searcher:
 
     def _index(self) -> None:
         """The items of each anchor, and of each item the words it must share, the anchors to find and the length of a stretch."""
-        sizes = np.array([len(x.words) for x in self.items], np.int64)
+        sizes = np.diff(self.items.at)
         self._least = np.maximum(1, np.ceil(self._shared * sizes - 1e-9).astype(np.int64))
         self._anchors = np.minimum(ANCHORS, self._least)
         self._span = sizes // 4 + 2 + sizes + sizes // 2 + 2
-        words, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for k, item in enumerate(self.items):
-            rarest = np.argsort(self._latent.seen[(item.words >> _SHIFT).astype(np.int64)], kind="stable")
-            mine = np.unique(item.words[rarest[: len(item.words) - self._least[k] + self._anchors[k]]])
-            words.append(mine)
-            owners.append(np.full(len(mine), k))
-        every, owner = np.concatenate(words), np.concatenate(owners)
-        self._owner = owner[np.argsort(every, kind="stable")]
-        self._anchor, n = np.unique(every, return_counts=True)
-        self._first = np.concatenate([[0], np.cumsum(n)])
-        self._maybe = np.zeros(1 << 20, bool)
-        self._maybe[self._anchor >> np.uint64(44)] = True
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        order = np.lexsort((self._latent.rarity(self.items.words), owner))  # of equally rare words the first
+        nth = np.arange(len(order)) - np.repeat(self.items.at[:-1], sizes)
+        picked = nth < (sizes - self._least + self._anchors)[owner]
+        words, owner = self.items.words[order][picked], owner[picked]
+        self._blocks: list[tuple[Places, np.ndarray, np.ndarray]] = []
+        for low in range(0, len(sizes), ITEM_BLOCK):
+            a, z = np.searchsorted(owner, (low, low + ITEM_BLOCK))
+            order = np.lexsort((owner[a:z], words[a:z]))
+            every, mine = words[a:z][order], owner[a:z][order]
+            once = np.concatenate([[True], (every[1:] != every[:-1]) | (mine[1:] != mine[:-1])])[: len(every)]
+            anchors, n = np.unique(every[once], return_counts=True)
+            if len(anchors):
+                self._blocks.append((Places(anchors, 17), np.concatenate([[0], np.cumsum(n)]), mine[once]))
 
     def stretches(self, hashes: np.ndarray, limits: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Items, and the documents and first words of all stretches that share enough words with each; of those that share the same words, or fewer of them, the first."""
-        at = np.flatnonzero(self._maybe[hashes >> np.uint64(44)])
+        for block in self._blocks:
+            yield from self._stretches(block, hashes, limits)
+
+    def _stretches(self, block: tuple[Places, np.ndarray, np.ndarray], hashes: np.ndarray, limits: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        places, first, owner = block
+        at, entry = places.of(hashes)
         if not len(at):
             return
-        entry = np.minimum(np.searchsorted(self._anchor, hashes[at]), len(self._anchor) - 1)
-        real = self._anchor[entry] == hashes[at]
-        at, entry = at[real], entry[real]
-        n = self._first[entry + 1] - self._first[entry]
-        item = self._owner[np.repeat(self._first[entry] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+        n = first[entry + 1] - first[entry]
+        item = owner[np.repeat(first[entry] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
         keys = np.sort(item * len(hashes) + np.repeat(at, n))
         item, at = keys // max(len(hashes), 1), keys % max(len(hashes), 1)
         doc = np.searchsorted(limits, at, "right") - 1
@@ -312,8 +372,13 @@ class Searcher:
 
     def search(self, buf: np.ndarray, off: np.ndarray) -> list[dict[int, tuple[float, float, int, int]]]:
         """The best match of each item in each document."""
+        return self.search_both(buf, off)[0]
+
+    def search_both(self, buf: np.ndarray, off: np.ndarray) -> tuple[list[dict[int, tuple[float, float, int, int]]], list[dict[int, int]]]:
+        """The best match of each item in each document, and the ways that led to one: 1 the cosine, 2 the words, 3 both."""
         hashes, counts = word_hashes(buf, off)
         out: list[dict[int, tuple[float, float, int, int]]] = [{} for _ in counts]
+        ways: list[dict[int, int]] = [{} for _ in counts]
         feature = (hashes >> _SHIFT).astype(np.int64)
         told = np.flatnonzero(self._latent.informative[feature])
         limits = np.concatenate([[0], np.cumsum(counts)])
@@ -332,18 +397,21 @@ class Searcher:
                         continue
                     start = int(limits[d])
                     best = self.verify(hashes[start : int(limits[d + 1])], item, int(told[max(place, int(cuts[d]))]) - start)
-                    if best and best > out[d].get(k, (0.0,)):
-                        out[d][k] = best
+                    if best:
+                        ways[d][k] = 1
+                        out[d][k] = max(best, out[d].get(k, best))
         for k, at, places in self.stretches(hashes, limits):
             item = self.items[k]
             for d, place in zip(at.tolist(), places.tolist(), strict=True):
                 if out[d].get(k, (0, 0))[:2] == (1, 1):
+                    ways[d][k] |= 2
                     continue
                 start = int(limits[d])
                 best = self.verify(hashes[start : int(limits[d + 1])], item, place - start + len(item.words) // 4 + 2)
-                if best and best > out[d].get(k, (0.0,)):
-                    out[d][k] = best
-        return out
+                if best:
+                    ways[d][k] = ways[d].get(k, 0) | 2
+                    out[d][k] = max(best, out[d].get(k, best))
+        return out, ways
 
 
 def _runs(sorted_keys: np.ndarray) -> tuple[list[int], list[slice]]:
@@ -368,27 +436,33 @@ def common_subsequence(a: list, b: list) -> int:
     return len(a) - row.bit_count()
 
 
-MATCHES = "matches array<struct<item:int,shared:double,answered:double,first_word:long,end_word:long>>"
+MATCHES = "matches array<struct<item:int,shared:double,answered:double,first_word:long,end_word:long,found_by:string>>"
+WAYS = {1: "cosine", 2: "words", 3: "both"}
 
 
 def marked(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> tuple[DataFrame, list]:
     """A struct `row` of all columns of each document, and its `matches` (of the items by number, the numbers' ids come beside); without any it is clean."""
     spark = docs.sparkSession
     arrow_batches(spark)
+    if (items.agg(F.sum(F.octet_length(item_text_col))).first()[0] or 0) > MAX_ITEM_BYTES:
+        raise ValueError(f"more than {MAX_ITEM_BYTES} bytes of items")
     rows = items.select(F.col(item_id_col).alias("id"), F.col(item_text_col).alias("text")).orderBy("id", "text").limit(MAX_ITEMS + 1).collect()
     if len(rows) > MAX_ITEMS:
         raise ValueError(f"more than {MAX_ITEMS} items")
     told = [r["text"] or "" for r in rows]
-    latent = Latent.fit(docs.select(F.col(text_col).alias("text")))
+    vocabulary = np.unique(word_hashes(*scan.flatten(pa.array(told, pa.string())))[0])
+    shared = spark.sparkContext.broadcast(Searcher(Latent.fit(docs.select(F.col(text_col).alias("text")), vocabulary), told))  # bounded by the items
     place = docs.columns.index(text_col)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        searcher = Searcher(latent, told)
-        kind = pa.list_(pa.struct([("item", pa.int32()), ("shared", pa.float64()), ("answered", pa.float64()), ("first_word", pa.int64()), ("end_word", pa.int64())]))
+        searcher = shared.value
+        kind = pa.list_(pa.struct([("item", pa.int32()), ("shared", pa.float64()), ("answered", pa.float64()), ("first_word", pa.int64()), ("end_word", pa.int64()), ("found_by", pa.string())]))
         for b in batches:
             buf, off = scan.flatten(b.column("row").field(place))
             for i, j in scan.chunks(off):
-                found = searcher.search(buf[off[i] : off[j]], off[i : j + 1] - off[i])
-                cells = [[dict(zip(("item", "shared", "answered", "first_word", "end_word"), (k, *v), strict=True)) for k, v in sorted(f.items())] for f in found]
+                found, ways = searcher.search_both(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+                names = ("item", "shared", "answered", "first_word", "end_word", "found_by")
+                cells = [[dict(zip(names, (k, *v, WAYS[w[k]]), strict=True)) for k, v in sorted(f.items())] for f, w in zip(found, ways, strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column("row").slice(i, j - i), pa.array(cells, kind)], names=["row", "matches"])
 
     whole = docs.select(F.struct(*docs.columns).alias("row"))
@@ -396,13 +470,13 @@ def marked(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_co
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", item_id_col: str = "item_id") -> DataFrame:
-    """(id, item id, shared, answered, first_word, end_word) of every item that a document holds."""
+    """(id, item id, shared, answered, first_word, end_word, found_by) of every item that a document holds."""
     found, ids = marked(docs.select(F.col(id_col).alias("id"), "text"), items, item_id_col=item_id_col)
     found = found.select("row.id", "matches")
     spark = docs.sparkSession
     names = spark.createDataFrame(list(enumerate(ids)), f"item int, item_id {items.schema[item_id_col].dataType.simpleString()}")
     cells = found.select("id", F.explode("matches").alias("m")).select("id", "m.*")
-    return cells.join(F.broadcast(names), "item").select(F.col("id").alias(id_col), F.col("item_id").alias(item_id_col), "shared", "answered", "first_word", "end_word")
+    return cells.join(F.broadcast(names), "item").select(F.col("id").alias(id_col), F.col("item_id").alias(item_id_col), "shared", "answered", "first_word", "end_word", "found_by")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

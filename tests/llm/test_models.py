@@ -140,7 +140,7 @@ def test_leaks_and_paraphrases(spark):
     asked = spark.createDataFrame([(k, t) for k, t in enumerate(items)] + [(90, None), (91, "")], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, asked).collect()}
     assert {(1000 + k, k) for k in range(5)} <= got and (None, 2) in got
-    assert len({(2000 + k, k) for k in range(1, 5)} - got) <= 1 and not {d for d, _ in got if d is not None and d < 1000}
+    assert {(2000 + k, k) for k in range(1, 5) if _accepted(near[2000 + k], items[k])} <= got and not {d for d, _ in got if d is not None and d < 1000}
 
 
 def test_recall_of_exact_copies(spark):
@@ -150,7 +150,7 @@ def test_recall_of_exact_copies(spark):
     got = {(r["doc_id"], r["item_id"]) for r in queries()["op10_decontamination"](spark, sf).collect()}
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     want = {(r["doc_id"], i) for r in spark.read.parquet(f"{sf}/documents.parquet").collect() for i, t in items if t in r["text"]}
-    assert want and len(want & got) >= 0.97 * len(want)
+    assert want and want <= got
 
 
 def test_empty_benchmarks_and_clashes(spark):
@@ -170,6 +170,45 @@ def test_an_item_in_a_third_of_all_rows(spark):
     assert got == {(k, 1) for k in range(0, 1500, 3)} | {(k, 2) for k in range(0, 1500, 2)}
 
 
+def _searcher(texts, items, **options):
+    """A search without Spark: features and words counted in the texts themselves."""
+    hashes, counts = decontaminate.word_hashes(*decontaminate.scan.flatten(pa.array(texts)))
+    seen = np.bincount((hashes >> decontaminate._SHIFT).astype(np.int64), minlength=decontaminate.BUCKETS)
+    r = np.random.default_rng(1)
+    latent = decontaminate.Latent(np.ones(decontaminate.BUCKETS, bool), r.normal(size=(decontaminate.BUCKETS, 8)).astype(np.float32), seen, *np.unique(hashes, return_counts=True))
+    return decontaminate.Searcher(latent, items, **options)
+
+
+def _zipf(seed, n, vocabulary=30_000):
+    r = np.random.default_rng(seed)
+    return [f"w{int(vocabulary ** x)}" for x in r.random(n)]
+
+
+def test_many_items_in_blocks(monkeypatch):
+    """Matches don't depend on the items' blocks; what one look-up holds follows the block and not the benchmark."""
+    items = [" ".join(_zipf(k, 40)) for k in range(1200)]
+    texts = [" ".join([*_zipf(5000 + k, 150), edited(items[k * 7], k, 0.1 * (k % 4)), *_zipf(6000 + k, 100)]) for k in range(40)]
+    flat = decontaminate.scan.flatten(pa.array(texts))
+    found, held = [], []
+    for block in (100, 1 << 20):
+        monkeypatch.setattr(decontaminate, "ITEM_BLOCK", block)
+        made = _searcher([*texts, *items], items)
+        found.append(made.search_both(*flat))
+        hashes, _ = decontaminate.word_hashes(*flat)
+        held.append(max(int((first[e + 1] - first[e]).sum()) for places, first, _ in made._blocks for _, e in [places.of(hashes)]))
+    assert found[0] == found[1] and held[0] < 0.15 * held[1]
+    want = {(k, k * 7) for k in range(40) if _accepted(texts[k], items[k * 7])}
+    assert len(want) >= 30 and want <= {(d, k) for d, f in enumerate(found[0][0]) for k in f}
+    assert all(w.keys() == f.keys() for f, w in zip(*found[0], strict=True))
+
+
+def test_too_many_bytes_of_items_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "MAX_ITEM_BYTES", 10)
+    asked = spark.createDataFrame([(1, "more than ten bytes")], "item_id long, text string")
+    with pytest.raises(ValueError, match="bytes"):
+        decontaminate.marked(empty_docs(spark), asked)
+
+
 def _accepted(text: str, item: str) -> bool:
     """Whether any stretch of the text passes the verification, with every start tried."""
     from lagoon.llm import scan
