@@ -167,7 +167,9 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, half: int = HALF, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id, kept) for each document; texts whose sets have a Jaccard similarity of percent / 100 or more are linked."""
+    """(id, n_shingles, component_id, kept) for each document; texts whose sets have a Jaccard similarity of percent / 100 or more are linked; under 50 percent, at which the tables lose pairs, it is refused."""
+    if percent < 50:
+        raise ValueError(f"percent must be 50 or more, not {percent}")
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     marked = write(signatures(source, width, half, rows), "signatures")

@@ -403,3 +403,8 @@ def test_empty_tables(spark):
     assert not token_counts.piece_counts(none, MODEL).count() and not packing.pack(none, FILE, 2).count()
     assert not quality.ledger(none).count() and not licenses.scan_licenses(none).count()
     assert not sharding.interleave(none, 8, 1).count() and not minhash.near_duplicates(none).count() and not repeats.without_repeats(none).count()
+
+
+def test_low_percentages_are_refused(spark):
+    with pytest.raises(ValueError, match="50"):
+        minhash.near_duplicates(empty_docs(spark), 5, 40)
