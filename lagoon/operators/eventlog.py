@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lagoon.operators.ranks import offsets
+from lagoon.operators.ranks import positions
+from lagoon.sources.scratch import scratch
 
 
-def append_offsets(df: DataFrame, ts: str, tie: str, every: str = "minute") -> DataFrame:
-    """0-based gapless offsets in order of time; only the rows of one minute, or other unit, are sorted together. (O013)"""
-    return offsets(df, [ts, tie], F.date_trunc(every, F.col(ts)))
+def append_offsets(df: DataFrame, ts: str, tie: str) -> DataFrame:
+    """0-based gapless offsets in order of time; bursts are spread over as many tasks as other stretches of so many rows. (O013)"""
+    return positions(df, [ts, tie])
 
 
 def read_from(log: DataFrame, offset: int) -> DataFrame:
@@ -69,16 +70,24 @@ def health_view(df: DataFrame, groups: list[str], status: str, critical: str) ->
     return df.groupBy(*groups).agg(status_name(F.max(shown)).alias("status"))
 
 
-def effective(nodes: DataFrame, node: str, parent: str, status: str, depth: int) -> DataFrame:
-    """(node, status) of a tree of components: the worst of a node's own status and all below it; a null parent is the top. At most `depth` levels. (O114)"""
-    rank = nodes.select(F.col(node).alias("node"), F.col(parent).alias("parent"), status_rank(F.col(status)).alias("r"))
-    now = rank.select("node", "r", "parent")
-    every = now.select("node", "r")
-    for _ in range(depth - 1):
-        up = now.where("parent IS NOT NULL").groupBy("parent").agg(F.max("r").alias("r")).withColumnRenamed("parent", "node")
-        now = up.join(rank.select("node", "parent"), "node")
-        every = every.unionByName(now.select("node", "r"))
-    return every.groupBy("node").agg(status_name(F.max("r")).alias("status"))
+def effective(nodes: DataFrame, node: str, parent: str, status: str) -> DataFrame:
+    """(node, status) of nested components: the worst of a node's own status and all below it, however deep; a null parent is the top. A node may have several parents, and nodes that contain each other share the worst of all. (O114)
+
+    Each step hands statuses one level up, until none gets worse.
+    """
+    spark = nodes.sparkSession
+    rows = nodes.select(F.col(node).alias("node"), F.col(parent).alias("parent"), status_rank(F.col(status)).alias("r"))
+    edges = rows.where("parent IS NOT NULL").select("node", "parent").distinct()
+    now = rows.groupBy("node").agg(F.max("r").alias("r"))
+    while True:
+        up = edges.join(now, "node").groupBy(F.col("parent").alias("node")).agg(F.max("r").alias("below"))
+        path = scratch(spark, "status")
+        step = now.join(up, "node", "left").select("node", F.greatest("r", "below").alias("r"), F.coalesce(F.col("below") > F.col("r"), F.col("below").isNotNull()).alias("moved"))
+        step.write.parquet(path)
+        done = spark.read.schema(step.schema).parquet(path)
+        now = done.select("node", "r")
+        if done.where("moved").isEmpty():
+            return now.select("node", status_name(F.col("r")).alias("status"))
 
 
 def health_json(entries: DataFrame, groups: list[str], name: str, status: str, age_ms: str, stale_: str, refreshed_at: Column) -> DataFrame:

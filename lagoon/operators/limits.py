@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,16 +30,23 @@ Step = Callable[[dict, int, int], tuple[bool, int | None]]
 
 
 def _fold(df: DataFrame, keys: list[str], now: str, tie: str, cost: str | None, step: Step, start: Callable[[], dict]) -> DataFrame:
+    """Calls sorted by key and time go by in batches; only the state of the key at hand is held."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([now, tie], kind="stable").reset_index(drop=True)
-        state = start()
-        costs = pdf[cost].tolist() if cost else [1] * len(pdf)
-        done = [step(state, int(t), int(n)) for t, n in zip(pdf[now], costs, strict=True)]
-        return pdf.assign(granted=[g for g, _ in done], retry_at=pd.array([r for _, r in done], dtype="Int64"))
-
-    return df.groupBy(*keys).applyInPandas(run, f"{fields}, granted boolean, retry_at long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, state = None, start()
+        for b in batches:
+            times = b.column(now).to_pylist()
+            costs = b.column(cost).to_pylist() if cost else [1] * len(times)
+            done = []
+            for key, t, n in zip(zip(*(b.column(k).to_pylist() for k in keys), strict=True), times, costs, strict=True):
+                if key != of:
+                    of, state = key, start()
+                done.append(step(state, int(t), int(n)))
+            granted, retry = pa.array([g for g, _ in done], pa.bool_()), pa.array([r for _, r in done], pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns, granted, retry], names=[*b.schema.names, "granted", "retry_at"])
+
+    return in_order(df, keys, [now, tie]).mapInArrow(run, f"{fields}, granted boolean, retry_at long")
 
 
 def gcra_step(interval: int, burst: int) -> Step:

@@ -1,8 +1,7 @@
-"""Ordered lookups over numeric keys.
+"""Ordered lookups.
 
-Keys and probes are cut into ranges of `width`; a range is sorted by itself, and
-what the ranges before it end with comes from one row for each range, carried over
-`SPAN` ranges in a task and then over the spans.
+Keys and probes are sorted together by range partitions of equal shares; what the
+partitions before one end with comes from one row for each of them.
 """
 
 from __future__ import annotations
@@ -10,10 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lagoon.operators.ranks import ordered
+
 MODES = ("floor", "ceiling", "predecessor", "successor")
 
 
-def nearest(probes: DataFrame, keys: DataFrame, on: str, mode: str, width: int, into: str = "found") -> DataFrame:
+def nearest(probes: DataFrame, keys: DataFrame, on: str, mode: str, into: str = "found") -> DataFrame:
     """The probes with the key at or next to theirs, or null: floor <=, ceiling >=, predecessor <, successor >. (O040-O043)"""
     if mode not in MODES:
         raise ValueError(f"no lookup {mode!r}")
@@ -23,28 +24,15 @@ def nearest(probes: DataFrame, keys: DataFrame, on: str, mode: str, width: int,
     rest = [c for c in probes.columns if c != on]
     marked = keys.select(on).distinct().select(on, F.lit(0 if own_first else 1).alias("_kind"), F.col(on).alias("_key"), F.lit(False).alias("_probe"), *(F.lit(None).cast(probes.schema[c].dataType).alias(c) for c in rest))
     asked = probes.select(on, F.lit(1 if own_first else 0).alias("_kind"), F.lit(None).cast(keys.schema[on].dataType).alias("_key"), F.lit(True).alias("_probe"), *rest)
-    rows = marked.unionByName(asked).withColumn("_at", at).withColumn("_b", F.floor(F.col("_at") / width))
-    near = Window.partitionBy("_b").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    within = rows.withColumn("_in", F.last("_key", ignorenulls=True).over(near))
-    ends = rows.groupBy("_b").agg(F.max(F.struct(F.when(F.col("_key").isNotNull(), F.col("_at")).alias("o"), F.col("_key").alias("k"))).alias("_e"))
-    carried = _carried(ends.select("_b", F.col("_e.k").alias("_k")))
-    found = within.where("_probe").join(carried, "_b")
+    rows = ordered(marked.unionByName(asked).withColumn("_at", at), ["_at", "_kind", *rest])
+    ends = rows.groupBy("_part").agg(F.max_by("_key", F.when(F.col("_key").isNotNull(), F.col("_row"))).alias("_end"))
+    last = lambda c, w: F.last(c, ignorenulls=True).over(w)
+    before = ends.select("_part", last("_end", Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))  # a row for each partition of the sort
+    within = rows.withColumn("_in", last("_key", Window.partitionBy("_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, 0)))
+    found = within.where("_probe").join(F.broadcast(before), "_part")
     return found.select(on, *rest, F.coalesce("_in", "_before").alias(into))
 
 
-SPAN = 1 << 12
-
-
-def _carried(ends: DataFrame) -> DataFrame:
-    """(_b, _before): of each range, the last key that the ranges before it end with."""
-    rows = ends.withColumn("_s", F.floor(F.col("_b") / SPAN))
-    last = lambda c, w: F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    within = rows.withColumn("_in", last("_k", Window.partitionBy("_s").orderBy("_b")))
-    spans = rows.where("_k IS NOT NULL").groupBy("_s").agg(F.max_by("_k", "_b").alias("_k"))
-    spans = rows.select("_s").distinct().join(spans, "_s", "left").withColumn("_out", last("_k", Window.orderBy("_s")))
-    return within.join(spans.select("_s", "_out"), "_s").select("_b", F.coalesce("_in", "_out").alias("_before"))
-
-
 def disjoint_union(low: DataFrame, high: DataFrame, key: str) -> DataFrame:
     """All rows of two ranges of keys; fails unless every key of the first is below every key of the second. (O048, O159)"""
     ends = low.agg(F.max(key).alias("a")).crossJoin(high.agg(F.min(key).alias("b")))

@@ -7,10 +7,14 @@ one. Both counts are pre-aggregated before their shuffles.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lagoon.functions.numeric import ordered_bucket
+from lagoon.sources.scratch import scratch
 
 
 def _targets(df: DataFrame, groups: list[str], x: str, quantiles: dict[str, float]) -> DataFrame:
@@ -53,6 +57,32 @@ def in_order(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return dealt.sortWithinPartitions(*keys, *order)
 
 
+_ROW_BITS = 33
+
+
+def ordered(df: DataFrame, order: list[str]) -> DataFrame:
+    """The rows, written once in a total order, with `_part`, the partition of the sort, and `_row`, which rises with the order. Partitions are ranges of equal shares, whatever value or stretch most rows have."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, "ordered")
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id())
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path).withColumn("_part", F.shiftright("_row", _ROW_BITS))
+
+
+def positions(df: DataFrame, order: list[str], groups: list[str] | None = None, into: str = "offset") -> DataFrame:
+    """Gapless 0-based positions in an order, overall or in each group: by range partitions, whose counts are added up, so a hot group or moment is spread like any other rows. (O013)"""
+    groups = groups or []
+    rows = ordered(df, [*groups, *order])
+    counts = rows.groupBy("_part").agg(F.count("*").alias("_n"))
+    starts = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_start"))  # a row for each partition of the sort
+    at = F.col("_start") + F.col("_row").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+    placed = rows.join(F.broadcast(starts), "_part").withColumn(into, at).drop("_part", "_start", "_row")
+    if not groups:
+        return placed
+    first = placed.groupBy(*(F.col(g).alias(f"_of_{g}") for g in groups)).agg(F.min(into).alias("_first"))
+    same = [F.col(g).eqNullSafe(F.col(f"_of_{g}")) for g in groups]
+    return placed.join(first, reduce(and_, same)).withColumn(into, F.col(into) - F.col("_first")).drop("_first", *(f"_of_{g}" for g in groups))
+
+
 def offsets(df: DataFrame, order: list[str], bucket, groups: list[str] | None = None, into: str = "offset") -> DataFrame:
     """Gapless 0-based positions in an order, overall or in each group. `bucket` is an expression that keeps the order; only a bucket's rows are sorted together, and buckets are offset by their counts. (O013)"""
     groups = groups or []

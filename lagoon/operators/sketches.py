@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -161,13 +162,25 @@ def cms_merge(a: DataFrame, b: DataFrame, a_shape: tuple, b_shape: tuple, how: s
     return a.unionByName(b).groupBy("row", "idx").agg({"sum": F.sum, "max": F.max}[how]("c").alias("c"))
 
 
+def _stretches(groups: pa.Array) -> list[tuple[int, int, str]]:
+    """(first row, end row, name) of each run of equal rows of a batch that is sorted by group."""
+    first = [0] if len(groups) else []
+    for child in groups.flatten():
+        same = pc.equal(child.slice(1), child.slice(0, max(len(child) - 1, 0))) if len(child) > 1 else pa.array([], pa.bool_())
+        nulls = pc.and_(child.slice(1).is_null(), child.slice(0, max(len(child) - 1, 0)).is_null()) if len(child) > 1 else pa.array([], pa.bool_())
+        moved = pc.invert(pc.or_(pc.fill_null(same, False), nulls))
+        first += [i + 1 for i, m in enumerate(moved.to_pylist()) if m]
+    first = sorted(set(first))
+    return [(a, z, repr(groups[a].as_py())) for a, z in zip(first, [*first[1:], len(groups)], strict=True)]
+
+
 def cms_conservative(df: DataFrame, groups: list[str], key: str, order: str, depth: int, width: int, form: str = "xxhash64") -> DataFrame:
     """Cells under conservative update, which depends on the order of arrival and so is a fold over a group. (O093)"""
     kind = f"struct<{', '.join(f'`{df.schema[g].name}`:{df.schema[g].dataType.simpleString()}' for g in groups)}>"
     rows = df.select(F.struct(*groups).alias("_g"), F.col(order).alias("_o"), *(_cell(d, key, width, form).alias(f"_c{d}") for d in range(depth)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, cells = None, {}  # cells of one group at a time
+        of, last, cells = None, None, {}  # cells of one group at a time
 
         def made() -> pa.RecordBatch:
             own = of.take(pa.array([0] * len(cells), pa.int32()))
@@ -175,15 +188,17 @@ def cms_conservative(df: DataFrame, groups: list[str], key: str, order: str, dep
             return pa.RecordBatch.from_arrays([own, *parts], names=["_g", "row", "idx", "c"])
 
         for b in batches:
-            for n, (g, *at) in enumerate(zip(b.column("_g").to_pylist(), *(b.column(f"_c{d}").to_pylist() for d in range(depth)), strict=True)):
-                if of is None or repr(g) != last:
+            groups, each = b.column("_g"), list(zip(*(b.column(f"_c{d}").to_pylist() for d in range(depth)), strict=True))
+            for first, end, g in _stretches(groups):
+                if of is None or g != last:
                     if cells:
                         yield made()
-                    of, last, cells = b.column("_g").slice(n, 1), repr(g), {}
-                own = list(enumerate(at))
-                least = min(cells.get(c, 0) for c in own) + 1
-                for c in own:
-                    cells[c] = max(cells.get(c, 0), least)
+                    of, last, cells = groups.slice(first, 1), g, {}
+                for at in each[first:end]:
+                    own = list(enumerate(at))
+                    least = min(cells.get(c, 0) for c in own) + 1
+                    for c in own:
+                        cells[c] = max(cells.get(c, 0), least)
         if cells:
             yield made()
 

@@ -98,7 +98,7 @@ def _tree(s, d):
     o = table(s, d, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("node"), F.concat(F.lit("c"), "o_custkey").alias("parent"), F.when(F.col("o_orderkey") % 50 == 0, "DOWN").when(F.col("o_orderkey") % 7 == 0, "WARN").otherwise("UP").alias("status"))
     c = table(s, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("node"), F.concat(F.lit("n"), "c_nationkey").alias("parent"), F.when(F.col("c_custkey") % 90 == 0, "DEGRADED").otherwise("UP").alias("status"))
     n = table(s, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("node"), F.lit(None).cast("string").alias("parent"), F.lit("UP").alias("status"))
-    return eventlog.effective(o.unionByName(c).unionByName(n), "node", "parent", "status", 3)
+    return eventlog.effective(o.unionByName(c).unionByName(n), "node", "parent", "status")
 
 
 def _health(s, d):

@@ -35,7 +35,7 @@ _PX = "p AS (SELECT CAST(round(p_retailprice * 100) AS BIGINT) AS x, p_partkey A
 
 
 def _nearest(mode):
-    return lambda s, d: lookup.nearest(_prices(s, d), _balances(s, d), "x", mode, 1 << 14)
+    return lambda s, d: lookup.nearest(_prices(s, d), _balances(s, d), "x", mode)
 
 
 def _nearest_sql(op, agg):

@@ -112,7 +112,7 @@ def test_nearest(spark, mode):
     p = spark.createDataFrame(list(enumerate(probes)), "id long, x long")
     fit = {"floor": lambda k, p: k <= p, "ceiling": lambda k, p: k >= p, "predecessor": lambda k, p: k < p, "successor": lambda k, p: k > p}[mode]
     pick = max if mode in ("floor", "predecessor") else min
-    got = {x["id"]: x["found"] for x in lookup.nearest(p, k, "x", mode, 16).collect()}
+    got = {x["id"]: x["found"] for x in lookup.nearest(p, k, "x", mode).collect()}
     assert got == {i: pick([k for k in keys if fit(k, x)], default=None) for i, x in enumerate(probes)}
 
 
@@ -483,3 +483,67 @@ def test_segments_roll_over(spark, tmp_path):
 def test_equal_times_of_a_status(spark):
     df = spark.createDataFrame([("s", 1, 1, "UP"), ("s", 1, 2, "DOWN"), ("s", 1, 3, "UP")], "scope string, ts long, tie long, status string")
     assert [(r["before"], r["status"]) for r in eventlog.transitions(df.orderBy(F.desc("tie")), "scope", "ts", "status", "tie").orderBy("tie").collect()] == [("UP", "DOWN"), ("DOWN", "UP")]
+
+
+def _shares(df):
+    return [r["n"] for r in df.groupBy("_part").agg(F.count("*").alias("n")).collect()]
+
+
+def test_a_burst_is_spread(spark):
+    """All events in one minute, most of them at one moment: gapless offsets, and no task with more than its share."""
+    df = spark.range(20_000).select(F.when(F.col("id") % 4 == 0, F.col("id") % 60).otherwise(7).cast("timestamp").alias("ts"), F.hash("id").alias("tie"), "id")
+    got = [(r["ts"], r["tie"], r["id"]) for r in eventlog.append_offsets(df, "ts", "tie").orderBy("offset").collect()]
+    assert got == sorted(got) and len(set(got)) == 20_000
+    assert [r["offset"] for r in eventlog.append_offsets(df, "ts", "tie").select("offset").orderBy("offset").collect()] == list(range(20_000))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the table is small enough for one task
+    try:
+        shares = _shares(ranks.ordered(df, ["ts", "tie"]))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(shares) == 4 and max(shares) < 2 * 20_000 / 4
+
+
+def test_positions_of_groups_one_of_which_is_hot(spark):
+    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.lit(None)).when(F.col("id") % 50 == 1, "b").otherwise("a").alias("g"), F.hash("id").alias("o"), "id")
+    want = {}
+    for r in sorted(df.collect(), key=lambda r: (r["g"] or "", r["o"], r["id"])):
+        want.setdefault(r["g"], []).append(r["id"])
+    got = {}
+    for r in ranks.positions(df, ["o", "id"], ["g"]).orderBy("offset").collect():
+        assert r["offset"] == len(got.setdefault(r["g"], []))
+        got[r["g"]].append(r["id"])
+    assert got == want
+
+
+@pytest.mark.parametrize("mode", lookup.MODES)
+def test_lookups_in_one_dense_range(spark, mode):
+    keys, probes = spark.range(0, 4000, 3).select(F.col("id").alias("x")), spark.range(5000).select((F.col("id") * 7 % 4100 - 50).alias("x"), F.col("id").alias("n"))
+    known = list(range(0, 4000, 3))
+    pick = {"floor": lambda v: [k for k in known if k <= v][-1:], "ceiling": lambda v: [k for k in known if k >= v][:1], "predecessor": lambda v: [k for k in known if k < v][-1:], "successor": lambda v: [k for k in known if k > v][:1]}[mode]
+    answers = {v: (pick(v) or [None])[0] for v in range(-50, 4050)}
+    got = lookup.nearest(probes, keys, "x", mode).collect()
+    assert len(got) == 5000 and all(r["found"] == answers[r["x"]] for r in got)
+
+
+def test_status_of_deep_and_of_mutual_nesting(spark):
+    chain = [(k, k - 1 if k else None, "DOWN" if k == 39 else "UP") for k in range(40)]
+    loop = [(100, 101, "UP"), (101, 100, "WARN"), (102, 101, "UP")]
+    got = {r["node"]: r["status"] for r in eventlog.effective(spark.createDataFrame([*chain, *loop], "node long, parent long, status string"), "node", "parent", "status").collect()}
+    assert got == {k: "DOWN" for k in range(40)} | {100: "WARN", 101: "WARN", 102: "UP"}
+
+
+@pytest.mark.parametrize("batch", [7, 10_000])
+def test_limits_over_batches(spark, batch):
+    """Keys with null parts, calls of one key in several batches."""
+    r = random.Random(5)
+    calls = [(r.choice([1, None, 3]), r.choice(["a", None]), i, 1 + r.randrange(3000), r.randrange(3)) for i in range(300)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        df = spark.createDataFrame(calls, "k long, j string, i long, now long, n long")
+        got = {x["i"]: x["granted"] for x in limits.gcra(df, ["k", "j"], "now", "i", 50, 4, "n").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    step, states, want = limits.gcra_step(50, 4), {}, {}
+    for k, j, i, now, n in sorted(calls, key=lambda c: (c[3], c[2])):
+        want[i] = step(states.setdefault((k, j), {"due": 0}), now, n)[0]
+    assert got == want
