@@ -14,7 +14,8 @@ separate tables would. A pair of similarity s shares a table with probability
    belong to several components, the classes outside of the largest one with all
    others. The last pass compares parities of the sets in blocks before it makes a
    pair: their differing bits never exceed the differing shingles, so no similar
-   pair is lost. A pair is made in the first of the tables that it shares, and not
+   pair is lost. Tables with many such classes are parted before by the shingles that are rare
+   in them, two similar sets sharing one of their rarest. A pair is made in the first of the tables that it shares, and not
    if its ends are already connected, for its link can't change a component.
 
 Words are maximal runs other than white space, A-Z lower-cased. A document's set
@@ -34,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lagoon.llm import scan
@@ -198,9 +199,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, half: in
     roots = _roots(write(_confirmed(best.df.where("a != b"), texts.df, width, percent), "links"))
     groups = shared.df.select(F.col("set_key").alias("a"), F.col("t").alias("g"), "ij")
     tested = best.df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    groups, refined = _refined(groups, texts.df, roots, percent, width)
     rest = write(_left_over(groups, classes.df, roots, percent, half).join(tested, ["a", "b"], "left_anti"), "rest")
     roots = _joined(roots, write(_confirmed(rest.df, texts.df, width, percent), "links"))
-    for t in (classes, met, lefts, keyed, hubs, shared, texts, best, rest):
+    for t in (classes, met, lefts, keyed, hubs, shared, texts, best, rest, *refined):
         t.drop()
 
     joined = marked.df.join(roots.df.select(F.col("a").alias("set_key"), F.col("b").alias("root")), "set_key", "left")
@@ -253,6 +255,39 @@ def _rooted(df: DataFrame, key: str, roots: Table) -> DataFrame:
 
 
 BLOCK = 512
+#: Classes outside of a table's largest component from which on the table is parted by rare shingles.
+LARGE = 8 * BLOCK
+
+
+def _refined(groups: DataFrame, texts: DataFrame, roots: Table, percent: int, width: int) -> tuple[DataFrame, list[Table]]:
+    """The tables (a, g, ij), large ones parted by shingle, and what was written for that.
+
+    Of a set of n shingles a similar one lacks at most n - ceil(n * percent / 100), so
+    one more than that many of its shingles, the rarest in the table, hold one that is
+    among the other's own rarest: classes that share none of them aren't similar.
+    A passage that many texts share is common in its table, and brings no two together.
+    """
+    parts = _rooted(groups, "a", roots).groupBy("g", "root_a").agg(F.count("*").alias("n"))
+    large = write(parts.groupBy("g").agg((F.sum("n") - F.max("n")).alias("out")).where(F.col("out") > LARGE).select("g"), "large")
+    if large.df.isEmpty():
+        return groups, [large]
+    picked = write(groups.join(large.df, "g"), "picked")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            buf, off = scan.flatten(b.column("text"))
+            for i, j in scan.chunks(off):
+                sets = shingle_sets(buf[off[i] : off[j]], off[i : j + 1] - off[i], width)
+                yield pa.RecordBatch.from_arrays([b.column("a").slice(i, j - i), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["a", "set"])
+
+    asked = texts.withColumnRenamed("set_key", "a").join(picked.df.select("a").distinct(), "a")
+    sets = write(asked.select("a", "text").mapInArrow(run, "a binary, set array<long>"), "sets")
+    held = write(picked.df.join(sets.df, "a").select("g", "ij", "a", F.size("set").alias("n"), F.explode("set").alias("s")), "held")
+    counts = write(held.df.groupBy("g", "s").agg(F.count("*").alias("f")), "counts")
+    rank = F.row_number().over(Window.partitionBy("g", "a").orderBy("f", "s"))
+    first = held.df.join(counts.df, ["g", "s"]).withColumn("k", rank).where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+    told = first.where("f > 1").select("a", F.xxhash64("g", "s").alias("g"), "ij")
+    return groups.join(large.df, "g", "left_anti").select("a", "g", "ij").unionByName(told), [large, picked, sets, held, counts]
 
 
 def _left_over(groups: DataFrame, classes: DataFrame, roots: Table, percent: int, half: int) -> DataFrame:

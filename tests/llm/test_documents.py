@@ -408,3 +408,35 @@ def test_empty_tables(spark):
 def test_low_percentages_are_refused(spark):
     with pytest.raises(ValueError, match="50"):
         minhash.near_duplicates(empty_docs(spark), 5, 40)
+
+
+def _dissimilar(n, shared=40, own=26):
+    """Documents with one long passage in common, similar to none but in planted pairs."""
+    passage = prose(77, shared)
+    rows = [(k, f"{passage} {prose(10_000 + k, own, 4000)}") for k in range(n)]
+    return rows + [(n + k, rows[k][1] + " more words") for k in range(0, n, 50)]
+
+
+@pytest.mark.parametrize("large", [3, 40])
+def test_large_tables_are_parted_without_loss(spark, monkeypatch, large):
+    """Tables of many dissimilar classes, parted by rare shingles, give what all pairs do."""
+    monkeypatch.setattr(minhash, "LARGE", large)
+    rows = _dissimilar(400)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {tuple(r) for r in minhash.near_duplicates(docs, 4).select("doc_id", "component_id").where("doc_id != component_id").collect()}
+    sets = {i: {tuple(w[k : k + 4]) for k in range(len(w) - 3)} for i, t in rows for w in [t.split(" ")]}
+    want = {(b, a) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert got == want and len(want) == 8
+
+
+def test_parted_tables_grow_with_the_rows(spark, monkeypatch):
+    """One table of classes that share a passage and nothing else: rare shingles bring hardly any two together."""
+    from lagoon.llm.shared import write
+
+    monkeypatch.setattr(minhash, "LARGE", 100)
+    texts = spark.createDataFrame([(k.to_bytes(4, "big"), t) for k, t in _dissimilar(2000)[:2000]], "set_key binary, text string")
+    groups = texts.selectExpr("set_key AS a", "1L AS g", "0 AS ij")
+    roots = write(texts.selectExpr("set_key AS a", "set_key AS b").where("false"), "roots")
+    parted, _ = minhash._refined(groups, texts, roots, 80, 4)
+    sizes = [r["n"] for r in parted.groupBy("g").count().withColumnRenamed("count", "n").collect()]
+    assert sum(n * n for n in sizes) < 2000 * 20
