@@ -336,7 +336,10 @@ class Searcher:
                     part = sums[end[i : i + 8192]]
                     part -= sums[start[i : i + 8192]]
                     least = np.sqrt(np.einsum("ij,ij->i", part, part)) * self._cosine[size <= 8] + 1e-6
-                    row, col = np.nonzero(part @ matrix >= least[:, None])
+                    scores = part @ matrix
+                    hit = np.flatnonzero(scores.max(axis=1) >= least)
+                    row, col = np.nonzero(scores[hit] >= least[hit, None])
+                    row = hit[row]
                     docs.append(doc[row + i])
                     items.append(keys[col])
                     places.append(start[row + i] - offsets[col])
