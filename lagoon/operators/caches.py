@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -61,12 +62,38 @@ def _batch(rows: list[tuple], kind: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kind, strict=True)], schema=kind)
 
 
+def distances(keys: list) -> np.ndarray:
+    """Of each access the number of keys used since the key's last use, itself included; 0 at its first.
+
+    With the place of the last use of each access's key, that is the accesses before it
+    whose own last use is no later than its, less its last use's place. They are counted
+    for all accesses at once: halves of ever longer stretches, the left one's against the
+    right one's, by sorting.
+    """
+    n, seen = len(keys), {}
+    last = np.full(n, -1, np.int64)
+    for i, k in enumerate(keys):
+        last[i] = seen.get(k, -1)
+        seen[k] = i
+    before, place, width = np.zeros(n, np.int64), np.arange(n), 1
+    while width < n:
+        order = np.lexsort((place, last, place // (2 * width)))
+        left = (place[order] // width) % 2 == 0
+        so_far = np.cumsum(left)
+        stretch = place[order] // (2 * width)
+        first = np.searchsorted(stretch, stretch)
+        so_far -= np.where(first > 0, so_far[first - 1], 0)
+        before[order[~left]] += so_far[~left]
+        width *= 2
+    return np.where(last >= 0, before - last, 0)
+
+
 def reuse_distances(trace: DataFrame, shard: Column, key: str, order: str, most: int, width: int, block: int | None = None) -> DataFrame:
     """(shard, key, position, distance) of every access: the number of keys used since the key's last use, itself included, or null if there are more than `most` or it wasn't used before.
 
     `order` is a number that no two accesses of a shard share; some `width` of it are
     sorted together. Accesses without an order are left out; a null key is a key.
-    Time grows with the distances that are searched, and memory with `most`.
+    Time grows with the rows, and memory with a block's rows and `most`.
     """
     block = block or max(4096, FAN * most)
     rows = trace.where(F.col(order).isNotNull()).select(shard.alias("shard"), F.col(key).alias("_k"), F.col(order).alias("_o"))
@@ -79,22 +106,24 @@ def reuse_distances(trace: DataFrame, shard: Column, key: str, order: str, most:
     kinds = all_rows.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, stack = None, []
+        of, block, schema = None, [], None
+
+        def made() -> pa.RecordBatch:
+            found = distances([k for _, k, _, _ in block])
+            rows = [(s, k, p, int(d) if 0 < d <= most else None) for (s, k, p, held_before), d in zip(block, found, strict=True) if not held_before]
+            kinds_ = [schema.field("shard").type, schema.field("_k").type, pa.int64(), pa.int32()]
+            return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds_)], names=["shard", "key", "position", "distance"])
+
         for b in batches:
-            at, distance = [], []
-            for i, (s, n, k, held_before) in enumerate(zip(*(b.column(c).to_pylist() for c in ("shard", "_block", "_k", "_held")), strict=True)):
+            schema = b.schema
+            for s, n, k, p, held_before in zip(*(b.column(c).to_pylist() for c in ("shard", "_block", "_k", "_p", "_held")), strict=True):
                 if (s, n) != of:
-                    of, stack = (s, n), []
-                found = stack.index(k) + 1 if k in stack else None
-                if found:
-                    del stack[found - 1]
-                stack.insert(0, k)
-                del stack[most:]
-                if not held_before:
-                    at.append(i)
-                    distance.append(found)
-            mine = b.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*(mine.column(c) for c in ("shard", "_k", "_p")), pa.array(distance, pa.int32())], names=["shard", "key", "position", "distance"])
+                    if block:
+                        yield made()
+                    of, block = (s, n), []
+                block.append((s, k, p, held_before))
+        if block:
+            yield made()
 
     fields = f"shard {kinds['shard'].dataType.simpleString()}, key {kinds['_k'].dataType.simpleString()}, position long, distance int"
     return in_order(all_rows, ["shard", "_block"], ["_p"]).mapInArrow(run, fields)

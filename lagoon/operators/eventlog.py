@@ -63,6 +63,11 @@ def worst(df: DataFrame, groups: list[str], status: str) -> DataFrame:
     return df.groupBy(*groups).agg(status_name(F.max(status_rank(F.col(status)))).alias("status"))
 
 
+def views(df: DataFrame, kinds: Column, into: str = "kind") -> DataFrame:
+    """A row for each kind of probe that a component answers to. (O034)"""
+    return df.withColumn(into, F.explode(kinds))
+
+
 def health_view(df: DataFrame, groups: list[str], status: str, critical: str) -> DataFrame:
     """Worst status, where what isn't critical counts as WARN at most. (O115)"""
     rank = status_rank(F.col(status))

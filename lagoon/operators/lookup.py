@@ -40,6 +40,12 @@ def disjoint_union(low: DataFrame, high: DataFrame, key: str) -> DataFrame:
     return low.unionByName(high).crossJoin(F.broadcast(checked)).where("_bad IS NULL").drop("_bad")
 
 
+def build_report(df: DataFrame, key: str) -> DataFrame:
+    """Keys of a bulk build, and how many of them are there more than once; the latter must be 0 for `sorted_build`. (O148)"""
+    n = df.groupBy(key).agg(F.count("*").alias("n"))
+    return n.agg(F.count("*").alias("keys"), F.count_if(F.col("n") > 1).alias("repeated"))
+
+
 def sorted_build(df: DataFrame, key: str) -> DataFrame:
     """The rows in order of their keys; fails where a key is there twice. (O148)"""
     n = F.count("*").over(Window.partitionBy(key))

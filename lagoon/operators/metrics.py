@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lagoon.operators.ranks import in_order
+
 
 def bounded_histogram(df: DataFrame, groups: list[str], x: str, bounds: list[float]) -> DataFrame:
     """Cumulative counts for every upper bound and +Inf. (O085)"""
@@ -34,6 +40,39 @@ def exemplars(df: DataFrame, groups: list[str], x: str, arrival: str, k: int) ->
     return df.withColumn("_k", number).where(F.col("_k") <= k).drop("_k")
 
 
+def _retained(df: DataFrame, groups: list[str], x: str, arrival: str, k: int) -> DataFrame:
+    """Rows that are among the k greatest of those up to them; of equals the earlier ones stay."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, held = None, []
+        for b in batches:
+            kept = []
+            for i, (v, *key) in enumerate(zip(*(b.column(c).to_pylist() for c in (x, *groups)), strict=True)):
+                if key != of:
+                    of, held = key, []
+                if len(held) < k:
+                    heapq.heappush(held, v)
+                elif v > held[0]:
+                    heapq.heapreplace(held, v)
+                else:
+                    continue
+                kept.append(i)
+            yield b.take(pa.array(kept, pa.int64()))
+
+    return in_order(df, groups, [arrival]).mapInArrow(run, df.schema)
+
+
+def retained_exemplars(df: DataFrame, groups: list[str], x: str, arrival: str, k: int, every: int = 1 << 16) -> DataFrame:
+    """Every sample that was among the k slowest of its group when it arrived, in order of `arrival`, a number that no two share; nulls are no samples. How many there are is what a reservoir's counter shows. (O120, O139)
+
+    What isn't among the k greatest of its own stretch of `every` arrivals up to it never
+    is among those of all, so stretches are sifted side by side, and only the few rows
+    that they leave go by in order.
+    """
+    rows = df.where(F.col(x).isNotNull()).withColumn("_s", F.floor(F.col(arrival) / every))
+    return _retained(_retained(rows, [*groups, "_s"], x, arrival, k).drop("_s"), groups, x, arrival, k)
+
+
 def slowest(df: DataFrame, groups: list[str], x: str, k: int) -> DataFrame:
     """(O153)"""
     return df.groupBy(*groups).agg(F.max(x).alias("max")).orderBy(F.desc("max"), *groups).limit(k)

@@ -40,6 +40,16 @@ def precision_for(error: float) -> int:
     return min(18, max(4, math.ceil(math.log2((1.04 / error) ** 2))))
 
 
+def precision_of(error: Column) -> Column:
+    """`precision_for` of a column. (O090)"""
+    return F.least(F.lit(18), F.greatest(F.lit(4), F.ceil(F.log2(F.pow(F.lit(1.04) / error, F.lit(2)))))).cast("int")
+
+
+def standard_error(p: Column) -> Column:
+    """Of a count by registers of p bits. (O090)"""
+    return F.lit(1.04) / F.sqrt(F.pow(F.lit(2.0), p))
+
+
 def hll_registers(df: DataFrame, groups: list[str], key: str, p: int, form: str = "xxhash64") -> DataFrame:
     """(groups, register, rho): upper bits pick the register, rho is the place of the first set bit of the rest. (O087, O091)"""
     h, bits = key_hash(1, key, form), HASH_BITS[form]

@@ -188,8 +188,14 @@ p AS (SELECT c_custkey AS k, layer, ({_md5("'11'", "c_custkey")} % (512 << layer
 m AS (SELECT p.k, p.layer, count(f.bit) = count(*) AS m FROM p LEFT JOIN f ON f.layer = p.layer AND f.bit = p.bit GROUP BY p.k, p.layer)
 SELECT k, bool_or(m) AS maybe FROM m GROUP BY k""",
     "cuckoo_members": "SELECT true AS all_found, true AS few_wrong, count(*) FILTER (WHERE c_custkey % 4 = 2) AS size FROM customer",
-    "money_add": f"WITH {_A} SELECT x.c_custkey, CASE WHEN x.currency = y.currency THEN x.raw + y.raw END AS total, CASE WHEN x.currency = y.currency THEN x.raw - y.raw END AS rest FROM a x JOIN a y ON y.c_custkey = x.c_custkey + 1",
-    "fx_rescale": f"WITH {_A} SELECT c_custkey, {_round_sql('raw', '1000000', 'HALF_UP')} AS three, TRY_CAST(CAST(raw AS HUGEINT) * 100 AS BIGINT) AS eleven, TRY_CAST(CAST(raw AS HUGEINT) * 1000000000 AS BIGINT) AS eighteen FROM a",
+    "money_add": (
+        f"WITH {_A} SELECT x.c_custkey, CASE WHEN x.currency = y.currency THEN x.raw + y.raw END AS total, CASE WHEN x.currency = y.currency THEN x.raw - y.raw "
+        "END AS rest FROM a x JOIN a y ON y.c_custkey = x.c_custkey + 1"
+    ),
+    "fx_rescale": (
+        f"WITH {_A} SELECT c_custkey, {_round_sql('raw', '1000000', 'HALF_UP')} AS three, TRY_CAST(CAST(raw AS HUGEINT) * 100 AS BIGINT) AS eleven, TRY_CAST(CAST(raw "
+        "AS HUGEINT) * 1000000000 AS BIGINT) AS eighteen FROM a"
+    ),
     "nested_status": f"""WITH o AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 50 = 0 THEN 4 WHEN o_orderkey % 7 = 0 THEN 2 ELSE 0 END AS r FROM orders),
 w AS (SELECT o_custkey, max(r) AS r FROM o GROUP BY o_custkey),
 c AS (SELECT c_custkey, c_nationkey, greatest(CASE WHEN c_custkey % 90 = 0 THEN 3 ELSE 0 END, coalesce(w.r, 0)) AS r FROM customer LEFT JOIN w ON o_custkey = c_custkey),
@@ -204,7 +210,11 @@ fires AS (SELECT CAST(epoch(day) AS BIGINT) + h * 3600 + m * 60 AS f FROM days,
 n AS (SELECT f, lead(f, 2) OVER (ORDER BY f) AS third FROM fires)
 SELECT o_orderkey, third FROM o ASOF JOIN n ON o.asked <= n.f""",
     "run_lookup": "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (7, 77, 777)",
-    "timer_totals": "WITH m AS (SELECT user_id, event_id, CAST(epoch_us(ts) AS BIGINT) AS mark FROM events), l AS (SELECT user_id, mark - coalesce(lag(mark) OVER (PARTITION BY user_id ORDER BY mark, event_id), 0) AS n FROM m) SELECT user_id, count(*) AS spans, CAST(sum(n) AS BIGINT) AS total, max(n) AS longest FROM l GROUP BY user_id",
+    "timer_totals": (
+        "WITH m AS (SELECT user_id, event_id, CAST(epoch_us(ts) AS BIGINT) AS mark FROM events), l AS (SELECT user_id, mark - coalesce(lag(mark) OVER (PARTITION "
+        "BY user_id ORDER BY mark, event_id), 0) AS n FROM m) SELECT user_id, count(*) AS spans, CAST(sum(n) AS BIGINT) AS total, max(n) AS longest FROM l "
+        "GROUP BY user_id"
+    ),
     "stage_counters": "SELECT event_type, count(*) AS ops_total, count(*) FILTER (WHERE event_id % 9 = 0) AS dropped_total FROM events GROUP BY event_type",
     "event_counter": "SELECT event_type, CASE event_type WHEN 'error' THEN 'ERROR' ELSE 'INFO' END AS level, count(*) AS n FROM events GROUP BY ALL",
     "disjoint_union": "SELECT o_orderkey, o_custkey FROM orders",

@@ -84,6 +84,18 @@ def _gauge(s, d):
     return metrics.in_flight(rows, ["o_orderstatus"], "ordered", "shipped", 28)
 
 
+def _precisions(s, d):
+    """Bits for an error of one key in each event type's number of users, and the error that they give."""
+    n = table(s, d, "events").groupBy("event_type").agg(F.countDistinct("user_id").alias("n"))
+    bits = sketches.precision_of(F.lit(1.0) / F.col("n"))
+    return n.select("event_type", bits.alias("bits"), F.round(sketches.standard_error(bits), 9).alias("error"))
+
+
+def _kept(s, d):
+    e = table(s, d, "events").select("event_type", "event_id", "value")
+    return metrics.retained_exemplars(e, ["event_type"], "value", "event_id", 5, 1 << 10).groupBy("event_type").agg(F.count("*").alias("exemplars_kept_total"))
+
+
 QUERIES = {
     "counting_sticky": _sticky,
     "cuckoo_chain": _chain,
@@ -95,6 +107,8 @@ QUERIES = {
     "wide_sums": _wide_sums,
     "wide_averages": _wide_averages,
     "in_flight": _gauge,
+    "precisions": _precisions,
+    "exemplars_kept": _kept,
 }
 
 #: Call by call of a cell: a full one stays.
@@ -138,7 +152,10 @@ SQL = {
     "counting_sticky": _STICKY,
     "cuckoo_chain": f"WITH {_ARRIVED} SELECT layer, CAST(count(*) AS BIGINT) AS n FROM l GROUP BY layer UNION ALL SELECT -1, count(*) FILTER (WHERE o_custkey % 3 <> 0) FROM l",
     "cuckoo_chain_members": f"WITH {_ARRIVED} SELECT o_custkey, true AS maybe, layer, true AS placed FROM l",
-    "cuckoo_union_rates": "WITH k AS (SELECT count(*) AS n FROM (SELECT DISTINCT o_custkey, o_orderkey % 2 FROM orders)) SELECT n AS keys, round(n / 65536.0::DOUBLE, 6) AS load, round(8 * (n / 65536.0::DOUBLE) / 4095.0::DOUBLE, 9) AS fpp FROM k",
+    "cuckoo_union_rates": (
+        "WITH k AS (SELECT count(*) AS n FROM (SELECT DISTINCT o_custkey, o_orderkey % 2 FROM orders)) SELECT n AS keys, round(n / 65536.0::DOUBLE, 6) AS "
+        "load, round(8 * (n / 65536.0::DOUBLE) / 4095.0::DOUBLE, 9) AS fpp FROM k"
+    ),
     "hll_fold": _registers("event_type", "events", "user_id", _P),
     "hll_sparse": _sparse_sql("SELECT c_nationkey AS g, c_custkey AS k FROM customer", f"SELECT g, count(*) > {(1 << _P) // 4} AS dense FROM fine GROUP BY g", "c_nationkey"),
     "hll_sparse_merge": "WITH sides AS (SELECT c_nationkey % 5 AS g, c_custkey AS k, 2 AS side FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_nationkey % 5, c_custkey, 3 FROM customer WHERE c_custkey % 3 = 0), "
@@ -151,4 +168,12 @@ SELECT l_orderkey, CASE WHEN hi < 170141183460469231731::HUGEINT OR (hi = 170141
     "wide_averages": f"""WITH {_L}, t AS (SELECT l_partkey % 50 AS g, CAST(sum(CAST(price * sign AS HUGEINT) * (discount + 123456789)) AS HUGEINT) AS t, count(*) AS n FROM l GROUP BY 1)
 SELECT g, {_round_sql('t', 'n', 'HALF_EVEN').removesuffix(' AS BIGINT)')} AS VARCHAR) AS average, CAST(t - 1500000001000000000::HUGEINT AS VARCHAR) AS less, {_round_sql('t', '1000000000', 'HALF_UP')} AS narrowed FROM t""",
     "in_flight": _GAUGE,
+    "precisions": (
+        "WITH n AS (SELECT event_type, least(18, greatest(4, CAST(ceil(log2(pow(1.04::DOUBLE / (1.0::DOUBLE / count(DISTINCT user_id)), 2))) AS INT))) AS "
+        "bits FROM events GROUP BY 1) SELECT event_type, bits, round(1.04::DOUBLE / sqrt(pow(2.0::DOUBLE, bits)), 9) AS error FROM n"
+    ),
+    "exemplars_kept": (
+        "SELECT event_type, count(*) AS exemplars_kept_total FROM events a WHERE (SELECT count(*) FROM events b WHERE b.event_type = a.event_type AND b.event_id "
+        "< a.event_id AND b.value >= a.value) < 5 GROUP BY 1"
+    ),
 }

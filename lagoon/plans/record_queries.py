@@ -201,8 +201,14 @@ SQL = {
     "latest_value": f"{_NEW} SELECT k, seq, v, gone FROM n WHERE i = 1",
     "lsm_range": f"{_NEW} SELECT k, seq, v FROM n WHERE i = 1 AND NOT gone AND k >= {LOW} AND k < {HIGH}",
     "lsm_compact": f"{_NEW} SELECT k, v FROM n WHERE i = 1 AND NOT gone",
-    "tiered_merge": f"WITH {_R}, f AS (SELECT level FROM r GROUP BY level HAVING count(DISTINCT run) >= 3), n AS (SELECT *, row_number() OVER (PARTITION BY level, k ORDER BY seq DESC) AS i FROM r WHERE level IN (SELECT level FROM f)) SELECT CAST(level + 1 AS INT) AS level, k, seq, v, gone FROM n WHERE i = 1",
-    "level_overlap": f"WITH {_R}, m AS (SELECT level, run, min(k) AS lo, max(k) AS hi FROM r GROUP BY ALL) SELECT a.level, a.run, b.run AS below FROM m a JOIN m b ON b.level = a.level + 1 AND a.lo <= b.hi AND b.lo <= a.hi",
+    "tiered_merge": (
+        f"WITH {_R}, f AS (SELECT level FROM r GROUP BY level HAVING count(DISTINCT run) >= 3), n AS (SELECT *, row_number() OVER (PARTITION BY level, k ORDER "
+        "BY seq DESC) AS i FROM r WHERE level IN (SELECT level FROM f)) SELECT CAST(level + 1 AS INT) AS level, k, seq, v, gone FROM n WHERE i = 1"
+    ),
+    "level_overlap": (
+        f"WITH {_R}, m AS (SELECT level, run, min(k) AS lo, max(k) AS hi FROM r GROUP BY ALL) SELECT a.level, a.run, b.run AS below FROM m a JOIN m b ON b.level "
+        "= a.level + 1 AND a.lo <= b.hi AND b.lo <= a.hi"
+    ),
     "level_budgets": f"WITH {_R} SELECT level, count(*) AS n, CAST(1000 * pow(10, level - 1) AS BIGINT) AS budget FROM r GROUP BY level",
     "snapshot_read": f"WITH {_R}, n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS i FROM r WHERE seq <= 5000) SELECT k, seq, v FROM n WHERE i = 1 AND NOT gone",
     "difference": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
@@ -219,27 +225,50 @@ SQL = {
     "first_last": "(SELECT 'first' AS side, o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 1) UNION ALL (SELECT 'last', o_orderkey, o_custkey FROM orders ORDER BY o_orderkey DESC LIMIT 1)",
     "topk_counts": "SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY l_partkey ORDER BY n DESC, l_partkey LIMIT 20",
     "split_pivot": "SELECT p_partkey, CASE WHEN p_partkey < 700 THEN 'low' ELSE 'high' END AS side FROM part",
-    "prefix_fanout": "SELECT substr(p_name, 1, 1) AS prefix, count(DISTINCT substr(p_name, 2, 1)) AS children, CASE WHEN count(DISTINCT substr(p_name, 2, 1)) <= 4 THEN 4 WHEN count(DISTINCT substr(p_name, 2, 1)) <= 16 THEN 16 WHEN count(DISTINCT substr(p_name, 2, 1)) <= 48 THEN 48 ELSE 256 END AS node FROM part GROUP BY 1",
+    "prefix_fanout": (
+        "SELECT substr(p_name, 1, 1) AS prefix, count(DISTINCT substr(p_name, 2, 1)) AS children, CASE WHEN count(DISTINCT substr(p_name, 2, 1)) <= 4 THEN "
+        "4 WHEN count(DISTINCT substr(p_name, 2, 1)) <= 16 THEN 16 WHEN count(DISTINCT substr(p_name, 2, 1)) <= 48 THEN 48 ELSE 256 END AS node FROM part "
+        "GROUP BY 1"
+    ),
     "event_offsets": f"WITH {_LOG} SELECT * FROM l",
     "read_from": f'WITH {_LOG} SELECT * FROM l WHERE "offset" >= 9000',
     "by_topic": f"WITH {_LOG} SELECT * FROM l WHERE event_type = 'error'",
     "replay_fold": "SELECT user_id, count(*) AS n, arg_max(event_type, (ts, event_id)) AS last_type, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY user_id",
     "event_json": """SELECT event_id, '{"topic":"' || event_type || '","level":"INFO","at":"' || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || '","attributes":{"k":"' || json_extract_string(props, '$.k') || '","user":"' || user_id || '"}}' AS json FROM events""",
     "status_worst": f"WITH {_E} SELECT user_id, {_NAME.format('max(' + _RANK.format('status') + ')')} AS status FROM e GROUP BY user_id",
-    "status_views": f"WITH {_E}, q AS (SELECT event_type AS view, CASE WHEN NOT critical AND {_RANK.format('status')} >= 3 THEN 2 ELSE {_RANK.format('status')} END AS k FROM e), v AS (SELECT view, max(k) AS k FROM q GROUP BY view UNION ALL SELECT 'all', max(k) FROM q) SELECT view, {_NAME.format('k')} AS status, CASE WHEN k = 4 THEN 503 ELSE 200 END AS code FROM v",
+    "status_views": (
+        f"WITH {_E}, q AS (SELECT event_type AS view, CASE WHEN NOT critical AND {_RANK.format('status')} >= 3 THEN 2 ELSE {_RANK.format('status')} END AS "
+        f"k FROM e), v AS (SELECT view, max(k) AS k FROM q GROUP BY view UNION ALL SELECT 'all', max(k) FROM q) SELECT view, {_NAME.format('k')} AS status, "
+        "CASE WHEN k = 4 THEN 503 ELSE 200 END AS code FROM v"
+    ),
     "status_transitions": f"WITH {_E}, t AS (SELECT *, lag(status) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM e) SELECT user_id, event_id, before, status FROM t WHERE before <> status",
     "transition_counter": f'WITH {_E}, t AS (SELECT *, lag(status) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM e) SELECT user_id, before AS "from", status AS "to", count(*) AS n FROM t WHERE before <> status GROUP BY ALL',
     "staleness": "SELECT user_id, 1706659200 - max(CAST(floor(epoch(ts)) AS BIGINT)) > 3600 * 3.0 AS stale FROM events GROUP BY user_id",
     "saga_outcome": _SAGA,
-    "saga_json": f"WITH q AS ({_SAGA}) SELECT saga, '{{\"saga\":' || saga || ',\"outcome\":\"' || outcome || '\"' || coalesce(',\"failed_step\":\"' || failed_step || '\"', '') || CASE WHEN forward_ran <> '' THEN ',\"forward_ran\":' || {_LIST.format('forward_ran')} ELSE '' END || CASE WHEN compensated <> '' THEN ',\"compensated\":' || {_LIST.format('compensated')} ELSE '' END || CASE WHEN failures <> '' THEN ',\"failures\":' || {_LIST.format('failures')} ELSE '' END || '}}' AS json FROM q",
+    "saga_json": (
+        f"WITH q AS ({_SAGA}) SELECT saga, '{{\"saga\":' || saga || ',\"outcome\":\"' || outcome || '\"' || coalesce(',\"failed_step\":\"' || failed_step || "
+        f"'\"', '') || CASE WHEN forward_ran <> '' THEN ',\"forward_ran\":' || {_LIST.format('forward_ran')} ELSE '' END || CASE WHEN compensated <> '' THEN "
+        f"',\"compensated\":' || {_LIST.format('compensated')} ELSE '' END || CASE WHEN failures <> '' THEN ',\"failures\":' || {_LIST.format('failures')} "
+        f"ELSE '' END || '}}' AS json FROM q"
+    ),
     "fixed_window_limit": "SELECT event_id, row_number() OVER (PARTITION BY user_id, CAST(floor(epoch(ts)) AS BIGINT) // 86400 ORDER BY ts, event_id) <= 3 AS granted FROM events",
     "window_limit_totals": "SELECT user_id, (CAST(floor(epoch(ts)) AS BIGINT) // 86400) * 86400 AS window_start, least(count(*), 3) AS allowed, greatest(count(*) - 3, 0) AS denied FROM events GROUP BY 1, 2",
-    "bounded_queue": "SELECT event_id, user_id, (row_number() OVER w - 1 = 0) OR (row_number() OVER w - 1 > count(*) OVER (PARTITION BY user_id) - 1 - 2) AS delivered FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)",
+    "bounded_queue": (
+        "SELECT event_id, user_id, (row_number() OVER w - 1 = 0) OR (row_number() OVER w - 1 > count(*) OVER (PARTITION BY user_id) - 1 - 2) AS delivered "
+        "FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)"
+    ),
     "otel_buckets": f"WITH {_H} SELECT event_type, CASE WHEN isinf(le) THEN -1.0 ELSE le END AS le, n FROM h",
-    "hist_quantile": f"WITH {_H}, k AS (SELECT *, coalesce(lag(n) OVER w, 0) AS n0, coalesce(lag(le) OVER w, 0.0) AS lo, max(n) OVER (PARTITION BY event_type) AS t FROM h WINDOW w AS (PARTITION BY event_type ORDER BY le)) SELECT event_type, round(min(CASE WHEN isinf(le) THEN lo ELSE lo + (le - lo) * (0.9::DOUBLE * t - n0) / (n - n0) END), 6) AS value FROM k WHERE n >= 0.9::DOUBLE * t AND n0 < 0.9::DOUBLE * t GROUP BY event_type",
+    "hist_quantile": (
+        f"WITH {_H}, k AS (SELECT *, coalesce(lag(n) OVER w, 0) AS n0, coalesce(lag(le) OVER w, 0.0) AS lo, max(n) OVER (PARTITION BY event_type) AS t FROM "
+        "h WINDOW w AS (PARTITION BY event_type ORDER BY le)) SELECT event_type, round(min(CASE WHEN isinf(le) THEN lo ELSE lo + (le - lo) * (0.9::DOUBLE "
+        "* t - n0) / (n - n0) END), 6) AS value FROM k WHERE n >= 0.9::DOUBLE * t AND n0 < 0.9::DOUBLE * t GROUP BY event_type"
+    ),
     "exemplars_topk": "SELECT event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS i FROM events) WHERE i <= 5",
     "slow_topk": f"WITH {SAMPLES_SQL} SELECT g, CAST(ts AS DATE) AS day, max(x) AS max FROM s GROUP BY 1, 2 ORDER BY max DESC, g, day LIMIT 20",
-    "divergence": "SELECT coalesce(c_custkey, s_suppkey) AS k, c_nationkey AS expected, s_nationkey AS observed FROM customer FULL OUTER JOIN supplier ON c_custkey = s_suppkey WHERE c_nationkey IS DISTINCT FROM s_nationkey",
+    "divergence": (
+        "SELECT coalesce(c_custkey, s_suppkey) AS k, c_nationkey AS expected, s_nationkey AS observed FROM customer FULL OUTER JOIN supplier ON c_custkey "
+        "= s_suppkey WHERE c_nationkey IS DISTINCT FROM s_nationkey"
+    ),
     "prom_lines": "SELECT 'app_events_total{site=\"a\\\"b\",type=\"' || event_type || '\"} ' || count(*) AS line FROM events GROUP BY event_type",
     "summary_rows": f"WITH {SAMPLES_SQL}, a AS (SELECT g, min(x) AS lo, max(x) AS hi FROM s GROUP BY g) SELECT g, 'low' AS percentile, lo AS value FROM a UNION ALL SELECT g, 'high', hi FROM a",
     "timer_spans": 'WITH m AS (SELECT user_id, event_id, CAST(epoch_us(ts) AS BIGINT) AS mark FROM events) SELECT event_id, coalesce(lag(mark) OVER (PARTITION BY user_id ORDER BY mark, event_id), 0) AS start, mark AS "end" FROM m',

@@ -110,23 +110,65 @@ SQL = {
     "mean_trunc": f"WITH {SAMPLES_SQL} SELECT g, CAST(sum(x) // count(x) AS BIGINT) AS mean, count(x) AS n FROM s GROUP BY g",
     "moments": _MOMENTS,
     "iqr": f"{_RANKS}, p AS (SELECT g, {_at(0.25, 'a')}, {_at(0.75, 'b')} FROM r GROUP BY g) SELECT g, greatest(b - a, 0) AS iqr FROM p",
-    "mad": f"{_RANKS}, p AS (SELECT g, {_at(0.5, 'm')} FROM r GROUP BY g), e AS (SELECT g, abs(x - m) AS x, row_number() OVER (PARTITION BY g ORDER BY abs(x - m)) AS rk, count(*) OVER (PARTITION BY g) AS n FROM s JOIN p USING (g)) SELECT g, {_at(0.5, 'mad')} FROM e GROUP BY g",
-    "tail_expectation": f"{_RANKS}, p AS (SELECT g, {_at(0.95, 'cutoff')} FROM r GROUP BY g) SELECT g, cutoff, CAST(coalesce(sum(x) FILTER (WHERE x > cutoff) // nullif(count(*) FILTER (WHERE x > cutoff), 0), cutoff) AS BIGINT) AS cte FROM s JOIN p USING (g) GROUP BY g, cutoff",
-    "hill": f"WITH {SAMPLES_SQL}, r AS (SELECT g, x, row_number() OVER (PARTITION BY g ORDER BY x DESC) AS rk FROM s), p AS (SELECT g, x AS edge FROM r WHERE rk = 51) SELECT g, round(sum(ln(x / CAST(edge AS DOUBLE))) / 50, 6) AS hill FROM r JOIN p USING (g) WHERE rk <= 50 GROUP BY g",
+    "mad": (
+        f"{_RANKS}, p AS (SELECT g, {_at(0.5, 'm')} FROM r GROUP BY g), e AS (SELECT g, abs(x - m) AS x, row_number() OVER (PARTITION BY g ORDER BY abs(x - "
+        f"m)) AS rk, count(*) OVER (PARTITION BY g) AS n FROM s JOIN p USING (g)) SELECT g, {_at(0.5, 'mad')} FROM e GROUP BY g"
+    ),
+    "tail_expectation": (
+        f"{_RANKS}, p AS (SELECT g, {_at(0.95, 'cutoff')} FROM r GROUP BY g) SELECT g, cutoff, CAST(coalesce(sum(x) FILTER (WHERE x > cutoff) // nullif(count(*) "
+        "FILTER (WHERE x > cutoff), 0), cutoff) AS BIGINT) AS cte FROM s JOIN p USING (g) GROUP BY g, cutoff"
+    ),
+    "hill": (
+        f"WITH {SAMPLES_SQL}, r AS (SELECT g, x, row_number() OVER (PARTITION BY g ORDER BY x DESC) AS rk FROM s), p AS (SELECT g, x AS edge FROM r WHERE rk "
+        "= 51) SELECT g, round(sum(ln(x / CAST(edge AS DOUBLE))) / 50, 6) AS hill FROM r JOIN p USING (g) WHERE rk <= 50 GROUP BY g"
+    ),
     "tail_fatness": f"{_RANKS}, p AS (SELECT g, {_at(0.5, 'a')}, {_at(0.99, 'b')} FROM r GROUP BY g) SELECT g, round(b / CAST(a AS DOUBLE), 6) AS fatness FROM p",
-    "jitter": f"WITH {SAMPLES_SQL}, r AS (SELECT g, x, (row_number() OVER (PARTITION BY g ORDER BY seq) - 1) // 32 AS w FROM s), m AS (SELECT g, w, avg(x) AS m FROM r GROUP BY g, w HAVING count(*) = 32) SELECT s.g, coalesce(max(j), 0.0) AS jitter FROM (SELECT DISTINCT g FROM s) s LEFT JOIN (SELECT g, round(CASE WHEN count(*) < 2 THEN 0.0 ELSE least(1.0, stddev_pop(m) / avg(m)) END, 6) AS j FROM m GROUP BY g) q ON s.g = q.g GROUP BY s.g",
-    "cdf_log2": f"WITH {SAMPLES_SQL}, c AS (SELECT g, greatest(length(bin(x)) - 1, 0) AS bucket, count(*) AS c FROM s GROUP BY ALL), f AS (SELECT g, CAST(b AS INT) AS bucket FROM (SELECT DISTINCT g FROM s), range(64) t(b)) SELECT g, bucket, coalesce(c, 0) AS n, CAST(sum(coalesce(c, 0)) OVER (PARTITION BY g ORDER BY bucket) AS BIGINT) AS cumulative FROM f LEFT JOIN c USING (g, bucket)",
-    "ks_distance": f"WITH {SAMPLES_SQL}, v AS (SELECT x, count(*) FILTER (WHERE g = 'click') AS a, count(*) FILTER (WHERE g = 'view') AS b FROM s WHERE g IN ('click', 'view') GROUP BY x), c AS (SELECT sum(a) OVER (ORDER BY x) AS ca, sum(b) OVER (ORDER BY x) AS cb, sum(a) OVER () AS an, sum(b) OVER () AS bn FROM v) SELECT round(max(abs(CAST(ca AS DOUBLE) / an - CAST(cb AS DOUBLE) / bn)), 9) AS ks FROM c",
-    "cohens_d": f"WITH {SAMPLES_SQL}, m AS (SELECT count(*) FILTER (WHERE g = 'click') AS na, count(*) FILTER (WHERE g = 'view') AS nb, avg(x) FILTER (WHERE g = 'click') AS ma, avg(x) FILTER (WHERE g = 'view') AS mb, var_samp(x) FILTER (WHERE g = 'click') AS va, var_samp(x) FILTER (WHERE g = 'view') AS vb FROM s) SELECT round((mb - ma) / sqrt((va * (na - 1) + vb * (nb - 1)) / (na + nb - 2)), 6) AS d FROM m",
+    "jitter": (
+        f"WITH {SAMPLES_SQL}, r AS (SELECT g, x, (row_number() OVER (PARTITION BY g ORDER BY seq) - 1) // 32 AS w FROM s), m AS (SELECT g, w, avg(x) AS m FROM "
+        "r GROUP BY g, w HAVING count(*) = 32) SELECT s.g, coalesce(max(j), 0.0) AS jitter FROM (SELECT DISTINCT g FROM s) s LEFT JOIN (SELECT g, round(CASE "
+        "WHEN count(*) < 2 THEN 0.0 ELSE least(1.0, stddev_pop(m) / avg(m)) END, 6) AS j FROM m GROUP BY g) q ON s.g = q.g GROUP BY s.g"
+    ),
+    "cdf_log2": (
+        f"WITH {SAMPLES_SQL}, c AS (SELECT g, greatest(length(bin(x)) - 1, 0) AS bucket, count(*) AS c FROM s GROUP BY ALL), f AS (SELECT g, CAST(b AS INT) "
+        "AS bucket FROM (SELECT DISTINCT g FROM s), range(64) t(b)) SELECT g, bucket, coalesce(c, 0) AS n, CAST(sum(coalesce(c, 0)) OVER (PARTITION BY g ORDER "
+        "BY bucket) AS BIGINT) AS cumulative FROM f LEFT JOIN c USING (g, bucket)"
+    ),
+    "ks_distance": (
+        f"WITH {SAMPLES_SQL}, v AS (SELECT x, count(*) FILTER (WHERE g = 'click') AS a, count(*) FILTER (WHERE g = 'view') AS b FROM s WHERE g IN ('click', "
+        "'view') GROUP BY x), c AS (SELECT sum(a) OVER (ORDER BY x) AS ca, sum(b) OVER (ORDER BY x) AS cb, sum(a) OVER () AS an, sum(b) OVER () AS bn FROM "
+        "v) SELECT round(max(abs(CAST(ca AS DOUBLE) / an - CAST(cb AS DOUBLE) / bn)), 9) AS ks FROM c"
+    ),
+    "cohens_d": (
+        f"WITH {SAMPLES_SQL}, m AS (SELECT count(*) FILTER (WHERE g = 'click') AS na, count(*) FILTER (WHERE g = 'view') AS nb, avg(x) FILTER (WHERE g = 'click') "
+        "AS ma, avg(x) FILTER (WHERE g = 'view') AS mb, var_samp(x) FILTER (WHERE g = 'click') AS va, var_samp(x) FILTER (WHERE g = 'view') AS vb FROM s) "
+        "SELECT round((mb - ma) / sqrt((va * (na - 1) + vb * (nb - 1)) / (na + nb - 2)), 6) AS d FROM m"
+    ),
     "hdr_counts": f"{_H} SELECT g, bucket, c FROM h",
     "hdr_quantile": f"{_H} SELECT g, CAST(sum(c) AS BIGINT) AS n, {_hq(0.5, 'p50')}, {_hq(0.9, 'p90')}, {_hq(0.99, 'p99')}, {_hq(1.0, 'p100')} FROM k GROUP BY g",
-    "hdr_rank_of_value": f"{_H}, v AS (SELECT {_bucket('CAST(5000 AS BIGINT)')} AS b5) SELECT g, round(sum(CASE WHEN bucket <= b5 THEN c ELSE 0 END) / CAST(sum(c) AS DOUBLE), 9) AS share, CAST(sum(CASE WHEN bucket = b5 THEN c ELSE 0 END) AS BIGINT) AS count_at FROM h, v GROUP BY g",
+    "hdr_rank_of_value": (
+        f"{_H}, v AS (SELECT {_bucket('CAST(5000 AS BIGINT)')} AS b5) SELECT g, round(sum(CASE WHEN bucket <= b5 THEN c ELSE 0 END) / CAST(sum(c) AS DOUBLE), "
+        "9) AS share, CAST(sum(CASE WHEN bucket = b5 THEN c ELSE 0 END) AS BIGINT) AS count_at FROM h, v GROUP BY g"
+    ),
     "hdr_summary": f"{_H} SELECT g, CAST(min(lo) AS BIGINT) AS min, CAST(max(lo) AS BIGINT) AS max, round(sum(lo * c) / CAST(sum(c) AS DOUBLE), 6) AS mean, CAST(sum(c) AS BIGINT) AS n FROM k GROUP BY g",
     "hdr_merge": f"WITH {SAMPLES_SQL} SELECT CAST({_bucket('x')} AS BIGINT) AS bucket, count(*) AS c FROM s GROUP BY 1",
-    "hdr_tagged": f"WITH {SAMPLES_SQL}, t AS (SELECT g, x FROM s UNION ALL SELECT '(all)', x FROM s), h AS (SELECT g, CAST({_bucket('x')} AS BIGINT) AS bucket, count(*) AS c FROM t GROUP BY ALL), k AS (SELECT *, {_lower('bucket')} AS lo, sum(c) OVER (PARTITION BY g ORDER BY bucket) AS cum, sum(c) OVER (PARTITION BY g) AS total FROM h) SELECT g, CAST(sum(c) AS BIGINT) AS n, {_hq(0.5, 'p50')}, {_hq(0.99, 'p99')} FROM k GROUP BY g",
-    "hdr_co_backfill": f"WITH {SAMPLES_SQL}, b AS (SELECT g, x FROM s UNION ALL SELECT g, x - 1000 * t.k FROM s, range(1, 100) t(k) WHERE x - 1000 * t.k >= 1000) SELECT g, CAST({_bucket('x')} AS BIGINT) AS bucket, count(*) AS c FROM b GROUP BY ALL",
-    "hdr_linear": f"{_H}, b AS (SELECT g, CAST((lo // 1000) * 1000 AS BIGINT) AS lo, CAST(sum(c) AS BIGINT) AS n FROM k GROUP BY g, lo // 1000) SELECT g, lo, lo + 1000 AS hi, n, CAST(sum(n) OVER (PARTITION BY g ORDER BY lo) AS BIGINT) AS cumulative FROM b",
-    "hdr_log": f"{_H}, b AS (SELECT g, CAST(CASE WHEN lo = 0 THEN 0 ELSE length(bin(lo)) END AS INT) AS band, CAST(sum(c) AS BIGINT) AS n FROM k GROUP BY ALL) SELECT g, band, CAST(CASE WHEN band = 0 THEN 0 ELSE pow(2, band - 1) END AS BIGINT) AS lo, n, CAST(sum(n) OVER (PARTITION BY g ORDER BY band) AS BIGINT) AS cumulative FROM b",
+    "hdr_tagged": (
+        f"WITH {SAMPLES_SQL}, t AS (SELECT g, x FROM s UNION ALL SELECT '(all)', x FROM s), h AS (SELECT g, CAST({_bucket('x')} AS BIGINT) AS bucket, count(*) "
+        f"AS c FROM t GROUP BY ALL), k AS (SELECT *, {_lower('bucket')} AS lo, sum(c) OVER (PARTITION BY g ORDER BY bucket) AS cum, sum(c) OVER (PARTITION "
+        f"BY g) AS total FROM h) SELECT g, CAST(sum(c) AS BIGINT) AS n, {_hq(0.5, 'p50')}, {_hq(0.99, 'p99')} FROM k GROUP BY g"
+    ),
+    "hdr_co_backfill": (
+        f"WITH {SAMPLES_SQL}, b AS (SELECT g, x FROM s UNION ALL SELECT g, x - 1000 * t.k FROM s, range(1, 100) t(k) WHERE x - 1000 * t.k >= 1000) SELECT g, "
+        f"CAST({_bucket('x')} AS BIGINT) AS bucket, count(*) AS c FROM b GROUP BY ALL"
+    ),
+    "hdr_linear": (
+        f"{_H}, b AS (SELECT g, CAST((lo // 1000) * 1000 AS BIGINT) AS lo, CAST(sum(c) AS BIGINT) AS n FROM k GROUP BY g, lo // 1000) SELECT g, lo, lo + 1000 "
+        "AS hi, n, CAST(sum(n) OVER (PARTITION BY g ORDER BY lo) AS BIGINT) AS cumulative FROM b"
+    ),
+    "hdr_log": (
+        f"{_H}, b AS (SELECT g, CAST(CASE WHEN lo = 0 THEN 0 ELSE length(bin(lo)) END AS INT) AS band, CAST(sum(c) AS BIGINT) AS n FROM k GROUP BY ALL) SELECT "
+        "g, band, CAST(CASE WHEN band = 0 THEN 0 ELSE pow(2, band - 1) END AS BIGINT) AS lo, n, CAST(sum(n) OVER (PARTITION BY g ORDER BY band) AS BIGINT) "
+        "AS cumulative FROM b"
+    ),
     "hdr_pct_iter": f"{_H} SELECT g, CAST(p AS INT) AS pct, CAST(min(lo) AS BIGINT) AS value FROM k, range(10, 101, 10) t(p) WHERE cum >= greatest(1, ceil(total * p / 100.0)) GROUP BY g, p",
     "hdr_decay": f"WITH {SAMPLES_SQL} SELECT g, CAST({_bucket('x')} AS BIGINT) AS bucket, round(sum(pow(0.5, (20000 - seq) / 5000.0)), 6) AS c FROM s GROUP BY ALL",
     "hdr_intervals": f"WITH {SAMPLES_SQL} SELECT g, date_trunc('day', ts) AS start, CAST({_bucket('x')} AS BIGINT) AS bucket, count(*) AS c FROM s GROUP BY ALL",

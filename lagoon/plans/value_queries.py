@@ -199,16 +199,35 @@ SQL = {
     "rounding_table": "WITH t(n, d) AS (VALUES (CAST(25 AS BIGINT), CAST(10 AS BIGINT)), (-25, 10), (35, 10), (-35, 10), (27, -10)) " + " UNION ALL ".join(f"SELECT n, d, '{m}' AS mode, {_round_sql('n', 'd', m)} AS value FROM t" for m in nx.MODES),
     "tick_grid": f"WITH {_L} SELECT l_orderkey, l_linenumber, {_round_sql('price', '250000000', 'HALF_EVEN')} * 250000000 AS on_tick, price % 250000000 = 0 AS is_on FROM l",
     "fx_round": f"WITH {_A} SELECT c_custkey, {_round_sql('raw', '100000000', 'HALF_EVEN')} * 100000000 AS one, {_round_sql('-raw', '1000000000', 'FLOOR')} * 1000000000 AS whole FROM a",
-    "fx_checked": f"WITH {_A}, b AS (SELECT c_custkey, CAST(raw AS HUGEINT) + 9223372036854775807 - 5000000000000 AS t FROM a) SELECT c_custkey, TRY_CAST(t AS BIGINT) AS checked, CAST(least(t, 9223372036854775807) AS BIGINT) AS saturated FROM b",
+    "fx_checked": (
+        f"WITH {_A}, b AS (SELECT c_custkey, CAST(raw AS HUGEINT) + 9223372036854775807 - 5000000000000 AS t FROM a) SELECT c_custkey, TRY_CAST(t AS BIGINT) "
+        "AS checked, CAST(least(t, 9223372036854775807) AS BIGINT) AS saturated FROM b"
+    ),
     "money_sum": f"WITH {_A} SELECT currency, CAST(sum({_settle_sql('HALF_EVEN')}) AS BIGINT) AS total, count(*) AS n FROM a GROUP BY currency",
-    "fx_convert": f"WITH {_A}, c AS (SELECT c_custkey, {_round_sql('CAST(raw AS HUGEINT) * 151234500000', '1000000000', 'HALF_EVEN')} AS y FROM a) SELECT c_custkey, 'JPY' AS \"to\", {_round_sql('y', '1000000000', 'HALF_UP')} * 1000000000 AS settled FROM c",
+    "fx_convert": (
+        f"WITH {_A}, c AS (SELECT c_custkey, {_round_sql('CAST(raw AS HUGEINT) * 151234500000', '1000000000', 'HALF_EVEN')} AS y FROM a) SELECT c_custkey, "
+        f"'JPY' AS \"to\", {_round_sql('y', '1000000000', 'HALF_UP')} * 1000000000 AS settled FROM c"
+    ),
     "currency_codes": f"WITH {_A} SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE currency END AS code, CASE currency WHEN 'JPY' THEN 0 WHEN 'KWD' THEN 3 ELSE 2 END AS decimals FROM a",
     "exact_dot": f"WITH {_L} SELECT l_orderkey % 10 AS g, CAST(sum(CAST(price AS HUGEINT) * discount) AS VARCHAR) AS dot FROM l GROUP BY 1",
     "exact_average": f"WITH {_L}, t AS (SELECT l_orderkey % 10 AS g, sum(price) AS t, count(*) AS n FROM l GROUP BY 1) SELECT g, {_round_sql('t', 'n', 'HALF_EVEN')} AS average FROM t",
     "dec_parse": f"WITH {_T} SELECT p_partkey, CASE WHEN regexp_full_match(s, '[+-]?([0-9]+([.][0-9]{{0,9}})?|[.][0-9]{{1,9}})') THEN CAST(CAST(s AS DECIMAL(28, 9)) * 1000000000 AS BIGINT) END AS raw FROM t",
-    "dec_format": f"WITH {_A}, f AS (SELECT c_custkey, raw, -raw AS m FROM a), g AS (SELECT *, regexp_replace(lpad(CAST(abs(m) % 1000000000 AS VARCHAR), 9, '0'), '0+$', '') AS part FROM f) SELECT c_custkey, CASE WHEN m < 0 THEN '-' ELSE '' END || CAST(abs(m) // 1000000000 AS VARCHAR) || CASE WHEN part = '' THEN '' ELSE '.' || part END AS short, CASE WHEN raw < 0 THEN '-' ELSE '' END || CAST(abs(raw) // 1000000000 AS VARCHAR) || '.' || substr(lpad(CAST(abs(raw) % 1000000000 AS VARCHAR), 9, '0'), 1, 2) AS two FROM g",
-    "cron_next": "WITH o AS (SELECT o_orderkey, CAST(epoch(o_orderdate) AS BIGINT) + o_orderkey % 2000 * 37 AS asked FROM orders), days AS (SELECT CAST(x AS TIMESTAMP) AS day FROM generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '2002-12-31', INTERVAL 1 DAY) t(x) WHERE dayofweek(x) BETWEEN 1 AND 5 AND day(x) BETWEEN 1 AND 20), fires AS (SELECT CAST(epoch(day) AS BIGINT) + h * 3600 + m * 60 AS f FROM days, (VALUES (6), (18)) a(h), (VALUES (0), (20), (40)) b(m)) SELECT o_orderkey, asked, f AS next_fire FROM o ASOF JOIN fires ON o.asked <= fires.f",
-    "timer_fires": "WITH n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS i FROM events) SELECT user_id, event_id * 10 + greatest(event_id % 7, 1) AS fire_tick FROM n WHERE i = 1 AND event_type <> 'error'",
+    "dec_format": (
+        f"WITH {_A}, f AS (SELECT c_custkey, raw, -raw AS m FROM a), g AS (SELECT *, regexp_replace(lpad(CAST(abs(m) % 1000000000 AS VARCHAR), 9, '0'), '0+$', "
+        "'') AS part FROM f) SELECT c_custkey, CASE WHEN m < 0 THEN '-' ELSE '' END || CAST(abs(m) // 1000000000 AS VARCHAR) || CASE WHEN part = '' THEN '' "
+        "ELSE '.' || part END AS short, CASE WHEN raw < 0 THEN '-' ELSE '' END || CAST(abs(raw) // 1000000000 AS VARCHAR) || '.' || substr(lpad(CAST(abs(raw) "
+        "% 1000000000 AS VARCHAR), 9, '0'), 1, 2) AS two FROM g"
+    ),
+    "cron_next": (
+        "WITH o AS (SELECT o_orderkey, CAST(epoch(o_orderdate) AS BIGINT) + o_orderkey % 2000 * 37 AS asked FROM orders), days AS (SELECT CAST(x AS TIMESTAMP) "
+        "AS day FROM generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '2002-12-31', INTERVAL 1 DAY) t(x) WHERE dayofweek(x) BETWEEN 1 AND 5 AND day(x) BETWEEN "
+        "1 AND 20), fires AS (SELECT CAST(epoch(day) AS BIGINT) + h * 3600 + m * 60 AS f FROM days, (VALUES (6), (18)) a(h), (VALUES (0), (20), (40)) b(m)) "
+        "SELECT o_orderkey, asked, f AS next_fire FROM o ASOF JOIN fires ON o.asked <= fires.f"
+    ),
+    "timer_fires": (
+        "WITH n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS i FROM events) SELECT user_id, event_id * 10 + greatest(event_id "
+        "% 7, 1) AS fire_tick FROM n WHERE i = 1 AND event_type <> 'error'"
+    ),
     "redact": "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN '***' WHEN 1 THEN '***' || right(c_name, 4) WHEN 2 THEN c_name ELSE sha256(c_name) END AS shown FROM customer",
     "glob_select": "SELECT c_custkey, c_name FROM customer WHERE c_name LIKE 'Customer#%7%3'",
     "detail_keys": "SELECT p_partkey, CASE WHEN p_partkey % 3 = 2 AND upper(p_type) = 'ECONOMY' THEN 'eco' ELSE lower(p_type) END AS key FROM part",
@@ -225,9 +244,18 @@ SQL = {
     "fnv_vectors": "SELECT * FROM (VALUES ('', CAST(-3750763034362895579 AS BIGINT)), ('a', CAST(-5808556873153909620 AS BIGINT)), ('foobar', CAST(-8821353812377114648 AS BIGINT))) t(s, h)",
     "cache_replay": "SELECT 2 * count(*) AS accesses FROM events",
     "lru_hits": _LRU,
-    "revenue_join": "SELECT n_name, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS cents, count(DISTINCT o_orderkey) AS orders FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name",
+    "revenue_join": (
+        "SELECT n_name, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS cents, count(DISTINCT o_orderkey) AS orders FROM lineitem JOIN "
+        "orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name"
+    ),
     "rollup_cube": "SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS q FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)",
     "grouping_sets": "SELECT l_returnflag, l_linestatus, CAST(grouping(l_returnflag, l_linestatus) AS BIGINT) AS gid, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)",
-    "window_frames": "SELECT o_orderkey, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS BIGINT) AS last3, dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderdate) AS day_rank FROM orders",
-    "set_operations": "SELECT k, 'both' AS op FROM (SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier) UNION ALL SELECT k, 'no supplier' FROM (SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier)",
+    "window_frames": (
+        "SELECT o_orderkey, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING "
+        "AND CURRENT ROW) AS BIGINT) AS last3, dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderdate) AS day_rank FROM orders"
+    ),
+    "set_operations": (
+        "SELECT k, 'both' AS op FROM (SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier) UNION ALL SELECT k, 'no supplier' "
+        "FROM (SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier)"
+    ),
 }

@@ -264,7 +264,7 @@ class Reader(ds.DataSourceReader):
             source.seek(at)
             return source.read(n)
 
-        rows = self.rows(read_at, index, partition)
+        rows = self.rows(read_at, index, partition, source.size())
         held, size = [], 0
         for r in rows:
             held.append(r)
@@ -275,20 +275,23 @@ class Reader(ds.DataSourceReader):
         if held:
             yield _batch(partition.file.segment, held)
 
-    def rows(self, read_at: Callable[[int, int], bytes], index: list[int], share: Share) -> Iterator[Frame]:
-        """Stretch by stretch: those before the least block and behind the last bound aren't opened."""
-        size = share.file.size
+    def rows(self, read_at: Callable[[int, int], bytes], index: list[int], share: Share, size: int) -> Iterator[Frame]:
+        """Stretch by stretch: those before the least block and behind the last bound aren't opened. `size` is what the file really has, which shows where it was torn off."""
         for k, start in enumerate(index):
-            stop = index[k + 1] if k + 1 < len(index) else size
+            stop = index[k + 1] if k + 1 < len(index) else share.file.size
             if not share.start <= start < share.stop or (k + 1 < len(index) and (k + 1) * EVERY <= self.least):
                 continue
             if (self.most is not None and k * EVERY > self.most) or (self.ends is not None and start > self.ends):
                 return
-            for r in frames(read_at, start, stop, size, k * EVERY, self.check):
+            last = (k * EVERY - 1, start, None, None)
+            for r in frames(read_at, start, min(stop, size), size, k * EVERY, self.check):
+                last = r
                 if (self.ends is not None and r[1] > self.ends) or (self.most is not None and r[0] > self.most):
                     return
                 if r[0] >= self.least or r[3]:
                     yield r
+            if size < stop and last[3] is None:
+                yield last[0] + 1, max(start, size), None, "truncated"
 
 
 def _batch(segment: str, rows: list[Frame]) -> pa.RecordBatch:

@@ -65,13 +65,12 @@ def _rounded(n, d, mode):
 def test_wide_rounding(spark, mode):
     r = random.Random(6)
     values = [*EDGES, *(r.randint(-(10 ** r.randint(1, 38)), 10 ** r.randint(1, 38)) for _ in range(60))]
-    df = _wide(spark, values)
-    for i, got in df.select("i", wide.to_fixed("x", mode)).collect():
+    divisors = (3, -7, 2, 2**63 - 1, 0)
+    parts = [wide.raw_text(wide.div_int("x", F.lit(n).cast("long"), mode)).alias(f"by{k}") for k, n in enumerate(divisors)]
+    for i, narrow, *shares in _wide(spark, values).select("i", wide.to_fixed("x", mode).alias("narrow"), *parts).collect():
         want = _rounded(values[i], 10**9, mode)
-        assert got == (want if -(2**63) <= want < 2**63 else None)
-    for n in (3, -7, 2, 2**63 - 1, 0):
-        for i, got in df.select("i", wide.raw_text(wide.div_int("x", F.lit(n).cast("long"), mode))).collect():
-            assert got == (None if n == 0 else str(_rounded(values[i], n, mode)))
+        assert narrow == (want if -(2**63) <= want < 2**63 else None)
+        assert shares == [None if n == 0 else str(_rounded(values[i], n, mode)) for n in divisors]
 
 
 def test_wide_text_and_products(spark):
@@ -120,3 +119,12 @@ def test_in_flight(spark):
     for x in got:
         if x["at"] in moved:
             assert x["most"] == max(under(x["at"] - 1), *(under(t) for t in range(x["at"], x["at"] + 20))) and x["left"] == under(x["at"] + 19)
+
+
+@pytest.mark.parametrize("every", [1, 37, 10_000])
+def test_retained_exemplars(spark, every):
+    r = random.Random(3)
+    rows_ = [(r.choice(["a", None]), i, r.choice([None, *range(30)])) for i in range(600)]
+    want = {i for g, i, x in rows_ if x is not None and sum(y is not None and y >= x for h, j, y in rows_ if h == g and j < i) < 4}
+    df = spark.createDataFrame(rows_, "g string, i long, x long")
+    assert {x["i"] for x in metrics.retained_exemplars(df, ["g"], "x", "i", 4, every).collect()} == want

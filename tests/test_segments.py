@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lagoon.plans import catalogue
-from lagoon.sources import segments
+from lagoon.sources import runs, segments
 from tests.compare import duck_rows, rows
 
 
@@ -57,7 +57,7 @@ def test_a_seek_reads_the_stretch_of_its_block_and_those_behind(folder):
 
     reader = segments.Reader("none", "crc32", 1 << 20)
     list(reader.pushFilters([segments.ds.GreaterThanOrEqual(("block",), 600)]))
-    got = list(reader.rows(read_at, index, segments.Share(segments.File("x", "x", len(raw), True), 0, len(raw))))
+    got = list(reader.rows(read_at, index, segments.Share(segments.File("x", "x", len(raw), True), 0, len(raw)), len(raw)))
     assert [r[0] for r in got] == list(range(600, 667))
     assert min(at for at, _ in seen) == index[9] and sum(n for _, n in seen) <= len(raw) - index[9] + 64
 
@@ -118,6 +118,20 @@ def test_damage_costs_the_rest_of_its_stretch(spark, tmp_path):
     assert segments.read(spark, str(tmp_path / "a.seg"), "crc32").where("error IS NULL").count() == 142
 
 
+def test_replay_of_torn_logs(spark, tmp_path):
+    """Logs whose files end inside a frame, or hold a wrong byte, replay up to there."""
+    path = tmp_path / "logs"
+    segments.write(spark.range(300).select((F.col("id") % 3).alias("log"), "id", F.col("id").cast("string").alias("p")), "p", ["id"], str(path), "crc32", segment="log")
+    files = {e["segment"]: path / e["name"] for c in path.glob("_commit*") for e in segments.json.loads(c.read_text())}
+    files["0"].write_bytes(files["0"].read_bytes()[:-3])
+    raw = bytearray(files["1"].read_bytes())
+    raw[-15] ^= 1
+    files["1"].write_bytes(raw)
+    frames = segments.read(spark, str(path), "crc32")
+    kept = runs.replay(frames, "segment", "block", F.col("error").isNull()).groupBy("segment").agg(F.count("*").alias("n"), F.max(F.col("payload").cast("string").cast("long")).alias("last"))
+    assert {r["segment"]: (r["n"], r["last"]) for r in kept.collect()} == {"0": (99, 294), "1": (98, 292), "2": (100, 299)}
+
+
 def test_scheme_less_paths_are_the_default_file_system_s(spark, tmp_path):
     assert segments._qualified(spark, str(tmp_path)).startswith("file:/")
     hadoop = spark._jsc.hadoopConfiguration()
