@@ -43,6 +43,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -225,6 +226,11 @@ class Item:
     told: np.ndarray
     answer: np.ndarray
 
+    @cached_property
+    def bits(self) -> tuple[dict, dict]:
+        """The places of each word in the item and in the answer."""
+        return bits_of(self.words.tolist()), bits_of(self.answer.tolist())
+
 
 class Items:
     """Items by number, their words in a few long arrays."""
@@ -237,11 +243,23 @@ class Items:
         self.sorted, self.told = self.words[order], self.words[order][informative[order]]
         self.at = np.concatenate([[0], np.cumsum(counts)])
         self.told_at = np.concatenate([[0], np.cumsum(np.bincount(owner[informative], minlength=len(counts)))])
+        self._held: dict[int, Item] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_held": {}}
 
     def __len__(self) -> int:
         return len(self.at) - 1
 
     def __getitem__(self, k: int) -> Item:
+        found = self._held.get(k)
+        if found is None:
+            if len(self._held) > 4096:
+                self._held.clear()
+            found = self._held[k] = self._made(k)
+        return found
+
+    def _made(self, k: int) -> Item:
         a, z = self.at[k], self.at[k + 1]
         return Item(self.words[a:z], self.sorted[a:z], self.told[self.told_at[k] : self.told_at[k + 1]], self.words[max(a, z - ANSWER) : z])
 
@@ -364,10 +382,11 @@ class Searcher:
         if common.sum() < self._shared * n:
             return None
         of_item = region[common].tolist()
-        got = common_subsequence(item.words.tolist(), of_item) / n
+        whole, answer = item.bits
+        got = subsequence(whole, n, of_item) / n
         if got < self._shared:
             return None
-        told = common_subsequence(item.answer.tolist(), of_item) / len(item.answer)
+        told = subsequence(answer, len(item.answer), of_item) / len(item.answer)
         if told < self._answered:
             return None
         inside = np.flatnonzero(common)
@@ -424,19 +443,29 @@ def _runs(sorted_keys: np.ndarray) -> tuple[list[int], list[slice]]:
     return sorted_keys[first].tolist(), [slice(a, b) for a, b in zip(first, [*first[1:], len(sorted_keys)], strict=True)]
 
 
-def common_subsequence(a: list, b: list) -> int:
-    """Length of the longest common subsequence; a bit for each element of `a`."""
+def bits_of(a: list) -> dict:
+    """Of each element a number with a bit for each of its places."""
     places: dict = {}
     for i, x in enumerate(a):
         places[x] = places.get(x, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    row = full
+    return places
+
+
+def subsequence(places: dict, n: int, b: list) -> int:
+    """Length of the longest common subsequence of n elements, by their bits, and another list."""
+    row = full = (1 << n) - 1
+    get = places.get
     for y in b:
-        m = places.get(y, 0)
+        m = get(y)
         if m:
             u = row & m
             row = ((row + u) | (row - u)) & full
-    return len(a) - row.bit_count()
+    return n - row.bit_count()
+
+
+def common_subsequence(a: list, b: list) -> int:
+    """Length of the longest common subsequence."""
+    return subsequence(bits_of(a), len(a), b)
 
 
 MATCHES = "matches array<struct<item:int,shared:double,answered:double,first_word:long,end_word:long,found_by:string>>"
