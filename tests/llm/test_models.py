@@ -104,6 +104,30 @@ def test_spans_and_scores(spark):
     assert got[2]["score"] >= 0.5 > got[1]["score"] and got[3]["score"] == got[4]["score"] < 0.5 and got[None]["score"] > got[1]["score"]
 
 
+def test_long_and_repeated_texts(spark):
+    """One toxic word in 60,000 marks its place and no other; equal rows have equal scores, whatever stands beside them."""
+    model = toxicity.train(*_labelled(200))
+    words = prose(900, 60_000).split(" ")
+    words[41_000] = "rotten"
+    rows = [(1, " ".join(words)), (2, "vilest rotten wretch"), (2, "vilest rotten wretch"), (3, "vilest rotten wretch"), (4, "x" * 200_000)]
+    got = toxicity.toxic_scores(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+    at = len(" ".join(words[:41_000])) + 1
+    long = next(r for r in got if r["doc_id"] == 1)
+    assert [(s["start"], s["end"]) for s in long["spans"]] == [(at, at + 6)]
+    same = [(r["score"], r["spans"]) for r in got if r["doc_id"] in (2, 3)]
+    assert len(same) == 3 and same[0] == same[1] == same[2]
+
+
+def test_contradictory_and_missing_labels(spark):
+    """The greater of several labels counts; labels that are null, or of ids that are, are none."""
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(6)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 0), (0, 1), (1, 0), (1, 0), (2, None), (3, None), (3, 1), (None, 1), (9, 1)], "doc_id long, toxic int")
+    from pyspark.sql import functions as F
+
+    texts, marks = toxicity.bounded_sample(docs, labels, F.lit(True))
+    assert dict(zip(texts, marks, strict=True)) == {"text 0": 1, "text 1": 0, "text 3": 1}
+
+
 def test_held_out_documents(spark):
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").where("doc_id % 4 = 0")
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
