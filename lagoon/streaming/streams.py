@@ -139,6 +139,7 @@ class Transitions(StatefulProcessor):
 
 def transitions(stream: DataFrame) -> DataFrame:
     """Status changes of a stream (scope, ts, status, and seq to order equal times if there)."""
+    _states(stream.sparkSession)
     return stream.groupBy("scope").transformWithStateInPandas(Transitions(), "scope long, ts timestamp, before string, status string", "Append", "None")
 
 
@@ -187,6 +188,7 @@ def admissions(stream: DataFrame, interval: int, burst: int, late: str | None =
     after the latest one, or not after 1970, are dropped, and idle keys keep no state. Without it, every
     key's state stays.
     """
+    _states(stream.sparkSession)
     timed = stream.withColumn("_at", F.timestamp_micros("now")).withWatermark("_at", late) if late else stream
     made = Gcra(interval, burst, late is not None)
     return _keyed(timed, "key").transformWithStateInPandas(made, "key long, call long, granted boolean", "Append", "EventTime" if late else "None")
@@ -198,7 +200,7 @@ def _keyed(df: DataFrame, key: str):
 
 
 def _states(spark: SparkSession) -> None:
-    """State with timers is kept by RocksDB."""
+    """State of processors, with timers or without, is kept by RocksDB: the default store refuses it."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
