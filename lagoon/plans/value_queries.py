@@ -114,7 +114,7 @@ def _bloom_ok(s, d):
 def _heavy(s, d):
     e = table(s, d, "lineitem")
     depth, width = sketches.cms_shape(0.0005, 0.99)
-    return sketches.heavy_hitters(e, "l_suppkey", 10, depth, width).withColumnRenamed("estimate", "n")
+    return sketches.heavy_hitters(e, "l_suppkey", 10, depth, width)
 
 
 def _cuckoo_load(s, d):
