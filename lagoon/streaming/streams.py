@@ -143,7 +143,58 @@ def transitions(stream: DataFrame) -> DataFrame:
     return stream.groupBy("scope").transformWithStateInPandas(Transitions(), "scope long, ts timestamp, before string, status string", "Append", "None")
 
 
-class Gcra(StatefulProcessor):
+#: Groups that keys are dealt to by hash. A state processor is called for a group with all that a batch brings for its keys, as a call costs far more than a key's few rows.
+GROUPS = 1 << 12
+
+
+class Keys(StatefulProcessor):
+    """The keys of a group: their state as one list, read and written once a batch, and one timer, at the first time that one of them waits for. Without `ends` nothing ends."""
+
+    values = ""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._rows = handle.getListState("keys", f"key long, none boolean, {self.values}")
+
+    def ends(self, *values: int) -> int | None:
+        """Milliseconds of event time after which a key has no state."""
+
+    def _held(self) -> dict[tuple, tuple]:
+        """Values by (key, whether it's null)."""
+        return {(r[0], r[1]): tuple(r[2:]) for r in self._rows.get()} if self._rows.exists() else {}
+
+    def _hold(self, held: dict[tuple, tuple]) -> None:
+        if held:
+            self._rows.put([(*k, *v) for k, v in held.items()])
+        else:
+            self._rows.clear()
+        end = min((e for v in held.values() if (e := self.ends(*v)) is not None), default=None)
+        if end is not None:
+            self._handle.registerTimer(end)
+
+    def _stop(self) -> None:
+        for at in list(self._handle.listTimers()):
+            self._handle.deleteTimer(at)
+
+    def ended(self, gone: dict[tuple, tuple]) -> Iterator[pd.DataFrame]:
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now, held = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()), self._held()
+        gone = {k: v for k, v in held.items() if self.ends(*v) <= now}
+        self._hold({k: v for k, v in held.items() if k not in gone})
+        return self.ended(gone)
+
+    def close(self) -> None:
+        pass
+
+
+def _in_order(rows: Iterator[pd.DataFrame], by: list[str], columns: list[str]) -> Iterator[tuple]:
+    pdf = pd.concat(list(rows)).sort_values(by)
+    return zip(*(pdf[c].tolist() for c in columns), strict=True)
+
+
+class Gcra(Keys):
     """Streaming admission by a virtual schedule, one state value a key. (O134)
 
     With `evict`, a timer drops a key's state once the watermark has passed its due
@@ -151,35 +202,27 @@ class Gcra(StatefulProcessor):
     nothing is lost. (O138)
     """
 
+    values = "due long"
+
     def __init__(self, interval: int, burst: int, evict: bool) -> None:
         self._interval, self._burst, self._evict = interval, burst, evict
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._handle = handle
-        self._due = handle.getValueState("due", "due long")
+    def ends(self, due: int) -> int | None:
+        return -(-due // 1000) if self._evict else None
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        due = self._due.get()[0] if self._due.exists() else 0
-        out = []
-        for r in pd.concat(list(rows)).sort_values(["now", "call"]).itertuples(index=False):
-            after = max(due, r.now) + self._interval
-            granted = r.now >= after - self._burst * self._interval
-            due = after if granted else due
-            out.append((None if key[1] else key[0], r.call, granted))
-        self._due.update((int(due),))
+        held, out = self._held(), []
+        for user, none, call, now in _in_order(rows, ["now", "call"], ["key", "null_key", "call", "now"]):
+            due = held.get((user, none), (0,))[0]
+            after = max(due, now) + self._interval
+            granted = now >= after - self._burst * self._interval
+            held[user, none] = (after if granted else due,)
+            out.append((None if none else user, call, granted))
         if self._evict:
-            for at in list(self._handle.listTimers()):
-                self._handle.deleteTimer(at)
-            self._handle.registerTimer(-(-int(due) // 1000))
+            self._stop()
+        self._hold(held)
         yield pd.DataFrame(out, columns=["key", "call", "granted"]).astype({"key": "Int64"})
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self._due.clear()
-        return iter([])
-
-    def close(self) -> None:
-        pass
-
 
 def admissions(stream: DataFrame, interval: int, burst: int, late: str | None = None) -> DataFrame:
     """Calls (key, call, now) with whether they are granted.
@@ -195,8 +238,9 @@ def admissions(stream: DataFrame, interval: int, burst: int, late: str | None =
 
 
 def _keyed(df: DataFrame, key: str):
-    """Groups by a whole number that may be null; pandas would make numbers beside a null another kind, and so other keys of the state."""
-    return df.withColumn("_none", F.col(key).isNull()).withColumn(key, F.coalesce(F.col(key), F.lit(0).cast("long"))).groupBy(key, "_none")
+    """Groups of keys, whole numbers that may be null; pandas would make numbers beside a null another kind, and so other keys of the state, and has no names with a leading underscore here."""
+    dealt = F.pmod(F.xxhash64(key), F.lit(GROUPS)).cast("int")
+    return df.withColumn("_group", dealt).withColumn("null_key", F.col(key).isNull()).withColumn(key, F.coalesce(F.col(key), F.lit(0).cast("long"))).groupBy("_group")
 
 
 def _states(spark: SparkSession) -> None:
@@ -204,40 +248,33 @@ def _states(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-class Timers(StatefulProcessor):
-    """A key's pending timer as its state, and as a timer of the engine, which fires as the watermark passes."""
+class Timers(Keys):
+    """A key's pending timer as its state, which fires as the watermark passes."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._handle = handle
-        self._due = handle.getValueState("due", "tick long")
+    values = "due long"
+
+    def ends(self, due: int) -> int:
+        return due
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        due = self._due.get()[0] if self._due.exists() else None
-        fired = []
-        for r in pd.concat(list(rows)).sort_values(["tick", "seq"]).itertuples(index=False):
-            if due is not None and due <= r.tick:  # it fired before this command
-                fired.append((key[0], due))
-                due = None
-            if r.action == "cancel" or key[1]:
+        held, fired = self._held(), []
+        for timer, none, tick, action, delay in _in_order(rows, ["tick", "seq"], ["timer", "null_key", "tick", "action", "delay"]):
+            if none:
+                continue
+            due = held.pop((timer, none), (None,))[0]
+            if due is not None and due <= tick:  # it fired before this command
+                fired.append((timer, due))
                 due = None
-            elif r.action == "schedule" or (r.action == "reschedule" and due is not None):
-                due = int(r.tick) + max(int(r.delay), 1)
-        for at in list(self._handle.listTimers()):
-            self._handle.deleteTimer(at)
-        if due is None:
-            self._due.clear()
-        else:
-            self._due.update((due,))
-            self._handle.registerTimer(due)
+            if action == "schedule" or (action == "reschedule" and due is not None):
+                due = tick + max(delay, 1)
+            if due is not None and action != "cancel":
+                held[timer, none] = (due,)
+        self._stop()
+        self._hold(held)
         yield pd.DataFrame(fired, columns=["timer", "fire_tick"])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        due = self._due.get()[0]
-        self._due.clear()
-        yield pd.DataFrame([(key[0], due)], columns=["timer", "fire_tick"])
-
-    def close(self) -> None:
-        pass
+    def ended(self, gone: dict[tuple, tuple]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame([(timer, due) for (timer, _), (due,) in gone.items()], columns=["timer", "fire_tick"])
 
 
 def timers(commands: DataFrame, late_ticks: int = 0) -> DataFrame:
@@ -250,39 +287,31 @@ def timers(commands: DataFrame, late_ticks: int = 0) -> DataFrame:
     return _keyed(timed, "timer").transformWithStateInPandas(Timers(), "timer long, fire_tick long", "Append", "EventTime")
 
 
-class Windows(StatefulProcessor):
+class Windows(Keys):
     """A key's current window and its calls so far; a timer at the window's end drops both."""
 
+    values = "start long, calls long"
+
     def __init__(self, seconds: int, limit: int) -> None:
         self._seconds, self._limit = seconds, limit
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._handle = handle
-        self._window = handle.getValueState("window", "start long, calls long")
+    def ends(self, start: int, calls: int) -> int:
+        return (start + self._seconds) * 1000
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        start, calls = self._window.get() if self._window.exists() else (None, 0)
-        out = []
-        for r in pd.concat(list(rows)).sort_values(["second", "call"]).itertuples(index=False):
-            of = r.second - r.second % self._seconds
+        held, out = self._held(), []
+        for user, none, call, second in _in_order(rows, ["second", "call"], ["key", "null_key", "call", "second"]):
+            start, calls = held.get((user, none), (None, 0))
+            of = second - second % self._seconds
             if start is not None and of < start:
                 continue  # its window is over
             calls = calls + 1 if of == start else 1
-            start = of
-            out.append((r.call, calls <= self._limit))
-        for at in list(self._handle.listTimers()):
-            self._handle.deleteTimer(at)
-        self._window.update((int(start), int(calls)))
-        self._handle.registerTimer(int(start + self._seconds) * 1000)
+            held[user, none] = (of, calls)
+            out.append((call, calls <= self._limit))
+        self._stop()
+        self._hold(held)
         yield pd.DataFrame(out, columns=["call", "granted"])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self._window.clear()
-        return iter([])
-
-    def close(self) -> None:
-        pass
-
 
 def window_limits(calls: DataFrame, seconds: int, limit: int, late: str = "0 seconds") -> DataFrame:
     """(call, granted) of calls (key long, call long, second long): `limits.fixed_window` on a stream. A call of a window that is over gets no answer; a window's state lives until the watermark reaches its end. (O133, O216)"""
