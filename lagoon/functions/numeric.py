@@ -85,14 +85,63 @@ def in_range(x: Column) -> Column:
     return F.when((x >= F.lit(RAW_MIN).cast(WIDE)) & (x <= F.lit(RAW_MAX).cast(WIDE)), x.cast("long"))
 
 
+def _div(a: Column, b: Column | int) -> Column:
+    return F.call_function("div", a, _c(b))
+
+
+def _cut(n: Column, d: int) -> Column:
+    """n / d of decimals without its fraction; null beyond 64 bits."""
+    q = _quotient(F.abs(n), F.lit(d).cast(WIDE))
+    return in_range(F.when(n < 0, -q).otherwise(q))
+
+
+def mul_parts(a: Column | str, b: Column | str) -> Column:
+    """Product of two raw fixed-point values, in long numbers unless these can't hold it, before `rounded`: whole raw units (q, null beyond 64 bits), what is left (rest) of a raw unit (by), and the sign (negative). (O171)"""
+    a, b = _c(a), _c(b)
+    high, low = (lambda x: _div(x, ONE)), (lambda x: x % ONE)
+    ends = low(a) * low(b)
+    q = high(a) * high(b) * ONE + high(a) * low(b) + low(a) * high(b) + _div(ends, ONE)  # all of one sign
+    fits = F.abs(a.cast("double") * b.cast("double")) < 9e27
+    wide = lambda x: x.cast("decimal(19,0)")
+    return F.struct(
+        F.when(fits, q).otherwise(_cut((wide(a) * wide(b)).cast(WIDE), ONE)).alias("q"), F.abs(ends % ONE).alias("rest"),
+        F.lit(ONE).cast("long").alias("by"), ((a < 0) != (b < 0)).alias("negative"),
+    )
+
+
+def div_parts(a: Column | str, b: Column | str) -> Column:
+    """Quotient of two raw fixed-point values, as `mul_parts` has it; of what is left, only whether it's nothing (0), less than half a raw unit (1), half of one (2) or more (3). Null where b is 0. (O171)"""
+    a, b = _c(a), _c(b)
+    x, y = a.cast("double"), F.abs(b.cast("double"))
+    fits = (y > 0) & (y < 9e13) & (F.abs(x) < y * 9e9)
+    five = a % b * 100_000  # nine more digits, five and four of them
+    four = five % b * 10_000
+    q = _div(a, b) * ONE + _div(five, b) * 10_000 + _div(four, b)
+    n, d = F.abs(a.cast(WIDE)) * F.lit(ONE).cast("decimal(10,0)"), F.when(b != 0, F.abs(b.cast(WIDE)))
+    n = n.cast(WIDE)
+    wide, negative = _quotient(n, d), (a < 0) != (b < 0)
+    kind = lambda rest, of: F.when(rest == 0, 0).when(2 * rest < of, 1).when(2 * rest == of, 2).otherwise(3)
+    return F.struct(
+        F.when(fits, q).otherwise(in_range(F.when(negative, -wide).otherwise(wide))).alias("q"),
+        F.when(fits, kind(F.abs(four % b), F.abs(b))).otherwise(kind(n % d, d)).cast("long").alias("rest"), F.lit(4).cast("long").alias("by"), negative.alias("negative"),
+    )
+
+
+def rounded(parts: Column | str, mode: str) -> Column:
+    """The raw value of `mul_parts` or `div_parts` under a rounding mode, null beyond 64 bits. (O171, O172)"""
+    p = _c(parts)
+    away = steps_away(mode, p["rest"], p["by"], p["negative"], p["q"] % 2 != 0)
+    return F.when(away, F.try_add(p["q"], F.when(p["negative"], F.lit(-1)).otherwise(F.lit(1)).cast("long"))).otherwise(p["q"])
+
+
 def fx_mul(a: Column | str, b: Column | str, mode: str) -> Column:
     """Product of two raw fixed-point values. (O171)"""
-    return in_range(div_round(_c(a).cast("decimal(19,0)") * _c(b).cast("decimal(19,0)"), ONE, mode))
+    return rounded(mul_parts(_c(a).cast("long"), _c(b).cast("long")), mode)
 
 
 def fx_div(a: Column | str, b: Column | str, mode: str) -> Column:
     """Quotient of two raw fixed-point values. (O171)"""
-    return in_range(div_round(_c(a).cast("decimal(19,0)") * F.lit(ONE).cast("decimal(19,0)"), b, mode))
+    return rounded(div_parts(_c(a).cast("long"), _c(b).cast("long")), mode)
 
 
 def fx_round(a: Column | str, decimals: int, mode: str) -> Column:
