@@ -144,7 +144,7 @@ def transitions(stream: DataFrame) -> DataFrame:
 
 
 #: Groups that keys are dealt to by hash. A state processor is called for a group with all that a batch brings for its keys, as a call costs far more than a key's few rows.
-GROUPS = 1 << 12
+GROUPS = 4093
 
 
 class Keys(StatefulProcessor):
